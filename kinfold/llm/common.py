@@ -104,3 +104,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+def spans(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of each run, from where runs start in ``n`` values; none where there are no values."""
+    starts = np.asarray(starts).tolist()
+    return list(zip(starts, [*starts[1:], n], strict=True)) if starts and n else []

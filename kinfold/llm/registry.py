@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, decontamination, simhash, token_counts
+from kinfold.llm import bpe, cover_tree, decontamination, language_id, quality, simhash, substring, suffix_array, token_counts
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_cover_tree_near_dedup": cover_tree.op7_cover_tree_near_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_difference_cover_dedup": substring.op9_difference_cover_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL = {"op2_benchmark_decontamination": decontamination.OP2_SQL}
+SQL = {
+    "op2_benchmark_decontamination": decontamination.OP2_SQL,
+    "op3_suffix_array_dedup": suffix_array.OP3_SQL,
+    "op7_cover_tree_near_dedup": cover_tree.OP7_SQL,
+    "op9_difference_cover_dedup": substring.OP9_SQL,
+}
