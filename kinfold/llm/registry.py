@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, cover_tree, decontamination, language_id, quality, simhash, substring, suffix_array, token_counts
+from kinfold.llm import bpe, context_mixing, cover_tree, decontamination, language_id, quality, simhash, substring, suffix_array, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
+    "op4_context_mixing": context_mixing.op4_context_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_cover_tree_near_dedup": cover_tree.op7_cover_tree_near_dedup,
