@@ -231,8 +231,9 @@ def flagged_blocks(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str
     return together.mapInArrow(each, schema)
 
 
-RANGE = np.dtype([("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
-RANGES_SCHEMA = "row long, ranges binary"
+#: A range of a row of a block. Ranges travel by block, so there are no more rows of them than blocks in each bucket's task.
+RANGE = np.dtype([("row", "u1"), ("start", "<u4"), ("end", "<u4")])
+RANGES_SCHEMA = "blk long, ranges binary"
 
 
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,12 +254,12 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def range_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Ranges, merged, as one record for each row."""
+    """Ranges, merged, as one record for each block."""
     row, start, end = merged(row, start, end)
-    pairs = np.stack([start, end], axis=1).astype("<u4") if len(row) else np.empty((0, 2), "<u4")
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
-    packed = [pairs[a:b].tobytes() for a, b in spans(cuts, len(row))]
-    return pa.RecordBatch.from_arrays([pa.array(row[cuts], pa.int64()), pa.array(packed, pa.binary())], names=["row", "ranges"])
+    packed = np.empty(len(row), RANGE)
+    packed["row"], packed["start"], packed["end"] = row & _LOCAL, start, end
+    found = [(blk, values.tobytes()) for blk, values in _by_block(row, packed)]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["blk", "ranges"])
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -269,12 +270,14 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(b"".join(x), "<u4").astype(np.int64).reshape(-1, 2) for x in batch.column("ranges").to_pylist()]
-            rows = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), [len(p) for p in parts])
-            both = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
-            yield range_rows(rows, both[:, 0], both[:, 1])
-
-    whole = staged(ranges.groupBy("row").agg(F.collect_list("ranges").alias("ranges")).mapInArrow(unite, RANGES_SCHEMA), "ranges")
+            for blk, parts in zip(batch.column("blk").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                x = np.frombuffer(b"".join(parts), RANGE)
+                row, start, end = merged((blk << BLOCK_BITS) + x["row"].astype(np.int64), x["start"].astype(np.int64), x["end"].astype(np.int64))
+                pairs = np.stack([start, end], axis=1).astype("<u4")
+                cuts = spans(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)) if len(row) else []
+                yield pa.RecordBatch.from_arrays([pa.array([int(row[a]) for a, _ in cuts], pa.int64()), pa.array([pairs[a:b].tobytes() for a, b in cuts], pa.binary())], names=["row", "ranges"])
+
+    whole = staged(ranges.groupBy("blk").agg(F.collect_list("ranges").alias("ranges")).mapInArrow(unite, "row long, ranges binary"), "ranges")
     size = whole.agg(F.sum(F.octet_length("ranges") + 64)).first()[0] or 0
     whole = whole.select(F.col("row").alias(ROW), F.col("ranges").alias("_ranges"))
     return docs.join(F.broadcast(whole) if size <= BROADCAST_BYTES else whole, ROW, "left")

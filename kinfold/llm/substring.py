@@ -114,8 +114,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 rows.add(int(bucket[a]), base, out[a:b])
             if known.any():
                 found = range_rows(base + x["row"][known].astype(np.int64), x["pos"][known].astype(np.int64), x["pos"][known].astype(np.int64) + window)
-                for row, ranges in zip(found.column("row").to_pylist(), found.column("ranges").to_pylist(), strict=True):
-                    rows.add(-1 - row, row, np.frombuffer(ranges, np.uint8))
+                for blk, ranges in zip(found.column("blk").to_pylist(), found.column("ranges").to_pylist(), strict=True):
+                    rows.add(-1 - blk, blk, np.frombuffer(ranges, np.uint8))
             return rows.batch()
 
         for block in found:
@@ -155,7 +155,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
 
         for bucket, bases, packed in buckets_of(batches):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(packed, pa.binary())], names=["row", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(packed, pa.binary())], names=["blk", "ranges"])
                 continue
             x = np.frombuffer(b"".join(packed), item)
             base = np.repeat(np.array(bases, np.int64), [len(p) // item.itemsize for p in packed])
