@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from kinfold.plans import catalog, graphs, kernels, lineage, linkage, matching, search
+from kinfold.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "catalog", "graphs", "kernels", "lineage", "linkage", "matching", "search"]
