@@ -303,3 +303,63 @@ def call_expressions(spark, d):
 
     text = F.replace(F.col("text"), F.lit(", "), F.lit("(1) "))
     return read(spark, d, "documents").select("doc_id", F.explode(calls(text)).alias("callee")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def text_lines(df, path, line_no, *values):
+    """Lines of one file for each row, numbered in the order of a key."""
+    n = len(values)
+    return df.select(path.cast("string").alias("path"), F.posexplode(F.array(*values)).alias("at", "value"), line_no.alias("k")).select("path", (F.col("k") * n + F.col("at")).alias("line_no"), "value")
+
+
+@query("SELECT lpad(lower(hex(o_orderkey)), 8, '0') AS commit, strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00' AS date, o_orderpriority AS subject FROM orders")
+def git_log(spark, d):
+    value = F.concat(F.lpad(F.lower(F.hex("o_orderkey")), 8, "0"), F.lit(" "), day(F.col("o_orderdate")), F.lit(" 10:00:00 +0000 "), "o_orderpriority")
+    return R.commits(text_lines(read(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey"), value)).select("commit", "date", "subject")
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'M' END AS status, 'a' || o_orderkey || '.c' AS file FROM orders UNION ALL SELECT 'A', 'b' || o_orderkey || '.c' FROM orders WHERE o_orderstatus = 'F'")
+def git_changes(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    value = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("R90\t./a"), k, F.lit(".c\tb"), k, F.lit(".c"))).otherwise(F.concat(F.lit("M\ta"), k, F.lit(".c")))
+    return R.changes(text_lines(read(spark, d, "orders"), F.lit("log"), F.col("o_orderkey"), value)).select("status", "file")
+
+
+@query("SELECT s_nationkey || '' AS file, s_name AS module, 'lib/' || s_suppkey AS path, 'https://h/' || s_suppkey || '.git' AS url FROM supplier")
+def submodule_sections(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    values = F.concat(F.lit('[submodule "'), "s_name", F.lit('"]')), F.concat(F.lit("  path = lib/"), k), F.concat(F.lit("\turl = https://h/"), k, F.lit(".git"))
+    return R.submodules(text_lines(read(spark, d, "supplier"), F.col("s_nationkey"), F.col("s_suppkey"), *values))
+
+
+@query("SELECT p_brand || '.c' AS file, 'f' || p_partkey AS symbol, p_size AS line, 'call(' || p_type || ')' AS text FROM part WHERE p_partkey % 4 <> 0")
+def cross_reference_lines(spark, d):
+    k = F.col("p_partkey")
+    good = F.concat("p_brand", F.lit(".c f"), k.cast("string"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" call("), "p_type", F.lit(")"))
+    return R.cross_references(text_lines(read(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit(" "), F.lit("_"))), F.lit("x"), k, F.when(k % 4 != 0, good).otherwise("no reference")))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS ea, 'src/' || min(l_partkey) || '.c' AS file, l_linenumber AS line FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey, l_linenumber")
+def debug_line_infos(spark, d):
+    ea = F.lower(F.hex(F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    known = F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(' of "src/'), F.col("l_partkey").cast("string"), F.lit('.c" starts at address'))
+    first = F.when(F.col("l_orderkey") % 5 != 0, known).otherwise(F.lit("No line number information available for address"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    return R.debug_lines(text_lines(rows, F.col("l_orderkey") % 20, F.col("l_orderkey") * 10 + F.col("l_linenumber"), first, F.concat(F.lit("   0x"), ea, F.lit(" <f>"))))
+
+
+@query("SELECT DISTINCT '/src/' || p_brand || '.c' AS file FROM part UNION SELECT DISTINCT '/inc/' || p_size || '.h' FROM part")
+def debug_source_lists(spark, d):
+    value = F.concat(F.lit("/src/"), "p_brand", F.lit(".c, /inc/"), F.col("p_size").cast("string"), F.lit(".h, local.c"))
+    return R.debug_sources(text_lines(read(spark, d, "part"), F.lit("x"), F.col("p_partkey"), value))
+
+
+@query("SELECT fhash, list_sort(list(fid))[1] AS first, count(*) AS n FROM (SELECT l_returnflag || l_linestatus AS fhash, l_partkey AS fid FROM lineitem) GROUP BY fhash")
+def tree_hash_index(spark, d):
+    rows = read(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("fhash"), F.col("l_partkey").alias("fid"))
+    return rows.groupBy("fhash").agg(F.min("fid").alias("first"), F.count("*").alias("n"))
+
+
+@query()
+def table_files(spark, d):
+    """The tables' files, the largest first."""
+    return R.listing(spark, d, "*.parquet").select(X.base_name(F.col("path")).alias("file"), "length")
