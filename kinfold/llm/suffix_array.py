@@ -26,7 +26,7 @@ LENGTH, GRAM = 50, 16
 #: Characters of 8 bytes that the multikey quicksort takes; what is equal so far goes to the blind tries.
 SHALLOW = 2
 #: Bytes of segments that a task gathers before it sends them on; windows sorted at once.
-BUFFER, AT_ONCE = 32 << 20, 1 << 18
+BUFFER, AT_ONCE = 16 << 20, 1 << 17
 _U = np.uint64
 _LAST = (1 << 63) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -54,7 +54,8 @@ def minimizers(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     least = np.minimum(least[: len(h) - span + 1], least[span - size : span - size + len(h) - span + 1])
-    return least, starts
+    # Smallest hashes are small: an odd factor spreads them over all numbers again, and so over the buckets.
+    return least * _U(_BASE), starts
 
 
 def _windows_of(starts: np.ndarray, i: int, length: int) -> tuple[int, int]:
@@ -133,6 +134,19 @@ def _split(ids: np.ndarray, alive: np.ndarray, char: np.ndarray) -> np.ndarray:
 SEGMENT = np.dtype([("top", "<u8"), ("row", "<i8"), ("id", "<i8"), ("start", "<u4"), ("size", "<u4")])
 
 
+def _portions(flagged: list, limit: int = 1 << 20) -> Iterator[list]:
+    """The same texts in lists of about ``limit`` bytes at most."""
+    own, size = [], 0
+    for x in flagged:
+        if own and size + len(x[1]) > limit:
+            yield own
+            own, size = [], 0
+        own.append(x)
+        size += len(x[1])
+    if own:
+        yield own
+
+
 def repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """Ranges of bytes, by ROW, that windows cover which start in a text with a smaller id."""
     n = partitions(docs.sparkSession)
@@ -158,17 +172,16 @@ def repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             if done:
                 x = np.array(done, np.int64)
                 ranges = range_rows(x[:, 0], x[:, 1], x[:, 2])
-                rows = ranges.column("row").to_pylist()
-                keys += [-1 - r for r in rows]
-                bases += rows
+                blks = ranges.column("blk").to_pylist()
+                keys += [-1 - b for b in blks]
+                bases += blks
                 packed += ranges.column("ranges").to_pylist()
             meta.clear()
             seen.clear()
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bases, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "base", "packed"])
 
-        for block in found:
-            flagged = block.flagged
+        for block, flagged in ((b, part) for b in found for part in _portions(b.flagged)):
             least, starts = minimizers([t for _, t, _ in flagged], length)
             for j, (i, text, tops) in enumerate(flagged):
                 a, b = _windows_of(starts, j, length)
@@ -204,7 +217,7 @@ def repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, bases, packed in buckets_of(batches):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(packed, pa.binary())], names=["row", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(packed, pa.binary())], names=["blk", "ranges"])
             else:
                 yield ordered([(b, p) for b, p in zip(bases, packed, strict=True)], length)
 
@@ -213,6 +226,28 @@ def repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, RANGES_SCHEMA)
 
 
+def _period(piece: bytes, most: int) -> int:
+    """The smallest p up to ``most`` with which the whole piece repeats itself, else 0."""
+    return next((p for p in range(1, most + 1) if piece[p:] == piece[:-p]), 0)
+
+
+def _dealt(views: np.ndarray, at: np.ndarray, seg: np.ndarray, offset: np.ndarray) -> Iterator[np.ndarray]:
+    """The windows in parts of about AT_ONCE, equal ones together: a minimizer may have any number of segments."""
+    n = max(1, -(-len(seg) // AT_ONCE))
+    if n == 1:
+        yield np.arange(len(seg))
+        return
+    key = np.empty(len(seg), np.uint64)
+    for a in range(0, len(seg), AT_ONCE):
+        own = views[at[seg[a : a + AT_ONCE]] + offset[a : a + AT_ONCE]]
+        ends = [np.ascontiguousarray(x).view("<u8").ravel() for x in (own[:, :8], own[:, -8:], own[:, 20:28])]
+        key[a : a + AT_ONCE] = mix(ends[0] * _U(3) + ends[1] * _U(5) + ends[2] * _U(7))
+    for k in range(n):
+        part = np.flatnonzero(key % _U(n) == k)
+        if len(part):
+            yield part
+
+
 def ordered(parts: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
     """What the segments of one bucket remove, as ranges."""
     expand = zstandard.ZstdDecompressor().decompress
@@ -222,37 +257,65 @@ def ordered(parts: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
         heads.append(np.frombuffer(raw, SEGMENT, count))
         texts.append(raw[count * SEGMENT.itemsize :])
     head = np.concatenate(heads)
-    whole = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.concatenate([[0], np.cumsum(head["size"].astype(np.int64))])[:-1]
-    order = np.argsort(head["top"], kind="stable")
-    head, at = head[order], at[order]
-    counts = head["size"].astype(np.int64) - length + 1
-    views = sliding_window_view(whole, length)
-    cuts = np.flatnonzero(np.concatenate([[True], head["top"][1:] != head["top"][:-1]]))
-    ends = np.concatenate([cuts[1:], [len(head)]])
-    cuts, ends = cuts[ends - cuts > 1], ends[ends - cuts > 1]
-    total = np.concatenate([[0], np.cumsum(counts)])
-    rows, starts = [], []
+    joined_ = b"".join(texts)
+    ends = np.cumsum(head["size"].astype(np.int64))
+    at = ends - head["size"]
+    # Equal segments are one variant with its smallest id; any other id loses the whole segment.
+    seen: dict[tuple[int, bytes], int] = {}
+    variant = np.fromiter((seen.setdefault((t, joined_[a:b]), len(seen)) for t, a, b in zip(head["top"].tolist(), at.tolist(), ends.tolist(), strict=True)), np.int64, len(head))
+    least = np.full(len(seen), _LAST, np.int64)
+    np.minimum.at(least, variant, head["id"])
+    del seen
+    whole = head["id"] > least[variant]
+    rows, starts, stops = [head["row"][whole]], [head["start"][whole].astype(np.int64)], [(head["start"] + head["size"])[whole].astype(np.int64)]
+    # The rest stands for its variant (several rows only where ids are equal): windows decide between variants of a minimizer.
+    _, one = np.unique(variant, return_index=True)
+    one = one[np.argsort(head["top"][one], kind="stable")]
+    top = head["top"][one]
+    group = np.cumsum(np.concatenate([[True], top[1:] != top[:-1]])) - 1
+    some = np.bincount(group)[group] > 1
+    one, group = one[some], group[some]
+    counts = head["size"][one].astype(np.int64) - length + 1
+    # A segment of one repeated string has only as many different windows as its period is long.
+    period = np.zeros(len(one), np.int64)
+    for k in np.flatnonzero(counts > length).tolist():
+        period[k] = _period(joined_[at[one[k]] : ends[one[k]]], length)
+    own_counts = np.where(period > 0, np.minimum(counts, period), counts)
+    views = sliding_window_view(np.frombuffer(joined_, np.uint8), length)
+    lost: dict[int, np.ndarray] = {}
+    cuts = spans(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else [], len(group))
+    total = np.concatenate([[0], np.cumsum(own_counts)])
     a = 0
     while a < len(cuts):
         b = a + 1
-        while b < len(cuts) and total[ends[b]] - total[cuts[a]] <= AT_ONCE:
+        while b < len(cuts) and total[cuts[b][1]] - total[cuts[a][0]] <= AT_ONCE:
             b += 1
-        chosen = np.concatenate([np.arange(x, y) for x, y in zip(cuts[a:b], ends[a:b], strict=True)])
-        own = counts[chosen]
-        seg = np.repeat(chosen, own)
-        offset = np.arange(len(seg)) - np.repeat(np.cumsum(own) - own, own)
-        classes = equal_windows(views[at[seg] + offset], head["top"][seg])
-        _, classes = np.unique(classes, return_inverse=True)
-        least = np.full(classes.max() + 1, _LAST, np.int64)
-        np.minimum.at(least, classes, head["id"][seg])
-        gone = least[classes] < head["id"][seg]
-        rows.append(head["row"][seg][gone])
-        starts.append(head["start"][seg][gone].astype(np.int64) + offset[gone])
+        first, last = cuts[a][0], cuts[b - 1][1]
+        own = own_counts[first:last]
+        seg = np.repeat(np.arange(first, last, dtype=np.int32), own)
+        offset = np.arange(len(seg), dtype=np.int32) - np.repeat((np.cumsum(own) - own).astype(np.int32), own)
+        gone = []
+        for part in _dealt(views, at[one], seg, offset):
+            _, classes = np.unique(equal_windows(views[at[one[seg[part]]] + offset[part]], group[seg[part]]), return_inverse=True)
+            ids = least[variant[one[seg[part]]]]
+            smallest = np.full(classes.max() + 1, _LAST, np.int64)
+            np.minimum.at(smallest, classes, ids)
+            gone.append(part[smallest[classes] < ids])
+        gone = np.sort(np.concatenate(gone))
+        for x, y in spans(np.flatnonzero(np.concatenate([[True], seg[gone][1:] != seg[gone][:-1]])) if len(gone) else [], len(gone)):
+            k = int(seg[gone[x]])
+            found = offset[gone[x:y]].astype(np.int64)
+            if period[k]:
+                found = (found[:, None] + np.arange(0, counts[k], period[k])[None, :]).ravel()
+                found = found[found < counts[k]]
+            lost[int(variant[one[k]])] = found
         a = b
-    row = np.concatenate([np.empty(0, np.int64), *rows])
-    start = np.concatenate([np.empty(0, np.int64), *starts])
-    return range_rows(row, start, start + length)
+    for k in np.flatnonzero(~whole & np.isin(variant, np.fromiter(lost, np.int64, len(lost)))).tolist():
+        offset = lost[int(variant[k])] + int(head["start"][k])
+        rows.append(np.full(len(offset), head["row"][k]))
+        starts.append(offset)
+        stops.append(offset + length)
+    return range_rows(np.concatenate(rows), np.concatenate(starts), np.concatenate(stops))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

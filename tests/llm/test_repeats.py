@@ -113,3 +113,28 @@ def test_deep_shallow_classes():
         for c, g, w in zip(classes.tolist(), group.tolist(), windows, strict=True):
             assert names.setdefault(c, (g, w.tobytes())) == (g, w.tobytes())
         assert len(names) == len({(g, w.tobytes()) for g, w in zip(group.tolist(), windows, strict=True)})
+
+
+def test_bytes_with_few_windows_at_once(monkeypatch):
+    """Large groups are dealt by a hash of the window; periodic segments are looked at once a period."""
+    import zstandard
+
+    rng = random.Random(8)
+    head, texts = [], []
+    for row in range(60):
+        text = rng.choice([b"ab" * 200, b"abc" * 90, b"x" * rng.randrange(50, 400), bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 130)))])
+        head.append((7 + row % 2, row, rng.randrange(40), 3, len(text)))
+        texts.append(text)
+    packed = zstandard.ZstdCompressor().compress(np.array(head, suffix_array.SEGMENT).tobytes() + b"".join(texts))
+    want = None
+    for at_once in (1 << 17, 64, 1000):
+        monkeypatch.setattr(suffix_array, "AT_ONCE", at_once)
+        got = suffix_array.ordered([(60, packed)], 50).to_pydict()
+        want = want or got
+        assert got == want
+    rows = np.frombuffer(b"".join(want["ranges"]), repeats.RANGE)
+    for top in (7, 8):
+        mine = [(h, t) for h, t in zip(head, texts, strict=True) if h[0] == top]
+        for (_, row, _, start, size), (n, removed, _, _) in zip([h for h, _ in mine], brute_bytes([(h[2], t.decode()) for h, t in mine], 50), strict=True):
+            own = rows[rows["row"] == row]
+            assert int((own["end"] - own["start"]).sum()) == removed and n == size
