@@ -53,8 +53,12 @@ def rowed(docs: DataFrame) -> DataFrame:
     """Adds ROW, which names each row (also rows with equal or null ids).
 
     The number follows the splits of the scan, so it is the same each time only where rows come from files without
-    a shuffle; any other input is written to the shared folder first.
+    a shuffle; any other input is written to the shared folder first. Splits also follow the number of cores that Spark
+    counts just now, unless spark.sql.files.minPartitionNum is set: it is set here, so a lost executor changes nothing.
     """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     plan = docs._jdf.queryExecution().executedPlan().toString()
     if "Exchange" in plan or "Scan ExistingRDD" in plan or "Arrow" in plan or "Python" in plan or "FileScan" not in plan:
         docs = staged(docs, "rows")
