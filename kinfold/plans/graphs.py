@@ -85,11 +85,11 @@ def callees(spark, d):
     return G.callees(call_edges(spark, d)).select("node", F.array_join("callees", ",").alias("callees"))
 
 
-@query()
+@query("WITH " + EDGE + """, c AS (SELECT s_suppkey AS root, s_nationkey % 5 AS label, list(dst) AS s FROM supplier JOIN edge ON src = s_suppkey GROUP BY s_suppkey, s_nationkey)
+SELECT a.root AS a, b.root AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) AS similarity, CAST(2 * abs(len(a.s) - len(b.s)) AS BIGINT) AS low, CAST(2 * (len(a.s) + len(b.s) - 2 * len(list_intersect(a.s, b.s))) AS BIGINT) AS high FROM c a JOIN c b ON a.label = b.label AND a.root < b.root""")
 def subgraph_edit_bounds(spark, d):
-    """Bounds of the edit distance of call neighbourhoods of supplier pairs that share a nation."""
+    """Bounds of the edit distance of call neighbourhoods of supplier pairs that share a label."""
     from kinfold.operators.subgraphs import edit_bounds
 
-    e = call_edges(spark, d)
-    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_nationkey").alias("label"))
-    return edit_bounds(e, s)
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), (F.col("s_nationkey") % 5).alias("label"))
+    return edit_bounds(call_edges(spark, d), s).withColumn("similarity", F.round("similarity", 6))
