@@ -66,5 +66,5 @@ def assign_fids(repo_hashes: DataFrame, catalogue: DataFrame | None = None) -> D
     if catalogue is None:
         return numbered(distinct, "fhash", name="fid")
     new = numbered(distinct.join(catalogue, "fhash", "left_anti"), "fhash", name="fid")
-    top = catalogue.agg(F.coalesce(F.max("fid"), F.lit(0)).alias("top"))
-    return catalogue.select("fhash", "fid").unionByName(new.crossJoin(F.broadcast(top)).select("fhash", (F.col("fid") + F.col("top")).alias("fid")))
+    top = catalogue.agg(F.coalesce(F.max("fid"), F.lit(0))).scalar()
+    return catalogue.select("fhash", "fid").unionByName(new.select("fhash", (F.col("fid") + top).alias("fid")))

@@ -110,9 +110,9 @@ def feature_score(a: DataFrame, b: DataFrame) -> DataFrame:
     def n(df: DataFrame, kind: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
 
-    own = a.distinct().agg((5 * n(a, "name") + n(a, "string")).alias("own"))
+    own = a.distinct().agg(5 * n(a, "name") + n(a, "string")).scalar()
     both = a.intersect(b).agg((5 * n(a, "name") + n(a, "string")).alias("score"))
-    return both.crossJoin(own).select("score", (F.col("score") / F.col("own")).alias("ratio"))
+    return both.select("score", (F.col("score") / own).alias("ratio"))
 
 
 def similar_bodies(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame:

@@ -92,6 +92,6 @@ def top_fraction(df: DataFrame, score: str, key: str, ratio: float, by: list[str
     if by:
         ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score), key))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     else:
-        ranked = numbered(df.withColumn("_s", -F.col(score)), "_s", key, name="_r").drop("_s").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+        ranked = numbered(df.withColumn("_s", -F.col(score)), "_s", key, name="_r").drop("_s").withColumn("_n", df.agg(F.count("*")).scalar())
     limit = F.least(F.col("_n"), F.floor(F.col("_n") * ratio) + 1) if at_least_one_more else F.ceil(F.col("_n") * ratio)
     return ranked.where(F.col("_r") <= limit).drop("_r", "_n")

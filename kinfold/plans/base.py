@@ -51,11 +51,11 @@ TOK = INC + ", tok AS (SELECT repo, p_partkey AS nid, p_name AS name, CASE WHEN
 
 def call_edges(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
     """A call graph over supplier numbers."""
-    n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    n = read(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     rows = read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") <= (1 if thin else 2)))
     if thin:
         rows = rows.where(F.col("l_suppkey") % 3 == 0)
-    return rows.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst")).distinct()
+    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
 
 
 EDGE = "edge AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 2)"

@@ -124,7 +124,7 @@ def component_export(spark, d):
 def executable_size(spark, d):
     e = call_edges(spark, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges")))
+    return nodes.agg(F.count("*").alias("n_nodes")).withColumn("n_edges", e.agg(F.count("*")).scalar())
 
 
 @query("SELECT l_suppkey AS path, l_linenumber AS line, min(l_partkey) AS fid FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity <= 1) GROUP BY l_suppkey, l_linenumber")
