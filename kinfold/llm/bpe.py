@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kinfold.llm.common import blobs, slices, table
 
 #: Bytes of words and ids that a worker keeps at most, and the longest word that it keeps.
-CACHE_BYTES, CACHE_WORD = 96 << 20, 128
+CACHE_BYTES, CACHE_WORD = 80 << 20, 128
 _EXTRA = 180  # of each cached entry, about
 
 

@@ -262,7 +262,7 @@ def range_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["blk", "ranges"])
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def with_ranges(docs: DataFrame, ranges: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_ranges``: packed (start, end) pairs of each row, merged, null where nothing is removed.
 
     Only the merged ranges travel: to every task where all of them together are small, else by a shuffle on the row.
@@ -280,4 +280,28 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     whole = staged(ranges.groupBy("blk").agg(F.collect_list("ranges").alias("ranges")).mapInArrow(unite, "row long, ranges binary"), "ranges")
     size = whole.agg(F.sum(F.octet_length("ranges") + 64)).first()[0] or 0
     whole = whole.select(F.col("row").alias(ROW), F.col("ranges").alias("_ranges"))
-    return docs.join(F.broadcast(whole) if size <= BROADCAST_BYTES else whole, ROW, "left")
+    if size <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(whole), ROW, "left")
+    return unsqueezed(squeezed(docs, text_col).join(whole, ROW, "left"), text_col)
+
+
+def squeezed(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts compressed, for a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, text_col):
+            found = [None if x is None else squeeze(x) for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(found, pa.binary()))
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema))
+
+
+def unsqueezed(docs: DataFrame, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, text_col, 1 << 20):
+            found = [None if x is None else expand(x).decode() for x in batch.column(text_col).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(found, pa.string()))
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema))

@@ -24,7 +24,7 @@ _U = np.uint64
 #: Odd multipliers of the two window hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Words whose hashes a worker keeps.
-_KEPT = 400_000
+_KEPT = 250_000
 #: Windows that a task gathers before it sends them on.
 BUFFER = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -142,6 +142,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 count += len(x)
         if held:
             yield flush()
+        _HASH.clear()  # a worker goes on to other tasks
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -184,7 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a repeated row of 35 words or more loses all its words. An empty table gives no rows.
     """
     docs = rowed(docs.drop("n_words", "n_removed", "kept", "kept_sha256"))
-    together = with_ranges(docs, repeated_windows(docs, id_col, text_col, window, cover, period)).drop(ROW)
+    together = with_ranges(docs, repeated_windows(docs, id_col, text_col, window, cover, period), text_col).drop(ROW)
     keep = [c for c in together.columns if c != "_ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other; rows with equal ids remove nothing from each other. An empty table gives no rows.
     """
     docs = rowed(docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"))
-    together = with_ranges(docs, repeated_bytes(docs, id_col, text_col, length)).drop(ROW)
+    together = with_ranges(docs, repeated_bytes(docs, id_col, text_col, length), text_col).drop(ROW)
     keep = [c for c in together.columns if c != "_ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

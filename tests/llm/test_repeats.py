@@ -69,7 +69,10 @@ def test_words(spark, tmp_path, texts, broadcast, monkeypatch):
     assert got == dict(enumerate(brute_words(texts, 35)))
 
 
-def test_bytes(spark, tmp_path, texts):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_bytes(spark, tmp_path, texts, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)
     ids = list(range(len(texts)))
     random.Random(3).shuffle(ids)
     rows = list(zip(ids, texts, strict=True))
