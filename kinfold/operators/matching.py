@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
-from kinfold.functions.digest import distance
+from kinfold.functions.digest import distance_of_pairs, quartile_cost
 
 
 def split_names(functions: DataFrame, name: str = "fname") -> DataFrame:
@@ -123,7 +123,9 @@ def similar_bodies(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame
     """
     if threshold > 60:
         raise ValueError("nibbles prune only below 60")
-    digit = lambda c: F.conv(F.substring(c, 5, 1), 16, 10).cast("int")
-    x = a.select(F.col("digest").alias("a")).where("length(a) = 70").withColumn("band", F.explode(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda d: F.pmod(digit(F.col("a")) + d, F.lit(16)))))
-    y = b.select(F.col("digest").alias("b")).where("length(b) = 70").withColumn("band", digit(F.col("b")))
-    return x.join(y, "band").select("a", "b", distance(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") < threshold)
+    digit = lambda c, i: F.conv(F.substring(c, i, 1), 16, 10).cast("int")
+    x = a.select(F.col("digest").alias("a")).where("length(a) = 70").withColumn("qa", digit("a", 6)).withColumn("band", digit("a", 5))
+    x = x.withColumn("pa", F.col("band")).withColumn("band", F.explode(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda d: F.pmod(F.col("pa") + d, F.lit(16)))))
+    y = b.select(F.col("digest").alias("b")).where("length(b) = 70").withColumn("qb", digit("b", 6)).withColumn("band", digit("b", 5))
+    headers = quartile_cost(F.col("pa"), F.col("band")) + quartile_cost(F.col("qa"), F.col("qb"))
+    return x.join(y, "band").where(headers < threshold).select("a", "b", distance_of_pairs("a", "b").alias("distance")).where(F.col("distance") < threshold)
