@@ -309,6 +309,18 @@ def _added(pieces: DataFrame, tasks: int, fan_in: int = 16) -> DataFrame:
             return pieces
 
 
+def weighted(part: int, n: float, weights: np.ndarray) -> pa.RecordBatch:
+    """What a task learnt, as a piece to add: its number of windows, then its weights times that number."""
+    packed = np.concatenate([[n], n * weights.ravel().astype(float)]).astype("<f4").tobytes()
+    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (part, 0, 0)), pa.array([packed], pa.binary())], names=["part", "order", "piece", "packed"])
+
+
+def averaged(pieces: DataFrame, tasks: int) -> np.ndarray:
+    """The mean of the weights of all tasks, by their numbers of windows."""
+    whole = np.frombuffer(_added(pieces, tasks).toArrow().column("packed")[0].as_py(), "<f4").astype(float)
+    return (whole[1:] / whole[0]).reshape(_GATES, -1).astype(np.float32)
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Scorer | None:
     """Trains on every text. None where there are no rows."""
     spark = docs.sparkSession
@@ -349,12 +361,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Scorer | None:
         if len(x):
             own = Mixer(shared.value.n0, shared.value.n1)
             own.learn(x, n)
-            yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([own.weights.astype("<f8").tobytes()], pa.binary())], names=["n", "weights"])
+            yield weighted(TaskContext.get().partitionId(), float(n.sum()), own.weights)
 
-    found = gathered.select("packed").coalesce(tasks).mapInArrow(learn, "n double, weights binary")
-    learnt = found.toArrow() if tasks <= 256 else staged(found, "weights").limit(256).toArrow()
-    total = sum(learnt.column("n").to_pylist())
-    model.weights = sum(np.frombuffer(w, "<f8").reshape(_GATES, -1) * (n / total) for n, w in zip(learnt.column("n").to_pylist(), learnt.column("weights").to_pylist(), strict=True)).astype(np.float32)
+    model.weights = averaged(gathered.select("packed").coalesce(tasks).mapInArrow(learn, _PIECES), tasks)
     shared.destroy()
     mixed = spark.sparkContext.broadcast(model)
 

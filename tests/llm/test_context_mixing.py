@@ -56,3 +56,20 @@ def test_windows_know_where_texts_begin():
     assert sizes.tolist() == [3, 1, 3]
     assert x[:3].tolist() == x[4:].tolist()
     assert (x & np.uint64(255)).tolist() == [97, 98, 0, 0, 97, 98, 0]
+
+
+def test_weights_of_every_task_count(spark):
+    tasks = 300
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 5_000_000, tasks)
+    # The tasks beyond 256 learnt something else.
+    weights = rng.normal(0.3, 0.1, (tasks, M._GATES, len(M.ORDERS) + 1)).astype(np.float32)
+    weights[256:] += 5
+
+    def learnt(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield M.weighted(k, float(n[k]), weights[k])
+
+    found = M.averaged(spark.range(0, tasks, numPartitions=4).mapInArrow(learnt, M._PIECES), tasks)
+    assert np.allclose(found, np.average(weights, axis=0, weights=n), rtol=1e-5)
