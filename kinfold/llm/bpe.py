@@ -195,27 +195,32 @@ def _with(df: DataFrame, *more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + list(more))
 
 
-def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encodes and decodes each text in one pass: ``keep``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
+def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: str | None = None) -> DataFrame:
+    """Encodes and decodes each text in one pass: ``keep``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+
+    ``ids`` names a column for the ids themselves, packed as ``encode`` packs them; without it they are not returned.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in slices(batches, "text", 1 << 20):
-            ids = coder.encode([t.decode() for t in blobs(batch.column("text"))])
+            found = coder.encode([t.decode() for t in blobs(batch.column("text"))])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(k) for k in keep),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]),
+                    *([pa.array(found, pa.binary())] if ids else []),
+                    pa.array([len(x) // 4 for x in found], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in found]),
+                    pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in found]),
                 ],
-                names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=[*keep, *([ids] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
-    return docs.mapInArrow(run, _with(docs.select(*keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"))
+    more = [f"`{ids}` binary"] if ids else []
+    return docs.mapInArrow(run, _with(docs.select(*keep), *more, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

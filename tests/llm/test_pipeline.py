@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import corpus_pipeline as P
@@ -72,3 +73,14 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_pipeline_ends_with_token_ids(spark):
+    texts = ["Some words, and more words.", "", None, "é漢 😀 x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in P.encode(spark, docs, "").collect():
+        text = texts[r.doc_id] or ""
+        assert bytes(r.ids) == coder.encode([text])[0]
+        assert coder.decode(bytes(r.ids)).decode() == text
+        assert r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
