@@ -1,0 +1,114 @@
+"""Near-duplicate groups by similarity of word shingles: candidates by MinHash bands, each verified on the shingles.
+
+Two texts of similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS: over 0.9999 at 0.8. In each bucket of a band
+all are compared with the smallest first; then every pair that isn't joined yet is. So a large group of near copies costs
+a row for each, and no pair of a bucket goes unseen; a bucket of texts that are alike but under the least similarity costs
+the square of its size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest, xxh128_digest
+
+from kinfold.llm.common import ROW, blobs, cut, mix, slices, staged
+from kinfold.llm.graph import components
+
+BANDS, ROWS = 20, 4
+#: Words of a shingle, and the least similarity (Jaccard, as a fraction) of near duplicates.
+WIDTH, LEAST = 5, (4, 5)
+#: Bytes of shingle sets that a worker keeps from one batch to the next.
+CACHE_BYTES = 32 << 20
+_PART = 1 << 12
+_U = np.uint64
+_A = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << _U(1) | _U(1)
+_B = np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Hashes of the distinct word shingles; a text of fewer words is one shingle."""
+    parts = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band, different from band to band."""
+    least = np.full(len(_A), ~_U(0))
+    for a in range(0, len(h), _PART):
+        np.minimum(least, (_A[:, None] * h[a : a + _PART] + _B[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ column)
+    return key
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(x) + len(y) - both)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        same, keys = [], []
+        for text in blobs(batch.column("text")):
+            words = text.lower().split()
+            same.append(xxh128_digest(b" ".join(words)))
+            keys.append(bands(shingles(words)).view(np.int64))
+        arrays = [batch.column(ROW), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "same", "keys"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[int, np.ndarray] = {}
+    held = 0
+    for batch in slices(batches, "x"):
+        sets = []
+        for k, t in (("a", "x"), ("b", "y")):
+            own = []
+            for node, text in zip(batch.column(k).to_pylist(), blobs(batch.column(t)), strict=True):
+                if node not in known:
+                    known[node] = shingles(text.lower().split())
+                    held += known[node].nbytes
+                own.append(known[node])
+            sets.append(own)
+        yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+        if held > CACHE_BYTES:
+            known.clear()
+            held = 0
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """ROW and ``component`` (the smallest ROW reachable) of each row of ``docs`` (``rowed()``, with ``text``).
+
+    Texts link at LEAST or more of their WIDTH-word shingles, in any case and with any white space; null and empty texts
+    are copies of each other.
+    """
+    found = staged(docs.select(ROW, "text").mapInArrow(_signed, f"{ROW} long, same binary, keys array<long>"), "signatures")
+    distinct = cut(found.groupBy("same").agg(F.min(ROW).alias("node")))
+    keyed = found.join(distinct.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), F.explode("keys").alias("key"))
+    keyed = staged(keyed, "bands")
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    placed = staged(keyed.join(hubs, "key"), "buckets")
+    texts = staged(docs.select(F.col(ROW).alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi"), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+        return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+
+    first = staged(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = verify(first)
+    joined = placed.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    joined = staged(joined, "joined")
+    mixed = joined.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    left = staged(joined.join(mixed, "key"), "left")
+    a, b = (left.select("key", F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
+    others = a.join(b, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    linked = cut(components(links.unionByName(verify(others))))
+    of = distinct.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return found.select(ROW, "same").join(of, "same").select(ROW, "component")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import corpus_pipeline as P
@@ -75,6 +76,26 @@ def test_empty(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
+def test_edited_copies_are_near_duplicates(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 120, 400]))] for _ in range(60)]
+    for n in range(40):  # copies with one word in 60 changed, and of a chain
+        own = list(texts[n])
+        for at in range(20, len(own), 60):
+            own[at] = f"edit{n}"
+        texts.append(own)
+    base = [f"c{k}" for k in range(200)]
+    texts += [base[:20] + [f"e{n}"] + base[21:] for n in range(100)]  # a large group
+    texts += [base[:150] + [f"far{n}x{k}" for k in range(60)] for n in range(5)]  # alike, under 0.8
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    five = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = closure(range(len(texts)), lambda a, b: 5 * len(five[a] & five[b]) >= 4 * len(five[a] | five[b]))
+    found = sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect())
+    assert found == sorted(set(label.values()))
+    assert len(found) < 80
+
+
 def test_the_pipeline_ends_with_token_ids(spark):
     texts = ["Some words, and more words.", "", None, "é漢 😀 x"]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
