@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_intdigest, xxh128_digest
 
-from kinfold.llm.common import blobs, cut, slices, staged, table
+from kinfold.llm.common import ROW, blobs, cut, mix, slices, staged, table
 from kinfold.llm.graph import components
+from kinfold.llm.repeats import partitions
 
 #: Distinct fingerprints of one bucket that are still compared pair by pair; larger buckets link through neighbours.
 PAIRWISE = 64
@@ -121,5 +122,172 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- Groups of similar texts -------------------------------------------------------------------------------------------
+# Texts at a shingle similarity of 0.8 differ in about ten of 64 fingerprint bits, so a covering family for all of them
+# would need 2^17 tables. Their candidates come from bands of smallest hashes instead; see the README for the figures.
+
+BANDS, ROWS = 20, 4
+#: Words of a shingle, and the least similarity (Jaccard, as a fraction) of near duplicates.
+WIDTH, LEAST = 5, (4, 5)
+#: Members, and bytes of shingle sets, of a bucket that one task compares at once.
+MEMBERS, MEMBER_BYTES = 1024, 32 << 20
+_U = np.uint64
+_A = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << _U(1) | _U(1)
+_B = np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Hashes of the distinct word shingles, sorted; a text of fewer words is one shingle."""
+    parts = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band, different from band to band."""
+    least = np.full(len(_A), ~_U(0))
+    for a in range(0, len(h), 1 << 12):
+        np.minimum(least, (_A[:, None] * h[a : a + (1 << 12)] + _B[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ column)
+    return key
+
+
+def similar(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which of ``sets`` and ``others`` (or ``sets`` again) are at LEAST or more: products of their incidence matrices."""
+    both = sets if others is None else [*sets, *others]
+    sizes = np.array([len(s) for s in both])
+    _, column, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    some = counts[column] > 1  # what only one set has is in no intersection
+    number = np.cumsum(counts > 1) - 1
+    row, column = row[some], number[column[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = len(sets)
+    shared = np.zeros((n, n if others is None else len(others)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, y = np.searchsorted(column, [a, a + 4096])
+        part = np.zeros((len(both), 4096), np.float32)
+        part[row[x:y], column[x:y] - a] = 1
+        shared += part[:n] @ (part[:n] if others is None else part[n:]).T
+    left, right = sizes[:n, None], sizes[None, :] if others is None else sizes[None, n:]
+    return LEAST[1] * shared >= LEAST[0] * (left + right - shared)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        same, keys = [], []
+        for text in blobs(batch.column("text")):
+            words = text.lower().split()
+            same.append(xxh128_digest(b" ".join(words)))
+            keys.append(bands(shingles(words)).view(np.int64))
+        arrays = [batch.column(ROW), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "same", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        packed = [shingles(t.lower().split()).tobytes() for t in blobs(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group (a bucket, or two parts of a large one): enough to join what is similar, none that is joined."""
+    now, held = None, []
+
+    def links_of() -> pa.RecordBatch:
+        out: list[tuple[int, int]] = []
+        sides = sorted({side for _, _, side, _ in held})
+        parts = [[m for m in held if m[2] == side] for side in sides]
+        if len(parts) < 3 and len(held) > 1:
+            xs, ys = parts[0], parts[-1]
+            near = similar([m[3] for m in xs], None if len(parts) == 1 else [m[3] for m in ys])
+            near &= np.array([m[1] for m in xs])[:, None] != np.array([m[1] for m in ys])[None, :]
+            root: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+                a, b = top(xs[i][1]), top(ys[j][1])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((xs[i][0], ys[j][0]))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in ("key", "i", "j", "node", "component", "side", "packed")]
+        for key, i, j, node, component, side, packed in zip(*columns, strict=True):
+            if (key, i, j) != now and held:
+                yield links_of()
+            now = key, i, j
+            held.append((node, component, side, np.frombuffer(packed, np.uint64)))
+    if held:
+        yield links_of()
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """ROW and ``component`` (the smallest ROW reachable) of each row of ``docs`` (``rowed()``, with ``text``).
+
+    Texts link at LEAST or more of their WIDTH-word shingles, in any case and with any white space. Null and empty texts
+    are copies of each other, and so are repeated rows; ids play no part. An empty table gives no rows. Candidates share
+    a band: with similarity s two texts do with chance 1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. All texts of a bucket
+    are compared on their shingle sets in the bucket's task, which sends on no more links than it has texts. Larger
+    buckets are first linked through their smallest member; then only parts that hold different groups meet.
+    """
+    spark = docs.sparkSession
+    found = staged(docs.select(ROW, "text").mapInArrow(_signed, f"{ROW} long, same binary, keys array<long>"), "signatures")
+    distinct = cut(found.groupBy("same").agg(F.min(ROW).alias("node")))
+    keyed = found.join(distinct.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    placed = staged(keyed.join(several, "key"), "buckets")
+    texts = docs.select(F.col(ROW).alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi")
+    sets = staged(texts.mapInArrow(_sets, "node long, packed binary"), "sets")
+    whole = placed.join(sets.select("node", F.length("packed").alias("bytes")), "node")
+    sizes = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("hub"))
+    parts = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / MEMBER_BYTES)).cast("int")
+    sizes = staged(sizes.select("key", "hub", parts.alias("parts")), "sizes")
+    n = partitions(spark)
+
+    def compare(members: DataFrame) -> DataFrame:
+        rows = members.join(sets, "node").repartition(4 * n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        return rows.select("key", "i", "j", "node", "component", "side", "packed").mapInArrow(_compared, "a long, b long")
+
+    node, zero = F.col("node"), F.lit(0)
+    dealt = placed.select("key", "node").join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    small = dealt.where("parts = 1").select("key", "node", zero.alias("i"), zero.alias("j"), node.alias("component"), zero.alias("side"))
+    large = dealt.where("parts > 1")
+    # The hub comes to each part of its bucket as the other side.
+    to_hub = large.where("node <> hub").select("key", "node", F.col("part").alias("i"), zero.alias("j"), node.alias("component"), zero.alias("side"))
+    hubs = sizes.where("parts > 1").select("key", F.col("hub").alias("node"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"))
+    hubs = hubs.select("key", "node", "i", zero.alias("j"), node.alias("component"), F.lit(1).alias("side"))
+    links_ = staged(compare(small.unionByName(to_hub).unionByName(hubs)), "links")
+    joined_ = cut(components(links_))
+    if not large.isEmpty():
+        own = large.join(joined_, "node", "left").select("key", "node", "hub", "parts", F.coalesce("component", "node").alias("component"))
+        of_hub = own.where("node = hub").select("key", F.col("component").alias("main"))
+        # Texts that are with the hub form their own parts: they needn't meet each other.
+        own = own.join(of_hub, "key").withColumn("apart", (F.col("component") != F.col("main")).cast("int"))
+        counts = own.groupBy("key").agg(F.sum("apart").alias("others"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("others > 0")
+        share = lambda k: F.ceil(F.col("parts") * k / F.col("n")).cast("int")
+        counts = counts.select("key", share(F.col("others")).alias("p"), share(F.col("n") - F.col("others")).alias("q"))
+        own = staged(own.drop("parts", "hub", "main").join(counts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("apart") == 1, F.col("p")).otherwise(F.col("q"))).cast("int")), "parts")
+        rest, main = own.where("apart = 1"), own.where("apart = 0")
+        keep = ["key", "node", "i", "j", "component", "side"]
+        # Parts of the rest meet each other (i <= j, the same part as one side) and each part of the hub's group (j < 0).
+        first = rest.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.col("part"), F.col("p") - 1))).withColumn("side", zero).select(*keep)
+        second = rest.where("part > 0").withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(zero, F.col("part") - 1))).withColumn("side", F.lit(1)).select(*keep)
+        with_main = rest.withColumn("i", F.col("part")).withColumn("j", F.explode(F.transform(F.sequence(F.lit(1), F.col("q")), lambda x: -x))).withColumn("side", zero).select(*keep)
+        mains = main.withColumn("j", -1 - F.col("part")).withColumn("i", F.explode(F.sequence(zero, F.col("p") - 1))).withColumn("side", F.lit(1)).select(*keep)
+        more = compare(first.unionByName(second).unionByName(with_main).unionByName(mains))
+        joined_ = cut(components(links_.unionByName(staged(more, "links"))))
+    of = distinct.join(joined_, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return found.select(ROW, "same").join(of, "same").select(ROW, "component")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

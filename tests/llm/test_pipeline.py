@@ -7,7 +7,9 @@ from kinfold.llm.bpe import Encoder
 import public_tokenizers
 from test_decontamination import brute as hits
 from test_repeats import brute_words
-from tests_llm_brute import closure, simhash_of
+from kinfold.llm import simhash
+from tests_llm_brute import closure, lower
+import pytest
 
 
 def passage(start, n=60):
@@ -26,8 +28,8 @@ def rows():
         (110, "Copied text about rivers and mountains of the north.", "en", "s", 1),
         (111, "Copied text about rivers and mountains of the north.", None, "s", 1),
         (None, "Copied text about rivers and mountains of the north.", "en", None, 1),
-        (120, "First head. " + passage(1) + " First tail stays here.", "en", "s", 1),
-        (121, "Second and other head. " + passage(1) + " Another tail that stays as well.", "en", "s", 1),
+        (120, "First head. " + passage(1) + " First tail stays here. " + passage(3, 20), "en", "s", 1),
+        (121, "Second and other head. " + passage(1) + " Another tail that stays as well. " + passage(4, 20), "en", "s", 1),
         (130, "Some words before. " + ITEM.upper() + "! Some words after it, more of them so that little is hit, and even more words to be sure of that.", "en", "s", 1),
         (131, ITEM, "en", "s", 1),
     ]
@@ -50,10 +52,10 @@ def test_stages_against_plain_versions(spark, tmp_path):
         if name == "language_id":
             assert texts == sorted(r.text for r in before if re.search(r"[^\W\d_]", r.text or ""))
         if name == "simhash_near_dedup":
-            label = closure([simhash_of(r.text) for r in before], lambda a, b: (a ^ b).bit_count() <= 2)
+            label = closure([five(r.text) for r in before], alike)
             groups = {}
             for r in sorted(before, key=lambda r: (r.doc_id is None, r.doc_id)):
-                groups.setdefault(label[simhash_of(r.text)], r.text)
+                groups.setdefault(label[five(r.text)], r.text)
             assert texts == sorted(groups.values())
         if name == "substring_dedup":
             plain = [(r, n, gone, kept) for r, (n, gone, kept) in zip(before, brute_words([r.text for r in before], 35), strict=True)]
@@ -70,13 +72,26 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def five(text):
+    """The five-word shingles of a text, as a value that can be sorted."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return tuple(sorted({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}))
+
+
+def alike(a, b):
+    a, b = set(a), set(b)
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
-def test_edited_copies_are_near_duplicates(spark, tmp_path):
+@pytest.mark.parametrize("members", [1024, 12])
+def test_edited_copies_are_near_duplicates(spark, tmp_path, members, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     rng = random.Random(3)
     texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 120, 400]))] for _ in range(60)]
     for n in range(40):  # copies with one word in 60 changed, and of a chain
@@ -87,10 +102,11 @@ def test_edited_copies_are_near_duplicates(spark, tmp_path):
     base = [f"c{k}" for k in range(200)]
     texts += [base[:20] + [f"e{n}"] + base[21:] for n in range(100)]  # a large group
     texts += [base[:150] + [f"far{n}x{k}" for k in range(60)] for n in range(5)]  # alike, under 0.8
+    texts += [base[: 140 + n] + [f"mid{k}" for k in range(60 - n)] for n in range(0, 60, 7)]  # a chain that ends at the large group
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    five = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    label = closure(range(len(texts)), lambda a, b: 5 * len(five[a] & five[b]) >= 4 * len(five[a] | five[b]))
+    own = [five(" ".join(t)) for t in texts]
+    label = closure(range(len(texts)), lambda a, b: alike(own[a], own[b]))
     found = sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect())
     assert found == sorted(set(label.values()))
     assert len(found) < 80
