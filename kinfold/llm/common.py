@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,10 +27,12 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; without one that the session names, only a local master gets its own."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kinfold-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
@@ -75,6 +79,13 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: idle workers stay alive beside those at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text at most; a longer text comes alone."""
     for batch in batches:
@@ -89,6 +100,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += int(sizes[i])
         yield batch.slice(start, n - start)
+    release()
 
 
 def joined(texts: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:

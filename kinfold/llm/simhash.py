@@ -248,7 +248,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col(ROW).alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi")
     sets = staged(texts.mapInArrow(_sets, "node long, packed binary"), "sets")
     whole = placed.join(sets.select("node", F.length("packed").alias("bytes")), "node")
-    sizes = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("hub"))
+    sizes = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    # Copies share many bands: of buckets with the same texts (by a 64-bit mark) one stands for all.
+    sizes = sizes.groupBy("n", "bytes", "hub", "mark").agg(F.min("key").alias("key"))
     parts = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / MEMBER_BYTES)).cast("int")
     sizes = staged(sizes.select("key", "hub", parts.alias("parts")), "sizes")
     n = partitions(spark)
