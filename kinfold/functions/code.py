@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.functions.text import body_of, full_name, normalise_body, strip_comments
+
 # Fixed values.
 OPERATORS = (
     "%=", "&=", "*=", "+=", "-=", "/=", "<<=", "=", ">>=", "^=", "and_eq", "or_eq", "xor_eq", "|=", "!=", "%", "&", "&&", "*", "+", "-", "/", "<", "<<", "<=", "<=>", "==", ">", ">=", ">>", "^",
@@ -61,6 +63,15 @@ def code_tokens(sources: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(tokens_of)
 
 
+def function_records(rows: DataFrame, hasher) -> DataFrame:
+    """What functions (repo, name, scope, path, line_start, text between braces) become: their token, the body without
+    comments and braces, its hash by ``hasher``, and lines. Functions with an empty body have the hash of nothing, ``""``."""
+    body = strip_comments(body_of(F.col("text")))
+    out = rows.withColumn("body", body)
+    hashed = F.when(F.trim(normalise_body(F.col("body"))) == "", "").otherwise(hasher(normalise_body(F.col("body"))))
+    return out.select("repo", "path", "name", "scope", full_name(F.col("scope"), F.col("name")).alias("token"), F.length("body").alias("length"), hashed.alias("fhash"), "line_start", (F.col("line_start") + F.size(F.split("text", "\n")) - 1).alias("line_end"))
+
+
 def calls(source: Column) -> Column:
     """Names before an opening bracket, without keywords."""
     found = F.array_distinct(F.regexp_extract_all(source, F.lit(r"([A-Za-z_]\w*)\s*\("), 1))
@@ -111,54 +122,50 @@ def immediate(value: Column) -> Column:
     return F.when(n <= IMMEDIATE_LIMIT, F.concat(F.lit("0x"), F.lower(F.hex(n)))).otherwise("HIMM")
 
 
-def _number(text: str) -> bool:
-    return re.search("0x[0-9a-fA-F]+", text) is not None
-
-
-def memory_operand(tokens: list[str]) -> str:
-    """``[register*scale+offset]``, or ``[MEM]`` for a plain address."""
-    if len(tokens) == 1:
-        return "[MEM]" if _number(tokens[0]) else f"[{tokens[0]}*1+0]"
-    register, scale, offset = None, 1, 0
-    for sign, way in (("+", 1), ("-", -1)):
-        places = [i for i, t in enumerate(tokens) if t == sign]
-        if 1 <= len(places) <= 2 and places[-1] + 1 < len(tokens) and _number(tokens[places[-1] + 1]):
-            offset, register = way * int(tokens[places[-1] + 1], 16), tokens[places[-1] - 1]
-    if "*" in tokens[1:-1]:
-        i = tokens.index("*")
-        register, scale = tokens[i - 1], int(tokens[i + 1], 16)
-    return f"[{register}*{scale}+{offset}]"
-
-
-def instruction_of(text: str | None, valid: frozenset[str] = frozenset()) -> str:
-    """One instruction as a vocabulary entry; what cannot be read is ``X_UNK``."""
-    tokens, out, i = (text or "").split(), [], 1
-    if not tokens:
-        return "X_UNK"
-    try:
-        while i < len(tokens):
-            t = tokens[i]
-            if t in valid:
-                out.append(t)
-            elif t == "[":
-                end = tokens.index("]", i + 2)
-                out.append(memory_operand(tokens[i + 1 : end]))
-                i = end
-            elif _number(t):
-                v = int(t, 16)
-                out.append(hex(v) if -IMMEDIATE_LIMIT <= v <= IMMEDIATE_LIMIT else "HIMM")
-            elif t not in SIZES_AND_SEGMENTS:
-                out.append(t)
-            i += 1
-    except (ValueError, IndexError):
-        return "X_UNK"
-    return f"X_{tokens[0]}" + (f"_{',_'.join(out)}" if out else "")
-
-
-@F.pandas_udf(T.StringType())
-def instruction(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield part.map(instruction_of)
+_HEX = "^-?0x[0-9a-fA-F]+$"
+
+
+def _signed_hex(value: Column) -> Column:
+    n = F.conv(F.regexp_replace(value, "^-?0x", ""), 16, 10).cast("long")
+    return F.when(value.startswith("-"), -n).otherwise(n)
+
+
+def memory_operand(unit: Column) -> Column:
+    """``[register*scale+offset]`` of a bracketed operand with spaces between its words, or ``[MEM]`` for a plain address.
+
+    The scaled register wins; without one it is the word before the offset. A subtracted offset is negative.
+    """
+    inner = F.regexp_replace(unit, r"^\[ +| +\]$", "")
+    part = lambda pattern, k: F.nullif(F.regexp_extract(inner, pattern, k), F.lit(""))
+    scaled, added, taken = r"(\S+) \* (\S+)", r"^.*?(\S+) \+ (0x[0-9a-fA-F]+)(?!.* \+ )", r"^.*?(\S+) - (0x[0-9a-fA-F]+)(?!.* - )"
+    register = F.coalesce(part(scaled, 1), part(taken, 1), part(added, 1), F.lit("None"))
+    scale = F.coalesce(F.conv(F.regexp_replace(part(scaled, 2), "^0x", ""), 16, 10).cast("long"), F.lit(1))
+    offset = F.coalesce(-_signed_hex(part(taken, 2)), _signed_hex(part(added, 2)), F.lit(0))
+    alone = ~inner.contains(" ")
+    return F.when(alone & inner.rlike(_HEX), "[MEM]").when(alone, F.concat(F.lit("["), inner, F.lit("*1+0]"))).otherwise(F.format_string("[%s*%d+%d]", register, scale, offset))
+
+
+def instruction(text: Column, valid: tuple[str, ...] = ()) -> Column:
+    """One instruction as a vocabulary entry, ``X_`` and the mnemonic, then the operands; all native expressions.
+
+    Bracketed operands become ``memory_operand``, numbers keep their value up to IMMEDIATE_LIMIT either way, sizes and
+    segments are left out, and words of ``valid`` stay as they are. What cannot be read (nothing, a bracket that does not
+    close, a word with a malformed number) is ``X_UNK``.
+    """
+    units = F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(r"\[ [^\[\]]+ \](?= |$)|[^ ]+"), F.lit(0))
+    rest = F.filter(F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), lambda u: u.isin(*valid) | ~u.isin(*SIZES_AND_SEGMENTS) if valid else ~u.isin(*SIZES_AND_SEGMENTS))
+    bad = F.exists(rest, lambda u: u.isin("[") | (~u.startswith("[ ") & u.contains("0x") & ~u.rlike(_HEX)))
+
+    def operand(u: Column) -> Column:
+        n = _signed_hex(u)
+        short = F.concat(F.when(n < 0, "-").otherwise(""), F.lit("0x"), F.lower(F.hex(F.abs(n))))
+        number = F.when(F.abs(n) <= IMMEDIATE_LIMIT, short).otherwise("HIMM")
+        kept = F.when(u.startswith("[ "), memory_operand(u)).when(u.rlike(_HEX), number).otherwise(u)
+        return F.when(u.isin(*valid), u).otherwise(kept) if valid else kept
+
+    operands = F.array_join(F.transform(rest, operand), ",_")
+    name = F.concat(F.lit("X_"), F.element_at(units, 1))
+    return F.when(F.coalesce(F.size(units), F.lit(0)) < 1, "X_UNK").when(bad, "X_UNK").when(operands == "", name).otherwise(F.concat(name, F.lit("_"), operands))
 
 
 def instruction_sequences(blocks: DataFrame) -> DataFrame:

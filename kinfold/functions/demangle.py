@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +50,7 @@ class _Parser:
 
     def enter(self) -> None:
         self.deep += 1
-        if self.deep > DEEPEST // 8:
+        if self.deep > DEEPEST:
             raise _Bad
 
     def number(self) -> int:
@@ -275,9 +277,69 @@ class _Parser:
                 own.append(self.template_arg())
             return ", ".join(own)
         if self.take("X"):
-            raise _Bad  # expressions are left to a full demangler
+            text = self.expression()[0]
+            self.need("E")
+            return text
         return self.type()
 
+    def expression(self) -> tuple[str, bool]:
+        """An expression and whether it is a name, which stands without brackets inside others."""
+        self.enter()
+        try:
+            return self._expression()
+        finally:
+            self.deep -= 1
+
+    def _operand(self) -> str:
+        text, plain = self.expression()
+        return text if plain else f"({text})"
+
+    def _list(self) -> str:
+        own = []
+        while not self.take("E"):
+            own.append(self.expression()[0])
+        return ", ".join(own)
+
+    def _expression(self) -> tuple[str, bool]:
+        code = self.peek(2)
+        if code[:1] == "L":
+            return self.template_arg(), self.s.startswith("L_Z", self.i)
+        if code[:1] == "T":
+            return self.template_param(), False
+        if code[:1].isdigit():
+            name = self.source_name()
+            return name + (self.template_args() if self.peek() == "I" else ""), True
+        self.i += 2
+        if code == "fp":
+            n = 1 if self.peek() == "_" else self.number() + 2
+            self.need("_")
+            return f"{{parm#{n}}}", True
+        if code == "sr":
+            name = f"{self.type()}::{self.unqualified('')}"
+            return name + (self.template_args() if self.peek() == "I" else ""), True
+        if code in ("st", "at"):
+            return f"{'sizeof' if code == 'st' else 'alignof'} ({self.type()})", False
+        if code in ("sz", "az"):
+            return f"{'sizeof' if code == 'sz' else 'alignof'} {self._operand()}", False
+        if code == "cv":
+            kind = self.type()
+            return (f"{kind}({self._list()})" if self.take("_") else f"({kind}){self._operand()}"), False
+        if code == "cl":
+            called = self._operand()
+            return f"{called}({self._list()})", False
+        if code in ("dt", "pt"):
+            return f"{self._operand()}{'.' if code == 'dt' else '->'}{self.unqualified('')}", False
+        if code == "sp":
+            return self.expression()
+        if code == "qu":
+            return f"{self._operand()}?{self._operand()} : {self._operand()}", False
+        if code not in OPERATOR_CODES or code in ("nw", "na", "dl", "da", "pp", "mm", "ix"):
+            raise _Bad
+        if code in ("ps", "ng", "ad", "de", "co", "nt"):
+            return OPERATOR_CODES[code] + self._operand(), False
+        text = f"{self._operand()}{OPERATOR_CODES[code]}{self._operand()}"
+        return (f"({text})" if code == "gt" else text), False
+
     def type(self) -> str:
         self.enter()
         try:
@@ -322,6 +384,10 @@ class _Parser:
                 name += self.template_args()
             else:
                 return name
+        elif c == "D" and self.peek(2) in ("DT", "Dt"):
+            self.i += 2
+            name = f"decltype ({self.expression()[0]})"
+            self.need("E")
         elif c == "D" and self.peek(2) == "Dp":
             self.i += 2
             name = self.type()
@@ -380,6 +446,7 @@ def demangle_name(symbol: str | None, params: bool = True) -> str | None:
             return symbol
         return f"global {'constructors' if m[1] == 'I' else 'destructors'} keyed to {demangle_name(m[2], params)}"
     plain = symbol.split(".")[0]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEEPEST))
     p = _Parser(plain[2:] if plain.startswith("_Z") else plain[3:])
     try:
         out = p.encoding(params)
@@ -410,6 +477,14 @@ def without_balanced_templates(symbol: str | None) -> str | None:
     return out if depth == 0 else symbol
 
 
+def demangled(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``full_name``, ``name`` (without parameters) and ``plain`` (without template arguments) of a column of
+    symbols: each symbol is parsed once, however often it occurs."""
+    names = rows.select(F.col(column).alias("_symbol")).distinct()
+    names = names.select("_symbol", demangle("_symbol").alias("full_name"), demangle_short("_symbol").alias("name")).withColumn("plain", strip_templates("name"))
+    return rows.join(names, rows[column].eqNullSafe(names["_symbol"])).drop("_symbol")
+
+
 @F.pandas_udf(T.StringType())
 def demangle(symbols: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in symbols:

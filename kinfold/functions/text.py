@@ -131,3 +131,20 @@ def repo_of_url(url: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def repo_on_host(url: Column) -> Column:
+    """The same without the host."""
+    path = F.regexp_replace(F.regexp_replace(url, "^[a-z+]+://", ""), r"(\.git)?/*$", "")
+    return F.replace(F.regexp_replace(path, "^[^/]*/", ""), F.lit("/"), F.lit("@@"))
+
+
+def repo_of_dump(path: Column) -> Column:
+    """The repository that a dump file is of: its base name without the suffix and separators at its end."""
+    return F.regexp_replace(F.regexp_replace(base_name(path), r"\.pkl$", ""), "(@@)+$", "")
+
+
+def tag_of_index(path: Column) -> Column:
+    """The tag in the name of a hash index, ``latest`` where it names none."""
+    tag = F.regexp_extract(base_name(path), r"^fuzzy_(.*)\.hidx$", 1)
+    return F.when(tag == "", "latest").otherwise(tag)

@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Without one that the session names, only a local master gets its own."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="kinfold-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-checkpoint-"))
+    shared_dir(df.sparkSession)
     kept = df.checkpoint(eager=True)
     # New attributes: the optimizer confuses inputs of a union that descend from one checkpoint.
     return kept.select(*(F.col(c).alias(c) for c in kept.columns))
 
 
+#: Frontiers that are kept apart; a longer search writes them as one now and then.
+_MERGED = 64
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """``seed``, ``node``: all nodes reachable from each seed, itself included; cycles end by the anti-join with what is known.
 
@@ -26,14 +46,15 @@ def reach(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None,
     if blocked is not None:
         edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
         seeds = seeds.join(blocked.select("node"), "node", "left_anti")
-    known = frontier = cut(seeds.select("seed", "node").distinct())
-    rounds = 0
-    while not frontier.isEmpty() and (depth is None or rounds < depth):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(known, ["seed", "node"], "left_anti"))
-        known = cut(known.unionByName(frontier))
-        rounds += 1
-    return known
+    frontiers = [cut(seeds.select("seed", "node").distinct())]
+    while not frontiers[-1].isEmpty() and (depth is None or len(frontiers) <= depth):
+        last = frontiers[-1]
+        step = last.join(edges, last["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        # Only what is new is written: what is known is the union of all frontiers.
+        frontiers.append(cut(step.join(_united(frontiers), ["seed", "node"], "left_anti")))
+        if len(frontiers) % _MERGED == 0:
+            frontiers = [cut(_united(frontiers[:-1])), frontiers[-1]] if depth is None else frontiers
+    return _united(frontiers)
 
 
 def reach_any(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.numbering import numbered
@@ -47,6 +47,42 @@ def deletions(state: DataFrame, keys: list[str], touched: DataFrame) -> DataFram
     return old.join(state.select("ver_idx", *keys).distinct(), ["ver_idx", *keys], "left_anti")
 
 
+def token_states(state: DataFrame, keys: list[str], touched: DataFrame) -> DataFrame:
+    """What a version does to each token of the files it touches: ``ver_idx``, the keys, ``old`` and ``new``, the numbers of
+    bodies before and after it. A token with old bodies and no new one is deleted.
+
+    ``state``: path, ver_idx, the keys and fid of the files as a version left them; a removed file is touched and has none.
+    """
+    before = touched.withColumn("prior", F.lag("ver_idx").over(Window.partitionBy("path").orderBy("ver_idx"))).where("prior IS NOT NULL")
+    old = before.join(state.withColumnRenamed("ver_idx", "prior"), ["path", "prior"]).groupBy("ver_idx", *keys).agg(F.countDistinct("fid").alias("old"))
+    new = state.groupBy("ver_idx", *keys).agg(F.countDistinct("fid").alias("new"))
+    return old.join(new, ["ver_idx", *keys], "full_outer").fillna(0, ["old", "new"])
+
+
+def replay(state: DataFrame, keys: list[str], touched: DataFrame, valid: Column, last: int) -> DataFrame:
+    """``keys``, ``fid``, ``from_idx``, ``to_idx``: the lifetimes that a history of file versions comes to.
+
+    ``state`` and ``touched`` as for ``token_states``; files that aren't ``valid`` are left out. The state of a version
+    before the next needs no replay in order: a window finds it for all files at once.
+    """
+    state, touched = state.where(valid), touched.where(valid)
+    gone = token_states(state, keys, touched).where("old > 0 AND new = 0").select(*keys, "ver_idx", F.lit(None).cast("long").alias("fid"))
+    return lifetimes(state.select(*keys, "ver_idx", F.col("fid").cast("long").alias("fid")).distinct().unionByName(gone), keys, last)
+
+
+def signatures(holds: DataFrame) -> DataFrame:
+    """One JSON row for each function of a repository (repo, fid, ver) with the versions that have it, in order."""
+    vers = F.transform(F.array_sort(F.collect_set("ver")), lambda v: v.cast("string"))
+    rows = holds.groupBy("repo", "fid").agg(vers.alias("vers"))
+    return rows.select("repo", F.struct(F.col("fid").cast("string").alias("hash"), "vers").alias("sig"))
+
+
+def version_index(holds: DataFrame) -> DataFrame:
+    """One row for each version of a repository with its place, from 0."""
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("ver")) - 1
+    return holds.select("repo", "ver").distinct().select("repo", F.struct(F.col("ver").cast("string").alias("ver"), place.cast("string").alias("idx")).alias("idx"))
+
+
 def ranked_tags(tags: DataFrame, k: int, newest: bool = True) -> DataFrame:
     """The k newest or oldest tags of each repository."""
     order = (F.desc("date"), F.desc("tag")) if newest else (F.asc("date"), F.asc("tag"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.digest import distance
+from kinfold.functions.text import prefixes
 from kinfold.operators.graph import cut
 
 COMMON_THRESHOLD, DIGEST_THRESHOLD = 100, 50
@@ -24,6 +25,29 @@ def common_identifiers(tokens: DataFrame, threshold: int = COMMON_THRESHOLD) ->
     return identifier_counts(tokens).where(F.col("n") > threshold).select("identifier")
 
 
+def token_projections(tokens: DataFrame, borrowed: DataFrame) -> DataFrame:
+    """Distinct identifiers, scopes and tokens of each repository (repo, nid, name, scope), and without borrowed nodes."""
+    rows = tokens.join(borrowed.select("repo", "nid").distinct().withColumn("_b", F.lit(True)), ["repo", "nid"], "left")
+    token, own = F.concat("name", F.lit("::"), F.coalesce("scope", F.lit(""))), F.col("_b").isNull()
+    return rows.groupBy("repo").agg(F.countDistinct("name").alias("identifiers"), F.countDistinct("scope").alias("scopes"), F.countDistinct(token).alias("tokens"), F.countDistinct(F.when(own, F.col("name"))).alias("trimmed_identifiers"), F.countDistinct(F.when(own, token)).alias("trimmed_tokens"))
+
+
+def repo_statistics(nodes: DataFrame, edges: DataFrame, borrowed: DataFrame) -> DataFrame:
+    """Bodies, nodes and edges of each repository, and its nodes and edges without borrowed ones.
+
+    ``nodes``: repo, nid, fid; ``edges``: repo, src, dst; ``borrowed``: repo, nid.
+    """
+    own = nodes.join(borrowed.select("repo", "nid"), ["repo", "nid"], "left_anti").select("repo", "nid")
+    inner = edges
+    for k in ("src", "dst"):
+        inner = inner.join(own.withColumnRenamed("nid", k), ["repo", k], "left_semi")
+    n = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
+    out = nodes.groupBy("repo").agg(F.countDistinct("fid").alias("num_fhash"), F.count("*").alias("num_nodes"))
+    for df, name in ((edges, "num_edges"), (own, "num_trimmed_nodes"), (inner, "num_trimmed_edges")):
+        out = out.join(n(df, name), "repo", "left")
+    return out.fillna(0)
+
+
 def similar_nodes(pairs: DataFrame, hashes: DataFrame, threshold: int = DIGEST_THRESHOLD, require_body: bool = False) -> DataFrame:
     """Those of ``pairs`` (a, b) whose digest sets (``hashes``: nid, fhash) are equal or hold two digests below the threshold.
 
@@ -38,27 +62,44 @@ def similar_nodes(pairs: DataFrame, hashes: DataFrame, threshold: int = DIGEST_T
     return x.where(equal | near).select("a", "b")
 
 
-def token_links(tokens: DataFrame, common: DataFrame) -> DataFrame:
-    """Same name and scope in two repositories (a < b), unless both are common."""
-    a = tokens.select(F.col("repo").alias("ra"), F.col("nid").alias("a"), "name", "scope")
-    b = tokens.select(F.col("repo").alias("rb"), F.col("nid").alias("b"), F.col("name").alias("nb"), F.col("scope").alias("sb"))
-    rows = a.join(b, (F.col("name") == F.col("nb")) & F.col("scope").eqNullSafe(F.col("sb"))).where("ra < rb")
-    rows = rows.join(common.select(F.col("identifier").alias("name"), F.lit(True).alias("_c")), "name", "left")
+def token_links(tokens: DataFrame, common: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Same name and scope in two repositories (ra < rb), unless both are common, with similar bodies if ``hashes`` are given.
+
+    Common names go before the repositories meet, so they never cost the square of their repositories.
+    """
     plain = F.col("scope").isNull() | F.col("scope").isin(*COMMON_SCOPES)
-    return rows.where(~(F.coalesce("_c", F.lit(False)) & plain)).select("ra", "rb", "a", "b", "name", "scope")
+    marked = tokens.join(common.select(F.col("identifier").alias("name"), F.lit(True).alias("_c")), "name", "left")
+    rare = marked.where(~(F.coalesce("_c", F.lit(False)) & plain))
+    a = rare.select(F.col("repo").alias("ra"), F.col("nid").alias("a"), "name", "scope")
+    b = rare.select(F.col("repo").alias("rb"), F.col("nid").alias("b"), F.col("name").alias("nb"), F.col("scope").alias("sb"))
+    rows = a.join(b, (F.col("name") == F.col("nb")) & F.col("scope").eqNullSafe(F.col("sb"))).where("ra < rb").select("ra", "rb", "a", "b", "name", "scope")
+    return _with_similar_bodies(rows, hashes)
+
 
+def _with_similar_bodies(rows: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """Those of ``rows`` (a, b) whose nodes are similar; each pair of nodes is compared once, in however many repositories."""
+    return rows if hashes is None else rows.join(similar_nodes(rows.select("a", "b").distinct(), hashes), ["a", "b"])
 
-def identifier_links(tokens: DataFrame, common: DataFrame) -> DataFrame:
-    """Same identifier, not a common one; of each function of the first repository, the first of the second."""
+
+def identifier_links(tokens: DataFrame, common: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Same identifier, not a common one, and similar bodies if ``hashes`` are given; of each function of the first
+    repository, the first of the second."""
     rare = tokens.join(common.select(F.col("identifier").alias("name")), "name", "left_anti")
     a = rare.select(F.col("repo").alias("ra"), F.col("nid").alias("a"), "name")
-    b = rare.groupBy(F.col("repo").alias("rb"), "name").agg(F.min("nid").alias("b"))
-    return a.join(b, "name").where("ra < rb").select("ra", "rb", "a", "b")
+    b = rare.select(F.col("repo").alias("rb"), F.col("nid").alias("b"), "name")
+    rows = _with_similar_bodies(a.join(b, "name").where("ra < rb").select("ra", "rb", "a", "b"), hashes)
+    return rows.groupBy("ra", "rb", "a").agg(F.min("b").alias("b"))
+
 
+def key_evidence(one: DataFrame, key: str, kind: str, without: tuple = (), most: int | None = None) -> DataFrame:
+    """Both directions of what two repositories share by a key, without null keys and those in ``without``.
 
-def key_evidence(one: DataFrame, key: str, kind: str, without: tuple = ()) -> DataFrame:
-    """Both directions of what two repositories share by a key, without null keys and those in ``without``."""
+    ``most``: keys of more repositories say nothing and are left out before the repositories meet. Without it a key of n
+    repositories gives n (n - 1) rows, as many as there are links.
+    """
     rows = one.select("repo", F.col(key).alias("key")).where(F.col("key").isNotNull() & ~F.col("key").isin(*without) if without else F.col("key").isNotNull()).distinct()
+    if most is not None:
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("key"), "key", "left_semi")
     a, b = rows.select(F.col("repo").alias("src"), "key"), rows.select(F.col("repo").alias("dst"), "key")
     return a.join(b, "key").where("src <> dst").select("src", "dst", F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"))
 
@@ -72,6 +113,31 @@ def small_links(links: DataFrame, share: float = 0.01, few: int = 3) -> DataFram
     return links.where(((ratio("size_src") >= share) | (ratio("size_dst") >= share)) & ~((F.col("n_token") <= few) & (F.col("n_fhash") <= few)))
 
 
+def without_simple_repos(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links whose two repositories (``sizes``: repo, size) have something of their own; unknown ones have."""
+    simple = sizes.where("size = 0").select("repo")
+    for k in ("src", "dst"):
+        links = links.join(simple.select(F.col("repo").alias(k)), k, "left_anti")
+    return links
+
+
+def with_evidence(links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Links (src, dst) with evidence of any kind but namespaces; others are empty or hold by a namespace only."""
+    return links.join(evidence.where("kind <> 'ns'").select("src", "dst"), ["src", "dst"], "left_semi")
+
+
+def borrowed_functions(holds: DataFrame, nodes: DataFrame, fids: DataFrame) -> DataFrame:
+    """``repo``, ``nid``, ``fid`` of ``holds`` with ``by_node``, ``by_function`` and ``weak``: whether the node, or the
+    function's body, was borrowed (``nodes``: repo, nid; ``fids``: repo, fid), or any node of that body in its repository."""
+    yes = F.lit(True)
+    rows = holds.join(nodes.select("repo", "nid").distinct().withColumn("_n", yes), ["repo", "nid"], "left")
+    rows = rows.join(fids.select("repo", "fid").distinct().withColumn("_f", yes), ["repo", "fid"], "left")
+    shared = holds.join(nodes.select("repo", "nid"), ["repo", "nid"], "left_semi").select("repo", "fid").distinct()
+    rows = rows.join(shared.withColumn("_w", yes), ["repo", "fid"], "left")
+    no = F.lit(False)
+    return rows.select("repo", "nid", "fid", F.coalesce("_n", no).alias("by_node"), F.coalesce("_f", no).alias("by_function"), F.coalesce("_f", "_w", no).alias("weak"))
+
+
 def one_way(links: DataFrame) -> DataFrame:
     """Links whose reverse isn't there."""
     return links.join(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
@@ -96,15 +162,45 @@ def vote_unanimous(firsts: DataFrame) -> DataFrame:
     return firsts.groupBy("a", "b").agg(later.alias("later"), earlier.alias("earlier")).select("a", "b", F.when((F.col("later") > 0) & (F.col("earlier") == 0), 1).when((F.col("earlier") > 0) & (F.col("later") == 0), -1).otherwise(0).alias("vote"))
 
 
-def vote_namespace(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Vote by the weight of shared scopes: the repository in which they weigh more is their home.
+def vote_namespace(shared: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Vote by how much of each repository's namespaces the shared functions make up.
+
+    ``shared``: a, b, fid; ``tokens``: repo, fid, scope. Every prefix of a token's scope counts for its repository, and
+    the total is the depth of all scopes. The weight of a side is the sum of its counts over the prefixes of the scopes of
+    its shared functions. Where a's share is the smaller and its total the larger, a reuses b (1); the other way -1; else 0.
+    """
+    scoped = tokens.where("scope IS NOT NULL").select("repo", "fid", prefixes(F.col("scope"), whole=True).alias("p"))
+    counts = scoped.select("repo", F.explode("p").alias("ns")).groupBy("repo", "ns").agg(F.count("*").alias("n"))
+    totals = scoped.groupBy("repo").agg(F.sum(F.size("p")).alias("total"))
+    out = shared.select("a", "b").distinct()
+    for k in ("a", "b"):
+        own = shared.join(scoped.withColumnRenamed("repo", k), [k, "fid"]).select("a", "b", F.explode("p").alias("ns")).distinct()
+        weight = own.join(counts.withColumnRenamed("repo", k), [k, "ns"]).groupBy("a", "b").agg(F.sum("n").alias(f"w{k}"))
+        out = out.join(weight, ["a", "b"], "left").join(totals.select(F.col("repo").alias(k), F.col("total").alias(f"s{k}")), k, "left")
+    # Shares compared crosswise, in whole numbers; a repository without scopes gives no vote.
+    left, right = F.coalesce("wa", F.lit(0)) * F.col("sb"), F.coalesce("wb", F.lit(0)) * F.col("sa")
+    vote = F.when((left < right) & (F.col("sa") > F.col("sb")), 1).when((left > right) & (F.col("sa") < F.col("sb")), -1).otherwise(0)
+    return out.select("a", "b", vote.alias("vote"))
+
+
+def vote_identifiers(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Vote by functions with the same identifier: calls first, then times.
 
-    ``pairs``: a, b, scope; ``weights``: repo, scope, n, total.
+    ``pairs``: a, b, na, nb; ``nodes``: repo, nid, n_out, time (null where unknown). If only a has functions that call
+    nothing while their counterparts do, a reuses b (1), if only b, -1. Else a side that is later in some pair and never
+    earlier reuses the other.
     """
     rows = pairs
     for k in ("a", "b"):
-        rows = rows.join(weights.select(F.col("repo").alias(k), "scope", (F.col("n") / F.col("total")).alias(f"w{k}")), [k, "scope"])
-    return rows.groupBy("a", "b").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb")).select("a", "b", F.when(F.col("wa") < F.col("wb"), 1).when(F.col("wa") > F.col("wb"), -1).otherwise(0).alias("vote"))
+        rows = rows.join(nodes.select(F.col("repo").alias(k), F.col("nid").alias(f"n{k}"), F.col("n_out").alias(f"out_{k}"), F.col("time").alias(f"time_{k}")), [k, f"n{k}"])
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    counts = rows.groupBy("a", "b").agg(
+        n((F.col("out_a") == 0) & (F.col("out_b") > 0)).alias("idle_a"), n((F.col("out_b") == 0) & (F.col("out_a") > 0)).alias("idle_b"),
+        n(F.col("time_a") > F.col("time_b")).alias("later_a"), n(F.col("time_b") > F.col("time_a")).alias("later_b"),
+    )
+    one = lambda x, y: (F.col(x) > 0) & (F.col(y) == 0)
+    vote = F.when(one("idle_a", "idle_b"), 1).when(one("idle_b", "idle_a"), -1).when(one("later_a", "later_b"), 1).when(one("later_b", "later_a"), -1).otherwise(0)
+    return counts.select("a", "b", vote.alias("vote"))
 
 
 def vote_calls(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -197,9 +293,10 @@ def borrowed(evidence: DataFrame, tokens: DataFrame) -> DataFrame:
     ``evidence``: src, dst of links; every function of dst counts.
     """
     out = one_way(evidence.select("src", "dst").distinct())
-    theirs = out.join(tokens.select(F.col("repo").alias("dst"), "name", "scope"), "dst").select("src", "name", "scope").distinct()
-    mine = tokens.select(F.col("repo").alias("src"), "nid", F.col("name").alias("n"), F.col("scope").alias("s"))
-    found = theirs.alias("t").join(mine.alias("m"), (F.col("t.src") == F.col("m.src")) & (F.col("t.name") == F.col("m.n"))).select("m.src", "name", "scope", "nid", F.col("scope").eqNullSafe(F.col("s")).alias("exact"))
+    theirs = tokens.select(F.col("repo").alias("dst"), F.col("name").alias("n"), "scope").distinct()
+    mine = tokens.select(F.col("repo").alias("src"), "nid", "name", F.col("scope").alias("s"))
+    # By name first: a link brings only the names that both sides have.
+    found = mine.join(theirs, F.col("name") == F.col("n")).join(out, ["src", "dst"]).select("src", "name", "scope", "nid", F.col("scope").eqNullSafe(F.col("s")).alias("exact"))
     best = F.max("exact").over(Window.partitionBy("src", "name", "scope"))
     return found.withColumn("best", best).where("exact = best").select(F.col("src").alias("repo"), "nid").distinct()
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
-from kinfold.functions.digest import distance_of_pairs, quartile_cost
+from kinfold.functions.digest import distance, nibble_cost, pairs_below
+from kinfold.operators.linkage import common_identifiers
 
 
 def split_names(functions: DataFrame, name: str = "fname") -> DataFrame:
@@ -52,6 +53,14 @@ def likely(found: DataFrame, common: DataFrame, min_length: int = 10) -> DataFra
     return rows.groupBy("nid", "repo").agg(F.max(F.when(yes, "YES").otherwise("UNKNOWN")).alias("status"))
 
 
+def likely_pairs(exe: DataFrame, tokens: DataFrame, common_above: int) -> DataFrame:
+    """``nid``, ``repo`` of likely matches: symbols matched, and their namespaces fit."""
+    common = common_identifiers(tokens, common_above)
+    scopes = tokens.select("repo", F.col("nid").alias("repo_nid"), F.col("scope").alias("repo_scope"))
+    found = match_symbols(exe, tokens).join(exe, "nid").join(scopes, ["repo", "repo_nid"])
+    return likely(found, common).where("status = 'YES'").select("nid", "repo")
+
+
 def claim(matches: DataFrame) -> DataFrame:
     """Each executable function goes to the first repository, by name, that matches it."""
     return matches.withColumn("_n", F.row_number().over(Window.partitionBy("nid").orderBy("repo"))).where("_n = 1").drop("_n")
@@ -115,17 +124,111 @@ def feature_score(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("score", (F.col("score") / own).alias("ratio"))
 
 
+#: Digests of a block: what one task holds of either side at once.
+BLOCK = 2048
+
+
 def similar_bodies(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame:
-    """Pairs of digests (``digest`` unique in each side) with distance below the threshold, without comparing all pairs.
+    """``a``, ``b``, ``distance`` of digests (``digest`` unique in each side) whose distance is below the threshold.
+
+    The two quartile nibbles cost at least the threshold for two thirds of their combinations, so digests meet by both
+    nibbles: blocks of one side go to the combinations in reach. Two blocks are compared by one matrix product, and only
+    pairs below the threshold become rows. Exact for any threshold; a threshold below 60 prunes.
+    """
+    reach = [(i, j) for i in range(-8, 8) for j in range(-8, 8) if nibble_cost(i) + nibble_cost(j) < threshold]
+    digit = lambda i: F.conv(F.substring("digest", i, 1), 16, 10).cast("int")
+
+    def blocks(side: DataFrame) -> DataFrame:
+        rows = side.where("length(digest) = 70").select("digest", digit(5).alias("p"), digit(6).alias("q"))
+        sizes = rows.groupBy("p", "q").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        dealt = rows.join(F.broadcast(sizes), ["p", "q"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")))
+        return dealt.groupBy("p", "q", "block").agg(F.collect_list("digest").alias("digests"))
+
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach])).alias("near")
+    x = blocks(a).select("p", "q", F.col("block").alias("x"), F.col("digests").alias("xs"), near)
+    x = x.select(F.pmod(F.col("p") + F.col("near.i"), F.lit(16)).alias("p"), F.pmod(F.col("q") + F.col("near.j"), F.lit(16)).alias("q"), "x", "xs")
+    y = blocks(b).select("p", "q", F.col("block").alias("y"), F.col("digests").alias("ys"))
+    return x.join(y, ["p", "q"]).select("xs", "ys").mapInArrow(lambda batches: pairs_below(batches, threshold), "a string, b string, distance int")
+
+
+def version_relations(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame:
+    """``a``, ``b``, ``relation`` of functions of two versions (``id``, name, ns, path, fhash) with equal names.
+
+    ``same``: an equal namespace, not null, or an equal base name of the file, or equal digests; ``similar``: digests
+    below the threshold. Other pairs, and those without a digest on either side, have no relation.
+    """
+    x, y = (side.select(F.col("id").alias(k), "name", F.col("ns").alias(f"ns_{k}"), X.base_name(F.col("path")).alias(f"base_{k}"), F.col("fhash").alias(f"h_{k}")) for side, k in ((a, "a"), (b, "b")))
+    rows = x.join(y, "name")
+    place = F.coalesce(F.col("ns_a") == F.col("ns_b"), F.lit(False)) | (F.col("base_a") == F.col("base_b")) | (F.col("h_a") == F.col("h_b"))
+    named = rows.where(F.coalesce(place, F.lit(False))).select("a", "b", F.lit("same").alias("relation"))
+    rest = rows.where(~F.coalesce(place, F.lit(False)) & F.col("h_a").isNotNull() & F.col("h_b").isNotNull())
+    return named.unionByName(rest.where(distance(F.col("h_a"), F.col("h_b")) < threshold).select("a", "b", F.lit("similar").alias("relation")))
+
+
+def implementation_relations(a: DataFrame, b: DataFrame, related: DataFrame, threshold: int = 50) -> DataFrame:
+    """``a``, ``b``, ``exact`` of functions (``id``, fhash) that ``related`` (a, b) leaves over, by their bodies.
+
+    A function whose digest the other side has anywhere relates to those leftovers with that digest only; any other
+    relates to all leftovers with a digest below the threshold.
+    """
+    x = a.where("fhash IS NOT NULL").select(F.col("id").alias("a"), "fhash").join(related.select("a"), "a", "left_anti")
+    y = b.where("fhash IS NOT NULL").select(F.col("id").alias("b"), "fhash")
+    left = y.join(related.select("b"), "b", "left_anti")
+    exact = x.join(left, "fhash").select("a", "b", F.lit(True).alias("exact"))
+    rest = x.join(y.select("fhash"), "fhash", "left_anti")
+    near = similar_bodies(rest.select(F.col("fhash").alias("digest")).distinct(), left.select(F.col("fhash").alias("digest")).distinct(), threshold)
+    near = near.select(F.col("a").alias("ha"), F.col("b").alias("hb")).join(rest.withColumnRenamed("fhash", "ha"), "ha").join(left.withColumnRenamed("fhash", "hb"), "hb")
+    return exact.unionByName(near.select("a", "b", F.lit(False).alias("exact")))
+
+
+def hash_positions(index: DataFrame) -> DataFrame:
+    """``path``, ``line``, ``fhash`` of an index (``fhash``, ``infos``: array of path and line); paths lose leading slashes.
+
+    Of several digests at one position the largest stands.
+    """
+    rows = index.select("fhash", F.explode("infos").alias("i")).select(F.ltrim("i.path", F.lit("/")).alias("path"), F.col("i.line").alias("line"), "fhash")
+    return rows.groupBy("path", "line").agg(F.max("fhash").alias("fhash"))
+
+
+def implementations_at(positions: DataFrame, index: DataFrame) -> DataFrame:
+    """The digest at each position (path, line), null where there is none, and in how many places that digest stands."""
+    known = hash_positions(index)
+    places = index.select("fhash", F.size("infos").cast("long").alias("places"))
+    at = positions.withColumn("path", F.ltrim("path", F.lit("/"))).join(known, ["path", "line"], "left")
+    return at.join(places, "fhash", "left").select("path", "line", "fhash", F.coalesce("places", F.lit(0)).alias("places"))
+
+
+def callees_in_range(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """``nid``, ``symbol`` of the calls (file, symbol, line) that stand inside a function (nid, path, line_start, line_end)."""
+    rows = functions.join(calls.select(F.col("file").alias("path"), "symbol", "line"), "path")
+    return rows.where("line BETWEEN line_start AND line_end").select("nid", "symbol").distinct()
+
+
+def node_info(nodes: DataFrame, infos: DataFrame) -> DataFrame:
+    """``node``, ``info``, ``step`` of nodes (node, ea, label): by address and label, else the label's first function (the
+    smallest address), else the address's first (the smallest label); null where no step finds one."""
+    by_key = infos.select("ea", "label", F.col("info").alias("i0")).groupBy("ea", "label").agg(F.min("i0").alias("i0"))
+    by_label = infos.groupBy("label").agg(F.min(F.struct("ea", "info")).alias("x")).select("label", F.col("x.info").alias("i1"))
+    by_address = infos.groupBy("ea").agg(F.min(F.struct("label", "info")).alias("x")).select("ea", F.col("x.info").alias("i2"))
+    rows = nodes.join(by_key, ["ea", "label"], "left").join(by_label, "label", "left").join(by_address, "ea", "left")
+    step = F.when(F.col("i0").isNotNull(), 0).when(F.col("i1").isNotNull(), 1).when(F.col("i2").isNotNull(), 2)
+    return rows.select("node", F.coalesce("i0", "i1", "i2").alias("info"), step.alias("step"))
+
+
+def functions_of_files(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """``path``, ``line``, ``fid``: functions (path, line, pos, fid) of the files that debug lines (path) name; of several
+    at one line the last in the file."""
+    files = lines.select("path").distinct()
+    return functions.join(files, "path", "left_semi").groupBy("path", "line").agg(F.max(F.struct("pos", "fid")).alias("x")).select("path", "line", F.col("x.fid").alias("fid"))
+
+
+def roll_up(roots: DataFrame, library: Column, least: float = 0.5) -> DataFrame:
+    """Bounds and node totals of a graph match by pair (``pair``): ``roots`` has name, by_label, similarity, low, high, nodes.
 
-    A quartile nibble that differs by more than 5 (circularly) costs at least 60, so pairs are met through the first
-    nibble only, each digest repeated for the eleven values in reach. Exact for thresholds up to 60.
+    Roots that are library functions don't count. A root matched by its label counts one node and no bounds; of the
+    others those below the similarity are left out, and a lower bound above the upper one is the upper one.
     """
-    if threshold > 60:
-        raise ValueError("nibbles prune only below 60")
-    digit = lambda c, i: F.conv(F.substring(c, i, 1), 16, 10).cast("int")
-    x = a.select(F.col("digest").alias("a")).where("length(a) = 70").withColumn("qa", digit("a", 6)).withColumn("band", digit("a", 5))
-    x = x.withColumn("pa", F.col("band")).withColumn("band", F.explode(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda d: F.pmod(F.col("pa") + d, F.lit(16)))))
-    y = b.select(F.col("digest").alias("b")).where("length(b) = 70").withColumn("qb", digit("b", 6)).withColumn("band", digit("b", 5))
-    headers = quartile_cost(F.col("pa"), F.col("band")) + quartile_cost(F.col("qa"), F.col("qb"))
-    return x.join(y, "band").where(headers < threshold).select("a", "b", distance_of_pairs("a", "b").alias("distance")).where(F.col("distance") < threshold)
+    kept = roots.where(~library & (F.col("by_label") | (F.col("similarity") >= least)))
+    plain = ~F.col("by_label")
+    low = F.when(plain, F.least("low", "high")).otherwise(0)
+    return kept.groupBy("pair").agg(F.sum(low).alias("low"), F.sum(F.when(plain, F.col("high")).otherwise(0)).alias("high"), F.sum(F.when(plain, F.col("nodes")).otherwise(1)).alias("nodes"), F.count("*").alias("roots"))

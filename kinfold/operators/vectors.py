@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors in one block: what one broadcast holds. More queries are searched block after block.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of one product of queries and vectors.
+PRODUCT_BYTES = 64 << 20
 
 
 def normalised(v: Column) -> Column:
@@ -19,6 +21,21 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
+def nearest_of(score: np.ndarray, label: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k smallest scores (to nine digits) of each row with their labels, smaller labels first among equals.
+
+    A partition finds the k-th score; only what is not above it is sorted.
+    """
+    if score.shape[1] > k:
+        rounded = np.round(score, 9)
+        bound = np.partition(rounded, k - 1, axis=1)[:, k - 1]
+        most = int((rounded <= bound[:, None]).sum(axis=1).max())
+        near = np.argpartition(rounded, most - 1, axis=1)[:, :most] if most < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+        score, label = np.take_along_axis(score, near, 1), np.take_along_axis(label, near, 1)
+    order = np.lexsort((label, np.round(score, 9)), axis=1)[:, :k]
+    return [np.take_along_axis(score, order, 1), np.take_along_axis(label, order, 1)]
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", threshold: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query``, ``id``, ``score``, ``rank``: the k nearest of ``corpus`` (id, vec) to each of ``queries`` (query, vec).
 
@@ -41,19 +58,17 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
             names, q = shared.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if cosine else q
             best: list[np.ndarray] = [np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)]
+            rows = max(k, PRODUCT_BYTES // (8 * len(q)))
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(a, 1024)
+                for a in range(0, batch.num_rows, rows):
+                    piece = batch.slice(a, rows)
                     ids = np.array(piece.column("id").to_pylist(), np.int64)
                     x = np.array(piece.column("vec").to_pylist(), float).reshape(len(ids), -1)
                     if cosine:
                         score = -(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T)
                     else:
                         score = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-                    score = np.hstack([best[0], score])
-                    label = np.hstack([best[1], np.broadcast_to(ids, (len(q), len(ids)))])
-                    order = np.lexsort((label, np.round(score, 9)), axis=1)[:, :k]
-                    best = [np.take_along_axis(score, order, 1), np.take_along_axis(label, order, 1)]
+                    best = nearest_of(np.hstack([best[0], score]), np.hstack([best[1], np.broadcast_to(ids, (len(q), len(ids)))]), k)
             each = best[0].shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, each)), pa.array(best[1].ravel().astype(np.int64)), pa.array(best[0].ravel())], names=["query", "id", "score"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
+from kinfold.operators import lineage as L
+from kinfold.operators import linkage as K
+from kinfold.operators import matching as M
 from kinfold.operators.lineage import assign_fids
 from kinfold.plans.base import BODY, EDGE, INC, TOK, bodies, call_edges, day, incidence, query, read, tokens
 from kinfold.sources import readers as R
@@ -41,9 +44,12 @@ def json_scan(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS js FROM events")
+@query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_rows(spark, d):
-    return read(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("js"))
+    """Records written as JSON files and read again by a schema."""
+    path = R.scratch(spark, "json")
+    R.write_json(read(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k long").alias("props")), path)
+    return R.read_json(spark, path, "event_id long, event_type string, props struct<k: long>").select("event_id", "event_type", "props.k")
 
 
 @query("SELECT p_partkey AS fid, p_name AS body FROM part")
@@ -64,8 +70,11 @@ def value_chunks(spark, d):
 
 @query("SELECT vec_id AS fid, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def vector_matrix(spark, d):
-    v = F.col("embedding")
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("fid"), F.size(v).cast("long").alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+    """Vectors written as matrix files, one for each partition, and read again."""
+    path = R.scratch(spark, "matrix")
+    R.write_matrix(read(spark, d, "embeddings").select(F.col("vec_id").alias("fid"), F.col("embedding").alias("vec")), path)
+    v = F.col("vec")
+    return R.read_matrix(spark, path).select("fid", F.size(v).cast("long").alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
 @query("SELECT DISTINCT l_suppkey AS repo FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -74,12 +83,12 @@ def allowed_repos(spark, d):
     return incidence(spark, d).select("repo").distinct().join(allowed, "repo", "left_semi")
 
 
-@query("""SELECT path, line_no, json_extract_string(value, '$.k') AS k FROM (SELECT event_type AS path, event_id AS line_no, CASE WHEN event_id % 97 = 96 THEN 'warning' ELSE props END AS value,
-min(CASE WHEN event_id % 97 = 96 THEN event_id END) OVER (PARTITION BY event_type) AS bad FROM events) WHERE bad IS NULL OR line_no < bad""")
+@query("""WITH l AS (SELECT CASE WHEN event_id % 3 = 0 THEN event_type END AS c, event_type AS path, event_id AS line_no, CASE WHEN event_id % 97 = 96 THEN NULL ELSE event_id % 500 END AS line FROM events WHERE event_type <> 'click' OR event_id % 3 <> 0),
+p AS (SELECT 'C' AS language, path, line_no, line FROM l WHERE path <> 'click' UNION ALL SELECT 'C++', path, line_no, line FROM l WHERE path = 'click'), b AS (SELECT *, min(CASE WHEN line IS NULL THEN line_no END) OVER (PARTITION BY path) AS bad FROM p) SELECT language, path AS file, 'f' || line_no AS name, line FROM b WHERE bad IS NULL OR line_no < bad""")
 def ctags_lines(spark, d):
-    lines = read(spark, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 97 == 96, "warning").otherwise(F.col("props")).alias("value"))
-    good = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
-    return R.until_first_bad(lines, good).select("path", "line_no", F.get_json_object("value", "$.k").alias("k"))
+    """The C parser's records, and the C++ parser's for files in which that found none."""
+    both = ctags_source(spark, d).where("path <> 'click' OR line_no % 3 <> 0")
+    return R.first_language(both.where("path <> 'click'"), both).select("language", "file", "name", "line")
 
 
 @query("""SELECT o_orderkey AS line_no, o_orderstatus AS tag, strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00' AS date FROM orders
@@ -108,16 +117,29 @@ def paired_query_set(spark, d):
     return R.paired(s.select(F.col("s_suppkey").alias("exe"), F.col("s_name").alias("graph")), s.select(F.col("s_suppkey").alias("exe"), F.col("s_nationkey").alias("info")), "exe")
 
 
-@query("SELECT doc_id AS id, 'd' AS kind FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
+@query("SELECT 'd' || doc_id AS id, md5(text) AS digest FROM documents UNION ALL SELECT 'b' || item_id, md5(text) FROM benchmark UNION ALL SELECT 'c' || conv_id || '.' || turn, md5(text) FROM conversations")
 def training_union(spark, d):
-    a = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("d").alias("kind"))
-    return a.unionByName(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("kind")))
+    turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    sources = [(f"{d}/documents.parquet", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), (f"{d}/benchmark.parquet", F.concat(F.lit("b"), F.col("item_id").cast("string"))), (f"{d}/conversations.parquet", turn)]
+    return R.concatenated(spark, [(path, {"id": key, "text": F.col("text")}) for path, key in sources]).select("id", F.md5("text").alias("digest"))
 
 
-@query("WITH " + INC + " SELECT repo, count(*) AS n, min(fid) AS first, string_agg(fid, ',' ORDER BY fid) AS signature FROM inc GROUP BY repo")
+SIGNATURES = "SELECT l_suppkey AS repo, l_partkey || '' AS hash, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) AS vers FROM lineitem GROUP BY l_suppkey, l_partkey"
+
+
+@query(SIGNATURES)
 def component_export(spark, d):
-    fids = F.array_sort(F.collect_list("fid"))
-    return incidence(spark, d).groupBy("repo").agg(F.count("*").alias("n"), F.min("fid").alias("first"), F.array_join(fids, ",").alias("signature"))
+    """Signatures of every repository as JSON files by repository, read back."""
+    holds = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("fid"), F.col("l_linenumber").alias("ver"))
+    path = R.scratch(spark, "signatures")
+    R.write_json(L.signatures(holds).select("repo", "sig.*"), path, by=("repo",))
+    return R.read_json(spark, path, "hash string, vers array<string>, repo long").select("repo", "hash", F.array_join("vers", ",").alias("vers"))
+
+
+@query("SELECT o_custkey AS repo, strftime(o_orderdate, '%Y-%m-%d') AS ver, (dense_rank() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d')) - 1) || '' AS idx FROM orders".replace("SELECT o_custkey", "SELECT DISTINCT o_custkey"))
+def component_versions(spark, d):
+    holds = read(spark, d, "orders").select(F.col("o_custkey").alias("repo"), day(F.col("o_orderdate")).alias("ver"))
+    return L.version_index(holds).select("repo", "idx.*")
 
 
 @query("WITH " + EDGE + ", n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge) SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges")
@@ -127,17 +149,33 @@ def executable_size(spark, d):
     return nodes.agg(F.count("*").alias("n_nodes")).withColumn("n_edges", e.agg(F.count("*")).scalar())
 
 
-@query("SELECT l_suppkey AS path, l_linenumber AS line, min(l_partkey) AS fid FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity <= 1) GROUP BY l_suppkey, l_linenumber")
+@query("""WITH f AS (SELECT l_suppkey AS path, l_linenumber AS line, l_partkey AS fid, l_orderkey AS pos FROM lineitem), n AS (SELECT DISTINCT l_suppkey AS path FROM lineitem WHERE l_quantity <= 1)
+SELECT path, line, fid FROM (SELECT path, line, fid, row_number() OVER (PARTITION BY path, line ORDER BY pos DESC, fid DESC) AS r FROM f WHERE path IN (SELECT path FROM n)) WHERE r = 1""")
 def debug_functions(spark, d):
     li = read(spark, d, "lineitem")
-    files = li.where("l_quantity <= 1").select(F.col("l_suppkey").alias("path")).distinct()
-    return li.select(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("fid")).join(files, "path", "left_semi").groupBy("path", "line").agg(F.min("fid").alias("fid"))
+    functions = li.select(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("fid"), F.col("l_orderkey").alias("pos"))
+    return M.functions_of_files(li.where("l_quantity <= 1").select(F.col("l_suppkey").alias("path")), functions)
+
+
+INFOS = "info AS (SELECT 'h' || l_partkey AS fhash, l_suppkey || '.c' AS path, l_orderkey % 1000 AS line FROM lineitem), at_ AS (SELECT path, line, max(fhash) AS fhash FROM info GROUP BY path, line)"
+
+
+def hash_infos(spark, d):
+    """A hash index: where each digest stands; some paths begin with slashes."""
+    path = F.concat(F.when(F.col("l_quantity") > 25, "//").otherwise(""), F.col("l_suppkey").cast("string"), F.lit(".c"))
+    rows = read(spark, d, "lineitem").select(F.concat(F.lit("h"), F.col("l_partkey").cast("string")).alias("fhash"), F.struct(path.alias("path"), (F.col("l_orderkey") % 1000).alias("line")).alias("info"))
+    return rows.groupBy("fhash").agg(F.collect_list("info").alias("infos"))
 
 
-@query("SELECT l_partkey AS fhash, l_suppkey AS path, min(l_linenumber) AS line, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey")
+@query("WITH " + INFOS + " SELECT * FROM at_")
 def hash_index(spark, d):
-    infos = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("fhash")).agg(F.collect_list(F.struct(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("line"))).alias("infos"))
-    return infos.select("fhash", F.explode("infos").alias("i")).groupBy("fhash", "i.path").agg(F.min("i.line").alias("line"), F.count("*").alias("n"))
+    return M.hash_positions(hash_infos(spark, d))
+
+
+@query("WITH " + INFOS + ", p AS (SELECT (o_custkey % 100) || '.c' AS path, o_orderkey % 1200 AS line FROM orders), n AS (SELECT fhash, count(*) AS places FROM info GROUP BY fhash) SELECT path, line, fhash, coalesce(places, 0) AS places FROM p LEFT JOIN at_ USING (path, line) LEFT JOIN n USING (fhash)")
+def hash_path_lookup(spark, d):
+    positions = read(spark, d, "orders").select(F.concat(F.lit("/"), (F.col("o_custkey") % 100).cast("string"), F.lit(".c")).alias("path"), (F.col("o_orderkey") % 1200).alias("line"))
+    return M.implementations_at(positions, hash_infos(spark, d))
 
 
 @query(r"""SELECT page_id, regexp_matches(path, '(\.c|\.cc|\.cpp|\.cxx|\.h|\.hxx|\.hpp|\.H|\.HPP|\.inl)$') AND len(list_intersect(string_split(path, '/'),
@@ -175,24 +213,29 @@ def label_index(spark, d):
     return symbols(spark, d).groupBy(F.col("name").alias("label")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("nodes"))
 
 
-@query("SELECT doc_id, s, octet_length(encode(s)) AS size FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')[1:20]) AS s FROM documents) WHERE octet_length(encode(s)) > 3")
+@query("SELECT doc_id, s, octet_length(encode(s)) AS size FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS s FROM documents) WHERE octet_length(encode(s)) > 3")
 def string_features(spark, d):
-    s = F.array_distinct(F.filter(F.slice(F.split("text", " "), 1, 20), lambda x: F.octet_length(x) > 3))
+    s = F.array_distinct(F.filter(F.split("text", " "), lambda x: F.octet_length(x) > 3))
     return read(spark, d, "documents").select("doc_id", F.explode(s).alias("s")).select("doc_id", "s", F.octet_length("s").cast("long").alias("size"))
 
 
-@query("""SELECT o_orderkey AS node, coalesce(a.p_name, b.s_name, c.n_name, 'none') AS info FROM orders LEFT JOIN part a ON o_orderkey = a.p_partkey
-LEFT JOIN supplier b ON o_custkey = b.s_suppkey LEFT JOIN nation c ON o_custkey % 50 = c.n_nationkey""")
+@query("""WITH i AS (SELECT l_partkey AS ea, 'f' || l_suppkey AS label, l_orderkey AS info FROM lineitem), n AS (SELECT o_orderkey AS node, o_orderkey % 3000 AS ea, 'f' || (o_custkey % 150) AS label FROM orders),
+k AS (SELECT ea, label, min(info) AS i0 FROM i GROUP BY ea, label), l AS (SELECT label, first(info ORDER BY ea, info) AS i1 FROM i GROUP BY label), a AS (SELECT ea, first(info ORDER BY label, info) AS i2 FROM i GROUP BY ea)
+SELECT node, coalesce(i0, i1, i2) AS info, CASE WHEN i0 IS NOT NULL THEN 0 WHEN i1 IS NOT NULL THEN 1 WHEN i2 IS NOT NULL THEN 2 END AS step FROM n LEFT JOIN k USING (ea, label) LEFT JOIN l USING (label) LEFT JOIN a USING (ea)""")
 def node_info_fallback(spark, d):
-    o = read(spark, d, "orders")
-    rows = o.join(read(spark, d, "part"), F.col("o_orderkey") == F.col("p_partkey"), "left").join(read(spark, d, "supplier"), F.col("o_custkey") == F.col("s_suppkey"), "left").join(read(spark, d, "nation"), F.col("o_custkey") % 50 == F.col("n_nationkey"), "left")
-    return rows.select(F.col("o_orderkey").alias("node"), F.coalesce("p_name", "s_name", "n_name", F.lit("none")).alias("info"))
+    infos = read(spark, d, "lineitem").select(F.col("l_partkey").alias("ea"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("label"), F.col("l_orderkey").alias("info"))
+    nodes = read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") % 3000).alias("ea"), F.concat(F.lit("f"), (F.col("o_custkey") % 150).cast("string")).alias("label"))
+    return M.node_info(nodes, infos)
 
 
-@query("WITH " + TOK + " SELECT repo, nid, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = repo AND l_partkey = nid AND l_returnflag = 'R') AS borrowed FROM tok")
+@query("WITH " + TOK + """, h AS (SELECT repo, nid, nid % 200 AS fid FROM tok), n AS (SELECT DISTINCT l_suppkey AS repo, l_partkey AS nid FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 5), f AS (SELECT DISTINCT l_suppkey AS repo, l_partkey % 200 AS fid FROM lineitem WHERE l_quantity <= 1),
+w AS (SELECT DISTINCT h.repo, fid FROM h JOIN n ON n.repo = h.repo AND n.nid = h.nid) SELECT h.repo, h.nid, h.fid, n.nid IS NOT NULL AS by_node, f.fid IS NOT NULL AS by_function, f.fid IS NOT NULL OR w.fid IS NOT NULL AS weak
+FROM h LEFT JOIN n ON n.repo = h.repo AND n.nid = h.nid LEFT JOIN f ON f.repo = h.repo AND f.fid = h.fid LEFT JOIN w ON w.repo = h.repo AND w.fid = h.fid""")
 def borrowed_nodes(spark, d):
-    marks = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("nid"), F.lit(True).alias("borrowed")).distinct()
-    return tokens(spark, d).select("repo", "nid").join(marks, ["repo", "nid"], "left").select("repo", "nid", F.coalesce("borrowed", F.lit(False)).alias("borrowed"))
+    li = read(spark, d, "lineitem")
+    holds = tokens(spark, d).select("repo", "nid", (F.col("nid") % 200).alias("fid"))
+    nodes = li.where("l_returnflag = 'R' AND l_quantity <= 5").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("nid"))
+    return K.borrowed_functions(holds, nodes, li.where("l_quantity <= 1").select(F.col("l_suppkey").alias("repo"), (F.col("l_partkey") % 200).alias("fid")))
 
 
 @query("SELECT doc_id FROM documents WHERE len(text) > 0 AND NOT (len(string_split(text, ' ')) <= 3 AND contains(text, '<ERROR>'))")
@@ -227,14 +270,25 @@ def renamed_symbols(spark, d):
     return symbols(spark, d).join(new, "id", "left").select("id", F.coalesce("new", "name").alias("name"))
 
 
-@query("WITH " + TOK + " SELECT repo, count(DISTINCT name) AS identifiers, count(DISTINCT scope) AS scopes, count(DISTINCT name || '::' || coalesce(scope, '')) AS tokens FROM tok GROUP BY repo")
+@query("WITH " + TOK + """, t AS (SELECT *, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = repo AND l_partkey = nid AND l_returnflag = 'R') AS own FROM tok), v AS (SELECT l_suppkey AS repo, count(DISTINCT l_linenumber) AS versions FROM lineitem GROUP BY l_suppkey)
+SELECT repo, versions, count(DISTINCT name) AS identifiers, count(DISTINCT scope) AS scopes, count(DISTINCT name || '::' || coalesce(scope, '')) AS tokens, count(DISTINCT CASE WHEN NOT own THEN name END) AS trimmed_identifiers, count(DISTINCT CASE WHEN NOT own THEN name || '::' || coalesce(scope, '') END) AS trimmed_tokens FROM t JOIN v USING (repo) GROUP BY repo, versions""")
 def token_projections(spark, d):
-    return tokens(spark, d).groupBy("repo").agg(F.countDistinct("name").alias("identifiers"), F.countDistinct("scope").alias("scopes"), F.countDistinct(F.concat("name", F.lit("::"), F.coalesce("scope", F.lit("")))).alias("tokens"))
+    li = read(spark, d, "lineitem")
+    borrowed = li.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("nid"))
+    versions = li.groupBy(F.col("l_suppkey").alias("repo")).agg(F.countDistinct("l_linenumber").alias("versions"))
+    return K.token_projections(tokens(spark, d), borrowed).join(versions, "repo")
 
 
-@query("SELECT DISTINCT p_type AS path FROM part")
+@query("SELECT DISTINCT event_type || '/' || user_id || '.c' AS path FROM events WHERE event_id % 97 < 96 AND event_id < coalesce((SELECT min(event_id) FROM events e WHERE e.event_id % 97 = 96 AND e.event_type = events.event_type), 1000000000000)")
 def tagged_files(spark, d):
-    return read(spark, d, "part").select(F.col("p_type").alias("path")).distinct()
+    return R.ctags_records(ctags_source(spark, d)).select("path").distinct()
+
+
+def ctags_source(spark, d):
+    """JSON symbol lines of one file for each kind of event; one line in 97 is a warning."""
+    e = read(spark, d, "events")
+    record = F.to_json(F.struct(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"), F.lit(".c")).alias("path"), (F.col("event_id") % 500).cast("int").alias("line"), (F.col("event_id") % 500 + 9).cast("int").alias("end")))
+    return e.select(F.col("event_type").alias("path"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 97 == 96, "warning").otherwise(record).alias("value"))
 
 
 @query("WITH " + BODY + r", x AS (SELECT doc_id, regexp_extract(body, '(?s)\{(.*)\}', 1) AS b FROM body) SELECT doc_id, md5(lower(translate(b, chr(10) || chr(13) || chr(9) || '{} ', ''))) AS digest FROM x")
@@ -243,12 +297,16 @@ def normalised_bodies(spark, d):
     return bodies(spark, d).select("doc_id", F.md5(X.normalise_body(X.body_of(F.col("body")))).alias("digest"))
 
 
-@query("""SELECT doc_id, md5(' int v; ' || substr(body, instr(body, chr(10)))) AS digest FROM (SELECT doc_id, concat('{ int v; // ', coalesce(lang, ''), chr(10), replace(replace(coalesce(text, ''), '''', ''), '"', ''), ' ') AS body FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[{}/]'))""")
+@query(r"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '"''\', '') AS t FROM documents), b AS (SELECT doc_id, replace(replace(replace(t, '//', '/ /'), '/*', '/ *'), '*/', '* /') AS t FROM t)
+SELECT doc_id, md5(' int v; ' || chr(10) || 's = "a // b /* c";  ' || t || ' ') AS digest FROM b""")
 def comments_stripped(spark, d):
-    docs = read(spark, d, "documents").where("coalesce(text, '') NOT RLIKE '[{}/]'")
-    text = F.translate(F.coalesce("text", F.lit("")), "'\"", "")
-    body = F.concat(F.lit("{ int v; // "), F.coalesce("lang", F.lit("")), F.lit("\n"), text, F.lit(" }"))
-    return docs.select("doc_id", F.md5(X.strip_comments(body)).alias("digest"))
+    """Bodies around each text with both kinds of comment, and a literal that holds the marks of both."""
+    text = F.translate(F.coalesce("text", F.lit("")), "\"'\\", "")
+    for mark in ("//", "/*", "*/"):
+        text = F.replace(text, F.lit(mark), F.lit(" ".join(mark)))
+    plain = F.regexp_replace(text, r"[{}]", "")
+    body = F.concat(F.lit("{ int v; // "), F.coalesce("lang", F.lit("")), F.lit("\ns = \"a // b /* c\"; /* more\n "), F.coalesce("source", F.lit("")), F.lit(" */ "), text, F.lit(" }"))
+    return read(spark, d, "documents").select("doc_id", F.md5(X.strip_comments(body)).alias("digest"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -273,9 +331,15 @@ def full_names(spark, d):
     return tokens(spark, d).select("repo", "nid", X.full_name(F.col("scope"), F.col("name")).alias("full_name"))
 
 
-@query(r"SELECT page_id, replace(regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\.git)?/*$', ''), '/', '@@') AS repo FROM pages")
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\.git)?/*$', '') AS u FROM pages)
+SELECT page_id, replace(u, '/', '@@') AS repo, string_split(u, '/')[-1] AS base, replace(regexp_replace(u, '^[^/]*/', ''), '/', '@@') AS own, 'v' || (page_id % 9) || '.0' AS tag FROM u""")
 def repo_names(spark, d):
-    return read(spark, d, "pages").select("page_id", X.repo_of_url(F.col("url")).alias("repo"))
+    """A repository's name from its address, from a dump's path, from its address without the host; the tag of an index file."""
+    url = F.col("url")
+    plain = F.regexp_replace(F.regexp_replace(url, "^[a-z+]+://", ""), r"(\.git)?/*$", "")
+    dump = F.concat(F.lit("/dumps/"), X.base_name(plain), F.lit(".pkl"))
+    index = F.concat(F.lit("fuzzy_v"), (F.col("page_id") % 9).cast("string"), F.lit(".0.hidx"))
+    return read(spark, d, "pages").select("page_id", X.repo_of_url(url).alias("repo"), X.repo_of_dump(dump).alias("base"), X.repo_on_host(url).alias("own"), X.tag_of_index(index).alias("tag"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.scope'), 'none') AS scope, json_extract_string(props, '$.k') AS k FROM events")

@@ -19,37 +19,61 @@ def fuzzy_digests(spark, d):
     return bodies(spark, d).select("doc_id", canonical(digest(body)).alias("fhash"))
 
 
-@query()
+@query("""WITH b AS (SELECT *, concat(' int v; ', chr(10), translate(coalesce(text, ''), '"''/{}\', ''), ' ') AS body FROM documents)
+SELECT source AS repo, lang || '/' || (doc_id % 50) || '.c' AS path, 'f' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'ns::' || lang END AS scope, CASE WHEN doc_id % 3 = 0 THEN concat_ws('::', 'ns::' || lang, 'f' || doc_id) ELSE 'f' || doc_id END AS token, length(body) AS length,
+md5(lower(translate(body, chr(10) || chr(13) || chr(9) || ' ', ''))) AS fhash, doc_id % 700 + 1 AS line_start, doc_id % 700 + 1 + len(string_split(body, chr(10))) - 1 AS line_end FROM b""")
 def function_records(spark, d):
-    """What one function becomes: name, scope, body, digest, lines."""
-    body = X.strip_comments(X.body_of(F.col("body")))
-    rows = bodies(spark, d).select("repo", F.col("doc_id").alias("name"), body.alias("body"), (F.size(F.split("body", "\n"))).alias("line_end"))
-    return rows.select("repo", F.concat(F.lit("f"), F.col("name").cast("string")).alias("name"), F.length("body").alias("length"), canonical(digest(X.normalise_body(F.col("body")))).alias("fhash"), F.lit(1).alias("line_start"), "line_end")
+    """What each body becomes; the hash is a parameter, MD5 here and the fuzzy digest in ``fuzzy_digests``."""
+    k = F.col("doc_id")
+    text = F.concat(F.lit("{ int v; // "), F.coalesce("lang", F.lit("")), F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "\"'/{}\\", ""), F.lit(" }"))
+    rows = read(spark, d, "documents").select(F.col("source").alias("repo"), F.concat("lang", F.lit("/"), (k % 50).cast("string"), F.lit(".c")).alias("path"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("ns::"), "lang")).alias("scope"), (k % 700 + 1).alias("line_start"), text.alias("text"))
+    return C.function_records(rows, F.md5)
 
 
-@query()
+#: Programs made from parts, and the tokens that they have.
+PROGRAMS = """prog AS (SELECT p_partkey AS id, 5 + p_size % 7 + p_partkey % 3 AS loc, string_split('int <id> f ' || 'get item' || ' <ID> ( int <id> a <ID> ) { ' || repeat('if ( <id> a <ID> > 1 ) { <id> a <ID> = <id> a <ID> ? 2 : 3 ; } ', p_size % 7) || repeat('for ( ; ; ) { <id> p <ID> -> nextItem ; break ; } ', p_partkey % 3) || 'return <STR> + <id> xml file <ID> ; }', ' ') AS t FROM part)""".replace("f ' || 'get item'", "get item f'").replace(" || ' <ID> ( int", " || ' <ID> ( int")
+
+
+def programs(spark, d):
+    """C functions of a few branches and loops; names hold their number, so the lexer's subtokens leave it out."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    head = F.concat(F.lit("// made\nint getItemF"), k.cast("string"), F.lit("(int a) { /* a\n comment */\n"))
+    branches = F.repeat(F.lit("if (a > 1) { a = a ? 2 : 3; }\n"), (s % 7).cast("int"))
+    loops = F.repeat(F.lit("for (;;) { p->nextItem; break; }\n"), (k % 3).cast("int"))
+    return read(spark, d, "part").select(k.alias("id"), F.concat(head, branches, loops, F.lit('return "a // b" + XMLFile;\n}')).alias("source"))
+
+
+@query("WITH " + PROGRAMS + " SELECT id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM prog")
 def code_tokens(spark, d):
-    t = C.code_tokens(F.col("body"))
-    return bodies(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return programs(spark, d).select("id", C.code_tokens("source").alias("t")).select("id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query("SELECT doc_id, 1 + len(list_filter(t, lambda x: x IN ('if', 'for', 'while', 'switch', 'case', '?'))) AS complexity FROM (SELECT doc_id, string_split(replace(replace(text, ' the ', ' if '), ' of ', ' for '), ' ') AS t FROM documents WHERE text IS NOT NULL)")
+@query("WITH " + PROGRAMS + " SELECT id, 1 + len(list_filter(t, lambda x: x IN ('if', 'for', 'while', 'switch', 'case', '?'))) AS complexity FROM prog")
 def cyclomatic_complexity(spark, d):
-    t = F.split(F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" if ")), F.lit(" of "), F.lit(" for ")), " ")
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", C.cyclomatic(t).cast("long").alias("complexity"))
+    return programs(spark, d).select("id", C.cyclomatic(C.code_tokens("source")).cast("long").alias("complexity"))
+
+
+VOLUMES = PROGRAMS + ", k AS (SELECT *, list_filter(t, lambda x: x <> ')' AND x <> '}') AS k FROM prog), v AS (SELECT *, len(k) * log2(greatest(len(list_distinct(k)), 1)) AS hv FROM k)"
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> ')' AND x <> '}') AS k, string_split(text, ' ') AS t, len(string_split(text, chr(10))) AS loc FROM documents WHERE text IS NOT NULL), v AS (SELECT *, len(k) * log2(greatest(len(list_distinct(k)), 1)) AS hv FROM s)
-SELECT doc_id, round(CASE WHEN hv > 0 THEN 171.0 - 5.2 * ln(hv) - 0.23 * (1 + len(list_filter(t, lambda x: x IN ('if', 'for', 'while', 'switch', 'case', '?')))) - 16.2 * ln(loc) ELSE 171.0 END, 5) AS mi FROM v""")
+@query("WITH " + VOLUMES + " SELECT id, round(CASE WHEN hv > 0 THEN 171.0 - 5.2 * ln(hv) - 0.23 * (1 + len(list_filter(t, lambda x: x IN ('if', 'for', 'while', 'switch', 'case', '?')))) - 16.2 * ln(loc) ELSE 171.0 END, 5) AS mi FROM v")
 def maintainability_index(spark, d):
-    t = F.split("text", " ")
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(C.maintainability(t, F.size(F.split("text", "\n"))), 5).alias("mi"))
+    lines = F.size(F.split("source", "\n"))
+    rows = programs(spark, d).select("id", lines.alias("n"), C.code_tokens("source").alias("t"))
+    return rows.select("id", F.round(C.maintainability(F.col("t"), F.col("n")), 5).alias("mi"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS token, text FROM documents WHERE doc_id % 10 = 0), p AS (SELECT doc_id, token, list_position(string_split(text, ' '), token) AS pos FROM s), f AS (SELECT token, min(doc_id * 1000000 + pos) AS place FROM p GROUP BY token)
+@query("""WITH w AS (SELECT id, string_split(replace(replace(array_to_string(t, ' '), '<id> ', ''), ' <ID>', ''), ' ') AS t FROM prog), o AS (SELECT id, list_filter(t, lambda x: x IN ('=', '>', '?', ':', '->', '+')) AS ops, list_filter(t, lambda x: x IN ('get', 'item', 'f', 'a', 'p', 'nextItem', 'xml', 'file')) AS words FROM w)
+SELECT id, round((len(ops) + len(words)) * log2(len(list_distinct(ops)) + len(list_distinct(words))), 5) AS volume FROM o""".replace("WITH ", "WITH " + PROGRAMS + ", ", 1))
+def halstead_volumes(spark, d):
+    t = F.filter(F.col("t"), lambda x: ~x.isin("<id>", "<ID>", "<STR>"))
+    return programs(spark, d).select("id", C.code_tokens("source").alias("t")).select("id", F.round(C.halstead_volume(t), 5).alias("volume"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents), f AS (SELECT token, min(doc_id * 1000000 + pos) AS place FROM s WHERE token NOT IN ('<PAD>', '<UNK>', '<STR>', '<ANY>', '<ERROR>') GROUP BY token)
 SELECT token, row_number() OVER (ORDER BY place) + 4 AS id FROM f""")
 def token_vocabulary(spark, d):
-    rows = read(spark, d, "documents").where("doc_id % 10 = 0 AND text IS NOT NULL").select("doc_id", F.split("text", " ").alias("t"))
+    rows = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ").alias("t"))
     return C.vocabulary(rows, "doc_id", "t").where("id > 4")
 
 
@@ -67,17 +91,26 @@ def blocks(spark, d):
     return li.groupBy(F.col("l_suppkey").alias("ea"), (F.col("l_orderkey") % 4).alias("block_id")).agg(F.collect_list(one).alias("instructions"))
 
 
-@query()
+INSTRUCTIONS = "ins AS (SELECT l_suppkey AS ea, l_orderkey * 10 + l_linenumber AS addr, CASE l_returnflag WHEN 'R' THEN 'X_mov_rax,_,,_[rbx*1+' || l_partkey || ']' WHEN 'A' THEN 'X_add_rcx,_,,_[rax*8+' || l_partkey || ']' ELSE 'X_lea_rdx,_,,_[rsi*1+' || CASE WHEN l_partkey = 0 THEN '0' ELSE '-' || l_partkey END || ']' END AS instruction FROM lineitem)"
+
+
+@query("WITH " + INSTRUCTIONS + " SELECT ea, addr, instruction FROM ins")
 def instruction_text(spark, d):
     each = blocks(spark, d).select("ea", F.explode("instructions").alias("i"))
     return each.select("ea", F.col("i.addr").alias("addr"), C.instruction(F.col("i.text")).alias("instruction"))
 
 
-@query("SELECT l_suppkey AS ea, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY l_suppkey")
+@query("SELECT p_partkey AS id, 'X_cmp_eax,_' || CASE WHEN p_partkey * 37 <= 5000 THEN CASE WHEN p_partkey % 2 = 1 AND p_partkey > 0 THEN '-' ELSE '' END || '0x' || lower(hex(p_partkey * 37)) ELSE 'HIMM' END || ',_[MEM],_[r' || p_size || '*1+0]' AS instruction FROM part")
+def operand_text(spark, d):
+    """Numbers of either sign, a plain address, a register alone, and words for sizes that are left out."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("cmp  eax "), F.when((k % 2 == 1) & (k > 0), "-").otherwise(""), F.lit("0x"), F.lower(F.hex(k * 37)), F.lit(" dword ptr [ 0x"), F.hex(k + 4096), F.lit(" ] cs : [ r"), F.col("p_size").cast("string"), F.lit(" ]"))
+    return read(spark, d, "part").select(k.alias("id"), C.instruction(text).alias("instruction"))
+
+
+@query("SELECT l_suppkey AS ea, count(*) AS n, md5(string_agg(CASE l_returnflag WHEN 'R' THEN 'mov rax , [ rbx + 0x' WHEN 'A' THEN 'add rcx , [ rax * 8 + 0x' ELSE 'lea rdx , [ rsi - 0x' END || lower(hex(l_partkey)) || ' ]', ';' ORDER BY l_orderkey * 10 + l_linenumber, CASE l_returnflag WHEN 'R' THEN 'm' WHEN 'A' THEN 'a' ELSE 'l' END, lower(hex(l_partkey)))) AS digest FROM lineitem GROUP BY l_suppkey")
 def instruction_sequences(spark, d):
-    s = C.instruction_sequences(blocks(spark, d)).select("ea", F.size("instructions").cast("long").alias("n"))
-    first = blocks(spark, d).select("ea", F.explode("instructions").alias("i")).groupBy("ea").agg(F.min("i.addr").alias("first"))
-    return s.join(first, "ea")
+    return C.instruction_sequences(blocks(spark, d)).select("ea", F.size("instructions").cast("long").alias("n"), F.md5(F.array_join("instructions", ";")).alias("digest"))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS ea, l_returnflag AS token, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_returnflag) AS pos FROM lineitem) SELECT ea, count(*) FILTER (token = 'R') AS known, count(*) FILTER (token <> 'R') AS unknown, greatest(0, 2048 - count(*)) AS pad FROM s WHERE pos <= 2048 GROUP BY ea""")
@@ -89,26 +122,31 @@ def encoded_instructions(spark, d):
     return ids.select("ea", n(7).alias("known"), n(1).alias("unknown"), n(0).alias("pad"))
 
 
-@query()
+@query("""WITH m AS (SELECT p_partkey AS id, p_size % 2 = 0 AS two, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS b, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS n FROM part)
+SELECT id, b || '::' || n || CASE WHEN two THEN '<int>::run(char const*, int)' ELSE '()' END AS full_name, b || '::' || n || CASE WHEN two THEN '<int>::run' ELSE '' END AS name, b || '::' || n || CASE WHEN two THEN '::run' ELSE '' END AS plain FROM m""")
 def demangled_names(spark, d):
     """Mangled names built from parts, demangled in full, without parameters, and without template arguments."""
     n, b = F.regexp_replace("p_name", "[^A-Za-z0-9]", "_"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
     part = lambda x: F.concat(F.length(x).cast("string"), x)
     mangled = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_ZN"), part(b), part(n), F.lit("IiE3runEPKci"))).otherwise(F.concat(F.lit("_ZN"), part(b), part(n), F.lit("Ev")))
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), mangled.alias("m"))
-    return rows.select("id", D.demangle("m").alias("full_name"), D.demangle_short("m").alias("name")).withColumn("plain", D.strip_templates("name"))
+    return D.demangled(rows, "m").drop("m")
 
 
 @query()
 def source_embeddings(spark, d):
-    """Vectors of token ids by the source network with seeded weights; its sizes are parameters."""
-    ids = F.transform(F.slice(F.split(F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand"), " "), 1, 16), lambda t: F.pmod(F.xxhash64(t), F.lit(997)) + 1)
-    rows = read(spark, d, "part").select("p_partkey", F.concat(ids, F.array_repeat(F.lit(0).cast("long"), F.lit(16) - F.size(ids))).alias("ids"))
-    return vectors(rows, "p_partkey", "ids", Network(1000, 16, 32, 3))
+    """Vectors of programs by the source network: 2048 token ids, 256 channels out, seeded weights. Equal programs are embedded once."""
+    tokens = programs(spark, d).select("id", C.code_tokens("source").alias("t"))
+    kinds = tokens.groupBy("t").agg(F.min("id").alias("kind"))
+    ids = C.encoded(kinds, "kind", "t", C.vocabulary(kinds, "kind", "t"))
+    found = vectors(ids, "kind", "ids", Network(1000, 128, 256, 12))
+    return tokens.join(kinds, "t").select("id", "kind").join(found, "kind").select("id", "vec")
 
 
 @query()
 def binary_embeddings(spark, d):
-    """Vectors of instruction ids by the binary network with seeded weights."""
-    ids = C.encoded(C.instruction_sequences(blocks(spark, d)).withColumn("instructions", F.transform("instructions", lambda t: F.substring(t, 1, 3))), "ea", "instructions", spark.createDataFrame([("mov", 2), ("add", 3), ("lea", 4)], "token string, id long"), length=64)
-    return vectors(ids, "ea", "ids", Network(16, 8, 16, 4, seed=9))
+    """Vectors of all instructions of each function by the binary network with seeded weights; its vocabulary is what occurs."""
+    normal = C.instruction_sequences(blocks(spark, d)).withColumn("instructions", F.transform("instructions", C.instruction))
+    vocabulary = C.vocabulary(normal, "ea", "instructions")
+    ids = C.encoded(normal, "ea", "instructions", vocabulary)
+    return vectors(ids, "ea", "ids", Network(1 << 16, 16, 16, 12, seed=9))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from kinfold.functions import text as X
 from kinfold.operators import linkage as K
 from kinfold.operators import lineage as L
+from kinfold.operators import matching as M
+from kinfold.plans.catalog import SYMBOLS, symbols
 from kinfold.plans.base import EDGE, EVI, INC, TOK, call_edges, evidence, incidence, links, LINK, query, read, tokens
 
 LIFE = """ev AS (SELECT user_id AS repo, event_type AS token, CAST(event_id AS BIGINT) AS ver_idx, CASE WHEN event_id % 11 <> 0 THEN CAST(floor(value) AS BIGINT) % 5 END AS fid FROM events),
@@ -74,10 +76,26 @@ def repo_created(spark, d):
     return L.created(repos, tags(spark, d).where("repo % 2 = 0"), commits)
 
 
-@query("SELECT path, change, count(*) AS n FROM (SELECT l_orderkey % 10 AS ver, l_suppkey AS path, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'A' END AS change FROM lineitem) GROUP BY path, change")
+#: Versions of files: which functions they hold; a file of a version may be removed, and not all files are sources.
+STATE = """lst AS (SELECT CASE WHEN l_suppkey % 9 = 0 THEN l_suppkey || '.py' ELSE l_suppkey || '.c' END AS path, l_orderkey % 50 AS ver_idx, l_partkey % 500 AS token, l_linenumber AS fid, (l_suppkey + l_orderkey % 50) % 10 = 0 AS removed FROM lineitem),
+tc AS (SELECT DISTINCT path, ver_idx FROM lst WHERE path LIKE '%.c'), st AS (SELECT DISTINCT path, ver_idx, token, fid FROM lst WHERE path LIKE '%.c' AND NOT removed), b AS (SELECT path, ver_idx, lag(ver_idx) OVER (PARTITION BY path ORDER BY ver_idx) AS prior FROM tc),
+o AS (SELECT b.ver_idx, st.token, count(DISTINCT fid) AS old FROM b JOIN st ON st.path = b.path AND st.ver_idx = b.prior GROUP BY b.ver_idx, st.token), w AS (SELECT ver_idx, token, count(DISTINCT fid) AS new FROM st GROUP BY ver_idx, token), ts AS (SELECT ver_idx, token, coalesce(old, 0) AS old, coalesce(new, 0) AS new FROM o FULL JOIN w USING (ver_idx, token))"""
+
+
+def file_states(spark, d):
+    li = read(spark, d, "lineitem")
+    name = F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_suppkey") % 9 == 0, ".py").otherwise(".c"))
+    ver = F.col("l_orderkey") % 50
+    rows = li.select(name.alias("path"), ver.alias("ver_idx"), (F.col("l_partkey") % 500).alias("token"), F.col("l_linenumber").alias("fid"), ((F.col("l_suppkey") + ver) % 10 == 0).alias("removed"))
+    return rows.where("NOT removed").drop("removed").distinct(), rows.select("path", "ver_idx").distinct()
+
+
+@query("WITH " + STATE + """, e AS (SELECT DISTINCT token, ver_idx, CAST(fid AS BIGINT) AS fid FROM st UNION ALL SELECT token, ver_idx, NULL FROM ts WHERE old > 0 AND new = 0), r AS (SELECT token, ver_idx, lead(ver_idx) OVER (PARTITION BY token ORDER BY ver_idx) AS nxt FROM (SELECT DISTINCT token, ver_idx FROM e))
+SELECT token, fid, ver_idx AS from_idx, coalesce(nxt - 1, 49) AS to_idx FROM e JOIN r USING (token, ver_idx) WHERE fid IS NOT NULL""")
 def version_replay(spark, d):
-    change = F.when(F.col("l_returnflag") == "R", "D").otherwise("A")
-    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), change.alias("change")).groupBy("path", "change").agg(F.count("*").alias("n"))
+    """Lifetimes of all functions from the files that each version changed or removed."""
+    state, touched = file_states(spark, d)
+    return L.replay(state, ["token"], touched, X.is_source_path(F.col("path")), 49)
 
 
 @query("SELECT name AS identifier, count(*) AS n FROM (WITH " + TOK + " SELECT DISTINCT repo, name, scope FROM tok) GROUP BY name")
@@ -104,10 +122,15 @@ def reused_functions(spark, d):
     return K.reused(rows.select("src", "dst", "fid").unionByName(back).withColumnRenamed("fid", "key"))
 
 
-@query("WITH " + INC + ", " + EDGE + " SELECT repo, count(*) AS num_fhash, (SELECT count(*) FROM edge WHERE src = repo) AS num_edges FROM inc GROUP BY repo")
+@query("WITH " + INC + """, own AS (SELECT repo, fid FROM inc WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = repo AND l_partkey = fid AND l_returnflag = 'R')), e AS (SELECT a.repo, a.fid AS src, b.fid AS dst FROM inc a JOIN inc b ON a.repo = b.repo AND b.fid % 97 = a.fid % 97 AND a.fid < b.fid),
+oe AS (SELECT e.repo, count(*) AS n FROM e JOIN own x ON x.repo = e.repo AND x.fid = src JOIN own y ON y.repo = e.repo AND y.fid = dst GROUP BY e.repo) SELECT repo, count(DISTINCT fid % 300) AS num_fhash, count(*) AS num_nodes, coalesce((SELECT count(*) FROM e WHERE e.repo = inc.repo), 0) AS num_edges, (SELECT count(*) FROM own WHERE own.repo = inc.repo) AS num_trimmed_nodes, coalesce((SELECT n FROM oe WHERE oe.repo = inc.repo), 0) AS num_trimmed_edges FROM inc GROUP BY repo""")
 def repo_statistics(spark, d):
-    e = call_edges(spark, d).groupBy(F.col("src").alias("repo")).agg(F.count("*").alias("num_edges"))
-    return incidence(spark, d).groupBy("repo").agg(F.count("*").alias("num_fhash")).join(e, "repo", "left").fillna(0, ["num_edges"])
+    one = incidence(spark, d)
+    nodes = one.select("repo", F.col("fid").alias("nid"), (F.col("fid") % 300).alias("fid"))
+    a, b = one.select("repo", F.col("fid").alias("src"), (F.col("fid") % 97).alias("m")), one.select("repo", F.col("fid").alias("dst"), (F.col("fid") % 97).alias("m"))
+    edges = a.join(b, ["repo", "m"]).where("src < dst").select("repo", "src", "dst")
+    borrowed = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("nid"))
+    return K.repo_statistics(nodes, edges, borrowed)
 
 
 @query("WITH " + INC + " SELECT fid, min(ver) AS created, count(*) AS n FROM inc GROUP BY fid")
@@ -125,10 +148,25 @@ def name_groups(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_name").alias("fname")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("tokens"))
 
 
-@query("SELECT token, count(*) FILTER (old) AS n_old, count(*) FILTER (NOT old) AS n_new FROM (SELECT l_partkey % 50 AS token, l_linestatus = 'F' AS old FROM lineitem) GROUP BY token")
+@query("SELECT l_linenumber * 1000 + l_orderkey % 1000 AS fid, string_agg(DISTINCT l_partkey, ',' ORDER BY l_partkey) AS tokens FROM lineitem GROUP BY 1")
+def body_tokens(spark, d):
+    """Tokens of each body."""
+    rows = read(spark, d, "lineitem").select((F.col("l_linenumber") * 1000 + F.col("l_orderkey") % 1000).alias("fid"), "l_partkey")
+    return rows.groupBy("fid").agg(F.array_join(F.array_sort(F.collect_set("l_partkey")), ",").alias("tokens"))
+
+
+@query("WITH " + EDGE + " SELECT p_name AS callee, string_agg(DISTINCT src, ',' ORDER BY src) AS callers FROM edge JOIN part ON p_partkey = dst GROUP BY p_name")
+def name_callers(spark, d):
+    """Callers of each name."""
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("dst"), F.col("p_name").alias("callee"))
+    return call_edges(spark, d).join(names, "dst").groupBy("callee").agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("callers"))
+
+
+@query("WITH " + STATE + " SELECT ver_idx, token, old, new FROM ts")
 def token_states(spark, d):
-    old = F.col("l_linestatus") == "F"
-    return read(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("token")).agg(F.sum(old.cast("long")).alias("n_old"), F.sum((~old).cast("long")).alias("n_new"))
+    state, touched = file_states(spark, d)
+    source = X.is_source_path(F.col("path"))
+    return L.token_states(state.where(source), ["token"], touched.where(source))
 
 
 @query("WITH " + TOK + ", own AS (SELECT * FROM tok WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = repo AND l_partkey = nid AND l_returnflag = 'R') AND scope IS NOT NULL), x AS (SELECT repo, 'ns::' || scope AS s FROM own) SELECT DISTINCT repo, p FROM (SELECT repo, 'ns' AS p FROM x UNION ALL SELECT repo, s FROM x)")
@@ -138,19 +176,23 @@ def own_namespaces(spark, d):
     return own.select("repo", F.explode(X.prefixes(F.concat(F.lit("ns::"), "scope"), whole=True)).alias("p")).distinct()
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(text, ' ')[1:30]) AS s FROM documents WHERE text IS NOT NULL), p AS (SELECT x.doc_id, x.s AS x, y.s AS y FROM a x JOIN a y ON y.doc_id = x.doc_id // 2),
+@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS s FROM documents WHERE text IS NOT NULL), p AS (SELECT x.doc_id, x.s AS x, y.s AS y FROM a x JOIN a y ON y.doc_id = x.doc_id // 2),
 c AS (SELECT doc_id, list_intersect(x, y) AS i, list_distinct(x || y) AS u FROM p) SELECT doc_id, round(len(i) / len(u), 6) AS jaccard, round(coalesce(list_sum(list_transform(i, lambda s: length(s))), 0) / nullif(list_sum(list_transform(u, lambda s: length(s))), 0), 6) AS weighted FROM c""")
 def jaccard(spark, d):
-    a = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_distinct(F.slice(F.split("text", " "), 1, 30)).alias("x"))
+    a = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_distinct(F.split("text", " ")).alias("x"))
     p = a.join(a.select(F.col("doc_id").alias("h"), F.col("x").alias("y")), F.floor(F.col("doc_id") / 2) == F.col("h"))
     i, u = F.array_intersect("x", "y"), F.array_union("x", "y")
     size = lambda s: F.aggregate(s, F.lit(0), lambda t, w: t + F.length(w))
     return p.select("doc_id", F.round(F.size(i) / F.size(u), 6).alias("jaccard"), F.round(size(i) / F.nullif(size(u), F.lit(0)), 6).alias("weighted"))
 
 
-@query("SELECT l_suppkey AS pair, min(l_quantity) AS low, max(l_quantity) AS high, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_discount > 0.02 GROUP BY l_suppkey")
+@query("WITH " + SYMBOLS + """, r AS (SELECT p_brand AS pair, name, p_partkey % 3 = 0 AS by_label, p_size / 50 AS similarity, p_partkey % 30 AS low, (p_partkey * 7) % 40 AS high, p_size + 5 AS nodes FROM sym JOIN part ON id = p_partkey), k AS (SELECT * FROM r WHERE NOT (name LIKE 'std::%' OR name IN ('__cxa_throw', 'operator new')) AND (by_label OR similarity >= 0.5))
+SELECT pair, CAST(sum(CASE WHEN by_label THEN 0 ELSE least(low, high) END) AS BIGINT) AS low, CAST(sum(CASE WHEN by_label THEN 0 ELSE high END) AS BIGINT) AS high, CAST(sum(CASE WHEN by_label THEN 1 ELSE nodes END) AS BIGINT) AS nodes, count(*) AS roots FROM k GROUP BY pair""")
 def match_rollup(spark, d):
-    return read(spark, d, "lineitem").where("l_discount > 0.02").groupBy(F.col("l_suppkey").alias("pair")).agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+    k = F.col("p_partkey")
+    rows = symbols(spark, d).join(read(spark, d, "part"), F.col("id") == k).select(F.col("p_brand").alias("pair"), "name", (k % 3 == 0).alias("by_label"), (F.col("p_size") / 50).alias("similarity"), (k % 30).alias("low"), ((k * 7) % 40).alias("high"), (F.col("p_size") + 5).alias("nodes"))
+    n = F.col("name")
+    return M.roll_up(rows, X.is_std(n) | X.is_compiler_symbol(n) | X.is_native_support(n))
 
 
 @query("SELECT source, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len(string_split(text, '. '))) AS BIGINT) AS functions FROM documents GROUP BY source")

@@ -49,23 +49,35 @@ def vote_by_token_time(spark, d):
     return L.vote_unanimous(named.groupBy("a", "b", "p_name").agg(F.min("time_a").alias("time_a"), F.min("time_b").alias("time_b")))
 
 
-@query("WITH " + TIMES + ", w AS (SELECT repo, p_brand AS scope, count(*) / sum(count(*)) OVER (PARTITION BY repo) AS w FROM inc JOIN part ON fid = p_partkey GROUP BY repo, p_brand), s AS (SELECT a, b, round(sum(x.w), 9) AS wa, round(sum(y.w), 9) AS wb FROM two JOIN w x ON x.repo = a JOIN w y ON y.repo = b AND x.scope = y.scope GROUP BY a, b) SELECT a, b, round(wa, 6) AS wa, round(wb, 6) AS wb FROM s")
-def vote_by_namespace_weights(spark, d):
-    own = incidence(spark, d).join(read(spark, d, "part").select(F.col("p_partkey").alias("fid"), F.col("p_brand").alias("scope")), "fid")
-    n = own.groupBy("repo", "scope").agg(F.count("*").alias("n"))
-    w = n.join(n.groupBy("repo").agg(F.sum("n").alias("total")), "repo")
-    pairs = L.two_way(both_ways(spark, d))
-    rows = pairs
-    for k in ("a", "b"):
-        rows = rows.join(w.select(F.col("repo").alias(k), "scope", (F.col("n") / F.col("total")).alias(f"w{k}")), [k] if k == "a" else [k, "scope"])
-    return rows.groupBy("a", "b").agg(F.round(F.sum("wa"), 6).alias("wa"), F.round(F.sum("wb"), 6).alias("wb"))
-
-
-@query("WITH " + TIMES + ", n AS (SELECT repo, count(*) AS w FROM inc GROUP BY repo) SELECT a, b, CASE WHEN x.w > y.w THEN 1 WHEN x.w < y.w THEN -1 ELSE 0 END AS vote FROM two JOIN n x ON x.repo = a JOIN n y ON y.repo = b")
+SCOPES = ", sc AS (SELECT repo, p_partkey AS fid, 'ns' || (p_size % 4) AS top, 'ns' || (p_size % 4) || '::' || p_brand AS whole FROM inc JOIN part ON fid = p_partkey WHERE p_size % 5 <> 0), pf AS (SELECT repo, fid, top AS ns FROM sc UNION ALL SELECT repo, fid, whole FROM sc), cnt AS (SELECT repo, ns, count(*) AS n FROM pf GROUP BY repo, ns), tot AS (SELECT repo, count(*) AS total FROM pf GROUP BY repo)"
+NS_VOTE = SCOPES + """, wa AS (SELECT a, b, sum(n) AS w FROM (SELECT DISTINCT a, b, ns FROM tm JOIN pf ON pf.repo = a AND pf.fid = tm.fid) JOIN cnt ON cnt.repo = a AND cnt.ns = ns GROUP BY a, b), wb AS (SELECT a, b, sum(n) AS w FROM (SELECT DISTINCT a, b, ns FROM tm JOIN pf ON pf.repo = b AND pf.fid = tm.fid) JOIN cnt ON cnt.repo = b AND cnt.ns = ns GROUP BY a, b),
+nv AS (SELECT p.a, p.b, CASE WHEN coalesce(wa.w, 0) * y.total < coalesce(wb.w, 0) * x.total AND x.total > y.total THEN 1 WHEN coalesce(wa.w, 0) * y.total > coalesce(wb.w, 0) * x.total AND x.total < y.total THEN -1 ELSE 0 END AS vote FROM (SELECT DISTINCT a, b FROM tm) p LEFT JOIN wa USING (a, b) LEFT JOIN wb USING (a, b) LEFT JOIN tot x ON x.repo = p.a LEFT JOIN tot y ON y.repo = p.b)""".replace("JOIN cnt ON cnt.repo = a AND cnt.ns = ns", "q JOIN cnt ON cnt.repo = a AND cnt.ns = q.ns").replace("JOIN cnt ON cnt.repo = b AND cnt.ns = ns", "q JOIN cnt ON cnt.repo = b AND cnt.ns = q.ns")
+
+
+def scopes(spark, d):
+    """Functions of each repository with scopes of two levels; some have none."""
+    parts = read(spark, d, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("fid"), F.concat(F.lit("ns"), (F.col("p_size") % 4).cast("string"), F.lit("::"), "p_brand").alias("scope"))
+    return incidence(spark, d).select("repo", "fid").join(parts, "fid")
+
+
+@query("WITH " + TIMES + NS_VOTE + " SELECT a, b, vote FROM nv")
 def vote_by_namespace(spark, d):
-    # One scope for all: its share of a repository is one over the repository's functions.
-    n = incidence(spark, d).groupBy("repo").agg(F.count("*").alias("total")).select("repo", F.lit("all").alias("scope"), F.lit(1).alias("n"), "total")
-    return L.vote_namespace(L.two_way(both_ways(spark, d)).withColumn("scope", F.lit("all")), n)
+    return L.vote_namespace(first_times(spark, d).select("a", "b", "fid"), scopes(spark, d))
+
+
+IDS = ", named AS (SELECT repo, fid, ver, p_name || '_' || (p_partkey % 50) AS name FROM inc JOIN part ON fid = p_partkey), outs AS (SELECT i.repo, i.fid AS nid, CASE WHEN i.fid % 17 = 0 THEN NULL ELSE i.ver END AS time, count(e.l_orderkey) AS n_out FROM inc i LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity <= 49) e ON e.l_suppkey = i.repo AND e.l_partkey = i.fid GROUP BY i.repo, i.fid, i.ver)"
+
+
+@query("WITH " + TIMES + IDS + """, pr AS (SELECT two.a, two.b, x.fid AS na, y.fid AS nb FROM two JOIN named x ON x.repo = a JOIN named y ON y.repo = b AND x.name = y.name), c AS (SELECT a, b, count(*) FILTER (x.n_out = 0 AND y.n_out > 0) AS ia, count(*) FILTER (y.n_out = 0 AND x.n_out > 0) AS ib, count(*) FILTER (x.time > y.time) AS la, count(*) FILTER (y.time > x.time) AS lb
+FROM pr JOIN outs x ON x.repo = a AND x.nid = na JOIN outs y ON y.repo = b AND y.nid = nb GROUP BY a, b) SELECT a, b, CASE WHEN ia > 0 AND ib = 0 THEN 1 WHEN ib > 0 AND ia = 0 THEN -1 WHEN la > 0 AND lb = 0 THEN 1 WHEN lb > 0 AND la = 0 THEN -1 ELSE 0 END AS vote FROM c""")
+def vote_by_identifier(spark, d):
+    one = incidence(spark, d).withColumnRenamed("fid", "nid")
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("nid"), F.concat("p_name", F.lit("_"), (F.col("p_partkey") % 50).cast("string")).alias("name"))
+    a, b = (one.join(names, "nid").select(F.col("repo").alias(k), F.col("nid").alias(f"n{k}"), "name") for k in "ab")
+    pairs = L.two_way(both_ways(spark, d)).join(a, "a").join(b, ["b", "name"]).select("a", "b", "na", "nb")
+    calls = read(spark, d, "lineitem").where("l_quantity <= 49").groupBy(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("nid")).agg(F.count("*").alias("n_out"))
+    nodes = one.join(calls, ["repo", "nid"], "left").select("repo", "nid", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.when(F.col("nid") % 17 != 0, F.col("ver")).alias("time"))
+    return L.vote_identifiers(pairs, nodes)
 
 
 DEG = ", deg AS (SELECT i.repo, i.fid AS nid, count(e.l_orderkey) AS n_in FROM inc i LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity <= 10) e ON e.l_suppkey = i.repo AND e.l_partkey = i.fid GROUP BY i.repo, i.fid)"
@@ -78,7 +90,7 @@ def vote_by_calls(spark, d):
     return L.vote_calls(first_times(spark, d).select("a", "b", F.col("fid").alias("na"), F.col("fid").alias("nb")), deg)
 
 
-@query("WITH " + TIMES + ", v AS (SELECT a, b, CASE WHEN count(*) FILTER (time_a > time_b) > 0 AND count(*) FILTER (time_a < time_b) = 0 THEN 1 WHEN count(*) FILTER (time_a < time_b) > 0 AND count(*) FILTER (time_a > time_b) = 0 THEN -1 ELSE 0 END AS vote FROM tm GROUP BY a, b), n AS (SELECT repo, count(*) AS w FROM inc GROUP BY repo) SELECT a, b, CASE WHEN vote <> 0 THEN vote WHEN x.w > y.w THEN 1 WHEN x.w < y.w THEN -1 ELSE 0 END AS vote FROM v JOIN n x ON x.repo = a JOIN n y ON y.repo = b")
+@query("WITH " + TIMES + NS_VOTE + ", v AS (SELECT a, b, CASE WHEN count(*) FILTER (time_a > time_b) > 0 AND count(*) FILTER (time_a < time_b) = 0 THEN 1 WHEN count(*) FILTER (time_a < time_b) > 0 AND count(*) FILTER (time_a > time_b) = 0 THEN -1 ELSE 0 END AS vote FROM tm GROUP BY a, b) SELECT a, b, CASE WHEN v.vote <> 0 THEN v.vote ELSE nv.vote END AS vote FROM v JOIN nv USING (a, b)")
 def combined_votes(spark, d):
     return L.combine_votes(L.two_way(both_ways(spark, d)), vote_by_function_time(spark, d), vote_by_namespace(spark, d))
 
@@ -91,10 +103,13 @@ def small_links_removed(spark, d):
     return L.small_links(sized.withColumns({"n_token": F.col("shared"), "n_fhash": F.col("shared")}), 0.25).select("src", "dst", "shared")
 
 
-@query("SELECT c_custkey AS repo, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) FILTER (o_orderstatus <> 'F') > 0")
+@query("WITH " + BOTH + ", ev AS (SELECT src, dst FROM evi WHERE fid % 50 = 0), simple AS (SELECT s_suppkey AS repo FROM supplier WHERE s_acctbal < 0) SELECT src, dst FROM both_ WHERE src NOT IN (SELECT repo FROM simple) AND dst NOT IN (SELECT repo FROM simple) AND EXISTS (SELECT 1 FROM ev WHERE ev.src = both_.src AND ev.dst = both_.dst)")
 def empty_links_removed(spark, d):
-    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") != "F").cast("long")).alias("other"))
-    return o.where("other > 0").join(read(spark, d, "customer").select(F.col("c_custkey").alias("repo")), "repo", "left_semi").select("repo", "n")
+    """Links between repositories with code of their own that hold by more than namespaces; one function in fifty is evidence."""
+    sizes = read(spark, d, "supplier").select(F.col("s_suppkey").alias("repo"), F.when(F.col("s_acctbal") < 0, 0).otherwise(1).alias("size"))
+    functions = evidence(spark, d).where("fid % 50 = 0").select("src", "dst", F.lit("fhash").alias("kind"), F.col("fid").cast("string").alias("key"))
+    namespaces = L.key_evidence(scopes(spark, d), "scope", "ns")
+    return L.with_evidence(L.without_simple_repos(both_ways(spark, d), sizes), functions.unionByName(namespaces)).select("src", "dst")
 
 
 @query("WITH " + BOTH + ", prim AS (SELECT s_suppkey AS repo FROM supplier WHERE s_suppkey % 10 = 0), o AS (SELECT src, dst FROM both_ WHERE src IN (SELECT repo FROM prim)) SELECT src, dst FROM both_ WHERE src NOT IN (SELECT repo FROM prim) UNION SELECT dst, src FROM o WHERE dst NOT IN (SELECT repo FROM prim)")
@@ -115,22 +130,29 @@ def primitive_evidence_removed(spark, d):
     return L.without_primitive_evidence(e, prim).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-#: Evidence along links from the larger to the smaller key, of one function in seven, so chains have no cycles.
-CHAIN = LINK + ", ch AS (SELECT evi.src, evi.dst, fid FROM evi JOIN link ON link.src = evi.dst AND link.dst = evi.src WHERE fid % 7 = 0)"
+#: Evidence along all links, one-way ones and both ways.
+CHAIN = BOTH + ", ch AS (SELECT src, dst, fid FROM evi JOIN both_ USING (src, dst))"
+
+
+def _round(k):
+    """A round of subsumption: what is left of table ch{k} is ch{k + 1}."""
+    now = f"ch{k or ''}"
+    one = f"one{k} AS (SELECT DISTINCT src, dst FROM {now} EXCEPT SELECT DISTINCT dst, src FROM {now})"
+    gone = f"gone{k} AS (SELECT DISTINCT x.src, x.dst, x.fid FROM {now} x JOIN one{k} o ON o.src = x.dst JOIN {now} y ON y.src = x.src AND y.dst = o.dst AND y.fid = x.fid)"
+    return f"{one}, {gone}, ch{k + 1} AS (SELECT src, dst, fid FROM {now} ANTI JOIN gone{k} USING (src, dst, fid))"
 
 
 def chain(spark, d):
-    l = links(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return evidence(spark, d).where("fid % 7 = 0").join(l, ["src", "dst"]).select("src", "dst", F.lit("fhash").alias("kind"), F.col("fid").alias("key"))
+    return evidence(spark, d).join(both_ways(spark, d), ["src", "dst"]).select("src", "dst", F.lit("fhash").alias("kind"), F.col("fid").alias("key"))
 
 
-@query("WITH " + CHAIN + ", l AS (SELECT DISTINCT src, dst FROM ch) SELECT DISTINCT x.src, x.dst, x.fid AS key FROM ch x JOIN l ON l.src = x.dst JOIN ch y ON y.src = x.src AND y.dst = l.dst AND y.fid = x.fid")
+@query("WITH " + CHAIN + ", " + _round(0) + " SELECT src, dst, fid AS key FROM gone0")
 def subsumed_evidence(spark, d):
     c = chain(spark, d)
     return L.subsumed_once(c, c.select("src", "dst").distinct()).select("src", "dst", "key")
 
 
-@query()
+@query("WITH " + CHAIN + ", " + ", ".join(_round(k) for k in range(5)) + " SELECT src, dst, count(*) AS n FROM ch5 GROUP BY src, dst")
 def subsumption_fixpoint(spark, d):
     """What is left of each link when subsumption ends."""
     return L.subsume(chain(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -143,19 +165,19 @@ def reuse_ratio_pruning(spark, d):
     return L.reuse_ratio(l.join(r, "dst", "left").fillna(0, ["reused"]), 0.5).select("src", "dst", "kept")
 
 
-@query("WITH " + EVI + " SELECT a.src, a.dst AS o1, b.dst AS o2, count(*) AS n FROM evi a JOIN evi b ON a.src = b.src AND a.fid = b.fid AND a.dst < b.dst WHERE a.src % 20 = 0 GROUP BY a.src, a.dst, b.dst")
+@query("WITH " + EVI + " SELECT a.src, a.dst AS o1, b.dst AS o2, count(*) AS n FROM evi a JOIN evi b ON a.src = b.src AND a.fid = b.fid AND a.dst < b.dst GROUP BY a.src, a.dst, b.dst")
 def common_evidence(spark, d):
-    e = evidence(spark, d).where("src % 20 = 0")
+    e = evidence(spark, d)
     a, b = e.select("src", "fid", F.col("dst").alias("o1")), e.select("src", "fid", F.col("dst").alias("o2"))
     return a.join(b, ["src", "fid"]).where("o1 < o2").groupBy("src", "o1", "o2").agg(F.count("*").alias("n"))
 
 
-SEG = TOK + ", t AS (SELECT repo, nid, name, scope FROM tok WHERE repo % 10 = 1), l AS (SELECT DISTINCT b.repo AS src, a.repo AS dst FROM t a JOIN t b ON a.name = b.name AND a.repo < b.repo), th AS (SELECT DISTINCT l.src, t.name, t.scope FROM l JOIN t ON t.repo = l.dst)"
+SEG = TOK + ", t AS (SELECT repo, nid, name || '_' || (nid % 50) AS name, scope FROM tok), l AS (SELECT DISTINCT b.repo AS src, a.repo AS dst FROM t a JOIN t b ON a.name = b.name AND a.repo < b.repo), th AS (SELECT DISTINCT l.src, t.name, t.scope FROM l JOIN t ON t.repo = l.dst)"
 
 
 @query("WITH " + SEG + ", j AS (SELECT th.src AS repo, th.name, th.scope, t.nid, th.scope IS NOT DISTINCT FROM t.scope AS exact FROM th JOIN t ON t.repo = th.src AND t.name = th.name), b AS (SELECT *, bool_or(exact) OVER (PARTITION BY repo, name, scope) AS any_exact FROM j) SELECT DISTINCT repo, nid FROM b WHERE exact = any_exact")
 def segmented_tokens(spark, d):
-    t = tokens(spark, d).where("repo % 10 = 1").select("repo", "nid", "name", "scope")
+    t = tokens(spark, d).select("repo", "nid", F.concat("name", F.lit("_"), (F.col("nid") % 50).cast("string")).alias("name"), "scope")
     a, b = t.select(F.col("repo").alias("dst"), "name").distinct(), t.select(F.col("repo").alias("src"), "name").distinct()
     return L.borrowed(a.join(b, "name").where("dst < src").select("src", "dst").distinct(), t)
 

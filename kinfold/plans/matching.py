@@ -8,21 +8,46 @@ from kinfold.functions.digest import distance
 from kinfold.operators import linkage as L
 from kinfold.operators import matching as M
 from kinfold.plans.base import EDGE, EVI, INC, TOK, call_edges, evidence, incidence, query, read, tokens
+from kinfold.sources import readers as R
+
+DIG = "dig AS (SELECT doc_id, md5(coalesce(text, '')) || md5(reverse(coalesce(text, ''))) || substr(md5(coalesce(lang, '') || coalesce(text, '')), 1, 6) AS digest FROM documents)"
+NIB = "(instr('0123456789abcdef', substr({}, {}, 1)) - 1)"
+
+
+def _gap(i):
+    d = f"abs({NIB.format('a', i)} - {NIB.format('b', i)})"
+    g = f"least({d}, 16 - {d})"
+    return f"(CASE WHEN {g} <= 1 THEN {g} ELSE ({g} - 1) * 12 END)"
+
+
+_X, _Y = NIB.format("a", "i"), NIB.format("b", "i")
+DIST = f"""CAST((substr(a, 1, 2) <> substr(b, 1, 2))::INT + {_gap(5)} + {_gap(6)} + list_sum(list_transform(range(7, 71), lambda i: CASE WHEN abs({_X} // 4 - {_Y} // 4) = 3 THEN 6 ELSE abs({_X} // 4 - {_Y} // 4) END + CASE WHEN abs({_X} % 4 - {_Y} % 4) = 3 THEN 6 ELSE abs({_X} % 4 - {_Y} % 4) END)) AS INT)"""
 
-EXE = "exe AS (SELECT p_partkey AS nid, p_name AS name, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'lib::' || p_brand ELSE p_brand END END AS scope FROM part WHERE p_partkey % 10 = 0)"
+
+def digests(spark, d):
+    t, g = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    return read(spark, d, "documents").select("doc_id", F.concat(F.md5(t), F.md5(F.reverse(t)), F.substring(F.md5(F.concat(g, t)), 1, 6)).alias("digest"))
+
+
+EXE = "exe AS (SELECT p_partkey AS nid, p_name || '_' || (p_partkey % 50) AS name, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'lib::' || p_brand ELSE p_brand END END AS scope FROM part)"
+
+
+def numbered_name(name, key):
+    """One of fifty names for each of the few that the table has."""
+    return F.concat(name, F.lit("_"), (F.col(key) % 50).cast("string"))
 
 
 def exe(spark, d):
     s = F.col("p_size")
     scope = F.when(s % 3 != 0, F.when(s % 2 == 0, F.concat(F.lit("lib::"), "p_brand")).otherwise(F.col("p_brand")))
-    return read(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("nid"), F.col("p_name").alias("name"), scope.alias("scope"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("nid"), numbered_name("p_name", "p_partkey").alias("name"), scope.alias("scope"))
 
 
-CAT = TOK + ", cat AS (SELECT repo, nid, name, scope FROM tok WHERE repo % 20 = 1)"
+CAT = TOK + ", cat AS (SELECT repo, nid, name || '_' || (nid % 50) AS name, scope FROM tok)"
 
 
 def catalogue(spark, d):
-    return tokens(spark, d).where("repo % 20 = 1").select("repo", "nid", "name", "scope")
+    return tokens(spark, d).select("repo", "nid", numbered_name("name", "nid").alias("name"), "scope")
 
 
 FITS = CAT + ", " + EXE + """, fit AS (SELECT e.nid, t.repo, t.nid AS repo_nid, e.name, e.scope, t.scope AS repo_scope, e.scope IS NOT DISTINCT FROM t.scope AS exact FROM exe e JOIN cat t USING (name)
@@ -35,7 +60,7 @@ def symbol_match(spark, d):
     return found.groupBy("repo").agg(F.count("*").alias("n"), F.countDistinct("nid").alias("functions"), F.sum(F.col("exact").cast("long")).alias("n_exact"))
 
 
-COMMON = "common AS (SELECT name AS identifier FROM (SELECT DISTINCT repo, name, scope FROM cat) GROUP BY name HAVING count(*) > 4)"
+COMMON = "common AS (SELECT name AS identifier FROM (SELECT DISTINCT repo, name, scope FROM cat) GROUP BY name HAVING count(*) > 30)"
 
 
 @query("WITH " + CAT.replace("WITH ", "") + ", " + EXE + ", " + COMMON + """, e2 AS (SELECT * FROM exe WHERE NOT (scope IS NULL AND name IN (SELECT identifier FROM common))), fit AS (SELECT e.nid, t.repo, t.nid AS repo_nid, e.scope IS NOT DISTINCT FROM t.scope AS exact FROM e2 e JOIN cat t USING (name)
@@ -43,7 +68,7 @@ WHERE e.scope IS NOT DISTINCT FROM t.scope OR (e.scope IS NOT NULL AND (t.scope
 SELECT nid, repo, count(*) AS n FROM best WHERE exact = any_exact AND repo_nid % 7 <> 0 AND repo_nid % 2 = 0 GROUP BY nid, repo""")
 def symbol_query(spark, d):
     cat = catalogue(spark, d)
-    found = M.symbol_query(exe(spark, d), cat, L.common_identifiers(cat, 4), cat.where("nid % 7 = 0"), cat.where("nid % 2 = 0"))
+    found = M.symbol_query(exe(spark, d), cat, L.common_identifiers(cat, 30), cat.where("nid % 7 = 0"), cat.where("nid % 2 = 0"))
     return found.groupBy("nid", "repo").agg(F.count("*").alias("n"))
 
 
@@ -58,7 +83,7 @@ OR (scope IS NULL AND repo_scope IS NULL AND name NOT IN (SELECT identifier FROM
 def namespace_analysis(spark, d):
     e, cat = exe(spark, d), catalogue(spark, d)
     found = M.match_symbols(e, cat).join(e, "nid").join(cat.select("repo", F.col("nid").alias("repo_nid"), F.col("scope").alias("repo_scope")), ["repo", "repo_nid"])
-    return M.likely(found, L.common_identifiers(cat, 4))
+    return M.likely(found, L.common_identifiers(cat, 30))
 
 
 @query("WITH " + FITS + " SELECT nid, min(repo) AS repo FROM best WHERE exact = any_exact GROUP BY nid")
@@ -83,36 +108,33 @@ def shared_namespaces(spark, d):
     return rows.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + CAT + ", " + COMMON + " SELECT a.repo AS ra, b.repo AS rb, count(*) AS n FROM cat a JOIN cat b ON a.name = b.name AND a.scope IS NOT DISTINCT FROM b.scope AND a.repo < b.repo WHERE NOT (a.name IN (SELECT identifier FROM common) AND (a.scope IS NULL OR a.scope IN ('std', 'main'))) GROUP BY a.repo, b.repo")
-def token_links(spark, d):
-    cat = catalogue(spark, d)
-    return L.token_links(cat, L.common_identifiers(cat, 4)).groupBy("ra", "rb").agg(F.count("*").alias("n"))
-
-
-@query("WITH " + CAT + """, w AS (SELECT repo, nid, name || '_' || (nid % 50) AS name, scope FROM cat), common AS (SELECT name AS identifier FROM (SELECT DISTINCT repo, name, scope FROM w) GROUP BY name HAVING count(*) > 12),
-x AS (SELECT * FROM w WHERE name NOT IN (SELECT identifier FROM common)), y AS (SELECT repo, name, min(nid) AS nid FROM x GROUP BY repo, name) SELECT a.repo AS ra, y.repo AS rb, a.nid AS a, y.nid AS b FROM x a JOIN y ON a.name = y.name AND a.repo < y.repo""")
-def identifier_links(spark, d):
-    cat = catalogue(spark, d).withColumn("name", F.concat("name", F.lit("_"), (F.col("nid") % 50).cast("string")))
-    return L.identifier_links(cat, L.common_identifiers(cat, 12))
+#: Digests of functions: of the name as it is or with four digits changed, of the function alone, or none.
+BODIES = "h AS (SELECT p_partkey AS nid, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN g WHEN p_partkey % 3 = 1 THEN substr(g, 1, 30) || 'aaaa' || substr(g, 35) ELSE md5('' || p_partkey) || substr(g, 33) END AS fhash FROM (SELECT p_partkey, md5(p_name) || md5(reverse(p_name)) || substr(md5(p_name), 1, 6) AS g FROM part))"
 
 
-DIG = "dig AS (SELECT doc_id, md5(coalesce(text, '')) || md5(reverse(coalesce(text, ''))) || substr(md5(coalesce(lang, '') || coalesce(text, '')), 1, 6) AS digest FROM documents)"
-NIB = "(instr('0123456789abcdef', substr({}, {}, 1)) - 1)"
+def hashes(spark, d):
+    n = F.col("p_name")
+    g = F.concat(F.md5(n), F.md5(F.reverse(n)), F.substring(F.md5(n), 1, 6))
+    k = F.col("p_partkey")
+    h = F.when(k % 11 == 0, None).when(k % 3 == 0, g).when(k % 3 == 1, F.concat(F.substring(g, 1, 30), F.lit("aaaa"), F.substring(g, 35, 36))).otherwise(F.concat(F.md5(k.cast("string")), F.substring(g, 33, 38)))
+    return read(spark, d, "part").select(k.alias("nid"), h.alias("fhash"))
 
 
-def _gap(i):
-    d = f"abs({NIB.format('a', i)} - {NIB.format('b', i)})"
-    g = f"least({d}, 16 - {d})"
-    return f"(CASE WHEN {g} <= 1 THEN {g} ELSE ({g} - 1) * 12 END)"
+def similar_sql(pairs):
+    """Those of the pairs (x, y) of nodes with similar bodies."""
+    return BODIES + f", hp AS (SELECT x, y, p.fhash AS a, q.fhash AS b FROM (SELECT DISTINCT x, y FROM {pairs}) LEFT JOIN h p ON p.nid = x LEFT JOIN h q ON q.nid = y), near AS (SELECT a, b FROM (SELECT DISTINCT a, b FROM hp WHERE a <> b) WHERE {DIST} < 50), alike AS (SELECT x, y FROM hp LEFT JOIN near USING (a, b) WHERE hp.a IS NOT DISTINCT FROM hp.b OR near.a IS NOT NULL)"
 
 
-_X, _Y = NIB.format("a", "i"), NIB.format("b", "i")
-DIST = f"""CAST((substr(a, 1, 2) <> substr(b, 1, 2))::INT + {_gap(5)} + {_gap(6)} + list_sum(list_transform(range(7, 71), lambda i: CASE WHEN abs({_X} // 4 - {_Y} // 4) = 3 THEN 6 ELSE abs({_X} // 4 - {_Y} // 4) END + CASE WHEN abs({_X} % 4 - {_Y} % 4) = 3 THEN 6 ELSE abs({_X} % 4 - {_Y} % 4) END)) AS INT)"""
+@query("WITH " + CAT + ", " + COMMON + ", z AS (SELECT a.repo AS ra, b.repo AS rb, a.nid AS x, b.nid AS y FROM cat a JOIN cat b ON a.name = b.name AND a.scope IS NOT DISTINCT FROM b.scope AND a.repo < b.repo WHERE NOT (a.name IN (SELECT identifier FROM common) AND (a.scope IS NULL OR a.scope IN ('std', 'main')))), " + similar_sql("z") + " SELECT ra, rb, count(*) AS n FROM z JOIN alike USING (x, y) GROUP BY ra, rb")
+def token_links(spark, d):
+    cat = catalogue(spark, d)
+    return L.token_links(cat, L.common_identifiers(cat, 30), hashes(spark, d).where("fhash IS NOT NULL")).groupBy("ra", "rb").agg(F.count("*").alias("n"))
 
 
-def digests(spark, d):
-    t, g = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
-    return read(spark, d, "documents").select("doc_id", F.concat(F.md5(t), F.md5(F.reverse(t)), F.substring(F.md5(F.concat(g, t)), 1, 6)).alias("digest"))
+@query("WITH " + CAT + ", common AS (SELECT name AS identifier FROM (SELECT DISTINCT repo, name, scope FROM cat) GROUP BY name HAVING count(*) > 60), w AS (SELECT * FROM cat WHERE name NOT IN (SELECT identifier FROM common)), z AS (SELECT a.repo AS ra, b.repo AS rb, a.nid AS x, b.nid AS y FROM w a JOIN w b ON a.name = b.name AND a.repo < b.repo), " + similar_sql("z") + " SELECT ra, rb, x AS a, min(y) AS b FROM z JOIN alike USING (x, y) GROUP BY ra, rb, x")
+def identifier_links(spark, d):
+    cat = catalogue(spark, d)
+    return L.identifier_links(cat, L.common_identifiers(cat, 60), hashes(spark, d).where("fhash IS NOT NULL"))
 
 
 @query("WITH " + DIG + f" SELECT x.doc_id, {DIST} AS distance FROM (SELECT x.doc_id, x.digest AS a, y.digest AS b FROM dig x JOIN dig y ON y.doc_id = x.doc_id // 2) x")
@@ -122,36 +144,45 @@ def digest_distances(spark, d):
     return g.join(half, F.floor(F.col("doc_id") / 2) == F.col("h")).select("doc_id", distance(F.col("digest"), F.col("b")).alias("distance"))
 
 
-NEAR = "near AS (SELECT digest, doc_id FROM dig UNION SELECT substr(digest, 1, 30) || repeat('a', 4) || substr(digest, 35), doc_id + 1000000 FROM dig WHERE doc_id % 50 = 0)"
+HEADERS = f"SELECT u.digest AS a, v.digest AS b FROM u, v WHERE {_gap(5)} + {_gap(6)} < 50".replace("substr(a, ", "substr(u.digest, ").replace("substr(b, ", "substr(v.digest, ")
 
 
-@query("WITH " + DIG + f", u AS (SELECT DISTINCT digest FROM dig WHERE digest[6] IN ('0', '1')), v AS (SELECT DISTINCT substr(digest, 1, 30) || 'aaaa' || substr(digest, 35) AS digest FROM dig WHERE doc_id % 5 = 0), p AS (SELECT u.digest AS a, v.digest AS b FROM u, v) SELECT a, b, distance FROM (SELECT a, b, {DIST} AS distance FROM p) WHERE distance < 50")
+@query("WITH " + DIG + f", u AS (SELECT DISTINCT digest FROM dig), v AS (SELECT DISTINCT substr(digest, 1, 30) || 'aaaa' || substr(digest, 35) AS digest FROM dig), p AS ({HEADERS}) SELECT a, b, distance FROM (SELECT a, b, {DIST} AS distance FROM p) WHERE distance < 50")
 def similar_digests(spark, d):
+    """Each digest against all, four digits of which were changed."""
     g = digests(spark, d)
-    u = g.where(F.substring("digest", 6, 1).isin("0", "1")).select("digest").distinct()
-    v = g.where("doc_id % 5 = 0").select(F.concat(F.substring("digest", 1, 30), F.lit("aaaa"), F.substring("digest", 35, 36)).alias("digest")).distinct()
-    return M.similar_bodies(u, v)
+    v = g.select(F.concat(F.substring("digest", 1, 30), F.lit("aaaa"), F.substring("digest", 35, 36)).alias("digest")).distinct()
+    return M.similar_bodies(g.select("digest").distinct(), v)
 
 
-@query("WITH x AS (SELECT l_partkey AS name, l_suppkey AS ns, l_linenumber AS line FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'), y AS (SELECT l_partkey AS name, l_suppkey AS ns, l_linenumber AS line FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01') SELECT CASE WHEN x.ns = y.ns THEN 'same' WHEN x.line = y.line THEN 'equal' WHEN abs(x.line - y.line) < 3 THEN 'similar' ELSE 'none' END AS relation, count(*) AS n FROM x JOIN y USING (name) GROUP BY 1")
-def version_relations(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("ns"), F.col("l_linenumber").alias("line"), (F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp")).alias("old"))
-    x, y = li.where("old").alias("x"), li.where("NOT old").alias("y")
-    relation = F.when(F.col("x.ns") == F.col("y.ns"), "same").when(F.col("x.line") == F.col("y.line"), "equal").when(F.abs(F.col("x.line") - F.col("y.line")) < 3, "similar").otherwise("none")
-    return x.join(y, F.col("x.name") == F.col("y.name")).groupBy(relation.alias("relation")).agg(F.count("*").alias("n"))
+#: Functions of two versions, four to a name; bodies of ten in a row are equal, near, their own or missing.
+VERSIONS = """fn AS (SELECT doc_id AS id, 'f' || (doc_id // 4) AS name, CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 5 = 1 THEN lang END AS ns, '/src/' || (doc_id % 3) || '/' || coalesce(lang, '') || (doc_id % 7) || '.c' AS path,
+CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 6 < 2 THEN g WHEN doc_id % 6 < 4 THEN substr(g, 1, 30) || 'aaaa' || substr(g, 35) ELSE md5(coalesce(text, '')) || substr(g, 33) END AS fhash, doc_id % 4 < 2 AS old
+FROM (SELECT *, md5('' || doc_id // 10) || md5('b' || doc_id // 10) || substr(md5('c' || doc_id // 10), 1, 6) AS g FROM documents)), va AS (SELECT * FROM fn WHERE old), vb AS (SELECT * FROM fn WHERE NOT old)"""
+SAME = "(coalesce(x.ns = y.ns, false) OR string_split(x.path, '/')[-1] = string_split(y.path, '/')[-1] OR coalesce(x.fhash = y.fhash, false))"
+RELATED = VERSIONS + f", vp AS (SELECT x.id AS x, y.id AS y, {SAME} AS same, x.fhash AS a, y.fhash AS b FROM va x JOIN vb y USING (name)), rel AS (SELECT x AS a, y AS b, CASE WHEN same THEN 'same' ELSE 'similar' END AS relation FROM vp WHERE same OR (a IS NOT NULL AND b IS NOT NULL AND {DIST} < 50))"
 
 
-@query("WITH " + DIG + ", x AS (SELECT DISTINCT digest FROM dig WHERE doc_id % 2 = 0), y AS (SELECT DISTINCT digest FROM dig WHERE doc_id % 2 = 1) SELECT (SELECT count(*) FROM x JOIN y USING (digest)) AS exact, (SELECT count(*) FROM x WHERE digest NOT IN (SELECT digest FROM y)) AS left_over")
-def implementation_relations(spark, d):
-    g = digests(spark, d)
-    x, y = g.where("doc_id % 2 = 0").select("digest").distinct(), g.where("doc_id % 2 = 1").select("digest").distinct()
-    return x.join(y, "digest").agg(F.count("*").alias("exact")).withColumn("left_over", x.join(y, "digest", "left_anti").agg(F.count("*")).scalar())
+def two_versions(spark, d):
+    k, g, name = F.col("doc_id"), F.floor(F.col("doc_id") / 10).cast("string"), F.floor(F.col("doc_id") / 4).cast("string")
+    base = F.concat(F.md5(g), F.md5(F.concat(F.lit("b"), g)), F.substring(F.md5(F.concat(F.lit("c"), g)), 1, 6))
+    h = F.when(k % 13 == 0, None).when(k % 6 < 2, base).when(k % 6 < 4, F.concat(F.substring(base, 1, 30), F.lit("aaaa"), F.substring(base, 35, 36))).otherwise(F.concat(F.md5(F.coalesce("text", F.lit(""))), F.substring(base, 33, 38)))
+    path = F.concat(F.lit("/src/"), (k % 3).cast("string"), F.lit("/"), F.coalesce("lang", F.lit("")), (k % 7).cast("string"), F.lit(".c"))
+    rows = read(spark, d, "documents").select(k.alias("id"), F.concat(F.lit("f"), name).alias("name"), F.when(k % 5 == 0, F.col("source")).when(k % 5 == 1, F.col("lang")).alias("ns"), path.alias("path"), h.alias("fhash"))
+    return rows.where("id % 4 < 2"), rows.where("id % 4 >= 2")
 
 
-@query("SELECT p_partkey, l_suppkey AS path, l_linenumber AS line FROM part JOIN lineitem ON l_partkey = p_partkey AND ltrim('/' || l_returnflag, '/') = 'R'")
-def hash_path_lookup(spark, d):
-    li = read(spark, d, "lineitem").where(F.ltrim(F.concat(F.lit("/"), "l_returnflag"), F.lit("/")) == "R")
-    return read(spark, d, "part").join(li, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("line"))
+@query("WITH " + RELATED + " SELECT a, b, relation FROM rel")
+def version_relations(spark, d):
+    return M.version_relations(*two_versions(spark, d))
+
+
+@query("WITH " + RELATED + f""", la AS (SELECT id, fhash FROM va WHERE fhash IS NOT NULL AND id NOT IN (SELECT a FROM rel)), lb AS (SELECT id, fhash FROM vb WHERE fhash IS NOT NULL AND id NOT IN (SELECT b FROM rel)),
+rest AS (SELECT * FROM la WHERE fhash NOT IN (SELECT fhash FROM vb WHERE fhash IS NOT NULL)), u AS (SELECT DISTINCT fhash AS digest FROM rest), v AS (SELECT DISTINCT fhash AS digest FROM lb), p AS ({HEADERS}), near AS (SELECT a, b FROM p WHERE {DIST} < 50)
+SELECT la.id AS a, lb.id AS b, true AS exact FROM la JOIN lb USING (fhash) UNION ALL SELECT rest.id, lb.id, false FROM near JOIN rest ON rest.fhash = near.a JOIN lb ON lb.fhash = near.b""")
+def implementation_relations(spark, d):
+    a, b = two_versions(spark, d)
+    return M.implementation_relations(a, b, M.version_relations(a, b))
 
 
 @query("WITH " + EDGE + ", m AS (SELECT DISTINCT l_suppkey AS nid, l_linenumber AS repo FROM lineitem WHERE l_quantity <= 10) SELECT a.repo, src, dst FROM edge JOIN m a ON a.nid = src JOIN m b ON b.nid = dst AND a.repo = b.repo")
@@ -171,7 +202,19 @@ def identifier_index(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("nids"))
 
 
-GRAPHS = """ga AS (SELECT doc_id AS nid, CASE WHEN doc_id % 4 = 0 THEN 'f' || doc_id END AS label, unnest(string_split(text, ' ')[1:6]) AS string FROM documents WHERE doc_id % 2 = 0), gb AS (SELECT doc_id AS nid, CASE WHEN doc_id % 4 = 1 THEN 'f' || (doc_id - 1) END AS label, unnest(string_split(text, ' ')[1:6]) AS string FROM documents WHERE doc_id % 2 = 1)"""
+@query("WITH " + INC + " SELECT repo, ver || '' AS fhash, count(*) AS n, min(fid) AS first FROM inc GROUP BY repo, ver")
+def body_index(spark, d):
+    """Nodes of each body of a repository (here: what one day brought)."""
+    return incidence(spark, d).groupBy("repo", F.col("ver").alias("fhash")).agg(F.count("*").alias("n"), F.min("fid").alias("first"))
+
+
+@query("SELECT l_partkey AS nid, string_agg(DISTINCT l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber || ':' || l_returnflag) AS fhashes FROM lineitem GROUP BY l_partkey")
+def bodies_of_node(spark, d):
+    h = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), "l_returnflag")
+    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("nid")).agg(F.array_join(F.array_sort(F.collect_set(h)), ",").alias("fhashes"))
+
+
+GRAPHS = """ga AS (SELECT doc_id AS nid, CASE WHEN doc_id % 4 = 0 THEN 'f' || doc_id END AS label, unnest(string_split(text, ' ')) AS string FROM documents WHERE doc_id % 2 = 0), gb AS (SELECT doc_id AS nid, CASE WHEN doc_id % 4 = 1 THEN 'f' || (doc_id - 1) END AS label, unnest(string_split(text, ' ')) AS string FROM documents WHERE doc_id % 2 = 1)"""
 
 
 @query("WITH " + GRAPHS + """, l AS (SELECT DISTINCT ga.nid AS a, gb.nid AS b FROM ga JOIN gb USING (label)), x AS (SELECT DISTINCT nid AS a, string FROM ga WHERE nid NOT IN (SELECT a FROM l)), y AS (SELECT DISTINCT nid AS b, string FROM gb WHERE nid NOT IN (SELECT b FROM l)),
@@ -180,7 +223,7 @@ SELECT a, b, 'string', score, round(shared / ((SELECT count(*) FROM x WHERE x.a
 def node_match(spark, d):
     docs = read(spark, d, "documents")
     k = F.col("doc_id")
-    half = lambda r, label: docs.where(k % 2 == r).select(k.alias("nid"), label.alias("label"), F.explode(F.slice(F.split("text", " "), 1, 6)).alias("string"))
+    half = lambda r, label: docs.where(k % 2 == r).select(k.alias("nid"), label.alias("label"), F.explode(F.split("text", " ")).alias("string"))
     a = half(0, F.when(k % 4 == 0, F.concat(F.lit("f"), k.cast("string"))))
     b = half(1, F.when(k % 4 == 1, F.concat(F.lit("f"), (k - 1).cast("string"))))
     return M.shared_label_string(a, b).withColumn("ratio", F.round("ratio", 6))
@@ -235,10 +278,15 @@ def enclosing_functions(spark, d):
     return M.enclosing(li.select(F.col("l_suppkey").alias("path"), q.alias("line")).distinct(), f)
 
 
-@query("WITH " + EDGE + " SELECT src, dst FROM edge JOIN (SELECT s_suppkey, s_nationkey * 4 AS a, s_nationkey * 4 + 30 AS b FROM supplier) ON s_suppkey = src WHERE dst BETWEEN a AND b")
+@query("WITH f AS (SELECT DISTINCT l_suppkey || '.c' AS path, l_partkey AS nid, l_linenumber * 3 AS s, l_linenumber * 3 + CAST(l_quantity AS BIGINT) % 12 AS e FROM lineitem), r AS (SELECT (o_custkey % 100) || '.c' AS path, 'g' || (o_custkey % 37) AS symbol, o_orderkey % 40 AS line FROM orders) SELECT DISTINCT nid, symbol FROM f JOIN r USING (path) WHERE line BETWEEN s AND e")
 def callees_in_range(spark, d):
-    r = read(spark, d, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") * 4).alias("a"), (F.col("s_nationkey") * 4 + 30).alias("b"))
-    return call_edges(spark, d).join(r, "src").where("dst BETWEEN a AND b").select("src", "dst")
+    """Callees from cross-reference lines that stand inside each function."""
+    li, k = read(spark, d, "lineitem"), F.col("o_custkey")
+    n = F.col("l_linenumber")
+    f = li.select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".c")).alias("path"), F.col("l_partkey").alias("nid"), (n * 3).alias("line_start"), (n * 3 + F.col("l_quantity").cast("long") % 12).alias("line_end")).distinct()
+    value = F.concat((k % 100).cast("string"), F.lit(".c g"), (k % 37).cast("string"), F.lit(" "), (F.col("o_orderkey") % 40).cast("string"), F.lit(" call()"))
+    lines = read(spark, d, "orders").select(F.lit("x").alias("path"), F.col("o_orderkey").alias("line_no"), value.alias("value"))
+    return M.callees_in_range(f, R.cross_references(lines))
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'")

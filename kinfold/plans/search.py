@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.operators import graph as G
+from kinfold.operators import joint as J
 from kinfold.operators import matching as M
 from kinfold.operators import vectors as V
-from kinfold.plans.base import EDGE, TOK, call_edges, query, read
-from kinfold.plans.matching import CAT, EXE, FITS, catalogue, exe
+from kinfold.plans.base import incidence, links, query, read
+from kinfold.plans.matching import COMMON, FITS, catalogue, exe
 
-VEC = "q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), c AS (SELECT vec_id AS id, label AS repo, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 50)"
+VEC = "q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS id, label AS repo, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 L2 = VEC + ", k AS (SELECT query, id, repo, round(list_distance(q.v, c.v) ** 2, 9) AS score FROM q, c), hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, id) AS rank FROM k) WHERE rank <= 10 AND score < 1.3)"
 COS = VEC + ", k AS (SELECT query, id, repo, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM q, c), hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k) WHERE rank <= 100 AND score >= 0.3)"
 SCORE = ", pairs AS (SELECT DISTINCT query, repo FROM hit), share AS (SELECT query, {} / 5.0 ** (count(*) - 1) AS share FROM pairs GROUP BY query) SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM pairs JOIN share USING (query) GROUP BY repo"
 
 
 def sides(spark, d):
+    """Every hundredth vector as a query, all vectors, and the repository of each."""
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
-    c = e.where("vec_id >= 50").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return q, c, e.where("vec_id >= 50").select(F.col("vec_id").alias("id"), F.col("label").alias("repo"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    c = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return q, c, e.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("repo"))
 
 
 def complexities(q):
@@ -51,10 +53,23 @@ def vector_repo_scores(spark, d):
     return V.repo_scores(V.nearest(q, c, 10, "l2", 1.3), holds, complexities(q)).withColumn("score", F.round("score", 6))
 
 
-@query("WITH " + COS + SCORE.format("any_value(1 + query % 17)"))
+INSN = ", insn AS (SELECT l_partkey AS nid, sum(l_linenumber) AS n_insn FROM lineitem GROUP BY l_partkey)"
+#: As SCORE, with the number of instructions for the weight; functions without any have no say.
+BY_INSN = INSN + ", pairs AS (SELECT DISTINCT query, repo FROM hit), share AS (SELECT query, any_value(n_insn) / 5.0 ** (count(*) - 1) AS share FROM pairs JOIN insn ON nid = query GROUP BY query) SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM pairs JOIN share USING (query) GROUP BY repo"
+
+
+def instructions(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("nid")).agg(F.sum("l_linenumber").alias("n_insn"))
+
+
+def by_instructions(spark, d):
+    return instructions(spark, d).select(F.col("nid").alias("query"), F.col("n_insn").cast("double").alias("weight"))
+
+
+@query("WITH " + COS + BY_INSN)
 def binary_repo_scores(spark, d):
     q, c, holds = sides(spark, d)
-    return V.repo_scores(V.nearest(q, c, 100, "cosine", 0.3), holds, complexities(q)).withColumn("score", F.round("score", 6))
+    return V.repo_scores(V.nearest(q, c, 100, "cosine", 0.3), holds, by_instructions(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT l_partkey AS nid, CAST(sum(l_linenumber) AS BIGINT) AS n_insn, round(1 / (ln(count(DISTINCT l_suppkey) + 2) * ln(sum(l_linenumber) + 2)), 6) AS score FROM lineitem GROUP BY l_partkey")
@@ -95,83 +110,188 @@ def ordered_scores(spark, d):
     return scored.select(F.row_number().over(Window.orderBy(F.desc("score"), "repo")).cast("long").alias("place"), "repo", "score")
 
 
-MATCHED = FITS + ", m AS (SELECT DISTINCT nid, repo FROM best WHERE exact = any_exact), ce AS (SELECT DISTINCT p_partkey - p_partkey % 10 AS src, (p_partkey * 7) - (p_partkey * 7) % 10 AS dst FROM part), me AS (SELECT a.repo, count(*) AS n_edges FROM ce JOIN m a ON a.nid = src JOIN m b ON b.nid = dst AND b.repo = a.repo GROUP BY a.repo)"
+#: Roles of the composite queries: parts are an executable's functions; in fours each calls the next; ten in a row share a
+#: file, one in seven has no debug line; those with an embedding have a vector; the best of a file has the lowest price.
+RATIO, GATE = 0.15, 20
+LIKELY = FITS + ", " + COMMON + """, lk AS (SELECT nid, repo FROM best WHERE exact = any_exact GROUP BY nid, repo HAVING bool_or(coalesce(repo_scope IS NOT NULL AND scope IS NOT NULL AND (scope = repo_scope OR starts_with(scope, repo_scope || '::')), false)
+OR (scope IS NULL AND repo_scope IS NULL AND name NOT IN (SELECT identifier FROM common) AND length(name) > 10))), te AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 4 <> 3),
+fn AS (SELECT p_partkey AS nid, p_partkey // 10 AS path, p_retailprice AS mi FROM part WHERE p_partkey % 7 <> 3)"""
+#: Repositories choose in turn: a step of the recursion is one repository, with what all before it have claimed.
+TURNS = LIKELY + """, own AS (SELECT row_number() OVER (ORDER BY repo) AS k, repo, list(nid) AS nids FROM lk GROUP BY repo), calls AS (SELECT x.repo AS repo, list({'s': src, 'd': dst}) AS es FROM te JOIN lk x ON x.nid = src JOIN lk y ON y.nid = dst AND y.repo = x.repo GROUP BY x.repo),
+turn AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS repo, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS free, false AS edged, false AS claimed UNION ALL SELECT k, repo, CASE WHEN won THEN list_concat(taken, free) ELSE taken END, free, edged, won FROM (SELECT *, len(free) >= {least} AND {need} AS won FROM (SELECT *, len(list_filter(es, lambda e: list_contains(free, e.s) AND list_contains(free, e.d))) > 0 AS edged
+FROM (SELECT own.k, own.repo, taken, list_filter(nids, lambda x: NOT list_contains(taken, x)) AS free, coalesce(es, []) AS es FROM turn JOIN own ON own.k = turn.k + 1 LEFT JOIN calls ON calls.repo = own.repo)))), cl AS (SELECT repo, unnest(free) AS nid, claimed, edged FROM turn WHERE k > 0)"""
+TURN20, TURN1 = TURNS.replace("{least}", "20").replace("{need}", "edged"), TURNS.replace("{least}", "1").replace("{need}", "true")
 
 
-def matched(spark, d):
-    return M.match_symbols(exe(spark, d), catalogue(spark, d)).select("nid", "repo").distinct()
+def likely(spark, d):
+    return M.likely_pairs(exe(spark, d), catalogue(spark, d), 30).withColumn("exe", F.lit(1))
 
 
 def exe_edges(spark, d):
     k = F.col("p_partkey")
-    return read(spark, d, "part").select((k - k % 10).alias("src"), (k * 7 - (k * 7) % 10).alias("dst")).distinct()
+    return read(spark, d, "part").where(k % 4 != 3).select(F.lit(1).alias("exe"), k.alias("src"), (k + 1).alias("dst"))
+
+
+def source_functions(spark, d):
+    k = F.col("p_partkey")
+    return read(spark, d, "part").where(k % 7 != 3).select(k.alias("nid"), F.floor(k / 10).alias("path"), F.col("p_retailprice").alias("mi"))
+
+
+def vectors_of(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("nid"), F.col("embedding").alias("vec"))
 
 
-@query("WITH " + MATCHED + " SELECT repo, count(*) AS n, coalesce(any_value(n_edges), 0) AS n_edges FROM m LEFT JOIN me USING (repo) GROUP BY repo")
+def complexity(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("query"), (1 + F.col("p_partkey") % 17).cast("double").alias("weight"))
+
+
+def searcher(spark, d, metric, k, threshold):
+    _, corpus, holds = sides(spark, d)
+    return (lambda q: V.nearest(q, corpus, k, metric, threshold)), holds
+
+
+@query("WITH RECURSIVE " + TURN1 + " SELECT repo, count(*) AS n, any_value(edged) AS edged FROM cl WHERE claimed GROUP BY repo")
 def symbol_analysis(spark, d):
-    m = matched(spark, d)
-    e = M.matched_edges(exe_edges(spark, d), m).groupBy("repo").agg(F.count("*").alias("n_edges"))
-    return m.groupBy("repo").agg(F.count("*").alias("n")).join(e, "repo", "left").fillna(0, ["n_edges"])
+    """Names only: a repository with any free likely function claims all of them."""
+    found = J.claims(likely(spark, d), exe_edges(spark, d), 1, need_edge=False)
+    return found.where("claimed").groupBy("repo").agg(F.count("*").alias("n"), F.first("edged").alias("edged"))
+
+
+@query("WITH RECURSIVE " + TURN1 + ", r AS (SELECT nid AS node, repo FROM cl WHERE claimed UNION SELECT dst, repo FROM r JOIN te ON src = node) SELECT repo, count(*) AS n FROM r GROUP BY repo")
+def symbol_reachable(spark, d):
+    """How many functions are reached from those that each repository claimed."""
+    edges = exe_edges(spark, d)
+    found = J.claims(likely(spark, d), edges, 1, need_edge=False).where("claimed")
+    reached = G.reach(edges.select("src", "dst"), found.select(F.col("repo").alias("seed"), F.col("nid").alias("node")))
+    return reached.groupBy(F.col("seed").alias("repo")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + MATCHED + " SELECT repo, count(*) AS n FROM m JOIN me USING (repo) WHERE n_edges >= 1 GROUP BY repo HAVING count(*) >= 20")
+@query("WITH RECURSIVE " + TURN20 + " SELECT repo, count(*) AS n FROM cl WHERE claimed GROUP BY repo")
 def joint_symbol_phase(spark, d):
-    return symbol_analysis(spark, d).where("n >= 20 AND n_edges >= 1").select("repo", "n")
+    return J.claims(likely(spark, d), exe_edges(spark, d), GATE).where("claimed").groupBy("repo").agg(F.count("*").alias("n"))
+
+
+def _scores(name, queries, metric="l2"):
+    """CTEs {name}_hit and {name}: scores by the vectors of the functions that ``queries`` selects."""
+    measure, keep = ("round(list_distance(q.v, c.v) ** 2, 9)", "rank <= 10 AND score < 1.3") if metric == "l2" else ("round(list_cosine_similarity(q.v, c.v), 9)", "rank <= 100 AND score >= 0.3")
+    order = "score" if metric == "l2" else "score DESC"
+    return f"""{name}_q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN ({queries})), {name}_c AS (SELECT vec_id AS id, label AS repo, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{name}_k AS (SELECT query, id, repo, {measure} AS score FROM {name}_q q, {name}_c c), {name}_hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {order}, id) AS rank FROM {name}_k) WHERE {keep}),
+{name}_p AS (SELECT DISTINCT query, repo FROM {name}_hit), {name}_s AS (SELECT query, any_value(1 + query % 17) / 5.0 ** (count(*) - 1) AS share FROM {name}_p GROUP BY query), {name} AS (SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM {name}_p JOIN {name}_s USING (query) GROUP BY repo)"""
+
+
+def _best(name, where="true"):
+    return f"{name} AS (SELECT nid, path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mi, nid) AS r, count(*) OVER (PARTITION BY path) AS m FROM fn WHERE {where}) WHERE r <= ceil(m * {RATIO}))"
+
 
+FN = "fn AS (SELECT p_partkey AS nid, p_partkey // 10 AS path, p_retailprice AS mi FROM part WHERE p_partkey % 7 <> 3)"
 
-@query("WITH " + L2.replace("vec_id < 50)", "vec_id < 50 AND vec_id % 2 = 0)") + SCORE.format("any_value(1 + query % 17)"))
+
+@query("WITH " + FN + ", " + _scores("s", "SELECT nid FROM fn") + " SELECT repo, score, n FROM s")
+def source_vector_query(spark, d):
+    """Vectors of all functions with sources."""
+    search, holds = searcher(spark, d, "l2", 10, 1.3)
+    q = source_functions(spark, d).join(vectors_of(spark, d), "nid").select(F.col("nid").alias("query"), "vec")
+    return V.repo_scores(search(q), holds, complexity(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + FN + ", " + _best("sel") + ", " + _scores("s", "SELECT nid FROM sel") + " SELECT repo, score, n FROM s")
 def selective_vector_query(spark, d):
-    q, c, holds = sides(spark, d)
-    q = q.where("query % 2 = 0")
-    return V.repo_scores(V.nearest(q, c, 10, "l2", 1.3), holds, complexities(q)).withColumn("score", F.round("score", 6))
+    """Vectors of each file's representatives."""
+    search, holds = searcher(spark, d, "l2", 10, 1.3)
+    chosen = J.representatives(source_functions(spark, d), RATIO).join(vectors_of(spark, d), "nid").select("path", F.col("nid").alias("query"), "vec")
+    return J.vector_phase(chosen, search, holds, complexity(spark, d))[0].withColumn("score", F.round("score", 6))
+
 
+PHASES = TURN20 + ", " + _best("sel") + ", " + _scores("s", "SELECT nid FROM sel") + """, nf AS (SELECT count(DISTINCT path) AS files FROM sel WHERE nid IN (SELECT vec_id FROM embeddings)), jd AS (SELECT repo, score, score > files AS matched FROM s, nf WHERE repo IN (SELECT repo FROM cl WHERE NOT claimed)),
+vis AS (SELECT nid AS node FROM cl WHERE claimed OR repo IN (SELECT repo FROM jd WHERE matched) UNION SELECT dst FROM vis JOIN te ON src = node), done AS (SELECT path FROM fn GROUP BY path HAVING bool_and(nid IN (SELECT node FROM vis))), """ + _best("sel2", "path NOT IN (SELECT path FROM done)") + ", " + _scores("s2", "SELECT nid FROM sel2")
+JOINT = "SELECT 'symbol' AS phase, repo, CAST(count(*) AS DOUBLE) AS score FROM cl WHERE claimed GROUP BY repo UNION ALL SELECT CASE WHEN matched THEN 'vector' ELSE 'low' END, repo, score FROM jd UNION ALL SELECT 'selective', repo, score FROM s2"
 
-@query("SELECT repo, score, score > 5 AS confirmed FROM (WITH " + L2 + SCORE.format("any_value(1 + query % 17)") + ")")
+
+def joint_parts(spark, d):
+    search, holds = searcher(spark, d, "l2", 10, 1.3)
+    return J.joint(likely(spark, d), exe_edges(spark, d), source_functions(spark, d), vectors_of(spark, d), search, holds, complexity(spark, d), RATIO, GATE)
+
+
+@query("WITH RECURSIVE " + PHASES + " SELECT repo, score, matched FROM jd")
 def joint_vector_confirm(spark, d):
-    return vector_repo_scores(spark, d).select("repo", "score", (F.col("score") > 5).alias("confirmed"))
+    search, holds = searcher(spark, d, "l2", 10, 1.3)
+    found, _ = J.symbol_phase(likely(spark, d), exe_edges(spark, d), GATE)
+    chosen = J.representatives(source_functions(spark, d), RATIO).join(vectors_of(spark, d), "nid").select("path", F.col("nid").alias("query"), "vec")
+    scores, files = J.vector_phase(chosen, search, holds, complexity(spark, d))
+    return J.confirmed(found, scores.withColumn("score", F.round("score", 6)), files)
 
 
-@query("SELECT repo, score, n FROM (WITH " + L2.replace("vec_id < 50)", "vec_id < 50 AND vec_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 10))") + SCORE.format("any_value(1 + query % 17)") + ")")
+@query("WITH RECURSIVE " + PHASES + " SELECT repo, score FROM s2")
 def joint_remaining_vectors(spark, d):
-    q, c, holds = sides(spark, d)
-    visited = read(spark, d, "lineitem").where("l_quantity <= 10").select(F.col("l_partkey").alias("query")).distinct()
-    q = q.join(visited, "query", "left_anti")
-    return V.repo_scores(V.nearest(q, c, 10, "l2", 1.3), holds, complexities(q)).withColumn("score", F.round("score", 6))
+    return joint_parts(spark, d)[0].where("phase = 'selective'").select("repo", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("WITH RECURSIVE " + PHASES + " " + JOINT)
 def joint_analysis(spark, d):
-    """One row for each phase and repository: symbols, vectors, and what is reached from matched functions."""
-    symbol = joint_symbol_phase(spark, d).select(F.lit("symbol").alias("phase"), F.col("repo").cast("long").alias("repo"), F.col("n").cast("double").alias("score"))
-    vector = joint_vector_confirm(spark, d).select(F.when(F.col("confirmed"), "vector").otherwise("low").alias("phase"), F.col("repo").cast("long").alias("repo"), "score")
-    m = matched(spark, d)
-    reached = G.reach(exe_edges(spark, d), m.select(F.col("repo").alias("seed"), F.col("nid").alias("node")))
-    far = reached.groupBy(F.col("seed").alias("repo")).agg(F.count("*").cast("double").alias("score")).select(F.lit("reached").alias("phase"), F.col("repo").cast("long").alias("repo"), "score")
-    return symbol.unionByName(vector).unionByName(far)
+    """One row for each phase and repository; what a phase claims or visits is left out of the next."""
+    return joint_parts(spark, d)[0].withColumn("score", F.round("score", 6))
 
 
-@query("SELECT repo, score, n FROM (WITH " + COS.replace("vec_id < 50)", "vec_id < 50 AND vec_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 5))") + SCORE.format("any_value(1 + query % 17)") + ")")
+@query()
+def joint_reachable(spark, d):
+    """Repositories that those with claimed functions reach along links whose functions are reachable inside them."""
+    found, _ = J.symbol_phase(likely(spark, d), exe_edges(spark, d), GATE)
+    own = M.match_symbols(exe(spark, d), catalogue(spark, d)).join(found.where("claimed").select("repo", "nid"), ["repo", "nid"]).select("repo", F.col("repo_nid").alias("node")).distinct()
+    holds = incidence(spark, d).select("repo", F.col("fid").alias("node"), "fid")
+    a, b = holds.select(F.col("repo").alias("src"), "fid"), holds.select(F.col("repo").alias("dst"), "fid")
+    used = links(spark, d).select("src", "dst").join(a, "src").join(b, ["dst", "fid"])
+    inner = holds.join(exe_edges(spark, d).select(F.col("src").alias("node"), "dst"), "node").join(holds.select("repo", F.col("node").alias("dst")), ["repo", "dst"]).select("repo", F.col("node").alias("src"), "dst")
+    return G.cross_repo_reach(inner, used, holds, own)
+
+
+@query("WITH bq AS (SELECT p_partkey AS nid FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 5)), " + _scores("x", "SELECT nid FROM bq", "cos").replace(", x AS (", ", x0 AS (") + INSN + ", z AS (SELECT query, any_value(n_insn) / 5.0 ** (count(*) - 1) AS share FROM x_p JOIN insn ON nid = query GROUP BY query) SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM x_p JOIN z USING (query) GROUP BY repo")
 def binary_only_query(spark, d):
-    q, c, holds = sides(spark, d)
-    lines = read(spark, d, "lineitem").where("l_quantity <= 5").select(F.col("l_partkey").alias("query")).distinct()
-    q = q.join(lines, "query", "left_anti")
-    return V.repo_scores(V.nearest(q, c, 100, "cosine", 0.3), holds, complexities(q)).withColumn("score", F.round("score", 6))
+    """Vectors of functions that no debug line names."""
+    search, holds = searcher(spark, d, "cosine", 100, 0.3)
+    lines = read(spark, d, "lineitem").where("l_quantity <= 5").select(F.col("l_partkey").alias("nid")).distinct()
+    q = vectors_of(spark, d).join(lines, "nid", "left_anti").join(read(spark, d, "part").select(F.col("p_partkey").alias("nid")), "nid", "left_semi")
+    return V.repo_scores(search(q.select(F.col("nid").alias("query"), "vec")), holds, by_instructions(spark, d)).withColumn("score", F.round("score", 6))
+
+
+#: Functions that the joint analysis left, the share of them with the highest score, and repositories by name and vector.
+REMAINING = PHASES + INSN + """, sy AS (SELECT DISTINCT nid, repo FROM cl), lf AS (SELECT nid, count(*) AS repos FROM sy WHERE nid NOT IN (SELECT node FROM vis) GROUP BY nid), nd AS (SELECT nid, n_insn, 1 / (ln(repos + 2) * ln(n_insn + 2)) AS score FROM lf JOIN insn USING (nid)),
+tp AS (SELECT nid FROM (SELECT nid, row_number() OVER (ORDER BY score DESC, nid) AS r, count(*) OVER () AS m FROM nd) WHERE r <= least(m, floor(m * 0.5) + 1)), """ + _scores("y", "SELECT nid FROM tp", "cos") + """, yb AS (SELECT DISTINCT y_p.query, y_p.repo FROM y_p JOIN sy ON sy.nid = query AND sy.repo = y_p.repo),
+ys AS (SELECT query, any_value(n_insn) / 5.0 ** (count(*) - 1) AS share FROM yb JOIN insn ON nid = query GROUP BY query), br AS (SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM yb JOIN ys USING (query) GROUP BY repo)"""
+
 
+def binary_rest(spark, d, found, visited):
+    search, holds = searcher(spark, d, "cosine", 100, 0.3)
+    return J.remaining_binary(found, visited, instructions(spark, d), vectors_of(spark, d), search, holds, 0.5)
 
-@query("WITH " + COS + ", s AS (SELECT DISTINCT l_partkey AS query, l_suppkey % 10 AS repo FROM lineitem), b AS (SELECT DISTINCT query, hit.repo FROM hit JOIN s ON s.query = hit.query AND s.repo = hit.repo), share AS (SELECT query, any_value(1 + query % 17) / 5.0 ** (count(*) - 1) AS share FROM b GROUP BY query) SELECT repo, round(sum(share), 6) AS score, count(*) AS n FROM b JOIN share USING (query) GROUP BY repo".replace("SELECT DISTINCT query, hit.repo FROM", "SELECT DISTINCT hit.query, hit.repo FROM"))
+
+@query("WITH RECURSIVE " + REMAINING + " SELECT repo, score, n FROM br")
 def binary_remaining_query(spark, d):
-    q, c, holds = sides(spark, d)
-    symbols = read(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), (F.col("l_suppkey") % 10).cast("int").alias("repo")).distinct()
-    both = V.nearest(q, c, 100, "cosine", 0.3).join(holds, "id").select("query", "repo").distinct().join(symbols, ["query", "repo"])
-    hits = both.select("query", F.col("repo").cast("long").alias("id"))
-    same = both.select(F.col("repo").cast("long").alias("id"), "repo").distinct()
-    return V.repo_scores(hits, same, complexities(q)).withColumn("score", F.round("score", 6))
+    _, found, visited = joint_parts(spark, d)
+    return binary_rest(spark, d, found, visited).withColumn("score", F.round("score", 6))
 
 
-@query()
+SETTINGS = '{"src_k":10,"src_threshold":1.3,"ratio":0.15,"bin_k":100,"bin_threshold":0.3}'
+
+
+@query("WITH RECURSIVE " + REMAINING + f" SELECT *, '{SETTINGS}' AS settings FROM (" + JOINT + " UNION ALL SELECT 'binary', repo, score FROM br)")
 def end_to_end(spark, d):
-    """The joint analysis and the binary one as JSON rows, with the settings they ran with."""
-    joint = joint_analysis(spark, d)
-    binary = binary_remaining_query(spark, d).select(F.lit("binary").alias("phase"), F.col("repo").cast("long").alias("repo"), "score")
-    settings = F.struct(F.lit(10).alias("src_k"), F.lit(1.3).alias("src_threshold"), F.lit(100).alias("bin_k"), F.lit(0.3).alias("bin_threshold"))
-    return joint.unionByName(binary).groupBy("phase").agg(F.to_json(F.array_sort(F.collect_list(F.struct("repo", F.round("score", 6).alias("score"))))).alias("repos")).withColumn("settings", F.to_json(settings))
+    """The joint analysis and the binary one on what it left, with the settings they ran with."""
+    joint, found, visited = joint_parts(spark, d)
+    binary = binary_rest(spark, d, found, visited).select(F.lit("binary").alias("phase"), F.col("repo").cast("long").alias("repo"), "score")
+    return joint.unionByName(binary).select("phase", "repo", F.round("score", 6).alias("score"), F.lit(SETTINGS).alias("settings"))
+
+
+@query("WITH RECURSIVE " + PHASES + ", rest AS (SELECT nid FROM fn WHERE nid NOT IN (SELECT node FROM vis)), " + _scores("e1", "SELECT nid FROM rest") + ", " + _scores("e2", "SELECT p_partkey FROM part WHERE p_partkey % 7 = 3 AND p_partkey NOT IN (SELECT node FROM vis)", "cos").replace(", e2 AS (", ", e20 AS (") + INSN + ", z AS (SELECT query, any_value(n_insn) / 5.0 ** (count(*) - 1) AS share FROM e2_p JOIN insn ON nid = query GROUP BY query) SELECT 'source' AS side, repo, score FROM e1 UNION ALL SELECT 'binary', repo, round(sum(share), 6) FROM e2_p JOIN z USING (query) GROUP BY repo")
+def remainder_query(spark, d):
+    """What the joint analysis left: functions with sources by their vectors, those without by their instructions' vectors."""
+    _, _, visited = joint_parts(spark, d)
+    gone = visited.select(F.col("node").alias("nid")).distinct()
+    search, holds = searcher(spark, d, "l2", 10, 1.3)
+    vectors = vectors_of(spark, d).withColumnRenamed("nid", "query")
+    sources = source_functions(spark, d).join(gone, "nid", "left_anti").select(F.col("nid").alias("query"))
+    source = V.repo_scores(search(sources.join(vectors, "query").select("query", "vec")), holds, complexity(spark, d)).select(F.lit("source").alias("side"), "repo", "score")
+    search, holds = searcher(spark, d, "cosine", 100, 0.3)
+    bare = read(spark, d, "part").where("p_partkey % 7 = 3").select(F.col("p_partkey").alias("nid")).join(gone, "nid", "left_anti").select(F.col("nid").alias("query"))
+    binary = V.repo_scores(search(bare.join(vectors, "query").select("query", "vec")), holds, by_instructions(spark, d)).select(F.lit("binary").alias("side"), "repo", "score")
+    return source.unionByName(binary).select("side", "repo", F.round("score", 6).alias("score"))

@@ -6,10 +6,17 @@ of lines (files, tables, streams) works.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.operators.graph import shared_dir
 from kinfold.operators.numbering import numbered
 
 CTAGS_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in ("name", "kind", "scope", "pattern", "path")] + [T.StructField(k, T.IntegerType()) for k in ("line", "end")])
@@ -33,7 +40,44 @@ def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/kinfold-{what}-{uuid.uuid4().hex}"
+
+
+def concatenated(spark: SparkSession, sources: list[tuple[str, dict[str, Column]]]) -> DataFrame:
+    """The rows of several tables as one: a path and the columns to take from it, for each."""
+    return reduce(DataFrame.unionByName, (spark.read.parquet(path).select(*(c.alias(k) for k, c in columns.items())) for path, columns in sources))
+
+
+def write_matrix(vectors: DataFrame, path: str) -> None:
+    """Vectors (fid, vec of floats) as matrix records, one for each Arrow batch: ids, shape and the rows in one block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vec")
+            sizes = np.diff(lists.offsets.to_numpy())
+            rows, ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4"), batch.column("fid").to_numpy(zero_copy_only=False).astype("<i8")
+            for dim in np.unique(sizes):
+                own = np.repeat(sizes == dim, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids[sizes == dim].tobytes()], pa.binary()), pa.array([rows[own].tobytes()], pa.binary())], names=["dim", "fids", "block"])
+
+    vectors.where("vec IS NOT NULL").select("fid", "vec").mapInArrow(pack, "dim int, fids binary, block binary").write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``fid`` and ``vec`` of what ``write_matrix`` wrote."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, fids, block in zip(*(batch.column(k).to_pylist() for k in ("dim", "fids", "block")), strict=True):
+                ids, rows = np.frombuffer(fids, "<i8"), np.frombuffer(block, "<f4")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * dim, pa.int32()), pa.array(rows))], names=["fid", "vec"])
+
+    return spark.read.schema("dim int, fids binary, block binary").parquet(path).mapInArrow(unpack, "fid long, vec array<float>")
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
@@ -83,6 +127,13 @@ def ctags_records(lines: DataFrame) -> DataFrame:
     return until_first_bad(parsed, good).select(F.col("path").alias("file"), "line_no", "tag.*")
 
 
+def first_language(c: DataFrame, cpp: DataFrame) -> DataFrame:
+    """Records of the C parser's lines, and of the C++ parser's for files in which C found none; ``language`` says which."""
+    first = ctags_records(c).select(F.lit("C").alias("language"), "*")
+    second = ctags_records(cpp).select(F.lit("C++").alias("language"), "*")
+    return first.unionByName(second.join(first.select("file").distinct(), "file", "left_anti"))
+
+
 def commits(lines: DataFrame) -> DataFrame:
     """``hash date subject`` lines of a log."""
     cut = F.regexp_extract("value", r"^([0-9a-f]{7,40}) (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d [+-]\d{4}) ?(.*)$", 1)
