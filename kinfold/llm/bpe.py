@@ -18,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm.common import blobs, slices, table
+from kinfold.llm.common import blobs, release, slices, table
 
 #: Bytes of words and ids that a worker keeps at most, and the longest word that it keeps.
-CACHE_BYTES, CACHE_WORD = 80 << 20, 128
+CACHE_BYTES, CACHE_WORD = 48 << 20, 128
 _EXTRA = 180  # of each cached entry, about
 
 
@@ -145,6 +145,12 @@ class Encoder:
             self.held = 0
         return out
 
+    def forget(self) -> None:
+        """Drops the words it has met at the end of a task: an idle worker would keep them beside those at work."""
+        self.known.clear()
+        self.held = 0
+        release()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -173,6 +179,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for batch in slices(batches, text_col, 1 << 20):
             ids = coder.encode([t.decode() for t in blobs(batch.column(text_col))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, out])
+        coder.forget()
 
     return docs.mapInArrow(run, _with(docs, f"`{out}` binary"))
 
@@ -217,6 +224,7 @@ def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("
                 ],
                 names=[*keep, *([ids] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     more = [f"`{ids}` binary"] if ids else []

@@ -60,7 +60,7 @@ class _Tally:
         found = np.unique(keys, return_counts=True)
         self.parts.append(found)
         self.size += len(found[0])
-        if self.size > 1 << 21:
+        if self.size > 1 << 20:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:

@@ -86,6 +86,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 starts = _cover_starts(len(words), window, cover, period)
                 found.append(window_hashes(word_hashes(words), size, starts))
                 at.append(np.full(len(starts), i))
+        if len(_HASH) > _KEPT // 2:
+            _HASH.clear()
         return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     n = partitions(docs.sparkSession)
