@@ -15,10 +15,13 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_difference_cover_dedup": substring.op9_difference_cover_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    # The vectors of the test tables have no neighbours: the same operator where there are some.
+    "cover_tree_planted": cover_tree.cover_tree_planted,
 }
 SQL = {
     "op2_benchmark_decontamination": decontamination.OP2_SQL,
     "op3_suffix_array_dedup": suffix_array.OP3_SQL,
     "op7_cover_tree_near_dedup": cover_tree.OP7_SQL,
     "op9_difference_cover_dedup": substring.OP9_SQL,
+    "cover_tree_planted": cover_tree.PLANTED_SQL,
 }
