@@ -8,7 +8,9 @@ map refines the result. The bits of a text are the sum of the costs of its decis
 Training covers every byte of the training texts. A decision depends on the last bytes only, so the corpus is gathered
 once as counts of its distinct windows (four bytes, the word so far, the next byte), which grow with the corpus. Table
 counts come from them, and the weights are learnt online, in mini-batches, each window predicted from counts without
-itself. Scoring keeps the model as it is, so a text's score doesn't depend on the order of rows.
+itself. Which windows a fitting task has, and their order, follow from their hashes and their number alone, and sums over
+tasks are whole numbers: the model doesn't depend on partitions. Scoring keeps the model as it is, so a text's score
+doesn't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -20,24 +22,28 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import ROW, blobs, fold, joined, mix, rowed, slices, staged, table
+from kinfold.llm.common import ROW, blobs, fold, joined, mix, release, rowed, slices, spans, staged, table
 from kinfold.llm.repeats import _Rows, buckets_of, partitions
 
-#: Slots of each predictor's table (powers of two), for orders 0 to 4 and the word: the same for any corpus.
+#: Most slots of each predictor's table (powers of two), for orders 0 to 4 and the word; smaller corpora get smaller tables.
 SLOTS = (1 << 10, 1 << 18, 1 << 20, 1 << 20, 1 << 21, 1 << 22)
 ORDERS = range(len(SLOTS))
-#: Distinct windows that a task holds while it counts, and while it fits; words in the broadcast tier of the base score.
-HELD, FIT_WINDOWS, TOP = 1 << 20, 1 << 21, 200_000
+#: Distinct windows that a task holds while it counts, and while it fits.
+HELD, FIT_WINDOWS = 1 << 20, 1 << 21
+#: Words in the broadcast tier of the base score, and the most bytes of such a word.
+TOP, LONGEST = 200_000, 64
 #: Places (a power of two) for windows whose costs a worker keeps.
 MET = 1 << 20
 BATCH, RATE = 2048, 0.03
+#: Mean counts that a window weighs at most in one batch.
+_HEAVIEST = 64
 _U = np.uint64
 _GATES, _STEPS, _BLOCK = 8 * 16, 33, 1 << 15
-_WORDS = 300_000
+#: Words, and their bytes, that a task holds while it counts.
+_WORDS, _WORD_BYTES = 300_000, 16 << 20
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +74,12 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ODD = _U(0x9E3779B97F4A7C15)
-_SHIFT = [_U(65 - size.bit_length()) for size in SLOTS]
+
+
+def slots_for(windows: int, most: tuple[int, ...] | None = None) -> tuple[int, ...]:
+    """Table sizes for a number of distinct windows: each brings up to eight decisions to each table."""
+    need = 1 << max(16, (8 * windows - 1).bit_length())
+    return tuple(min(size, need) for size in (most or SLOTS))
 
 
 def context_hash(x: np.ndarray, order: int) -> np.ndarray:
@@ -87,9 +98,9 @@ def node_of(x: np.ndarray, bit: int) -> np.ndarray:
     return (_U(1) << _U(bit)) | ((x & _U(255)) >> _U(8 - bit))
 
 
-def slot_of(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    """The slot of a predictor for a decision."""
-    return ((context + node * _ODD) >> _SHIFT[order]).view(np.int64)
+def slot_of(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    """The slot of a decision in a table of ``size`` slots."""
+    return ((context + node * _ODD) >> _U(65 - size.bit_length())).view(np.int64)
 
 
 def bit_of(x: np.ndarray, bit: int) -> np.ndarray:
@@ -123,8 +134,8 @@ class Mixer:
         """Stretched predictions, with one occurrence of the window's own bit taken out of the counts, and gates."""
         node, z, gate = node_of(x, bit), [], bit * 16
         for o in ORDERS:
-            slot = slot_of(contexts[o], node, o)
-            a, b = np.maximum(self.n0[o][slot] - (without == 0), 0), np.maximum(self.n1[o][slot] - (without == 1), 0)
+            slot = slot_of(contexts[o], node, len(self.n0[o]))
+            a, b = (np.maximum(n[o][slot].astype(np.float32) - (without == y), 0) for y, n in enumerate((self.n0, self.n1)))
             z.append(stretched(a, b))
             if o >= len(ORDERS) - 2:
                 gate = gate + level(a + b).astype(np.int64) * (4 if o == len(ORDERS) - 2 else 1)
@@ -139,9 +150,11 @@ class Mixer:
     def learn(self, x: np.ndarray, n: np.ndarray, seed: int = 0) -> None:
         """Online gradient descent on coding cost over windows with counts, batch after batch."""
         rng = np.random.default_rng(seed)
-        # A window weighs as often as it occurs; the few most frequent of all would drown a batch and weigh no more than the next.
-        weight = np.minimum(n, np.quantile(n, 0.9999))
-        weight = (weight / weight.mean()).astype(np.float32)
+        # A window weighs as often as it occurs. What a few occur most often goes to several batches, so none drowns.
+        most = _HEAVIEST * int(np.ceil(n.mean()))
+        times = -(-n // most)
+        weight = np.repeat(n / times, times)
+        x, weight = np.repeat(x, times), (weight / n.mean()).astype(np.float32)
         order = rng.permutation(len(x))
         for step, a in enumerate(range(0, len(x), BATCH)):
             own = x[order[a : a + BATCH]]
@@ -167,8 +180,9 @@ class Scorer:
     """A mixer that learns no more: one stretched prediction for each slot."""
 
     def __init__(self, mixer: Mixer):
-        self.z = [stretched(a, b) for a, b in zip(mixer.n0, mixer.n1, strict=True)]
-        self.levels = [level(a + b) for a, b in zip(mixer.n0[-2:], mixer.n1[-2:], strict=True)]
+        both = [(a.astype(np.float32), b.astype(np.float32)) for a, b in zip(mixer.n0, mixer.n1, strict=True)]
+        self.z = [stretched(a, b) for a, b in both]
+        self.levels = [level(a + b) for a, b in both[-2:]]
         self.weights, self.place = mixer.weights, Mixer(mixer.n0[:0], mixer.n1[:0]).place
         self.map0, self.map1 = mixer.map0.ravel(), mixer.map1.ravel()
         self.met = self.paid = None
@@ -216,7 +230,7 @@ class Scorer:
         contexts, p = context_hashes(x), np.ones(len(x))
         for bit in range(8):
             node = node_of(x, bit)
-            slots = [slot_of(contexts[o], node, o) for o in ORDERS]
+            slots = [slot_of(contexts[o], node, len(self.z[o])) for o in ORDERS]
             gate = bit * 16 + 4 * self.levels[0][slots[-2]].astype(np.int64) + self.levels[1][slots[-1]]
             logit = self.weights[gate, -1] * np.float32(0.3)
             for o in ORDERS:
@@ -237,6 +251,12 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 PAIR = np.dtype([("x", "<u8"), ("n", "<u4")])
+WHOLE = np.dtype([("x", "<u8"), ("n", "<i8")])
+
+
+def place_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each window, by ranges of its hash."""
+    return ((mix(x.copy()) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
 def window_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -251,7 +271,7 @@ def window_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def flush() -> pa.RecordBatch:
             x, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             held.clear()
-            bucket = (mix(x.copy()) % _U(buckets)).astype(np.int64)
+            bucket = place_of(x, buckets)
             order = np.argsort(bucket, kind="stable")
             pairs = np.empty(len(x), PAIR)
             pairs["x"], pairs["n"] = x[order], n[order]
@@ -287,21 +307,60 @@ def window_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket long, size long, packed binary")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, np.dtype([("x", "<u8"), ("n", "<i8")])) for b in batches for x in b.column("packed").to_pylist()]
-    return np.concatenate([p["x"] for p in parts] or [np.empty(0, np.uint64)]), np.concatenate([p["n"] for p in parts] or [np.empty(0, np.int64)])
+def _dealt(gathered: DataFrame, tasks: int) -> DataFrame:
+    """The windows of each fitting task, by ranges of their hashes."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                whole = np.frombuffer(packed, WHOLE)
+                part = place_of(whole["x"], tasks)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(part) else []
+                found = [(int(part[order[a]]), whole[order[a:b]].tobytes()) for a, b in spans(cuts, len(part))]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["task", "packed"])
+
+    return gathered.select("packed").mapInArrow(deal, "task int, packed binary").repartition(tasks, "task").sortWithinPartitions("task")
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
+    """``run`` on the number, windows and counts of each fitting task of a partition."""
+    now, held = None, []
+    for batch in batches:
+        for task, packed in zip(batch.column("task").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if task != now and held:
+                yield from run(now, *_windows_of(held))
+                held = []
+            now = task
+            held.append(packed)
+    if held:
+        yield from run(now, *_windows_of(held))
+    release()
+
+
+def _windows_of(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.concatenate([np.frombuffer(x, WHOLE) for x in held])
+    held.clear()
+    order = np.argsort(whole["x"], kind="stable")
+    return whole["x"][order], whole["n"][order]
 
 
 _PIECES = "part int, order int, piece int, packed binary"
 
 
+def _piece(part: int, order: int, piece: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (part, order, piece)), pa.array([values.astype("<i8").tobytes()], pa.binary())], names=["part", "order", "piece", "packed"])
+
+
 def _add(part: pa.Table) -> pa.Table:
-    whole = sum(np.frombuffer(x, "<f4").astype(float) for x in part.column("packed").to_pylist())
-    return pa.table([pa.array([part.column(k)[0].as_py()], pa.int32()) for k in ("part", "order", "piece")] + [pa.array([whole.astype("<f4").tobytes()], pa.binary())], names=["part", "order", "piece", "packed"])
+    whole = 0
+    for x in part.column("packed"):
+        whole = whole + np.frombuffer(x.as_buffer(), "<i8")
+    return pa.table([pa.array([part.column(k)[0].as_py()], pa.int32()) for k in ("part", "order", "piece")] + [pa.array([whole.tobytes()], pa.binary())], names=["part", "order", "piece", "packed"])
 
 
 def _added(pieces: DataFrame, tasks: int, fan_in: int = 16) -> DataFrame:
-    """The sum of each piece over all tasks, by a tree: no group ever holds more than ``fan_in`` arrays."""
+    """The sum of each piece over all tasks, in whole numbers, by a tree: no group ever holds more than ``fan_in`` arrays."""
     while True:
         pieces = pieces.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part", "order", "piece").applyInArrow(_add, _PIECES)
         tasks = -(-tasks // fan_in)
@@ -309,16 +368,31 @@ def _added(pieces: DataFrame, tasks: int, fan_in: int = 16) -> DataFrame:
             return pieces
 
 
-def weighted(part: int, n: float, weights: np.ndarray) -> pa.RecordBatch:
-    """What a task learnt, as a piece to add: its number of windows, then its weights times that number."""
-    packed = np.concatenate([[n], n * weights.ravel().astype(float)]).astype("<f4").tobytes()
-    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (part, 0, 0)), pa.array([packed], pa.binary())], names=["part", "order", "piece", "packed"])
+#: Parts of one in which learnt weights are summed.
+_FINE = 1 << 20
+
+
+def weighted(part: int, n: int, weights: np.ndarray) -> pa.RecordBatch:
+    """What a task learnt, as a piece to add: its number of windows in thousands, then its weights times that number."""
+    share = max(1, n // 1000)
+    return _piece(part, 0, 0, np.concatenate([[share], np.rint(weights.ravel().astype(float) * _FINE).astype(np.int64) * share]))
 
 
 def averaged(pieces: DataFrame, tasks: int) -> np.ndarray:
     """The mean of the weights of all tasks, by their numbers of windows."""
-    whole = np.frombuffer(_added(pieces, tasks).toArrow().column("packed")[0].as_py(), "<f4").astype(float)
-    return (whole[1:] / whole[0]).reshape(_GATES, -1).astype(np.float32)
+    whole = np.frombuffer(_added(pieces, tasks).toArrow().column("packed")[0].as_py(), "<i8").astype(float)
+    return (whole[1:] / whole[0] / _FINE).reshape(_GATES, -1).astype(np.float32)
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of zeros and ones as 16 bits each: both are halved until they fit, which keeps their ratio."""
+    for batch in batches:
+        out = []
+        for x in batch.column("packed"):
+            both = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+            bits = np.maximum(0, np.ceil(np.log2(np.maximum(both.max(axis=0), 1) + 1)).astype(np.int64) - 16)
+            out.append((both >> bits).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("piece"), pa.array(out, pa.binary())], names=["order", "piece", "packed"])
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Scorer | None:
@@ -329,63 +403,58 @@ def fit(docs: DataFrame, text_col: str = "text") -> Scorer | None:
     if not total:
         return None
     tasks = max(1, -(-total // FIT_WINDOWS))
-    gathered = staged(gathered.repartition(tasks, "bucket"), "windows-dealt") if tasks < partitions(spark) else gathered
+    gathered = staged(_dealt(gathered, tasks), "windows-dealt")
+    slots = slots_for(total)
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        x, n = _unpacked(batches)
-        if not len(x):
-            return
+    def each(run) -> DataFrame:
+        return gathered.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(lambda b: _by_task(b, run), _PIECES)
+
+    def tables(task: int, x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for o in ORDERS:
-            size, context = SLOTS[o], context_hash(x, o)
-            n0, n1 = np.zeros(size), np.zeros(size)
+            size, context = slots[o], context_hash(x, o)
+            counts = np.zeros((2, size), np.int64)
             for bit in range(8):
-                y, slot = bit_of(x, bit) > 0, slot_of(context, node_of(x, bit), o)
-                n0 += np.bincount(slot[~y], n[~y], size)
-                n1 += np.bincount(slot[y], n[y], size)
+                y, slot = bit_of(x, bit) > 0, slot_of(context, node_of(x, bit), size)
+                for value in (0, 1):
+                    own = y == value
+                    counts[value] += np.bincount(slot[own], n[own], size).astype(np.int64)
             for piece in range(16):
-                part = slice(piece * size // 16, (piece + 1) * size // 16)
-                yield pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([o], pa.int32()), pa.array([piece], pa.int32()), pa.array([np.stack([n0[part], n1[part]]).astype("<f4").tobytes()], pa.binary())], names=["part", "order", "piece", "packed"])
-
-    summed = _added(gathered.select("packed").coalesce(tasks).mapInArrow(tables, _PIECES), tasks).toArrow()
-    n0, n1 = [np.zeros(size, np.float32) for size in SLOTS], [np.zeros(size, np.float32) for size in SLOTS]
-    for o, piece, packed in zip(*(summed.column(k).to_pylist() for k in ("order", "piece", "packed")), strict=True):
-        both = np.frombuffer(packed, "<f4").reshape(2, -1)
-        part = slice(piece * SLOTS[o] // 16, (piece + 1) * SLOTS[o] // 16)
-        n0[o][part], n1[o][part] = both
+                yield _piece(task, o, piece, counts[:, piece * size // 16 : (piece + 1) * size // 16])
+
+    summed = _added(each(tables), tasks).select("order", "piece", "packed").mapInArrow(_halved, "order int, piece int, packed binary").toArrow()
+    n0, n1 = [np.zeros(size, np.uint16) for size in slots], [np.zeros(size, np.uint16) for size in slots]
+    for o, piece, packed in zip(summed.column("order").to_pylist(), summed.column("piece").to_pylist(), summed.column("packed"), strict=True):
+        part = slice(piece * slots[o] // 16, (piece + 1) * slots[o] // 16)
+        n0[o][part], n1[o][part] = np.frombuffer(packed.as_buffer(), "<u2").reshape(2, -1)
+    del summed
     model = Mixer(n0, n1)
     shared = spark.sparkContext.broadcast(model)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, n = _unpacked(batches)
-        if len(x):
-            own = Mixer(shared.value.n0, shared.value.n1)
-            own.learn(x, n)
-            yield weighted(TaskContext.get().partitionId(), float(n.sum()), own.weights)
+    def learn(task: int, x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = Mixer(shared.value.n0, shared.value.n1)
+        own.learn(x, n)
+        yield weighted(task, int(n.sum()), own.weights)
 
-    model.weights = averaged(gathered.select("packed").coalesce(tasks).mapInArrow(learn, _PIECES), tasks)
-    shared.destroy()
-    mixed = spark.sparkContext.broadcast(model)
+    model.weights = averaged(each(learn), tasks)
+    weights = model.weights
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, n = _unpacked(batches)
-        if not len(x):
-            return
+    def refine(task: int, x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(shared.value.n0, shared.value.n1)
+        mixer.weights = weights
         both = np.zeros((2, 256 * _STEPS))
         for a in range(0, len(x), _BLOCK):
             own, times = x[a : a + _BLOCK], n[a : a + _BLOCK]
             contexts = context_hashes(own)
             for bit in range(8):
                 y = bit_of(own, bit)
-                cell = mixed.value.place(own, mixed.value.logit(*mixed.value.inputs(own, contexts, bit, y)))
+                cell = mixer.place(own, mixer.logit(*mixer.inputs(own, contexts, bit, y)))
                 for value in (0, 1):
                     both[value] += np.bincount(cell[y == value], times[y == value], 256 * _STEPS)
-        part_id = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([both.astype("<f4").tobytes()], pa.binary())], names=["part", "order", "piece", "packed"])
+        yield _piece(task, 0, 0, both)
 
-    maps = _added(gathered.select("packed").coalesce(tasks).mapInArrow(refine, _PIECES), tasks).toArrow()
-    model.map0, model.map1 = np.frombuffer(maps.column("packed")[0].as_py(), "<f4").reshape(2, 256, _STEPS).astype(float)
-    mixed.destroy()
+    maps = _added(each(refine), tasks).toArrow()
+    model.map0, model.map1 = np.frombuffer(maps.column("packed")[0].as_py(), "<i8").reshape(2, 256, _STEPS).astype(float)
+    shared.destroy()
     return model.frozen()
 
 
@@ -394,6 +463,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(counts)
@@ -405,8 +475,11 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in slices(batches, text_col):
             for text in blobs(batch.column(text_col)):
                 counts.update(text.lower().split())
-            if len(counts) > _WORDS:
+                held += len(text)
+            # Its words take no more bytes than what was read since they were last sent on.
+            if len(counts) > _WORDS or held > _WORD_BYTES and sum(map(len, counts)) > _WORD_BYTES:
                 yield from flush()
+                held = 0
         yield from flush()
 
     return docs.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -428,9 +501,11 @@ def scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train = n_words + texts
     floor = log10(n_train + types + (texts > 0) + 1)
-    top = counts.orderBy(F.desc("c"), "word").limit(TOP).toArrow() if types > TOP else counts.toArrow()
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    top = (short.orderBy(F.desc("c"), "word").limit(TOP) if types > TOP else short).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    all_known = types <= TOP
+    del top
+    all_known = types == len(known)
     least = min(known.values(), default=0)
     model = fit(training, text_col)
     shared = spark.sparkContext.broadcast((known, model))
@@ -463,8 +538,8 @@ def scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     if not all_known:
         found = staged(found, "scores")
         pairs = found.where(F.size("rare") > 0).select(ROW, F.explode(F.arrays_zip("rare", "times")).alias("w")).select(ROW, F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-        # What is not among the most frequent has no higher count than the last of them.
-        joined_ = pairs.join(counts.where(F.col("c") <= least), "word")
+        # A short word that is not among the most frequent has no higher count than the last of them.
+        joined_ = pairs.join(counts.where((F.col("c") <= least) | (F.octet_length("word") > LONGEST)), "word")
         more = joined_.groupBy(ROW).agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_gain"))
         found = found.join(more, ROW, "left").withColumns({"known": F.col("known") + F.coalesce("_known", F.lit(0)), "gain": F.col("gain") + F.coalesce("_gain", F.lit(0.0))})
     return found.select(
