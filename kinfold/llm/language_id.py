@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter of fixed size holds, in each slot, one bit for each language. The AND of an n-gram's slots is the
+A bit-sliced Bloom filter, sized by the n-grams of the richest language, holds in each slot one bit for each language. The AND of an n-gram's slots is the
 set of languages that contain it. Hits of each language are counted over a text, corrected for false positives, and decide.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from kinfold.llm.bpe import _with
 from kinfold.llm.common import fold, mix, slices, staged, strings, table
 
-#: Slots (a power of two) and hashes of the filter: its size does not grow with the corpus.
-SLOTS, HASHES = 1 << 20, 3
+#: Slots of the filter for each n-gram of the richest language, the least and most of them (powers of two), and hashes.
+LOAD, FEWEST, SLOTS, HASHES = 8, 1 << 16, 1 << 24, 3
 #: A language contains an n-gram if its rate there is at least this share of its highest rate in any language.
 SHARE = 0.25
 UNKNOWN = "und"
@@ -43,7 +43,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(ends, at - 1, "right")
 
 
-def slots_of(keys: np.ndarray, slots: int = SLOTS, hashes: int = HASHES) -> list[np.ndarray]:
+def slots_of(keys: np.ndarray, slots: int, hashes: int = HASHES) -> list[np.ndarray]:
     h = mix(keys + _U(0x9E3779B97F4A7C15))
     step = (h >> _U(32)) | _U(1)
     return [((h + _U(j) * step) & _U(slots - 1)).astype(np.int64) for j in range(hashes)]
@@ -86,7 +86,7 @@ class Filter:
         keys, at = trigrams(texts)
         total = np.bincount(at, minlength=len(texts))
         hits = np.zeros((len(self.languages), len(texts)))
-        places = slots_of(keys)
+        places = slots_of(keys, self.planes.shape[1])
         some = np.flatnonzero(total)
         begins = np.concatenate([[0], np.cumsum(total)])[some]
         for p, plane in enumerate(self.planes):
@@ -109,8 +109,27 @@ class Filter:
         return names, scores
 
 
+def size_of(sizes: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """The least count of an n-gram and the number of slots, from (language, power of two of the count, n-grams)."""
+    least = 0
+    while True:
+        richest: dict[int, int] = {}
+        for language, power, size in sizes:
+            if power >= least:
+                richest[language] = richest.get(language, 0) + size
+        slots = max(FEWEST, 1 << (LOAD * max(richest.values(), default=1) - 1).bit_length())
+        if slots <= SLOTS:
+            return 1 << least, slots
+        least += 1
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filter:
-    """Learns from all rows with a text and a language. Counts are summed by task, then by key; the filter has SLOTS slots."""
+    """Learns from all rows with a text and a language. Counts are summed by task, then by key.
+
+    The filter has LOAD slots for each n-gram of the richest language, rounded up to a power of two, so about one n-gram in
+    thirty is a false positive at most. Where that were over SLOTS slots, n-grams need a higher count to enter, the least
+    power of two that makes them fit.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, _Tally] = {}
@@ -130,19 +149,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
     counts = staged(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "trigrams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    planes = np.zeros(((len(languages) + 63) // 64, SLOTS), np.uint64)
+    planes = np.zeros(((len(languages) + 63) // 64, FEWEST), np.uint64)
     if languages:
         spark = docs.sparkSession
         numbered = spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, number int, total double")
         rates = counts.join(F.broadcast(numbered), "lang").withColumn("rate", F.col("n") / F.col("total"))
         best = rates.groupBy("key").agg(F.max("rate").alias("best"))
-        held = rates.join(best, "key").where(F.col("rate") >= SHARE * F.col("best")).select("key", "number")
+        held = rates.join(best, "key").where(F.col("rate") >= SHARE * F.col("best")).select("key", "number", "n")
+        # How many n-grams of each language have a count of 1, 2 to 3, 4 to 7, ...
+        sizes = held.groupBy("number", F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("size")).collect()
+        least, slots = size_of([(r.number, r.power, r.size) for r in sizes])
+        held = held.where(F.col("n") >= least).select("key", "number")
+        planes = np.zeros((len(planes), slots), np.uint64)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(planes.shape, np.uint64)
+            out = np.zeros((len(languages) // 64 + 1, slots), np.uint64)
             for batch in batches:
                 number = batch.column("number").to_numpy().astype(np.uint64)
-                for slot in slots_of(batch.column("key").to_numpy().astype(np.int64).view(np.uint64)):
+                for slot in slots_of(batch.column("key").to_numpy().astype(np.int64).view(np.uint64), slots):
                     for p in range(len(out)):
                         own = number // _U(64) == _U(p)
                         np.bitwise_or.at(out[p], slot[own], _U(1) << (number[own] % _U(64)))
@@ -150,8 +174,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
                 slot = np.flatnonzero(out[p])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), p, np.int32)), pa.array(slot.astype(np.int32)), pa.array(out[p][slot].view(np.int64))], names=["plane", "slot", "bits"])
 
-        slots = held.mapInArrow(place, "plane int, slot int, bits long").groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-        planes[slots.column("plane").to_numpy(), slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
+        found = held.mapInArrow(place, "plane int, slot int, bits long").groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        planes[found.column("plane").to_numpy(), found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     fill = np.array([((planes[i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(languages))])
     return Filter(languages, planes, fill**HASHES)
 
