@@ -1,5 +1,6 @@
-"""Token counts of a sentencepiece BPE model by a two-tier lookup in the map tasks; no pre-token is ever shuffled.
+"""Token counts of a sentencepiece BPE model by a two-tier lookup in the map tasks.
 
+No pre-token is ever shuffled: what is frequent is found from one bounded summary for each task, added up by a tree.
 First tier: the token counts of the most frequent pre-tokens of the corpus, in a broadcast table of at most ``top``
 entries. Second tier: a cache in each worker, filled by the library. A text is cut where no piece of the vocabulary
 reaches across, so the counts of its parts add up to the library's count of the whole.
@@ -9,17 +10,19 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import _with
-from kinfold.llm.common import blobs, slices, table
+from kinfold.llm.common import blobs, slices, staged, table
 
 #: Entries of the broadcast table; counters that a task keeps while it looks for frequent pre-tokens, and sends on.
 TOP, COUNTERS, SENT = 65_536, 200_000, 32_768
@@ -73,26 +76,53 @@ class Counts:
         return out
 
 
-def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", top: int = TOP) -> list[str]:
+def _packed(counts: Counter[str], part: int) -> pa.RecordBatch:
+    """The ``SENT`` highest counts as one row."""
+    most = counts.most_common(SENT)
+    text, numbers = "\n".join(w for w, _ in most).encode(), array("q", [n for _, n in most])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(text, 1)], pa.binary()), pa.array([numbers.tobytes()], pa.binary())], names=["part", "words", "counts"])
+
+
+def _unpacked(words: bytes, counts: bytes) -> dict[str, int]:
+    numbers = array("q", counts)
+    return dict(zip(zlib.decompress(words).decode().split("\n"), numbers, strict=True)) if numbers else {}
+
+
+def _united(part: pa.Table) -> pa.Table:
+    counts: Counter[str] = Counter()
+    for words, numbers in zip(part.column("words").to_pylist(), part.column("counts").to_pylist(), strict=True):
+        counts.update(_unpacked(words, numbers))
+    return pa.Table.from_batches([_packed(counts, part.column("part")[0].as_py())])
+
+
+def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", top: int = TOP, fan_in: int = 16) -> list[str]:
     """About the ``top`` most frequent pre-tokens of all texts. It steers speed only: a pre-token that is missing is a miss.
 
     A task counts with bounded memory: whenever it holds ``COUNTERS`` words, it lowers all counts by their median and
-    drops what is left without any (Misra and Gries), and sends its ``SENT`` highest.
+    drops what is left without any (Misra and Gries). Its ``SENT`` highest are one row; ``fan_in`` rows become one until
+    one is left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in slices(batches, text_col):
             for text in blobs(batch.column(text_col)):
-                counts.update(w for w in pre_tokens(text.decode()) if len(w) <= LONGEST)
+                counts.update(w for w in pre_tokens(text.decode()) if len(w) <= LONGEST and w != "\n")
             while len(counts) > COUNTERS:
                 low = sorted(counts.values())[len(counts) // 2]
                 counts = Counter({w: n - low for w, n in counts.items() if n > low})
-        most = counts.most_common(SENT)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["word", "n"])
+        yield _packed(counts, TaskContext.get().partitionId())
 
-    found = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(top).select("word").collect()]
+    schema = "part int, words binary, counts binary"
+    found = staged(docs.select(text_col).mapInArrow(run, schema), "summaries")
+    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        found = found.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part").applyInArrow(_united, schema)
+        parts = -(-parts // fan_in)
+    counts = Counter()
+    for r in found.select("words", "counts").collect():
+        counts.update(_unpacked(bytes(r.words), bytes(r.counts)))
+    return [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top] if n > 1]
 
 
 _COUNTS: dict[str, Counts] = {}
@@ -106,7 +136,6 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     words = frequent_pre_tokens(docs, text_col, top)
-    words = [w for w in words if w != "\n"]
     # A part of LONGEST characters has 4 * LONGEST bytes at most, and so many tokens: two bytes hold a count.
     shared = docs.sparkSession.sparkContext.broadcast(("\n".join(words), array("H", Counts(path, {}).by_library(words)).tobytes()))
 
