@@ -25,8 +25,16 @@ _LOCAL = (1 << BLOCK_BITS) - 1
 _U = np.uint64
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of texts in a block's record, beyond which it is cut; bytes of input for each partition of a shuffle, at most.
+BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 32 << 20
+
+
+def partitions(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Shuffle partitions: as the session says, or more where the table's files are large."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = 0 if docs is None else int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Spark takes a table of unknown size for the largest there is.
+    return max(n, size // PARTITION_BYTES) if size < 1 << 60 else n
 
 
 def _by_block(rows: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,7 +73,7 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[list[bytes]], tuple[np.
     text counts. A hash that a task's buffer meets twice is known to be repeated there; one row of it is sent on, so a
     frequent anchor costs a row for each buffer and not one for each occurrence.
     """
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     buckets = 4 * n
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,47 +177,50 @@ def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[in
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``blk``, ``ids`` (longs; a null id is the largest long), ``sizes`` and ``z`` (the texts, compressed) of each block."""
+    """``blk``, ``offset``, ``ids`` (longs; a null id is the largest long), ``sizes`` and ``z`` (the texts, compressed) of
+    each block; a block with long texts is several records, which begin at different offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        now, ids, texts = None, [], []
+        first, ids, texts, held = 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            # A block that a partition begins inside does not occur: rows are numbered from zero in each partition.
-            columns = [pa.array([now], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([squeeze(b"".join(texts))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["blk", "ids", "sizes", "z"])
+            columns = [pa.array([first >> BLOCK_BITS], pa.int64()), pa.array([first & _LOCAL], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([squeeze(b"".join(texts))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["blk", "offset", "ids", "sizes", "z"])
 
         for batch in slices(batches, text_col):
             for row, key, text in zip(batch.column(ROW).to_pylist(), batch.column(id_col).to_pylist(), blobs(batch.column(text_col)), strict=True):
-                if row >> BLOCK_BITS != now and texts:
+                if texts and (row >> BLOCK_BITS != first >> BLOCK_BITS or row != first + len(texts) or held + len(text) > BLOCK_BYTES):
                     yield block()
-                    ids, texts = [], []
-                now = row >> BLOCK_BITS
+                    ids, texts, held = [], [], 0
+                first = first if texts else row
                 ids.append((1 << 63) - 1 if key is None else key)
                 texts.append(text)
+                held += len(text)
         if texts:
             yield block()
 
-    return docs.select(ROW, F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "blk long, ids binary, sizes binary, z binary")
+    return docs.select(ROW, F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "blk long, offset int, ids binary, sizes binary, z binary")
 
 
 class Block:
-    """One row of ``blocks`` with its ``flags``."""
+    """One record of ``blocks`` with the ``flags`` of its block. ``first`` is the row of its first text."""
 
-    def __init__(self, blk: int, ids: bytes, sizes: bytes, z: bytes, flags: list[bytes]):
-        self.first = blk << BLOCK_BITS
+    def __init__(self, blk: int, offset: int, ids: bytes, sizes: bytes, z: bytes, flags: list[bytes]):
+        self.first = (blk << BLOCK_BITS) + offset
         self.ids = np.frombuffer(ids, np.int64)
         sizes = np.frombuffer(sizes, np.int64)
         whole = zstandard.ZstdDecompressor().decompress(z)
         ends = np.cumsum(sizes)
         packed = np.frombuffer(b"".join(flags), np.uint64)
-        local = packed & _U(_LOCAL)
+        local = (packed & _U(_LOCAL)).astype(np.int64) - offset
+        own = (local >= 0) & (local < len(sizes))
+        local, packed = local[own], packed[own]
         order = np.argsort(local, kind="stable")
         local, tops = local[order], packed[order] >> _U(BLOCK_BITS)
-        cuts = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
-        #: (number in block, text, sorted 47-bit hashes of its repeated anchors)
+        cuts = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]])) if len(local) else []
+        #: (number in the record, text, sorted 47-bit hashes of its repeated anchors)
         self.flagged = []
         for a, b in spans(cuts, len(local)):
             i = int(local[a])
@@ -224,7 +235,7 @@ def flagged_blocks(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str
         def found() -> Iterator[Block]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield Block(*(batch.column(k)[i].as_py() for k in ("blk", "ids", "sizes", "z", "flags")))
+                    yield Block(*(batch.column(k)[i].as_py() for k in ("blk", "offset", "ids", "sizes", "z", "flags")))
 
         return run(found())
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
 from kinfold.llm.bpe import _with
 from kinfold.llm.common import ROW, blobs, mix, rowed, slices, spans, table
@@ -31,10 +31,10 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class _Hash(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _KEPT:
             self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
+        value = self[word] = xxh3_128_digest(word)
         return value
 
 
@@ -62,8 +62,10 @@ def window_hashes(h: np.ndarray, size: int, starts: np.ndarray, which: int = 0)
     return mix((sums[starts + size] - sums[starts]) * down[starts])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word that have nothing to do with each other."""
+    both = np.frombuffer(b"".join(map(_HASH.__getitem__, words)), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _cover_starts(n: int, window: int, cover: tuple[int, ...], period: int) -> np.ndarray:
@@ -84,15 +86,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
             words = text.split()
             if len(words) >= window:
                 starts = _cover_starts(len(words), window, cover, period)
-                found.append(window_hashes(word_hashes(words), size, starts))
+                found.append(window_hashes(word_hashes(words)[0], size, starts))
                 at.append(np.full(len(starts), i))
         if len(_HASH) > _KEPT // 2:
             _HASH.clear()
         return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     buckets = 4 * n
-    item = np.dtype([("h", "<u8"), ("g", "<u2"), ("known", "u1"), ("row", "<u2"), ("pos", "<u4")])
+    item = np.dtype([("h", "<u8"), ("g", "<u4"), ("known", "u1"), ("row", "<u2"), ("pos", "<u4")])
 
     def windows(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
         """Windows around repeated anchors: those met once here are sent on, one of each other stands for all."""
@@ -130,7 +132,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 words = text.split()
                 if len(words) < window:
                     continue
-                h = word_hashes(words)
+                h, g = word_hashes(words)
                 starts = _cover_starts(len(words), window, cover, period)
                 hit = starts[np.isin(window_hashes(h, size, starts) >> _U(17), tops)]
                 # A window that starts up to period - 1 words before a repeated anchor holds it.
@@ -139,7 +141,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 np.add.at(near, hit + 1, -1)
                 pos = np.flatnonzero(np.cumsum(near)[: len(words) - window + 1] > 0)
                 x = np.zeros(len(pos), item)
-                x["h"], x["g"], x["row"], x["pos"] = window_hashes(h, window, pos), window_hashes(h, window, pos, 1) & _U(0xFFFF), block.first - base + i, pos
+                x["h"], x["g"], x["row"], x["pos"] = window_hashes(h, window, pos), window_hashes(g, window, pos, 1) & _U(0xFFFFFFFF), block.first - base + i, pos
                 held.append(x)
                 count += len(x)
         if held:

@@ -75,59 +75,76 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def equal_windows(windows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """A class number for each row of ``windows`` (bytes): equal rows of one group get the same, others another.
+class Ordered:
+    """Windows in suffix order: ``rank`` of each, equal for equal windows of a group and for no others, and the blind tries.
 
-    Deep-shallow: ternary splits by 8-byte characters to the depth ``SHALLOW``, then breadth-first blind tries.
+    ``tries``: for each inner node the place of its first window in the order, how many windows are below it, and the byte
+    on which they branch.
+    """
+
+    def __init__(self, rank: np.ndarray, tries: np.ndarray):
+        self.rank, self.tries = rank, tries
+
+
+def ordered_windows(windows: np.ndarray, group: np.ndarray) -> Ordered:
+    """Deep-shallow order of the rows of ``windows`` (bytes), group by group.
+
+    Multikey quicksort takes characters of 8 bytes to the depth ``SHALLOW``: the windows of a group are split three ways
+    by a pivot, and only those equal to it go on to the next character. What is still together goes to blind tries.
     """
     n, length = windows.shape
-    _, ids = np.unique(group, return_inverse=True)
-    ids = ids.astype(np.int64)
-    alive = _together(ids, np.arange(n))
-    for depth in range(min(SHALLOW, length // 8)):
-        if not len(alive):
-            break
-        char = np.ascontiguousarray(windows[alive, 8 * depth : 8 * depth + 8]).view(">u8").ravel().astype(np.uint64)
-        alive = _split(ids, alive, char)
-    at = 8 * min(SHALLOW, length // 8)
-    depth = np.full(n, at, np.int64)
+    _, number, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(sizes) - sizes)[number].astype(np.int64)
+    shallow = min(SHALLOW, length // 8)
+    chars = np.ascontiguousarray(windows[:, : 8 * shallow]).view(">u8").astype(np.uint64) if shallow else np.empty((n, 0), np.uint64)
+    depth = np.zeros(n, np.int64)
+    alive = _together(rank, np.arange(n))
+    while len(live := alive[depth[alive] < shallow]):
+        order = live[np.argsort(rank[live], kind="stable")]
+        own, char = rank[order], chars[order, depth[order]]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        many = np.diff(np.append(heads, len(order)))
+        three = np.stack([char[heads], char[heads + many // 2], char[heads + many - 1]])
+        pivot = np.repeat(np.sort(three, axis=0)[1], many)
+        side = (char > pivot).astype(np.int64) - (char < pivot)
+        depth[order[side == 0]] += 1
+        _split(rank, order, side)
+        alive = _together(rank, alive)
+    tries = []
     while len(alive):
-        # The first member stands for its group; the first byte where any member differs from it is the trie's branch.
-        order = np.argsort(ids[alive], kind="stable")
-        alive = alive[order]
-        own = ids[alive]
-        first = np.concatenate([[True], own[1:] != own[:-1]])
-        heads = np.flatnonzero(first)
-        rep = alive[np.repeat(heads, np.diff(np.concatenate([heads, [len(alive)]])))]
-        differs = windows[alive] != windows[rep]
+        # The first window stands for its node; the first byte where any differs from it is the branch.
+        order = alive[np.argsort(rank[alive], kind="stable")]
+        own = rank[order]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        many = np.diff(np.append(heads, len(order)))
+        differs = windows[order] != windows[np.repeat(order[heads], many)]
         column = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
         branch = np.minimum.reduceat(column, heads)
-        branch = np.repeat(branch, np.diff(np.concatenate([heads, [len(alive)]])))
-        open_ = branch < length
-        alive, branch = alive[open_], branch[open_]
-        if not len(alive):
-            break
-        depth[alive] = branch + 1
-        alive = _split(ids, alive, windows[alive, branch].astype(np.uint64))
-    return ids
-
-
-def _together(ids: np.ndarray, alive: np.ndarray) -> np.ndarray:
-    """Those of ``alive`` that share their group with another."""
-    _, inverse, counts = np.unique(ids[alive], return_inverse=True, return_counts=True)
+        inner = branch < length
+        tries.append(np.stack([own[heads][inner], many[inner], branch[inner]], axis=1))
+        below = np.repeat(inner, many)
+        order, branch = order[below], np.repeat(branch, many)[below]
+        _split(rank, order, windows[order, branch].astype(np.int64))
+        alive = _together(rank, order)
+    return Ordered(rank, np.concatenate([np.empty((0, 3), np.int64), *tries]))
+
+
+def _together(rank: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Those of ``alive`` that share their rank with another."""
+    _, inverse, counts = np.unique(rank[alive], return_inverse=True, return_counts=True)
     return alive[counts[inverse] > 1]
 
 
-def _split(ids: np.ndarray, alive: np.ndarray, char: np.ndarray) -> np.ndarray:
-    """Splits the groups of ``alive`` by ``char``; gives new numbers and returns those that are not alone."""
-    order = np.lexsort((char, ids[alive]))
-    alive, char = alive[order], char[order]
-    own = ids[alive]
-    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (char[1:] != char[:-1])])
-    ids[alive] = ids.max() + 1 + np.cumsum(fresh)
-    starts = np.flatnonzero(fresh)
-    sizes = np.diff(np.concatenate([starts, [len(alive)]]))
-    return alive[np.repeat(sizes > 1, sizes)]
+def _split(rank: np.ndarray, order: np.ndarray, by: np.ndarray) -> None:
+    """Splits windows of equal rank by ``by``: each part begins where the smaller ones end."""
+    again = np.lexsort((by, rank[order]))
+    order, by = order[again], by[again]
+    own = rank[order]
+    heads = np.concatenate([[True], own[1:] != own[:-1]])
+    fresh = np.flatnonzero(heads | np.concatenate([[True], by[1:] != by[:-1]]))
+    starts = np.flatnonzero(heads)
+    offset = fresh - starts[np.searchsorted(starts, fresh, "right") - 1]
+    rank[order] = own + np.repeat(offset, np.diff(np.append(fresh, len(order))))
 
 
 #: A segment: hash of its minimizer, its row and id, where it starts, its bytes; ``known``: a smaller id has it in the same task.
@@ -149,7 +166,7 @@ def _portions(flagged: list, limit: int = 1 << 20) -> Iterator[list]:
 
 def repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """Ranges of bytes, by ROW, that windows cover which start in a text with a smaller id."""
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     buckets = 4 * n
 
     def segments(found: Iterator[Block]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +313,7 @@ def ordered(parts: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
         offset = np.arange(len(seg), dtype=np.int32) - np.repeat((np.cumsum(own) - own).astype(np.int32), own)
         gone = []
         for part in _dealt(views, at[one], seg, offset):
-            _, classes = np.unique(equal_windows(views[at[one[seg[part]]] + offset[part]], group[seg[part]]), return_inverse=True)
+            _, classes = np.unique(ordered_windows(views[at[one[seg[part]]] + offset[part]], group[seg[part]]).rank, return_inverse=True)
             ids = least[variant[one[seg[part]]]]
             smallest = np.full(classes.max() + 1, _LAST, np.int64)
             np.minimum.at(smallest, classes, ids)

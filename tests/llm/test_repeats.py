@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kinfold.llm import repeats, substring, suffix_array
+from kinfold.llm.common import rowed
 
 
 def brute_words(texts, window):
@@ -91,6 +92,17 @@ def test_small_buffers_change_nothing(spark, tmp_path, texts, monkeypatch):
     assert {r.doc_id: r.kept for r in substring.remove_repeats(df).collect()} == {d: w[2] for d, w in enumerate(brute_words(texts, 35))}
 
 
+def test_blocks_are_cut_by_bytes(spark, tmp_path, texts, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 300)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = repeats.blocks(rowed(docs), "doc_id").collect()
+    assert len(found) > 20 and {r.offset for r in found} != {0}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute_words(texts, 35)))
+
+
 def test_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     want = sorted(((i, *w[:2], hashlib.sha256(w[2].encode()).hexdigest()) for (i, _), w in zip(rows, brute_words([t for _, t in rows], 35), strict=True)), key=repr)
@@ -111,7 +123,14 @@ def test_deep_shallow_classes():
         windows[200:] = windows[rng.integers(0, 200, 200)]
         windows[300:, 45:] = windows[300:, 44:49]
         group = rng.integers(0, 3, 400).astype(np.uint64)
-        classes = suffix_array.equal_windows(windows, group)
+        found = suffix_array.ordered_windows(windows, group)
+        classes = found.rank
+        # The ranks are the order of the windows of each group, the groups one after another.
+        order = sorted(range(400), key=lambda i: (int(group[i]), windows[i].tobytes()))
+        assert all(classes[i] <= classes[j] for i, j in zip(order, order[1:], strict=False))
+        for first, many, branch in found.tries.tolist():
+            below = [windows[i].tobytes() for i in order[first : first + many]]
+            assert many > 1 and len({w[:branch] for w in below}) == 1 and len({w[branch] for w in below}) > 1 and branch >= 16
         names = {}
         for c, g, w in zip(classes.tolist(), group.tolist(), windows, strict=True):
             assert names.setdefault(c, (g, w.tobytes())) == (g, w.tobytes())
