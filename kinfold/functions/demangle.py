@@ -302,8 +302,12 @@ class _Parser:
 
     def _expression(self) -> tuple[str, bool]:
         code = self.peek(2)
+        if self.take("L_Z"):
+            name = self.encoding(False)
+            self.need("E")
+            return name, True
         if code[:1] == "L":
-            return self.template_arg(), self.s.startswith("L_Z", self.i)
+            return self.template_arg(), False
         if code[:1] == "T":
             return self.template_param(), False
         if code[:1].isdigit():
@@ -315,8 +319,14 @@ class _Parser:
             self.need("_")
             return f"{{parm#{n}}}", True
         if code == "sr":
-            name = f"{self.type()}::{self.unqualified('')}"
-            return name + (self.template_args() if self.peek() == "I" else ""), True
+            # Plain names of levels are no substitutions.
+            name = self.source_name() + (self.template_args() if self.peek() == "I" else "") if self.peek().isdigit() else self.type()
+            while True:  # levels, then an E before the last one where the type is unresolved
+                last = self.peek() == "E" and self.peek(2)[1:].isdigit()
+                self.i += last
+                name += f"::{self.unqualified('')}" + (self.template_args() if self.peek() == "I" else "")
+                if last or not (self.peek().isdigit() or self.peek() == "E" and self.peek(2)[1:].isdigit()):
+                    return name, True
         if code in ("st", "at"):
             return f"{'sizeof' if code == 'st' else 'alignof'} ({self.type()})", False
         if code in ("sz", "az"):

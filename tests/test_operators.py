@@ -114,18 +114,25 @@ def test_names_and_bodies(spark):
 
 @pytest.mark.skipif(not shutil.which("c++filt"), reason="no system demangler")
 def test_demangler_against_the_system():
-    names = "_ZN3foo3barEi _Z1fv _ZNSt6vectorIiSaIiEE9push_backERKi _ZN3FooC1Ev _ZN3FooD0Ev _ZTV3Foo _ZNK3Foo3getEv _Z3addIiET_S0_S0_ _Znwm _ZdlPv _Z4funcPFivE _ZN1A1BIcE1fEPKS0_ _ZN12_GLOBAL__N_13fooEv _Z1fPA10_i _ZN1AcvbEv _ZGVZ3foovE1x _ZN3FooaSERKS_ _ZThn8_N1B1fEv _ZltRK1AS1_ _Z1gILi5EEvv _Z1hILb1EEvv _Z1fPKcz _ZN3FooIiE3barEv _Z1fRA3_Kc _ZN1XclEi strlen main _Zbad".split()
+    names = "_Z1fILi1EEv1AIXplT_Li2EEE _Z1fIiEv1AIXsrT_5valueEE _Z1fIiEv1AIXstT_EE _Z1fIiEv1AIXntsr1BIT_EE1vEE _Z1fIiEv1AIXngT_EE _Z1fILi1EEv1AIXquT_Li2ELi3EEE _Z1fIiEDTcl1gfp_EET_ _Z1fIiEv1AIXaasr1BIT_EE1vsr1CIS1_EE1wEE _Z1fILi3EEv1AIXgtT_Li2EEE _Z1fIiEv1AIXcvbT_EE _Z1fIiEDTplfp_fp0_ET_S0_ _Z1fIiEDTdtfp_1xET_ _ZN3foo3barEi _Z1fv _ZNSt6vectorIiSaIiEE9push_backERKi _ZN3FooC1Ev _ZN3FooD0Ev _ZTV3Foo _ZNK3Foo3getEv _Z3addIiET_S0_S0_ _Znwm _ZdlPv _Z4funcPFivE _ZN1A1BIcE1fEPKS0_ _ZN12_GLOBAL__N_13fooEv _Z1fPA10_i _ZN1AcvbEv _ZGVZ3foovE1x _ZN3FooaSERKS_ _ZThn8_N1B1fEv _ZltRK1AS1_ _Z1gILi5EEvv _Z1hILb1EEvv _Z1fPKcz _ZN3FooIiE3barEv _Z1fRA3_Kc _ZN1XclEi strlen main _Zbad".split()
     want = subprocess.run(["c++filt", "-n"], input="\n".join(names), capture_output=True, text=True).stdout.split("\n")
     assert [D.demangle_name(n) for n in names] == want[: len(names)]
     assert D.demangle_name("_ZN3foo3barEi", params=False) == "foo::bar"
+    deep = "_Z1f" + "P" * 1900 + "i"
+    assert D.demangle_name(deep) == "f(int" + "*" * 1900 + ")" and D.demangle_name("_Z1f" + "P" * 3000 + "i") == "_Z1f" + "P" * 3000 + "i"
 
 
 def test_code_kernels(spark):
     assert C.tokens_of('int fooBar2(x) { return "a/*b*/" + p->nextItem; } // c') == ["int", "<id>", "foo", "bar", "<ID>", "(", "<id>", "x", "<ID>", ")", "{", "return", "<STR>", "+", "<id>", "p", "<ID>", "->", "nextItem", ";", "}"]
     assert C.tokens_of("#define A b\n@")[-3:] == ["#define", "<ANY>", "<ERROR>"]
-    assert C.instruction_of("mov rax , [ rbx + 0x10 ]") == "X_mov_rax,_,,_[rbx*1+16]"
-    assert C.instruction_of("lea rdx [ rax * 8 + 0x10 ]") == "X_lea_rdx,_[rax*8+16]"
-    assert C.instruction_of("push 0x2710") == "X_push_HIMM" and C.instruction_of("call [ 0x400 ]") == "X_call_[MEM]" and C.instruction_of("") == "X_UNK" and C.instruction_of("mov [ rax") == "X_UNK"
+    want = {
+        "mov rax , [ rbx + 0x10 ]": "X_mov_rax,_,,_[rbx*1+16]", "lea rdx [ rax * 8 + 0x10 ]": "X_lea_rdx,_[rax*8+16]", "lea rdx [ rcx + rax * 4 - 0x8 ]": "X_lea_rdx,_[rax*4+-8]", "mov eax [ rbp - 0x1F ]": "X_mov_eax,_[rbp*1+-31]",
+        "push 0x2710": "X_push_HIMM", "push -0x8": "X_push_-0x8", "call [ 0x400 ]": "X_call_[MEM]", "call [ rax ]": "X_call_[rax*1+0]", "mov byte ptr ds : [ rsi ] 0x1": "X_mov_[rsi*1+0],_0x1", "fld st(0)": "X_fld_st(0)",
+        "ret": "X_ret", "": "X_UNK", None: "X_UNK", "mov [ rax": "X_UNK", "push 0x1g": "X_UNK",
+    }
+    texts = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.i for r in texts.select("t", C.instruction(F.col("t")).alias("i")).collect()} == want
+    assert texts.select(C.instruction(F.lit("push 0x2710"), ("0x2710",)).alias("i")).first().i == "X_push_0x2710"
     df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "k long, t array<string>")
     vocabulary = C.vocabulary(df, "k", "t")
     assert {r.token: r.id for r in vocabulary.collect()}["c"] == 7
@@ -140,7 +147,13 @@ def test_code_kernels(spark):
 def test_digests():
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh(){};=+ ") for _ in range(800))
-    assert len(G.digest_of(text)) == 70 and G.digest_of("short") == "" and G.digest_of(None) == "" and G.digest_of(text) == G.digest_of(text)
+    first, short, nothing, again = G.digests_of([text, "short", None, text])
+    assert len(first) == 70 and short == "" and nothing == "" and first == again
+    state = 0  # the checksum byte by byte
+    raw = text.encode()
+    for a, b in zip(raw[4:], raw[3:], strict=False):
+        state = int(G._T[G._T[G._T[state] ^ a] ^ b])
+    assert first.startswith(f"{state:02x}")
 
 
 def test_nearest_is_prefix_stable(spark):
@@ -198,3 +211,33 @@ def test_readers(spark, tmp_path):
         R.unique_key(df.union(df.limit(1)), "k").collect()
     with pytest.raises(Exception, match="no pair"):
         R.paired(df.select("k", F.lit(1).alias("a")), df.where("k > 0").select("k", F.lit(2).alias("b")), "k").collect()
+
+
+def test_repositories_choose_in_turn(spark):
+    from kinfold.operators import joint
+
+    likely = spark.createDataFrame([("x", r, n) for r, own in (("a", (1, 2, 3)), ("b", (2, 3, 4, 5)), ("c", (5, 6)), ("d", (1, 2))) for n in own] + [("y", "a", 2)], "exe string, repo string, nid long")
+    edges = spark.createDataFrame([("x", 1, 2), ("x", 5, 6), ("x", 2, 4)], "exe string, src long, dst long")
+    found = {(r.exe, r.repo, r.nid): (r.claimed, r.edged) for r in joint.claims(likely, edges, 2).collect()}
+    # b has 4 and 5 left without a call between them; c then gets 5 and 6; d has nothing left; the other executable has its own turns.
+    assert found == {("x", "a", 1): (True, True), ("x", "a", 2): (True, True), ("x", "a", 3): (True, True), ("x", "b", 4): (False, False), ("x", "b", 5): (False, False), ("x", "c", 5): (True, True), ("x", "c", 6): (True, True), ("y", "a", 2): (False, False)}
+
+
+def test_nearest_keeps_ties_by_label(spark):
+    score = np.array([[0.5, 0.1, 0.1, 0.1, 0.9], [1.0, 1.0, 1.0, 1.0, 1.0]])
+    label = np.array([[9, 7, 3, 5, 1], [5, 4, 3, 2, 1]])
+    best = vectors.nearest_of(score, label, 2)
+    assert best[1].tolist() == [[3, 5], [1, 2]]
+
+
+def test_matrix_files_keep_lengths_apart(spark, tmp_path):
+    rows_ = [(1, [1.0, 2.0]), (2, [3.0]), (3, None), (4, [4.0, 5.0]), (5, [])]
+    df = spark.createDataFrame(rows_, "fid long, vec array<float>")
+    R.write_matrix(df, str(tmp_path / "m"))
+    assert rows(R.read_matrix(spark, str(tmp_path / "m"))) == [(1, [1.0, 2.0]), (2, [3.0]), (4, [4.0, 5.0]), (5, [])]
+
+
+def test_namespace_vote(spark):
+    tokens = spark.createDataFrame([("a", i, "x::y" if i < 2 else "z") for i in range(8)] + [("b", i, "x::y") for i in range(3)] + [("c", 9, None)], "repo string, fid long, scope string")
+    shared = spark.createDataFrame([("a", "b", 0), ("a", "b", 1), ("a", "c", 0)], "a string, b string, fid long")
+    assert rows(linkage.vote_namespace(shared, tokens)) == [("a", "b", 1), ("a", "c", 0)]
