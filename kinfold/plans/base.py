@@ -49,17 +49,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOK = INC + ", tok AS (SELECT repo, p_partkey AS nid, p_name AS name, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS scope, CAST(p_size AS BIGINT) AS size FROM inc JOIN part ON fid = p_partkey)"
 
 
-def call_edges(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call graph over supplier numbers."""
     n = read(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
-    rows = read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") <= (1 if thin else 2)))
-    if thin:
-        rows = rows.where(F.col("l_suppkey") % 3 == 0)
+    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity <= 2")
     return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
 
 
 EDGE = "edge AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 2)"
-THIN = "edge AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 1 AND l_suppkey % 3 = 0)"
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

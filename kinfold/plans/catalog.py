@@ -8,6 +8,7 @@ from kinfold.functions import text as X
 from kinfold.operators import lineage as L
 from kinfold.operators import linkage as K
 from kinfold.operators import matching as M
+from kinfold.operators.graph import cut
 from kinfold.operators.lineage import assign_fids
 from kinfold.plans.base import BODY, EDGE, INC, TOK, bodies, call_edges, day, incidence, query, read, tokens
 from kinfold.sources import readers as R
@@ -35,8 +36,10 @@ def table_scan(spark, d):
 
 @query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def cached_scan(spark, d):
-    nation = R.read_table(spark, f"{d}/nation.parquet", cached=True)
-    return nation.join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    with R.cached_table(spark, f"{d}/nation.parquet") as nation:
+        found = nation.join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+        # Computed while the table is held: what is returned doesn't read it again.
+        return cut(found)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.operators import graph as G
-from kinfold.plans.base import EDGE, THIN, call_edges, incidence, links, query, read
+from kinfold.plans.base import EDGE, call_edges, incidence, links, query, read
 
 SEEDS = "seed AS (SELECT DISTINCT src AS seed, src AS node FROM edge WHERE src % 9 = 0)"
 
@@ -14,9 +14,9 @@ def nodes_of(edges):
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-@query("WITH RECURSIVE " + THIN + ", " + SEEDS + ", r AS (SELECT seed, node FROM seed UNION SELECT r.seed, edge.dst FROM r JOIN edge ON edge.src = r.node) SELECT seed, node FROM r")
+@query("WITH RECURSIVE " + EDGE + ", " + SEEDS + ", r AS (SELECT seed, node FROM seed UNION SELECT r.seed, edge.dst FROM r JOIN edge ON edge.src = r.node) SELECT seed, node FROM r")
 def reachability(spark, d):
-    e = call_edges(spark, d, thin=True)
+    e = call_edges(spark, d)
     return G.reach(e, e.where("src % 9 = 0").select(F.col("src").alias("seed"), F.col("src").alias("node")))
 
 
@@ -27,9 +27,9 @@ def reachability_previsited(spark, d):
     return G.reach_any(e, e.where("src % 9 = 0").select(F.col("src").alias("node")).distinct(), visited)
 
 
-@query("WITH RECURSIVE " + THIN + ", n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), r AS (SELECT DISTINCT src AS node FROM edge WHERE src % 9 = 0 UNION SELECT edge.dst FROM r JOIN edge ON edge.src = r.node) SELECT node FROM n WHERE node NOT IN (SELECT node FROM r)")
+@query("WITH RECURSIVE " + EDGE + ", n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), r AS (SELECT DISTINCT src AS node FROM edge WHERE src % 9 = 0 UNION SELECT edge.dst FROM r JOIN edge ON edge.src = r.node) SELECT node FROM n WHERE node NOT IN (SELECT node FROM r)")
 def unvisited_branches(spark, d):
-    e = call_edges(spark, d, thin=True)
+    e = call_edges(spark, d)
     return nodes_of(e).join(G.reach_any(e, e.where("src % 9 = 0").select(F.col("src").alias("node")).distinct()), "node", "left_anti")
 
 
@@ -38,16 +38,16 @@ def cross_repo_reachability(spark, d):
     """Repositories reached from the first one along links whose functions are reachable; rounds are deterministic here."""
     holds = incidence(spark, d).select("repo", F.col("fid").alias("node"), "fid")
     one = holds.groupBy("repo").agg(F.min("node").alias("src"))
-    inner = holds.join(one, "repo").where("node <> src AND node % 7 = 0").select("repo", "src", F.col("node").alias("dst"))
+    inner = holds.join(one, "repo").where("node <> src").select("repo", "src", F.col("node").alias("dst"))
     a, b = holds.select(F.col("repo").alias("src"), "fid"), holds.select(F.col("repo").alias("dst"), "fid")
     evidence = links(spark, d).select("src", "dst").join(a, "src").join(b, ["dst", "fid"])
     start = one.orderBy("repo").limit(1).select("repo", F.col("src").alias("node"))
     return G.cross_repo_reach(inner, evidence, holds, start)
 
 
-@query("WITH RECURSIVE " + THIN + ", gone AS (SELECT node FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge) WHERE node % 4 = 0), r AS (SELECT src, dst AS node FROM edge WHERE src % 4 <> 0 AND dst % 4 = 0 UNION SELECT r.src, edge.dst FROM r JOIN edge ON edge.src = r.node AND r.node % 4 = 0), a AS (SELECT src, dst FROM edge WHERE src % 4 <> 0 AND dst % 4 <> 0 UNION SELECT src, node FROM r WHERE node % 4 <> 0) SELECT src, dst FROM a")
+@query("WITH RECURSIVE " + EDGE + ", gone AS (SELECT node FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge) WHERE node % 4 = 0), r AS (SELECT src, dst AS node FROM edge WHERE src % 4 <> 0 AND dst % 4 = 0 UNION SELECT r.src, edge.dst FROM r JOIN edge ON edge.src = r.node AND r.node % 4 = 0), a AS (SELECT src, dst FROM edge WHERE src % 4 <> 0 AND dst % 4 <> 0 UNION SELECT src, node FROM r WHERE node % 4 <> 0) SELECT src, dst FROM a")
 def bypass_removal(spark, d):
-    e = call_edges(spark, d, thin=True)
+    e = call_edges(spark, d)
     return G.bypass(e, nodes_of(e).where("node % 4 = 0"))
 
 

@@ -31,7 +31,7 @@ def function_records(spark, d):
 
 
 #: Programs made from parts, and the tokens that they have.
-PROGRAMS = """prog AS (SELECT p_partkey AS id, 5 + p_size % 7 + p_partkey % 3 AS loc, string_split('int <id> f ' || 'get item' || ' <ID> ( int <id> a <ID> ) { ' || repeat('if ( <id> a <ID> > 1 ) { <id> a <ID> = <id> a <ID> ? 2 : 3 ; } ', p_size % 7) || repeat('for ( ; ; ) { <id> p <ID> -> nextItem ; break ; } ', p_partkey % 3) || 'return <STR> + <id> xml file <ID> ; }', ' ') AS t FROM part)""".replace("f ' || 'get item'", "get item f'").replace(" || ' <ID> ( int", " || ' <ID> ( int")
+PROGRAMS = """prog AS (SELECT p_partkey AS id, 5 + p_size % 7 + p_partkey % 3 AS loc, string_split('int <id> get item f <ID> ( int <id> a <ID> ) { ' || repeat('if ( <id> a <ID> > 1 ) { <id> a <ID> = <id> a <ID> ? 2 : 3 ; } ', p_size % 7) || repeat('for ( ; ; ) { <id> p <ID> -> nextItem ; break ; } ', p_partkey % 3) || 'return <STR> + <id> xml file <ID> ; }', ' ') AS t FROM part)"""
 
 
 def programs(spark, d):
@@ -63,8 +63,8 @@ def maintainability_index(spark, d):
     return rows.select("id", F.round(C.maintainability(F.col("t"), F.col("n")), 5).alias("mi"))
 
 
-@query("""WITH w AS (SELECT id, string_split(replace(replace(array_to_string(t, ' '), '<id> ', ''), ' <ID>', ''), ' ') AS t FROM prog), o AS (SELECT id, list_filter(t, lambda x: x IN ('=', '>', '?', ':', '->', '+')) AS ops, list_filter(t, lambda x: x IN ('get', 'item', 'f', 'a', 'p', 'nextItem', 'xml', 'file')) AS words FROM w)
-SELECT id, round((len(ops) + len(words)) * log2(len(list_distinct(ops)) + len(list_distinct(words))), 5) AS volume FROM o""".replace("WITH ", "WITH " + PROGRAMS + ", ", 1))
+@query("WITH " + PROGRAMS + """, w AS (SELECT id, string_split(replace(replace(array_to_string(t, ' '), '<id> ', ''), ' <ID>', ''), ' ') AS t FROM prog), o AS (SELECT id, list_filter(t, lambda x: x IN ('=', '>', '?', ':', '->', '+')) AS ops, list_filter(t, lambda x: x IN ('get', 'item', 'f', 'a', 'p', 'nextItem', 'xml', 'file')) AS words FROM w)
+SELECT id, round((len(ops) + len(words)) * log2(len(list_distinct(ops)) + len(list_distinct(words))), 5) AS volume FROM o""")
 def halstead_volumes(spark, d):
     t = F.filter(F.col("t"), lambda x: ~x.isin("<id>", "<ID>", "<STR>"))
     return programs(spark, d).select("id", C.code_tokens("source").alias("t")).select("id", F.round(C.halstead_volume(t), 5).alias("volume"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -22,9 +23,18 @@ from kinfold.operators.numbering import numbered
 CTAGS_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in ("name", "kind", "scope", "pattern", "path")] + [T.StructField(k, T.IntegerType()) for k in ("line", "end")])
 
 
-def read_table(spark: SparkSession, path: str, cached: bool = False) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.persist() if cached else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+@contextmanager
+def cached_table(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """A table that is read once for all that is asked of it inside the block, and released after it."""
+    df = read_table(spark, path).persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
