@@ -146,7 +146,7 @@ def source_embeddings(spark, d):
 @query()
 def binary_embeddings(spark, d):
     """Vectors of all instructions of each function by the binary network with seeded weights; its vocabulary is what occurs."""
-    normal = C.instruction_sequences(blocks(spark, d)).withColumn("instructions", F.transform("instructions", C.instruction))
+    normal = C.instruction_sequences(blocks(spark, d)).withColumn("instructions", F.transform("instructions", lambda t: C.instruction(t)))
     vocabulary = C.vocabulary(normal, "ea", "instructions")
     ids = C.encoded(normal, "ea", "instructions", vocabulary)
     return vectors(ids, "ea", "ids", Network(1 << 16, 16, 16, 12, seed=9))
