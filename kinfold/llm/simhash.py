@@ -18,7 +18,7 @@ from xxhash import xxh64_intdigest, xxh128_digest
 
 from kinfold.llm.common import ROW, blobs, cut, mix, slices, staged, table
 from kinfold.llm.graph import components
-from kinfold.llm.repeats import partitions
+from kinfold.llm.repeats import BROADCAST_BYTES, partitions
 
 #: Distinct fingerprints of one bucket that are still compared pair by pair; larger buckets link through neighbours.
 PAIRWISE = 64
@@ -270,8 +270,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     are copies of each other, and so are repeated rows; ids play no part. An empty table gives no rows. Candidates share
     a band: with similarity s two texts do with chance 1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. Texts of a bucket whose
     smallest hashes agree often enough are compared on their shingle sets in the bucket's task, which sends on no more
-    links than it has texts. Larger
-    buckets are first linked through their smallest member; then only parts that hold different groups meet.
+    links than it has texts. Larger buckets are first linked through their smallest member; then only parts that hold
+    different groups meet.
     """
     spark = docs.sparkSession
     found = staged(docs.select(ROW, "text").mapInArrow(_signed, f"{ROW} long, same binary, keys array<long>, sketch binary"), "signatures")
@@ -279,7 +279,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     keyed = found.join(distinct.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = staged(keyed.join(several, "key"), "buckets")
-    texts = docs.select(F.col(ROW).alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi")
+    nodes = staged(placed.select("node").distinct(), "nodes")
+    # Whole texts needn't be shuffled for a look at which of them are in a bucket, as long as those are few enough to broadcast.
+    nodes = F.broadcast(nodes) if 64 * nodes.count() <= BROADCAST_BYTES else nodes
+    texts = docs.select(F.col(ROW).alias("node"), "text").join(nodes, "node", "left_semi")
     sets = staged(texts.mapInArrow(_sets, "node long, packed binary"), "sets")
     whole = placed.join(sets.select("node", F.length("packed").alias("bytes")), "node")
     sizes = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("mark"))
@@ -295,7 +298,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     node, zero = F.col("node"), F.lit(0)
     dealt = placed.select("key", "node").join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    sketches = found.select(F.col(ROW).alias("node"), "sketch").join(placed.select("node").distinct(), "node", "left_semi")
+    sketches = found.select(F.col(ROW).alias("node"), "sketch").join(nodes, "node", "left_semi")
     screened = dealt.where("parts = 1").select("key", "node").join(sketches, "node").repartition(4 * n, "key").sortWithinPartitions("key")
     screened = screened.select("key", "node", "sketch").mapInArrow(_screened, "key long, node long")
     small = screened.select("key", "node", zero.alias("i"), zero.alias("j"), node.alias("component"), zero.alias("side"))
