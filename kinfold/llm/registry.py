@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, context_mixing, cover_tree, decontamination, language_id, quality, simhash, substring, suffix_array, token_counts
+from kinfold.llm import bpe, context_mixing, cover_tree, decontamination, features, language_id, quality, simhash, substring, suffix_array, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_difference_cover_dedup": substring.op9_difference_cover_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op12_point_in_time": features.op12_point_in_time,
     # The vectors of the test tables have no neighbours: the same operator where there are some.
     "cover_tree_planted": cover_tree.cover_tree_planted,
 }
@@ -23,5 +24,6 @@ SQL = {
     "op3_suffix_array_dedup": suffix_array.OP3_SQL,
     "op7_cover_tree_near_dedup": cover_tree.OP7_SQL,
     "op9_difference_cover_dedup": substring.OP9_SQL,
+    "op12_point_in_time": features.OP12_SQL,
     "cover_tree_planted": cover_tree.PLANTED_SQL,
 }
