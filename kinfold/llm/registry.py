@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, context_mixing, cover_tree, decontamination, features, language_id, quality, simhash, substring, suffix_array, token_counts
+from kinfold.llm import bpe, collocations, context_mixing, cover_tree, decontamination, features, language_id, quality, simhash, substring, suffix_array, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_difference_cover_dedup": substring.op9_difference_cover_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
     "op12_point_in_time": features.op12_point_in_time,
+    "op13_collocations": collocations.op13_collocations,
     # The vectors of the test tables have no neighbours: the same operator where there are some.
     "cover_tree_planted": cover_tree.cover_tree_planted,
 }
@@ -25,5 +26,6 @@ SQL = {
     "op7_cover_tree_near_dedup": cover_tree.OP7_SQL,
     "op9_difference_cover_dedup": substring.OP9_SQL,
     "op12_point_in_time": features.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
     "cover_tree_planted": cover_tree.PLANTED_SQL,
 }
