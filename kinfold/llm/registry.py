@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, collocations, context_mixing, cover_tree, decontamination, features, language_id, quality, simhash, substring, suffix_array, token_counts
+from kinfold.llm import bpe, collocations, context_mixing, cover_tree, decontamination, features, language_id, neighbours, quality, simhash, substring, suffix_array, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_difference_cover_dedup": substring.op9_difference_cover_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
     "op12_point_in_time": features.op12_point_in_time,
     "op13_collocations": collocations.op13_collocations,
     # The vectors of the test tables have no neighbours: the same operator where there are some.
