@@ -2,8 +2,8 @@
 
 A hash is a Gaussian projection cut into slots of one width; a table joins several hashes, and its buckets are the slots'
 combinations. A vector at distance r from a query falls into a slot with a normal probability, so buckets have estimated
-success probabilities. In each table a query visits the most probable buckets, its own and perturbed ones, until they hold
-its share of the success that is wanted over all tables. Candidates of all tables are ranked by their exact distance.
+success probabilities. A query visits the most probable buckets of all tables in turn, its own and perturbed ones, until the success
+over all tables is as wanted. Candidates of all tables are ranked by their exact distance.
 
 What a query needs is set by its own distances, taken from a bounded sample: among well separated vectors a few buckets do,
 among evenly spread ones most of them. A query whose buckets would be too many is compared with all vectors instead. Equal
@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import mix, release, staged, table
 
 #: Tables; success wanted over all of them for a neighbour as far as the last one asked for.
-TABLES, SUCCESS = 8, 0.9
+TABLES, SUCCESS = 8, 0.95
 #: Vectors of a bucket that the number of hashes aims at; width of a slot, in deviations of a projection.
-BUCKET, WIDTH = 128, 3.0
-#: Distinct vectors that distances and the width are estimated on; buckets of a table that a query visits at most, beyond
+BUCKET, WIDTH = 128, 2.0
+#: Distinct vectors that distances and the width are estimated on; buckets that a query visits at most, beyond
 #: which it is compared with all vectors; vectors and queries of a block.
 SAMPLE, PROBES, BLOCK = 4096, 2048, 1024
 #: Slack of distances by matrix products, which only choose what is measured exactly.
 _SLACK = 1e-7
+#: Probability of a slot below which no neighbour is looked for in it.
+_RARE = 1e-3
 _U = np.uint64
 
 
@@ -44,8 +46,8 @@ class Index:
     """The hashes of all tables for vectors of one length: a rule gives them, so every worker has the same."""
 
     def __init__(self, dim: int, n: int, deviation: float):
-        # A slot of this width tells about 1.5 bits.
-        self.hashes = max(0, int(np.log2(max(n, 1) / BUCKET) / 1.5 + 0.5)) if n > BUCKET else 0
+        # A slot of this width tells about 1.2 bits.
+        self.hashes = max(0, int(np.log2(max(n, 1) / BUCKET) / 1.2 + 0.5)) if n > BUCKET else 0
         self.tables = TABLES if self.hashes else 1
         rng = np.random.Generator(np.random.PCG64([dim, 7]))
         self.planes = rng.standard_normal((dim, self.tables * self.hashes))
@@ -69,27 +71,30 @@ class Index:
         """The buckets that a query at ``place`` visits for neighbours at distance r; None where they are too many."""
         if not self.hashes:
             return self.cells(np.zeros((1, 0), np.int64), np.zeros(1, np.int64))
-        wanted, scale = 1 - (1 - SUCCESS) ** (1 / self.tables), max(r / self.width, 1e-9)
+        scale = max(r / self.width, 1e-9)
         if scale > 5:
             return None
         reach = int(np.ceil(3 * scale)) + 1
         slots = np.floor(place).astype(np.int64)[..., None] + np.arange(-reach, reach + 1)
         edges = np.concatenate([slots, slots[..., -1:] + 1], axis=-1) - place[..., None]
         share = np.diff(normal(edges / scale), axis=-1)
-        out = []
+        cells, chances, gains = [], [], []
         for t in range(self.tables):
             codes, chance = np.zeros((1, 0), np.int64), np.ones(1)
             for slot, p in zip(slots[t], share[t], strict=True):
-                # The most probable combinations begin with most probable ones.
-                p_all = (chance[:, None] * p).ravel()
-                best = np.argsort(-p_all, kind="stable")[:PROBES]
+                # The most probable combinations begin with most probable ones; slots out of reach are left out.
+                slot, p = slot[p > _RARE], p[p > _RARE]
+                both = (chance[:, None] * p).ravel()
+                best = np.argsort(-both, kind="stable")[:PROBES]
                 codes = np.hstack([codes[best // len(p)], slot[best % len(p)][:, None]])
-                chance = p_all[best]
-            n = int(np.searchsorted(np.cumsum(chance), wanted)) + 1
-            if n > len(chance):
-                return None
-            out.append(self.cells(codes[:n], np.full(n, t)))
-        return np.concatenate(out)
+                chance = both[best]
+            cells.append(self.cells(codes, np.full(len(codes), t)))
+            chances.append(chance)
+            gains.append(-np.diff(np.log1p(-np.minimum(np.cumsum(chance), 1 - 1e-12)), prepend=0.0))
+        # Success over all tables: 1 less the product of what each table misses.
+        order = np.argsort(-np.concatenate(chances), kind="stable")
+        n = int(np.searchsorted(np.cumsum(np.concatenate(gains)[order]), -np.log(1 - SUCCESS))) + 1
+        return np.concatenate(cells)[order[:n]] if n <= min(len(order), PROBES) else None
 
 
 def normal(x: np.ndarray) -> np.ndarray:

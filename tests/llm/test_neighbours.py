@@ -94,7 +94,7 @@ def test_clusters_cost_little_and_probes_follow_their_order():
     for q in range(0, 20000, 500):
         d = np.sort(np.sqrt(((x - x[q]) ** 2).sum(1)))[10]
         probes = index.probes(places[q], d)
-        assert cells[q, 0] == probes[0]
+        assert probes[0] in cells[q]
         seen.append(np.isin(cells, probes).any(axis=1).mean())
     assert np.mean(seen) < 0.2
 
