@@ -93,3 +93,45 @@ def subgraph_edit_bounds(spark, d):
 
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"), (F.col("s_nationkey") % 5).alias("label"))
     return edit_bounds(call_edges(spark, d), s).withColumn("similarity", F.round("similarity", 6))
+
+
+#: Two programs: documents are functions with their longer sentences as strings, and each calls one or two of its half.
+TWO_PROGRAMS = """fn AS (SELECT doc_id AS nid, doc_id % 2 AS half, n_chars, CASE WHEN doc_id % 4 < 2 THEN 'f' || (doc_id // 4) END AS label FROM documents), str AS (SELECT DISTINCT nid, half, string FROM (SELECT doc_id AS nid, doc_id % 2 AS half, unnest(string_split(text, '. ')) AS string FROM documents) WHERE length(string) >= 20),
+e AS (SELECT DISTINCT x.nid AS src, y.nid AS dst FROM (SELECT nid, unnest([nid + 2, nid + 2 + 2 * (n_chars % 5)]) AS dst FROM fn) x JOIN fn y ON y.nid = x.dst),
+pair AS (SELECT a, b, bool_or(by_label) AS by_label, sum(score) AS score FROM (SELECT a.nid AS a, b.nid AS b, true AS by_label, 0 AS score FROM fn a JOIN fn b ON a.label = b.label AND a.half = 0 AND b.half = 1 WHERE a.nid % 7 <> 0 UNION ALL SELECT a.nid, b.nid, false, length(a.string) FROM str a JOIN str b ON a.string = b.string AND a.half = 0 AND b.half = 1 WHERE a.nid % 7 <> 0) GROUP BY a, b),
+stop AS (SELECT a AS node FROM pair UNION SELECT b FROM pair), r AS (SELECT a AS root, 0 AS side FROM pair WHERE NOT by_label UNION SELECT b, 1 FROM pair WHERE NOT by_label),
+l1 AS (SELECT DISTINCT root, dst AS node FROM r JOIN e ON src = root), l2 AS (SELECT DISTINCT root, dst AS node FROM l1 JOIN e ON src = node WHERE node NOT IN (SELECT node FROM stop)),
+near AS (SELECT root, root AS node FROM r UNION SELECT * FROM l1 UNION SELECT * FROM l2), own AS (SELECT DISTINCT root, string FROM near JOIN str ON nid = node), total AS (SELECT root, sum(length(string)) AS n FROM own GROUP BY root),
+size AS (SELECT root, count(*) AS n, (SELECT count(*) FROM e WHERE EXISTS (SELECT 1 FROM near x WHERE x.root = near.root AND x.node = src) AND EXISTS (SELECT 1 FROM near x WHERE x.root = near.root AND x.node = dst)) AS m FROM near GROUP BY root),
+sim AS (SELECT a, b, shared / (x.n + y.n - shared) AS similarity FROM (SELECT a, b, sum(length(p.string)) AS shared FROM pair JOIN own p ON p.root = a JOIN own q ON q.root = b AND q.string = p.string WHERE NOT by_label GROUP BY a, b) JOIN total x ON x.root = a JOIN total y ON y.root = b)"""
+
+
+def two_programs(spark, d):
+    """Nodes and edges of two programs; every seventh function is one of a library."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id")
+    label = F.when(k % 4 < 2, F.concat(F.lit("f"), F.floor(k / 4).cast("string")))
+    strings = docs.select(k.alias("nid"), F.explode(F.split("text", r"\. ")).alias("string")).where("length(string) >= 20").distinct()
+    nodes = docs.select(k.alias("nid"), label.alias("label")).join(strings, "nid", "left")
+    called = docs.select(k.alias("src"), F.explode(F.array(k + 2, k + 2 + 2 * (F.col("n_chars") % 5))).alias("dst"))
+    edges = called.join(docs.select(k.alias("dst")), "dst", "left_semi").distinct()
+    return [x for r in (0, 1) for x in (nodes.where(f"nid % 2 = {r}"), edges.where(f"src % 2 = {r}"))]
+
+
+def matched_programs(spark, d):
+    from kinfold.operators.subgraphs import call_graph_match
+
+    a_nodes, a_edges, b_nodes, b_edges = two_programs(spark, d)
+    return call_graph_match(a_nodes, a_edges, b_nodes, b_edges, F.col("nid") % 7 == 0, 2)
+
+
+@query("WITH " + TWO_PROGRAMS + """ SELECT a, b, true AS by_label, NULL::DOUBLE AS similarity, NULL::BIGINT AS nodes FROM pair WHERE by_label UNION ALL
+SELECT a, b, false, round(similarity, 6), CAST(greatest(x.n, y.n) + greatest(x.m, y.m) AS BIGINT) FROM sim JOIN size x ON x.root = a JOIN size y ON y.root = b WHERE similarity >= 0.05""")
+def call_graph_match(spark, d):
+    """Functions of two programs that match by name or by strings, and how alike their neighbourhoods are."""
+    return matched_programs(spark, d).select("a", "b", "by_label", F.round("similarity", 6).alias("similarity"), "nodes")
+
+
+@query()
+def call_graph_bounds(spark, d):
+    """Bounds of the edit distance of the neighbourhoods that match by strings; tests hold them against all node maps."""
+    return matched_programs(spark, d).where("NOT by_label").select("a", "b", "low", "high", "nodes")
