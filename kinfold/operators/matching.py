@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
 from kinfold.functions.digest import distance, nibble_cost, pairs_below
+from kinfold.operators.intervals import holding, innermost
 from kinfold.operators.linkage import common_identifiers
 
 
@@ -84,11 +85,8 @@ def resolve_calls(calls: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def enclosing(positions: DataFrame, functions: DataFrame) -> DataFrame:
-    """The innermost function whose lines hold each position (path, line): an equi-join on the path with a range inside."""
-    f = functions.select("path", F.col("nid"), F.col("line_start"), F.col("line_end"))
-    rows = positions.join(f, "path").where("line BETWEEN line_start AND line_end")
-    inner = F.row_number().over(Window.partitionBy("path", "line").orderBy(F.col("line_end") - F.col("line_start"), F.desc("line_start"), "nid"))
-    return rows.withColumn("_n", inner).where("_n = 1").select(*positions.columns, "nid")
+    """The innermost function whose lines hold each position (path, line), by blocks of lines (``intervals``)."""
+    return innermost(positions, functions)
 
 
 def suffix_paths(debug: DataFrame, files: DataFrame) -> DataFrame:
@@ -200,8 +198,7 @@ def implementations_at(positions: DataFrame, index: DataFrame) -> DataFrame:
 
 def callees_in_range(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """``nid``, ``symbol`` of the calls (file, symbol, line) that stand inside a function (nid, path, line_start, line_end)."""
-    rows = functions.join(calls.select(F.col("file").alias("path"), "symbol", "line"), "path")
-    return rows.where("line BETWEEN line_start AND line_end").select("nid", "symbol").distinct()
+    return holding(calls.select(F.col("file").alias("path"), "symbol", "line"), functions).select("nid", "symbol").distinct()
 
 
 def node_info(nodes: DataFrame, infos: DataFrame) -> DataFrame:
