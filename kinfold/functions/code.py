@@ -108,6 +108,14 @@ def vocabulary(rows: DataFrame, order: str, column: str, reserved: tuple[str, ..
     return fixed.unionByName(named.select("token", (F.col("n") + len(reserved) - 1).alias("id")))
 
 
+def rows_of(vocabulary: DataFrame, most: int = 1 << 20) -> int:
+    """How many rows an embedding of the vocabulary has; more than ``most`` are no table that every worker can hold."""
+    n = (vocabulary.agg(F.max("id")).first()[0] or 0) + 1
+    if n > most:
+        raise ValueError(f"{n} tokens; encode with a vocabulary of {most} at most, so that the rest is unknown")
+    return n
+
+
 def encoded(rows: DataFrame, key: str, column: str, vocabulary: DataFrame, length: int = LENGTH, unknown: int = 1, pad: int = 0) -> DataFrame:
     """``ids`` of each row: the first ``length`` tokens by the vocabulary, filled up to that length."""
     pairs = rows.select(key, F.posexplode(F.slice(column, 1, length)).alias("pos", "token")).join(vocabulary, "token", "left")

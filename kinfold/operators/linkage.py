@@ -5,6 +5,8 @@ Evidence stays in long form until the last projection, so sets are joins and not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,15 +260,35 @@ def subsumed_once(evidence: DataFrame, links: DataFrame) -> DataFrame:
     return first.join(chain, "o1").join(second, ["n", "o2", "kind", "key"], "left_semi").select(F.col("n").alias("src"), F.col("o1").alias("dst"), "kind", "key").distinct()
 
 
-def subsume(evidence: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Subsumption until nothing more goes; links without evidence vanish with it."""
-    evidence = cut(evidence)
-    for _ in range(max_rounds):
-        gone = cut(subsumed_once(evidence, evidence.select("src", "dst").distinct()))
-        if gone.isEmpty():
+def subsume(evidence: DataFrame) -> DataFrame:
+    """Subsumption until nothing more goes; links without evidence vanish with it.
+
+    A round removes what ``subsumed_once`` does. After the first one, evidence can only go because a link has just become
+    one-way, its reverse having lost its last evidence: a round looks at the evidence of such links alone, and ends when
+    there are none. The evidence itself is written once; rounds write what they remove and the links' counts.
+    """
+    keys = ["src", "dst", "kind", "key"]
+    evidence = cut(evidence.select(*keys).distinct())
+    counts = cut(evidence.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    chain, gone = one_way(counts.select("src", "dst")).select(F.col("src").alias("o1"), F.col("dst").alias("o2")), []
+    while True:
+        first = evidence.select(F.col("src").alias("n"), F.col("dst").alias("o1"), "kind", "key").join(chain.select("o1").distinct(), "o1", "left_semi")
+        second = evidence.select(F.col("src").alias("n"), F.col("dst").alias("o2"), "kind", "key").join(chain.select("o2").distinct(), "o2", "left_semi")
+        if gone:
+            removed = reduce(DataFrame.unionByName, gone)
+            first, second = (df.join(removed.withColumnsRenamed({"src": "n", "dst": k}), ["n", k, "kind", "key"], "left_anti") for df, k in ((first, "o1"), (second, "o2")))
+        out = first.join(chain, "o1").join(second, ["n", "o2", "kind", "key"], "left_semi").select(F.col("n").alias("src"), F.col("o1").alias("dst"), "kind", "key").distinct()
+        out = cut(out)
+        if out.isEmpty():
+            break
+        gone = [cut(reduce(DataFrame.unionByName, gone)), out] if len(gone) >= 32 else [*gone, out]
+        lost = out.groupBy("src", "dst").agg(F.count("*").alias("m"))
+        counts = cut(counts.join(lost, ["src", "dst"], "left").select("src", "dst", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")))
+        empty = counts.join(lost, ["src", "dst"], "left_semi").where("n = 0").select(F.col("dst").alias("o1"), F.col("src").alias("o2"))
+        chain = cut(empty.join(counts.where("n > 0").select(F.col("src").alias("o1"), F.col("dst").alias("o2")), ["o1", "o2"], "left_semi"))
+        if chain.isEmpty():
             break
-        evidence = cut(evidence.join(gone, ["src", "dst", "kind", "key"], "left_anti"))
-    return evidence
+    return evidence.join(reduce(DataFrame.unionByName, gone), keys, "left_anti") if gone else evidence
 
 
 def reused(evidence: DataFrame) -> DataFrame:

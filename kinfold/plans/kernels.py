@@ -138,8 +138,9 @@ def source_embeddings(spark, d):
     """Vectors of programs by the source network: 2048 token ids, 256 channels out, seeded weights. Equal programs are embedded once."""
     tokens = programs(spark, d).select("id", C.code_tokens("source").alias("t"))
     kinds = tokens.groupBy("t").agg(F.min("id").alias("kind"))
-    ids = C.encoded(kinds, "kind", "t", C.vocabulary(kinds, "kind", "t"))
-    found = vectors(ids, "kind", "ids", Network(1000, 128, 256, 12))
+    vocabulary = C.vocabulary(kinds, "kind", "t").persist()
+    ids = C.encoded(kinds, "kind", "t", vocabulary)
+    found = vectors(ids, "kind", "ids", Network(C.rows_of(vocabulary), 128, 256, 12))
     return tokens.join(kinds, "t").select("id", "kind").join(found, "kind").select("id", "vec")
 
 
@@ -147,6 +148,6 @@ def source_embeddings(spark, d):
 def binary_embeddings(spark, d):
     """Vectors of all instructions of each function by the binary network with seeded weights; its vocabulary is what occurs."""
     normal = C.instruction_sequences(blocks(spark, d)).withColumn("instructions", F.transform("instructions", lambda t: C.instruction(t)))
-    vocabulary = C.vocabulary(normal, "ea", "instructions")
+    vocabulary = C.vocabulary(normal, "ea", "instructions").persist()
     ids = C.encoded(normal, "ea", "instructions", vocabulary)
-    return vectors(ids, "ea", "ids", Network(1 << 16, 16, 16, 12, seed=9))
+    return vectors(ids, "ea", "ids", Network(C.rows_of(vocabulary), 128, 128, 12, seed=9))

@@ -42,11 +42,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end: Spark leaves its mark last."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at ``path``, built first where it isn't there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        write_table(build(), path, "errorifexists")
+    """The table at ``path``, built first where it isn't there or a writer left it half-written."""
+    if not finished(spark, path):
+        write_table(build(), path)
     return spark.read.parquet(path)
 
 
