@@ -27,7 +27,7 @@ _LEXER = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<directive>(?m:^)[ \t]*\#[^\n]*)|(?P<string>(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*")|(?P<char>'(?:[^'\\\n]|\\.)+')|(?P<number>(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][+-]?\d+)?)[uUlLfF]*)|(?P<word>[A-Za-z_]\w*)|(?P<op><<=|>>=|<=>|->\*|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^=]=|::|[-+*/%&|^=<>!~?:.,;(){}\[\]])|(?P<bad>\S)""",
     re.DOTALL | re.MULTILINE,
 )
-_WORDS = frozenset("alignas alignof and asm auto bool break case catch char class const constexpr continue decltype default delete do double else enum explicit extern false float for friend goto if inline int long mutable namespace new noexcept not nullptr operator or private protected public register return short signed sizeof static struct switch template this throw true try typedef typename union unsigned using virtual void volatile wchar_t while xor".split())
+WORDS = frozenset("alignas alignof and asm auto bool break case catch char class const constexpr continue decltype default delete do double else enum explicit extern false float for friend goto if inline int long mutable namespace new noexcept not nullptr operator or private protected public register return short signed sizeof static struct switch template this throw true try typedef typename union unsigned using virtual void volatile wchar_t while xor".split())
 _CUTS = re.compile(r"(?<=[a-z])(?=[A-Z])|_|[0-9]|(?<=[A-Z])(?=[A-Z][a-z])|\s+")
 
 
@@ -49,7 +49,7 @@ def tokens_of(source: str | None) -> list[str]:
             out += [*text.split()[:1], "<ANY>"]
         elif kind == "bad":
             out.append("<ERROR>")
-        elif kind == "word" and text not in _WORDS and last not in (".", "->", "::"):
+        elif kind == "word" and text not in WORDS and last not in (".", "->", "::"):
             out += ["<id>", *(x.lower() for x in _CUTS.split(text) if x), "<ID>"]
         else:
             out.append(text)
@@ -86,7 +86,7 @@ def cyclomatic(tokens: Column) -> Column:
 def halstead_volume(tokens: Column, compat: bool = False) -> Column:
     """Operators and identifiers times the log of how many different ones there are; ``compat`` counts all identifiers as one kind."""
     ops = F.filter(tokens, lambda x: x.isin(*OPERATORS))
-    words = F.filter(tokens, lambda x: x.rlike(r"^[A-Za-z_]\w*$") & ~x.isin(*_WORDS))
+    words = F.filter(tokens, lambda x: x.rlike(r"^[A-Za-z_]\w*$") & ~x.isin(*WORDS))
     kinds = F.size(F.array_distinct(ops)) + (F.when(F.size(words) > 0, 1).otherwise(0) if compat else F.size(F.array_distinct(words)))
     return F.when(kinds > 0, (F.size(ops) + F.size(words)) * F.log2(kinds.cast("double"))).otherwise(F.lit(0.0))
 

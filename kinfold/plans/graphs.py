@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinfold.operators import graph as G
+from kinfold.operators.references import reference_edges, references
 from kinfold.plans.base import EDGE, call_edges, incidence, links, query, read
 
 SEEDS = "seed AS (SELECT DISTINCT src AS seed, src AS node FROM edge WHERE src % 9 = 0)"
@@ -135,3 +137,43 @@ def call_graph_match(spark, d):
 def call_graph_bounds(spark, d):
     """Bounds of the edit distance of the neighbourhoods that match by strings; tests hold them against all node maps."""
     return matched_programs(spark, d).where("NOT by_label").select("a", "b", "low", "high", "nodes")
+
+
+#: Files of five functions each, made from parts, and where they begin: eight lines, and one more for some.
+FILES = """loc AS (SELECT p_partkey AS k, p_partkey // 5 AS file, 8 + p_size % 3 AS n FROM part), fn AS (SELECT k, file, 1 + coalesce(sum(n) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, n FROM loc)"""
+
+
+def source_files(spark, d):
+    """Source files (path, text) and their functions (path, nid, name, line_start, line_end). Comments, strings, declarations
+    and members look like calls."""
+    p, k, n = read(spark, d, "part"), F.col("p_partkey").cast("string"), F.col("p_size") % 3
+    lines = (
+        "// helper_#(1) is old", "static int fn_#(int a, struct s *p) {", "  int r = fn_$(a, inner_#(a));  /* no_#(2)", "  neither_#(3) */ printf(\"str(%d)\\n\", r);",
+        "  if (check_#(a) && p->method_#(a)) { ns::qual_#(); return last_# (r); }", "  Foo obj_#(3); int decl_#(int); r = a * mul_#(2);", "@define M_#(x) macro_#(x)", "}",
+    )
+    text = F.concat_ws("\n", *(F.replace(F.replace(F.replace(F.lit(t), F.lit("#"), k), F.lit("$"), (F.col("p_partkey") + 1).cast("string")), F.lit("@"), F.lit("#")) for t in lines), F.when(n > 0, F.repeat(F.lit("\n"), (n - 1).cast("int"))))
+    each = p.select(F.floor(F.col("p_partkey") / 5).alias("file"), F.col("p_partkey").alias("k"), text.alias("text"), (8 + n).alias("n"))
+    files = each.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    before = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)) + 1
+    path = F.concat(F.col("file").cast("string"), F.lit(".c"))
+    functions = each.select(path.alias("path"), F.col("k").alias("nid"), F.concat(F.lit("fn_"), F.col("k").cast("string")).alias("name"), start.alias("line_start"), (start + F.col("n") - 1).alias("line_end"))
+    return files.select(path.alias("path"), "text"), functions
+
+
+@query("WITH " + FILES + """ SELECT file || '.c' AS path, k AS nid, CAST(s + o AS BIGINT) AS line, replace(replace(name, '#', '' || k), '$', '' || (k + 1)) AS name FROM fn, (VALUES (2, 'fn_$'), (2, 'inner_#'), (3, 'printf'), (4, 'check_#'), (4, 'last_#'), (5, 'mul_#')) c(o, name)""")
+def structural_calls(spark, d):
+    """Calls in source files with the function around each."""
+    return references(*source_files(spark, d)).select("path", "nid", F.col("line").cast("long").alias("line"), "name")
+
+
+@query("WITH " + FILES + """ SELECT k AS nid, CAST(s + o AS BIGINT) AS line, count(*) AS n FROM fn, (VALUES (1, 'fn'), (1, 'a'), (1, 'p'), (2, 'r'), (2, 'fn'), (2, 'a'), (2, 'inner'), (2, 'a'), (3, 'printf'), (3, 'r'), (4, 'check'), (4, 'a'), (4, 'p'), (4, 'a'), (4, 'qual'), (4, 'last'), (4, 'r'), (5, 'obj'), (5, 'decl'), (5, 'r'), (5, 'a'), (5, 'mul')) c(o, name) GROUP BY k, s, o""")
+def structural_names(spark, d):
+    """How many names of any kind each line of each function refers to."""
+    return references(*source_files(spark, d), mode="all").groupBy("nid", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)")
+def call_references(spark, d):
+    """Which function calls which, by their names."""
+    return reference_edges(*source_files(spark, d))
