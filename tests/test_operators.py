@@ -223,6 +223,34 @@ def test_repositories_choose_in_turn(spark):
     assert found == {("x", "a", 1): (True, True), ("x", "a", 2): (True, True), ("x", "a", 3): (True, True), ("x", "b", 4): (False, False), ("x", "b", 5): (False, False), ("x", "c", 5): (True, True), ("x", "c", 6): (True, True), ("y", "a", 2): (False, False)}
 
 
+def in_turn(likely, edges, least, need_edge):
+    """One repository after the other, as the rule says."""
+    out = set()
+    for exe in {e for e, _, _ in likely}:
+        taken = set()
+        for repo in sorted({r for e, r, _ in likely if e == exe}):
+            free = {n for e, r, n in likely if (e, r) == (exe, repo)} - taken
+            edged = any(e == exe and a in free and b in free for e, a, b in edges)
+            won = len(free) >= least and (edged or not need_edge)
+            taken |= free if won else set()
+            out |= {(exe, repo, n, won, edged) for n in free}
+    return out
+
+
+def test_rounds_give_what_turns_give(spark):
+    from kinfold.operators import joint
+
+    for seed, least, need in ((1, 3, True), (2, 1, False), (3, 5, True), (4, 2, False)):
+        rng = random.Random(seed)
+        likely = [(rng.choice("xyz"), f"r{rng.randrange(14):02}", rng.randrange(40)) for _ in range(400)]
+        edges = [(rng.choice("xyz"), rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+        found = joint.claims(spark.createDataFrame(likely + likely[:9], "exe string, repo string, nid long"), spark.createDataFrame(edges + edges[:5], "exe string, src long, dst long"), least, need)
+        assert set(map(tuple, found.collect())) == in_turn(likely, edges, least, need)
+        assert found.count() == len(in_turn(likely, edges, least, need))
+    none = spark.createDataFrame([], "exe string, repo string, nid long")
+    assert not joint.claims(none, spark.createDataFrame([], "exe string, src long, dst long")).collect()
+
+
 def test_nearest_keeps_ties_by_label(spark):
     score = np.array([[0.5, 0.1, 0.1, 0.1, 0.9], [1.0, 1.0, 1.0, 1.0, 1.0]])
     label = np.array([[9, 7, 3, 5, 1], [5, 4, 3, 2, 1]])
