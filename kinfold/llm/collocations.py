@@ -7,9 +7,9 @@ phrase occurs. Phrases are extended depth first, a bounded group of first words
 shards.
 
 Whether a phrase is frequent shows only over all shards. A first pass adds up the popcounts of words and word pairs by hash
-slot; slots that reach the least count are the bits of a filter of fixed size. In the second pass only phrases whose words
-and pairs have their bits are extended and counted exactly. The filter leaves out nothing that is frequent, so its size
-decides the work and not the result.
+slot; slots that reach the least count are the bits of a filter of bounded size. The next pass does so for phrases of three
+words all of whose parts have their bits, and so on. The last pass counts only phrases that have their bits, exactly. The
+filter leaves out nothing that is frequent, so its size decides the work and not the result.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import blobs, mix, release, slices, staged, table
 from kinfold.llm.repeats import partitions
 
-#: Bytes of text in a shard; hash slots of the filter, one bit each: 16 MB in the driver and in each worker.
-SHARD_BYTES, SLOT_BITS = 12 << 20, 27
+#: Bytes of text in a shard; the least and the most hash slots of the filter as powers of two: a bit each, so 64 MB in the
+#: driver and in each worker at most. In between there is a slot for four bytes of input; for input
+#: of unknown size the last number holds.
+SHARD_BYTES, SLOT_BITS, UNKNOWN_BITS = 12 << 20, (24, 29), 27
 #: Bitmap bytes of the first words of a group that is extended at once.
 GROUP = 1 << 18
 #: Lower case, one kind of space, and one kind of piece boundary.
@@ -145,13 +147,49 @@ def _folded(owner: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Bitmaps:
     return Bitmaps(owner[first], block[first], bits)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (mix(h.copy()) >> _U(64 - SLOT_BITS)).astype(np.int64)
+def _hashed(h: list[np.ndarray]) -> np.ndarray:
+    """A hash of each phrase, from the hashes of its first, second, ... words."""
+    out = h[0]
+    for x in h[1:]:
+        out = mix(out * _U(0x9E3779B97F4A7C15) + (x ^ (x >> _U(29))) * _U(0xD6E8FEB86659FD93))
+    return out
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two words in a row, from the words' hashes."""
-    return a * _U(0x9E3779B97F4A7C15) + (b ^ (b >> _U(29))) * _U(0xD6E8FEB86659FD93)
+class Filter:
+    """A bit for each hash slot in which a phrase may be frequent."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits, _U(64 - (len(bits) * 8 - 1).bit_length())
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        return (mix(h.copy()) >> self.shift).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        slot = self.slots(h)
+        return (self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def extensions(shard: Shard, h: np.ndarray, filtered: Filter, longest: int, exact: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Phrases of 2 to ``longest`` words by depth: the numbers of their first, second, ... words, and their counts.
+
+    ``h`` has the words' hashes. Phrases are extended as long as they have their bits in the filter. The longest ones have
+    to have their own only if ``exact``; their first and last parts, a word shorter, always have theirs.
+    """
+    index = shard.index()
+    for group in shard.groups():
+        words: list[np.ndarray] = [np.arange(len(h))]
+        for n in range(2, longest + 1):
+            if not len(group.owner):
+                break
+
+            def allowed(prefix: np.ndarray, word: np.ndarray, words=words, n=n) -> np.ndarray:
+                own = [h[w[prefix]] for w in words] + [h[word]]
+                ok = filtered.has(_hashed(own[1:])) if n > 2 else np.ones(len(word), bool)
+                return ok & filtered.has(_hashed(own)) if exact or n < longest else ok
+
+            prefix, word, count, group = shard.extended(group, index, allowed)
+            words = [w[prefix] for w in words] + [word]
+            yield words, count
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
@@ -180,28 +218,41 @@ def _received(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def frequent_slots(docs: DataFrame, least: int) -> np.ndarray:
-    """A bit for each hash slot whose words or word pairs occur ``least`` times or more over all shards."""
-    spark = docs.sparkSession
+def frequent_slots(docs: DataFrame, least: int, longest: int) -> Filter:
+    """The filter of phrases of up to ``longest`` words that occur ``least`` times or more over all shards."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = min(max(size.bit_length() - 2, SLOT_BITS[0]), SLOT_BITS[1]) if size < 1 << 60 else UNKNOWN_BITS
+    found = Filter(np.zeros(1 << (bits - 3), np.uint8))
+    for words in range(2, max(longest, 2) + 1):
+        found = Filter(found.bits | _surveyed(docs, least, words, found))
+    return found
+
+
+def _surveyed(docs: DataFrame, least: int, words: int, before: Filter) -> np.ndarray:
+    """Bits of slots in which phrases of ``words`` words, or of one and two, occur ``least`` times or more."""
+    spark, top, n = docs.sparkSession, min(least, 65535), len(before.bits) * 8
     buckets = 1 << max(6, min(12, (partitions(spark, docs) - 1).bit_length()))
-    width = (1 << SLOT_BITS) // buckets
-    top = min(least, 65535)
+    width, shared = n // buckets, spark.sparkContext.broadcast(before)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filtered = shared.value
         for lang, shard in shards(batches):
-            h, index = shard.hashes(lang), shard.index()
-            slots, counts = [_slot(h)], [shard.counts()]
-            for group in shard.groups():
-                first, second, count, _ = shard.extended(group, index)
-                slots.append(_slot(_pair(h[first], h[second])))
-                counts.append(count)
-            slot, count = np.concatenate(slots), np.concatenate(counts)
+            h = shard.hashes(lang)
+            slots, counts = ([filtered.slots(h)], [shard.counts()]) if words == 2 else ([], [])
+            if words > 2:
+                shard.only(filtered.has(h))
+            for own, count in extensions(shard, h, filtered, words, exact=False):
+                if len(own) == words:
+                    slots.append(filtered.slots(_hashed([h[w] for w in own])))
+                    counts.append(count)
+            slot = np.concatenate([np.empty(0, np.int64), *slots])
+            count = np.concatenate([np.empty(0, np.int64), *counts])
             # Equal slots add up; more than the least count says no more than it does.
             order = np.argsort(slot)
             slot, count = slot[order], count[order]
-            starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            count = np.minimum(np.add.reduceat(count, starts), top).astype(np.uint16) if len(slot) else count.astype(np.uint16)
-            slot = slot[starts] if len(slot) else slot
+            starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+            count = np.minimum(np.add.reduceat(count, starts) if len(slot) else count, top).astype(np.uint16)
+            slot = slot[starts]
             cuts = np.searchsorted(slot, np.arange(buckets + 1) * width)
             keys = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
             gaps = [_sent(np.diff(slot[cuts[b] : cuts[b + 1]] - b * width, prepend=0).astype(np.uint32)) for b in keys]
@@ -232,12 +283,10 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> DataFra
     is ``und``, and repeated rows count again.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    bits = frequent_slots(docs, least)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, least, longest))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        on = lambda slot: (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        filtered = shared.value
 
         def rows(lang: str, phrases: pa.Array, words: int, count: np.ndarray) -> pa.RecordBatch:
             n = len(phrases)
@@ -246,20 +295,14 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> DataFra
         for lang, shard in shards(batches):
             h, counts = shard.hashes(lang), shard.counts()
             yield rows(lang, pa.nulls(1, pa.string()), 0, np.array([shard.n], np.int64))
-            kept = on(_slot(h)) & (counts > 0)
+            kept = filtered.has(h) & (counts > 0)
             shard.only(kept)
             here = np.flatnonzero(kept)
             yield rows(lang, shard.words.take(pa.array(here)), 1, counts[here])
-            index = shard.index()
-            for group in shard.groups():
-                texts, last = shard.words, np.arange(len(h))
-                for words in range(2, longest + 1):
-                    if not len(group.owner):
-                        break
-                    prefix, word, count, group = shard.extended(group, index, lambda p, w, last=last: on(_slot(_pair(h[last[p]], h[w]))))
-                    texts = pc.binary_join_element_wise(texts.take(pa.array(prefix)), shard.words.take(pa.array(word)), pa.scalar(b" ", shard.words.type))
-                    last = word
-                    yield rows(lang, texts, words, count)
+            space = pa.scalar(b" ", shard.words.type)
+            for own, count in extensions(shard, h, filtered, longest, exact=True):
+                texts = pc.binary_join_element_wise(*(shard.words.take(pa.array(w)) for w in own), space)
+                yield rows(lang, texts, len(own), count)
 
     found = docs.mapInArrow(counted, "lang string, phrase string, words int, count long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).where((F.col("count") >= least) | F.col("phrase").isNull())

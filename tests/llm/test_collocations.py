@@ -72,10 +72,23 @@ def test_small_filter_changes_nothing(spark, monkeypatch):
     assert sorted(map(tuple, C.collocations(docs, 4).collect())) == want
     assert want
     # Executors have the module as it is, so the filter is emptied instead: every bit is set.
-    monkeypatch.setattr(C, "frequent_slots", lambda docs, least: np.full(1 << (C.SLOT_BITS - 3), 255, np.uint8))
+    monkeypatch.setattr(C, "frequent_slots", lambda docs, least, longest: C.Filter(np.full(1 << 21, 255, np.uint8)))
     assert sorted(map(tuple, C.collocations(docs, 4).collect())) == want
 
 
+def test_filter_holds_what_is_frequent(spark):
+    """Every frequent phrase has its bit, and few others have."""
+    rows = texts(9, 200)
+    docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text")
+    found = C.frequent_slots(docs, 5, 3)
+    assert len(found.bits) == 1 << (C.UNKNOWN_BITS - 3)
+    f = Counter((lang or "und", *w[i : i + k]) for lang, t in rows for w in pieces(t) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    seed = {lang: C.xxhash.xxh3_64_intdigest(lang.encode()) for lang, *_ in f}
+    bit = {p: found.has(C._hashed([np.array([C.xxhash.xxh3_64_intdigest(w.encode(), seed[p[0]])], np.uint64) for w in p[1:]]))[0] for p in f}
+    assert all(bit[p] for p, n in f.items() if n >= 5)
+    assert sum(bit.values()) <= 1.1 * sum(n >= 5 for n in f.values()) + 5
+
+
 def test_no_rows(spark):
     for rows in ([], [(None, None)], [("en", "")], [("en", "a b")]):
         assert not C.collocations(spark.createDataFrame(rows, "lang string, text string")).collect()
