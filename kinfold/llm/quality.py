@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from kinfold.llm.bpe import _with
 from kinfold.llm.common import blobs, fold, joined, mix, slices, table
@@ -186,17 +186,21 @@ def train(positive: tuple[np.ndarray, list], unlabelled: tuple[np.ndarray, list]
     prior = estimate_prior(positive, unlabelled) if prior is None else prior
     model = Model(_edges(np.concatenate([unlabelled[0], positive[0]])), prior)
 
-    def risk(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, u = len(p), len(x)
-        negative = np.logaddexp(0, x).mean() - prior * np.logaddexp(0, p).mean()
-        if negative < 0:  # the estimate of the negatives' risk fell below zero: only that is undone
-            return prior * _sigmoid(p) / n, -_sigmoid(x) / u
-        return np.full(n, -prior / n), _sigmoid(x) / u
-
-    _descend(model, model.rows(*positive), model.rows(*unlabelled), risk, STEPS)
+    _descend(model, model.rows(*positive), model.rows(*unlabelled), lambda p, x: risk_gradient(prior, p, x), STEPS)
     return model
 
 
+def risk_gradient(prior: float, p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the risk by the logits of positives and of unlabelled rows: logistic loss, positives with weight
+    ``prior``, and unlabelled rows as negatives less the positives among them. Where that difference is below zero, only it
+    is undone."""
+    n, u = len(p), len(x)
+    negative = np.logaddexp(0, x).mean() - prior * np.logaddexp(0, p).mean()
+    if negative < 0:
+        return prior * _sigmoid(p) / n, -_sigmoid(x) / u
+    return np.full(n, -prior / n), _sigmoid(x) / u
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positives: int = POSITIVES, max_unlabelled: int = UNLABELLED) -> Model | None:
     """Learns from at most ``max_positives`` texts of label 1 and about ``max_unlabelled`` rows whose labels aren't read.
 
@@ -225,11 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.select(id_col, text_col, drawn.alias("_draw")).mapInArrow(run, "positive boolean, drawn boolean, x binary, words binary")
-    # In one order whatever the partitions.
-    sample = sample.orderBy(F.xxhash64("x", "words"), "positive", "drawn").toArrow()
-    x = np.array([np.frombuffer(r, float) for r in sample.column("x").to_pylist()])
-    words = [np.frombuffer(w, np.uint16) for w in sample.column("words").to_pylist()]
-    positive, drawn = (np.flatnonzero(np.array(sample.column(k).to_pylist(), bool)) for k in ("positive", "drawn"))
+    # In one order whatever the partitions; sorted here, as a sort in Spark would compute all features twice.
+    sample = sorted((xxh3_128_digest(r["x"] + r["words"]), r["positive"], r["drawn"], r["x"], r["words"]) for r in sample.toArrow().to_pylist())
+    x = np.array([np.frombuffer(r[3], float) for r in sample])
+    words = [np.frombuffer(r[4], np.uint16) for r in sample]
+    positive, drawn = (np.flatnonzero([r[k] for r in sample]) for k in (1, 2))
     rows = lambda at: (x[at], [words[i] for i in at])
     return train(rows(positive), rows(drawn)) if len(positive) and len(drawn) else None
 

@@ -42,6 +42,74 @@ def test_labels_both_ways_ties_and_repeats(spark):
     assert all(len(v) == 1 for v in by_text.values()) and len(by_text) == 4
 
 
+def plain_features(text):
+    """The surface numbers of a text, character by character."""
+    raw, words, lines = text, text.split(), [x for x in text.split(b"\n") if x]
+    kinds = [b"\n", b" \t\r\x0b\x0c", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".", b",", b"!", b"|", b"#$%&*", b"?;:'\"()-"]
+    n = [sum(c in k for c in raw) for k in kinds] + [0, sum(c >= 128 for c in raw)]
+    n[11] = len(raw) - sum(n)
+    size, w = max(len(raw), 1), max(len(words), 1)
+    twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    ends = [n[2] / max(n[2] + n[3] + n[12], 1), (size - n[0] - n[1]) / w, n[5] / w, n[6] / w, np.log1p(size), np.log1p(len(words)), len(set(words)) / w, twice / w, len(set(lines)) / max(1, len(lines)), len(words) / max(len(lines), 1)]
+    return [x / size for x in n] + ends
+
+
+def test_plain_version_of_features_and_score():
+    """Surface numbers, hashed words and the score, against loops over characters and dictionaries; texts of any length."""
+    texts = [b"", b"a", "Fine wörds, and  more. More more!\n\nLine | two #1".encode(), b"AB " * 3, b"x" * 70_000, b"long words of a very long text " * 40_000, "é漢 ' \x1c 😀".encode()]
+    x, words = quality.features(texts), quality.hashed(texts)
+    assert np.allclose(x, [plain_features(t) for t in texts])
+    model = quality.Model(quality._edges(x), 0.7)
+    model.weights = np.random.default_rng(1).normal(size=len(model.weights))
+    model.bias = 0.25
+    for i, t in enumerate(texts):
+        own = t.lower().split()
+        h = [quality.xxh3_64_intdigest(w) for w in own]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+        dims = {int(quality.mix(np.array([v], np.uint64))[0] % quality.HASHED) for v in h + pairs}
+        assert dims == set(words[i].tolist())
+        z = 0.25 + sum(model.weights[j * (quality.BINS + 1) + sum(e <= x[i, j] for e in edges)] for j, edges in enumerate(model.edges))
+        z += sum(model.weights[model.first + d] for d in dims) / np.sqrt(max(len(dims), 1)) - np.log(0.7 / 0.3)
+        assert abs(model.score(x[i : i + 1], words[i : i + 1])[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def plain_risk(prior, p, x):
+    """The non-negative risk: positives, and what the unlabelled rows cost as negatives without the positives among them."""
+    loss = lambda z: np.log1p(np.exp(z))
+    return prior * loss(-p).mean(), loss(x).mean() - prior * loss(p).mean()
+
+
+def test_plain_version_of_the_risk():
+    rng = np.random.default_rng(2)
+    for shift in (0.0, -4.0):
+        p, x, step = rng.normal(size=6) + 4, rng.normal(size=9) + shift, 1e-6
+        dp, dx = quality.risk_gradient(0.8, p, x)
+        below = plain_risk(0.8, p, x)[1] < 0
+        assert below == (shift < 0)
+        value = lambda p, x: -plain_risk(0.8, p, x)[1] if below else sum(plain_risk(0.8, p, x))
+        for own, found, at in ((p, dp, 0), (x, dx, 1)):
+            for i in range(len(own)):
+                more = own.copy()
+                more[i] += step
+                moved = value(more, x) if at == 0 else value(p, more)
+                assert abs((moved - value(p, x)) / step - found[i]) < 1e-4
+
+
+def test_training_lowers_the_plain_risk():
+    rng = np.random.default_rng(3)
+    good = [b"clear sentences about things that matter number %d." % i for i in range(200)]
+    bad = [b"WIN!!! $$$ click %d ||| #### !!!" % i for i in range(200)]
+    rows = lambda t: (quality.features(t), quality.hashed(t))
+    unlabelled = [t for _, t in sorted((rng.random(), t) for t in good[100:] + bad[:50])]
+    model = quality.train(rows(good[:100]), rows(unlabelled), 0.6)
+    p, x = (model.logits(model.rows(*rows(t))) for t in (good[:100], unlabelled))
+    a, b = plain_risk(0.6, p, x)
+    zero = plain_risk(0.6, 0 * p, 0 * x)
+    assert a + max(b, 0) < 0.4 * (zero[0] + max(zero[1], 0))
+    assert np.mean(model.score(*rows(bad[50:])) < 0.3) > 0.95
+    assert np.mean(model.score(*rows(good[150:])) >= 0.3) > 0.95
+
+
 def test_awkward(awkward, empty):
     model = language_id.fit(awkward)
     assert model.languages == ["en", "fr"]

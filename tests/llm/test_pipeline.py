@@ -89,6 +89,32 @@ def test_empty(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
+def test_other_columns_stay_as_they_are(spark, tmp_path):
+    """Columns named like results and private names of the operators, odd names, nulls, and one very long text."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000)) + " " + passage(9)
+    more = [(500, long, "en", "s", 1), (501, "Words and more words before. " + passage(9), "en", "s", 1)]
+    data = [(*r, "mine0" if i % 2 else None, 7, "keep", i, "a", 0.5, b"x", [i], "dotted", "spaced") for i, r in enumerate(rows() + more)]
+    names = "lang_pred string, n_words int, kept string, _kin_row int, _ranges string, lang_score double, _hits binary, n_hit array<int>, `a.b` string, `two words` string"
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int, " + names).repartition(2)
+    spark.createDataFrame([(5, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    given = {r["_kin_row"]: r for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema, name
+        found = out.collect()
+        assert found
+        for r in found:
+            own = given[r["_kin_row"]]
+            assert [r[c] for c in others] == [own[c] for c in others]
+            assert r["n_chars"] == (own["n_chars"] if name in ("language_id", "simhash_near_dedup") else None if r["text"] is None else len(r["text"]))
+        if name == "substring_dedup":
+            assert not any("passage9word5" in (r["text"] or "") for r in found)
+            assert sum(r["doc_id"] in (500, 501) for r in found) == 2
+
+
 @pytest.mark.parametrize("members", [1024, 12])
 def test_edited_copies_are_near_duplicates(spark, tmp_path, members, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", members)
