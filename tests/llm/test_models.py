@@ -81,8 +81,8 @@ def plain_risk(prior, p, x):
 
 def test_plain_version_of_the_risk():
     rng = np.random.default_rng(2)
-    for shift in (0.0, -4.0):
-        p, x, step = rng.normal(size=6) + 4, rng.normal(size=9) + shift, 1e-6
+    for up, shift in ((0.0, 2.0), (4.0, -4.0)):
+        p, x, step = rng.normal(size=6) + up, rng.normal(size=9) + shift, 1e-6
         dp, dx = quality.risk_gradient(0.8, p, x)
         below = plain_risk(0.8, p, x)[1] < 0
         assert below == (shift < 0)
