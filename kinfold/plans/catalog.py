@@ -12,6 +12,7 @@ from kinfold.operators.graph import cut
 from kinfold.operators.lineage import assign_fids
 from kinfold.plans.base import BODY, EDGE, INC, TOK, bodies, call_edges, day, incidence, query, read, tokens
 from kinfold.sources import readers as R
+from kinfold.sources import snapshots as S
 
 SYMBOLS = """sym AS (SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN 'sub_' || upper(hex(p_partkey)) WHEN 1 THEN 'malloc' WHEN 2 THEN 'pthread_' || p_brand WHEN 3 THEN 'std::' || p_brand
 WHEN 4 THEN p_brand || '::~' || p_brand WHEN 5 THEN '__cxa_throw' WHEN 6 THEN 'posix_' || p_name WHEN 7 THEN 'operator new' WHEN 8 THEN 'ns::' || p_brand || '::' || p_name WHEN 9 THEN p_name || '.part.0' WHEN 10 THEN p_brand || '<int, ' || p_name || '>::run' ELSE p_name END AS name FROM part)"""
@@ -430,3 +431,29 @@ def tree_hash_index(spark, d):
 def table_files(spark, d):
     """The tables' files, the largest first."""
     return R.listing(spark, d, "*.parquet").select(X.base_name(F.col("path")).alias("file"), "length")
+
+
+@query("""WITH old AS (SELECT DISTINCT text, md5(text) AS fhash FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL), ranked AS (SELECT fhash, length(text) AS n, row_number() OVER (ORDER BY fhash) AS fid FROM old),
+fresh AS (SELECT DISTINCT text, md5(text) AS fhash FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL AND md5(text) NOT IN (SELECT fhash FROM old))
+SELECT fid, fhash, n, 1 AS version FROM ranked UNION ALL SELECT row_number() OVER (ORDER BY fhash) + (SELECT max(fid) FROM ranked), fhash, length(text), 2 FROM fresh""")
+def committed_functions(spark, d):
+    """Functions with their vectors (here: the body's length), added in two commits, and the version that brought each."""
+    store = S.Store(spark, R.scratch(spark, "store"))
+    h = read(spark, d, "documents").select((F.col("doc_id") % 2).alias("half"), F.md5("text").alias("fhash"), F.col("text").alias("body"))
+    for half in (0, 1):
+        S.add_functions(store, h.where(f"half = {half}"), lambda new: new.select("fid", F.length("body").cast("long").alias("n")))
+    first = store.read("functions", 1).select("fid", F.lit(1).alias("version"))
+    rows = store.read("functions").select("fid", "fhash").join(store.read("vectors"), "fid").join(first, "fid", "left")
+    return rows.select("fid", "fhash", "n", F.coalesce("version", F.lit(2)).alias("version"))
+
+
+@query("SELECT l_suppkey AS repo, l_returnflag AS flag, count(*) AS n, CAST(CASE WHEN l_suppkey % 10 = 0 THEN 2 ELSE 1 END AS INT) AS run FROM lineitem GROUP BY l_suppkey, l_returnflag")
+def built_repositories(spark, d):
+    """Repositories built in two batches; a second run does nothing, and a third builds one in ten anew."""
+    store = S.Store(spark, R.scratch(spark, "built"))
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_returnflag").alias("flag"))
+    counts = lambda run: lambda some: li.join(some, "repo", "left_semi").groupBy("repo", "flag").agg(F.count("*").alias("n"), F.lit(run).alias("run"))
+    S.build(store, li, counts(1), batches=2)
+    S.build(store, li, counts(3))
+    S.build(store, li, counts(2), again=li.where("repo % 10 = 0"))
+    return S.built(store)
