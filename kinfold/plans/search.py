@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.operators import balls as B
 from kinfold.operators import graph as G
 from kinfold.operators import joint as J
 from kinfold.operators import matching as M
@@ -41,6 +42,19 @@ def nearest_cosine(spark, d):
     return V.nearest(q, c, 100, "cosine", 0.3).select("query", "id", F.round("score", 5).alias("score"))
 
 
+@query("WITH " + L2 + " SELECT query, id, round(score, 5) AS score FROM hit")
+def indexed_l2(spark, d):
+    """The same over a stored ball partition."""
+    q, c, _ = sides(spark, d)
+    return B.search(B.build(c), q, 10, 1.3).select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query("WITH " + COS + " SELECT query, id, round(score, 5) AS score FROM hit")
+def indexed_cosine(spark, d):
+    q, c, _ = sides(spark, d)
+    return B.search(B.build(c, metric="cosine"), q, 100, 0.3).select("query", "id", F.round("score", 5).alias("score"))
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS l1 FROM embeddings")
 def row_normalised(spark, d):
     v = V.normalised(F.col("embedding"))
