@@ -122,31 +122,40 @@ def feature_score(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("score", (F.col("score") / own).alias("ratio"))
 
 
-#: Digests of a block: what one task holds of either side at once.
-BLOCK = 2048
+#: Digests of a block: what one task holds of either side at once. Digests of a combination of both quartile nibbles, on
+#: average, from which on blocks are made by both; fewer are put together by the first one.
+BLOCK, FINE = 2048, 256
 
 
 def similar_bodies(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame:
     """``a``, ``b``, ``distance`` of digests (``digest`` unique in each side) whose distance is below the threshold.
 
     The two quartile nibbles cost at least the threshold for two thirds of their combinations, so digests meet by both
-    nibbles: blocks of one side go to the combinations in reach. Two blocks are compared by one matrix product, and only
-    pairs below the threshold become rows. Exact for any threshold; a threshold below 60 prunes.
+    nibbles, or by the first one where there are few: blocks of one side go to the combinations in reach. Two blocks are
+    compared by one matrix product, and only pairs below the threshold become rows. Exact for any threshold; a threshold
+    below 60 prunes.
     """
-    reach = [(i, j) for i in range(-8, 8) for j in range(-8, 8) if nibble_cost(i) + nibble_cost(j) < threshold]
     digit = lambda i: F.conv(F.substring("digest", i, 1), 16, 10).cast("int")
-
-    def blocks(side: DataFrame) -> DataFrame:
-        rows = side.where("length(digest) = 70").select("digest", digit(5).alias("p"), digit(6).alias("q"))
-        sizes = rows.groupBy("p", "q").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-        dealt = rows.join(F.broadcast(sizes), ["p", "q"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")))
+    sides = [side.where("length(digest) = 70").select("digest", digit(5).alias("p"), digit(6).alias("q")) for side in (a, b)]
+    counts = [side.groupBy("p", "q").agg(F.count("*").alias("n")).collect() for side in sides]  # 256 rows at most
+    fine = max(sum(r.n for r in c) for c in counts) >= 256 * FINE
+    reach = [(i, j) for i in range(-8, 8) for j in (range(-8, 8) if fine else (0,)) if nibble_cost(i) + nibble_cost(j) < threshold]
+
+    def blocks(side: DataFrame, sizes: list) -> DataFrame:
+        n: dict[tuple[int, int], int] = {}
+        for r in sizes:
+            key = r.p, r.q if fine else 0
+            n[key] = n.get(key, 0) + r.n
+        cuts = side.sparkSession.createDataFrame([(*k, -(-v // BLOCK)) for k, v in n.items()], "p int, q int, n int")
+        rows = side if fine else side.withColumn("q", F.lit(0))
+        dealt = rows.join(F.broadcast(cuts), ["p", "q"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")))
         return dealt.groupBy("p", "q", "block").agg(F.collect_list("digest").alias("digests"))
 
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach])).alias("near")
-    x = blocks(a).select("p", "q", F.col("block").alias("x"), F.col("digests").alias("xs"), near)
+    x = blocks(sides[0], counts[0]).select("p", "q", F.concat_ws("/", "p", "q", "block").alias("x"), F.col("digests").alias("xs"), near)
     x = x.select(F.pmod(F.col("p") + F.col("near.i"), F.lit(16)).alias("p"), F.pmod(F.col("q") + F.col("near.j"), F.lit(16)).alias("q"), "x", "xs")
-    y = blocks(b).select("p", "q", F.col("block").alias("y"), F.col("digests").alias("ys"))
-    return x.join(y, ["p", "q"]).select("xs", "ys").mapInArrow(lambda batches: pairs_below(batches, threshold), "a string, b string, distance int")
+    y = blocks(sides[1], counts[1]).select("p", "q", F.concat_ws("/", "p", "q", "block").alias("y"), F.col("digests").alias("ys"))
+    return x.join(y, ["p", "q"]).select("x", "y", "xs", "ys").mapInArrow(lambda batches: pairs_below(batches, threshold), "a string, b string, distance int")
 
 
 def version_relations(a: DataFrame, b: DataFrame, threshold: int = 50) -> DataFrame:

@@ -82,7 +82,7 @@ def test_reuse_ratio_is_monotone(spark):
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False))
 
 
-def test_similar_digests_lose_none(spark):
+def test_similar_digests_lose_none(spark, monkeypatch):
     rng = random.Random(1)
     digits = "0123456789abcdef"
     base = ["".join(rng.choice(digits) for _ in range(70)) for _ in range(12)]
@@ -90,6 +90,13 @@ def test_similar_digests_lose_none(spark):
     a, b = (spark.createDataFrame([(x,) for x in sorted(set(s))], "digest string") for s in (base, near))
     brute = a.select(F.col("digest").alias("a")).crossJoin(b.select(F.col("digest").alias("b"))).select("a", "b", G.distance(F.col("a"), F.col("b")).alias("distance")).where("distance < 50")
     assert rows(matching.similar_bodies(a, b)) == rows(brute)
+    # By both nibbles, and in blocks of a few.
+    monkeypatch.setattr(matching, "FINE", 0)
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    assert rows(matching.similar_bodies(a, b)) == rows(brute)
+    upper = b.select(F.upper("digest").alias("digest"))
+    assert rows(matching.similar_bodies(a, upper)) == sorted((x, y.upper(), d) for x, y, d in rows(brute))
+    assert not matching.similar_bodies(a, b.where("false")).collect()
     same = a.select(G.distance(F.col("digest"), F.col("digest")).alias("d")).collect()
     assert {r.d for r in same} == {0}
 
