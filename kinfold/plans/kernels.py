@@ -9,7 +9,9 @@ from kinfold.functions import demangle as D
 from kinfold.functions import text as X
 from kinfold.functions.digest import canonical, digest
 from kinfold.functions.network import Network, vectors
+from kinfold.operators import trees as T
 from kinfold.plans.base import bodies, query, read
+from kinfold.plans.graphs import FILES, source_files
 
 
 @query()
@@ -151,3 +153,55 @@ def binary_embeddings(spark, d):
     vocabulary = C.vocabulary(normal, "ea", "instructions").persist()
     ids = C.encoded(normal, "ea", "instructions", vocabulary)
     return vectors(ids, "ea", "ids", Network(C.rows_of(vocabulary), 128, 128, 12, seed=9))
+
+
+#: Files of five functions in two trees: what each function's body is without comments, braces and white space.
+TREES = FILES + """, tree AS (SELECT 'v' || t AS tag, CASE WHEN t = 2 THEN 'src/' ELSE '' END || file || '.c' AS path, k, s, n, md5('intr=fn_' || (k + 1) || '(a,inner_' || k || '(a));printf("str(%d)\\n",r);if(check_' || k || '(a)&&p->method_' || k || '(a))ns::qual_' || k || '();returnlast_' || k || '(r);fooobj_' || k || '(3);intdecl_' || k || '(int);r=a*mul_' || k || '(2);#definem_' || k || '(x)macro_' || k || '(x)') AS fhash FROM fn, (VALUES (1), (2)) v(t))"""
+
+
+def trees(spark, d):
+    """Two trees with the same functions; a third of the paths are no source files."""
+    files, functions = source_files(spark, d)
+    both = lambda df: df.select(F.lit("v1").alias("tag"), "*").unionByName(df.select(F.lit("v2").alias("tag"), "*").withColumn("path", F.concat(F.lit("src/"), "path")))
+    notes = files.select(F.lit("v1").alias("tag"), F.concat("path", F.lit(".txt")).alias("path"), "text")
+    return both(files).unionByName(notes), both(functions)
+
+
+@query("WITH " + TREES + " SELECT tag, path, k AS nid, CAST(s AS BIGINT) AS line, fhash FROM tree")
+def tree_hashes(spark, d):
+    """From files to hashes of their functions in one chain; the digest is a parameter, MD5 here."""
+    found = T.tree_hashes(*trees(spark, d), hasher=F.md5)
+    return found.select("tag", "path", "nid", F.col("line_start").cast("long").alias("line"), "fhash")
+
+
+@query("WITH " + TREES + " SELECT fhash, count(*) AS n_places, count(DISTINCT tag) AS n_tags, min(tag) AS first_tag, arg_min(path, tag) AS first_path FROM tree GROUP BY fhash")
+def tree_places(spark, d):
+    return T.places(T.tree_hashes(*trees(spark, d), hasher=F.md5))
+
+
+@query("WITH " + TREES + ", l AS (SELECT file, sum(n) AS lines FROM fn GROUP BY file) SELECT tag, count(DISTINCT path) AS files, count(*) AS functions, (SELECT CAST(sum(lines) AS BIGINT) FROM l) AS lines FROM tree GROUP BY tag")
+def tree_counters(spark, d):
+    files, functions = trees(spark, d)
+    return T.tree_counters(files, T.tree_hashes(files, functions, hasher=F.md5))
+
+
+@query()
+def tree_digests(spark, d):
+    """The same with the fuzzy digest, on which similar functions meet; tests hold it against a plain version."""
+    return T.tree_hashes(*trees(spark, d)).select("tag", "path", "nid", "fhash")
+
+
+@query()
+def function_digests(spark, d):
+    """Records of functions whose bodies are whole texts, with the fuzzy digest; tests hold them against a plain version."""
+    k = F.col("doc_id")
+    rows = bodies(spark, d).select("repo", F.concat(F.lit("d/"), k.cast("string"), F.lit(".c")).alias("path"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("scope"), F.lit(1).alias("line_start"), F.col("body").alias("text"))
+    return C.function_records(rows, lambda body: canonical(digest(body)))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '@ ;' WHEN 2 THEN '@ ; ; ;' ELSE 'x ;' END AS s FROM documents) SELECT doc_id, s FROM t WHERE s <> '' AND s <> '@ ;'""")
+def parsed_sources(spark, d):
+    """Empty bodies and short ones that don't parse go; a longer one with an error stays."""
+    k = F.col("doc_id") % 10
+    rows = read(spark, d, "documents").select("doc_id", F.when(k == 0, "").when(k == 1, "@ ;").when(k == 2, "@ ; ; ;").otherwise("x ;").alias("s"))
+    return T.parsed(rows.withColumn("t", C.code_tokens("s")), "s", "t").select("doc_id", "s")
