@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.operators.graph import shared_dir
+from kinfold.operators.graph import cut, shared_dir
 from kinfold.operators.numbering import numbered
 
 CTAGS_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in ("name", "kind", "scope", "pattern", "path")] + [T.StructField(k, T.IntegerType()) for k in ("line", "end")])
@@ -118,9 +118,38 @@ def chunked(df: DataFrame, order: str, size: int = 100) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """Each line of the files, with its file and number."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return whole.withColumn("line_no", F.col("line_no") + 1)
+    """``path``, ``line_no``, ``block``, ``value`` of each line of the files, from 1; large files are read in many tasks.
+
+    A task reads ranges of bytes and numbers the lines that begin in each (``block``); what stands before a range follows
+    from the number of lines in the ranges before it, one row each. Lines are written to the shared folder once, so that
+    ranges stay the same for both. An end of line at a file's end begins no line.
+    """
+    each = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    each = cut(each)
+    ranges = each.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return each.join(ranges, ["path", "block"]).select("path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"), "block", "value")
+
+
+#: Lines of a block where a source of lines names none.
+BLOCK_LINES = 1 << 16
+
+
+def last_before(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` (path, line_no, ...) with ``name``: the last value that isn't null at or before the line, in its file.
+
+    A window runs inside a block of lines; what goes on from block to block is one row for each of them, so no task sees
+    a whole file.
+    """
+    block = F.col("block") if "block" in lines.columns else F.floor(F.col("line_no") / BLOCK_LINES)
+    rows = lines.withColumns({"_block": block, "_value": value})
+    inside = Window.partitionBy("path", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("path", "_block").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("line_no", "_value"))).alias("_end"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("path", "_block", F.last("_end._value", ignorenulls=True).over(before).alias("_carried"))
+    own = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carried"))
+    return rows.join(carried, ["path", "_block"]).withColumn(name, own).select(*lines.columns, name)
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -131,8 +160,8 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def until_first_bad(lines: DataFrame, good: Column) -> DataFrame:
     """The lines of each file before its first bad one."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_bad", F.sum(F.when(good, 0).otherwise(1)).over(w)).where("_bad = 0").drop("_bad")
+    bad = lines.where(~F.coalesce(good, F.lit(False))).groupBy("path").agg(F.min("line_no").alias("_bad"))
+    return lines.join(bad, "path", "left").where(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad"))).select(*lines.columns)
 
 
 def ctags_records(lines: DataFrame) -> DataFrame:
@@ -176,9 +205,8 @@ def tag_dates(lines: DataFrame, skip_same_date: bool = False) -> DataFrame:
 
 def submodules(lines: DataFrame) -> DataFrame:
     """Name, path and address of each section of a submodule file."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     name = F.expr(r"nullif(regexp_extract(value, '^\\s*\\[submodule \"(.*)\"\\]', 1), '')")
-    rows = lines.withColumn("module", F.last(name, ignorenulls=True).over(w))
+    rows = last_before(lines, name, "module")
     rows = rows.withColumn("field", F.regexp_extract("value", r"^\s*(path|url)\s*=\s*(.*?)\s*$", 1)).withColumn("content", F.regexp_extract("value", r"^\s*(path|url)\s*=\s*(.*?)\s*$", 2)).where("field <> '' AND module IS NOT NULL")
     return rows.groupBy(F.col("path").alias("file"), "module").agg(F.max(F.when(F.col("field") == "path", F.col("content"))).alias("path"), F.max(F.when(F.col("field") == "url", F.col("content"))).alias("url"))
 
@@ -191,8 +219,7 @@ def cross_references(lines: DataFrame) -> DataFrame:
 
 def debug_lines(lines: DataFrame) -> DataFrame:
     """File and line of each address; a line that goes on is joined to the one before it."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = lines.withColumn("g", F.sum(F.col("value").rlike(r"^(Line|No line|Address)").cast("int")).over(w))
+    grouped = last_before(lines, F.when(F.col("value").rlike(r"^(Line|No line|Address)"), F.col("line_no")), "g")
     whole = grouped.groupBy("path", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), " ").alias("text"))
     return whole.select(F.regexp_extract("text", r"0x([0-9a-fA-F]+)", 1).alias("hex"), F.regexp_extract("text", 'Line ([0-9]+) of "([^"]*)"', 2).alias("file"), F.regexp_extract("text", 'Line ([0-9]+) of "', 1).cast("int").alias("line")).where("file <> ''").select(F.conv("hex", 16, 10).cast("long").alias("ea"), "file", "line")
 
