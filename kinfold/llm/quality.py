@@ -230,10 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.select(id_col, text_col, drawn.alias("_draw")).mapInArrow(run, "positive boolean, drawn boolean, x binary, words binary")
     # In one order whatever the partitions; sorted here, as a sort in Spark would compute all features twice.
-    sample = sorted((xxh3_128_digest(r["x"] + r["words"]), r["positive"], r["drawn"], r["x"], r["words"]) for r in sample.toArrow().to_pylist())
-    x = np.array([np.frombuffer(r[3], float) for r in sample])
-    words = [np.frombuffer(r[4], np.uint16) for r in sample]
-    positive, drawn = (np.flatnonzero([r[k] for r in sample]) for k in (1, 2))
+    sample = sample.toArrow()
+    x, words = ([v.as_buffer() for v in sample.column(k)] for k in ("x", "words"))  # views: nothing is copied
+    flags = [sample.column(k).to_pylist() for k in ("positive", "drawn")]
+    order = sorted(range(len(x)), key=lambda i: (xxh3_128_digest(x[i]), xxh3_128_digest(words[i]), flags[0][i], flags[1][i]))
+    x, words = np.array([np.frombuffer(x[i], float) for i in order]), [np.frombuffer(words[i], np.uint16) for i in order]
+    positive, drawn = (np.flatnonzero([f[i] for i in order]) for f in flags)
     rows = lambda at: (x[at], [words[i] for i in at])
     return train(rows(positive), rows(drawn)) if len(positive) and len(drawn) else None
 
