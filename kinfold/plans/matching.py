@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.digest import distance
 from kinfold.operators import linkage as L
 from kinfold.operators import matching as M
+from kinfold.operators import submodules as U
 from kinfold.plans.base import EDGE, EVI, INC, TOK, call_edges, evidence, incidence, query, read, tokens
 from kinfold.sources import readers as R
 
@@ -303,3 +304,31 @@ def set_difference(spark, d):
 @query("SELECT l_suppkey AS k FROM lineitem UNION SELECT s_suppkey FROM supplier")
 def set_union(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).union(read(spark, d, "supplier").select("s_suppkey")).distinct()
+
+
+NEEDED = """r AS (SELECT page_id AS k, 'https://h/o' || (page_id % 3) || '/r' || page_id AS repo FROM pages), l AS (SELECT repo, 'a' AS module, 2 * k AS t FROM r UNION ALL SELECT repo, 'b', k + 7 FROM r), e AS (SELECT repo, module, 'https://h/o' || (t % 3) || '/r' || t AS target FROM l), n AS (SELECT repo FROM r WHERE k % 50 = 1 UNION SELECT target FROM n JOIN e USING (repo))"""
+
+
+def submodule_files(spark, d):
+    """A repository for each page, whose submodule file names two others: one by a relative and one by a whole address."""
+    k = F.col("page_id")
+    own = lambda c: F.concat(F.lit("o"), (c % 3).cast("string"), F.lit("/r"), c.cast("string"))
+    values = F.lit('[submodule "a"]'), F.concat(F.lit("  url = ../../"), own(2 * k), F.lit(".git")), F.lit('[submodule "b"]'), F.concat(F.lit("\turl = https://h/"), own(k + 7), F.lit("/"))
+    repo = F.concat(F.lit("https://h/"), own(k))
+    pages = read(spark, d, "pages")
+    lines = pages.select(repo.alias("path"), F.posexplode(F.array(*values)).alias("at", "value")).select("path", (F.col("at") + 1).alias("line_no"), "value")
+    return lines, pages.select(repo.alias("repo"), "page_id")
+
+
+@query("WITH RECURSIVE " + NEEDED + " SELECT repo, repo IN (SELECT repo FROM r) AS known FROM n")
+def needed_repositories(spark, d):
+    """All repositories that one in fifty needs through its submodules."""
+    lines, repos = submodule_files(spark, d)
+    return U.needed(U.submodule_links(lines), repos, repos.where("page_id % 50 = 1"))[0]
+
+
+@query("WITH RECURSIVE " + NEEDED + " SELECT repo, module, target FROM e WHERE repo IN (SELECT repo FROM n) AND target NOT IN (SELECT repo FROM r)")
+def open_submodules(spark, d):
+    """Submodules of these that no repository at hand answers."""
+    lines, repos = submodule_files(spark, d)
+    return U.needed(U.submodule_links(lines), repos, repos.where("page_id % 50 = 1"))[1].select("repo", "module", "target")
