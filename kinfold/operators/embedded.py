@@ -1,4 +1,7 @@
-"""Searches that begin with functions, not with vectors: encode, embed, look up in an index, score repositories."""
+"""Searches that begin with functions, not with vectors: encode, embed, look up in an index, score repositories.
+
+Vectors are computed once and checkpointed: building an index and searching it read them several times.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.code import LENGTH, cyclomatic, encoded
 from kinfold.functions.network import Network, vectors
 from kinfold.operators import balls
+from kinfold.operators.graph import cut
 from kinfold.operators.vectors import normalised, repo_scores
 
 
@@ -26,13 +30,15 @@ class Embedder:
         them; a row with null tokens has no vector, one without tokens that of nothing."""
         own = rows.where(F.col(tokens).isNotNull()).select(key, F.slice(tokens, 1, self.length).alias("_tokens"))
         kinds = own.groupBy("_tokens").agg(F.min(key).alias("_kind"))
-        ids = encoded(kinds, "_kind", "_tokens", self.vocabulary, self.length)
+        # A number of partitions that isn't merged by size: a row is small, but costs much to embed.
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ids = encoded(kinds, "_kind", "_tokens", self.vocabulary, self.length).repartition(n, "_kind")
         found = vectors(ids, "_kind", "ids", self.network).select("_kind", normalised(F.col("vec")).alias("vec"))
         return own.join(kinds, "_tokens").join(found, "_kind").select(key, "vec")
 
     def index(self, functions: DataFrame, tokens: str, metric: str = "l2", path: str | None = None) -> balls.Balls:
         """A stored ball partition of the vectors of ``functions`` (id, tokens)."""
-        return balls.build(self.embed(functions, "id", tokens), path, metric)
+        return balls.build(cut(self.embed(functions, "id", tokens)), path, metric)
 
 
 def source_scores(embedder: Embedder, index: balls.Balls, functions: DataFrame, holds: DataFrame, k: int = 10, threshold: float | None = 1.3) -> DataFrame:
@@ -40,7 +46,7 @@ def source_scores(embedder: Embedder, index: balls.Balls, functions: DataFrame,
 
     A function gives its cyclomatic complexity, shared out over the repositories of the vectors that are near.
     """
-    found = balls.search(index, embedder.embed(functions, "query", "tokens"), k, threshold)
+    found = balls.search(index, cut(embedder.embed(functions, "query", "tokens")), k, threshold)
     return repo_scores(found, holds, functions.select("query", cyclomatic(F.col("tokens")).cast("double").alias("weight")))
 
 
@@ -50,5 +56,5 @@ def binary_scores(embedder: Embedder, index: balls.Balls, functions: DataFrame,
     A function gives the number of its instructions.
     """
     bare = functions.join(lines.select("query").distinct(), "query", "left_anti")
-    found = balls.search(index, embedder.embed(bare, "query", "instructions"), k, threshold)
+    found = balls.search(index, cut(embedder.embed(bare, "query", "instructions")), k, threshold)
     return repo_scores(found, holds, bare.select("query", F.size("instructions").cast("double").alias("weight")))

@@ -123,6 +123,12 @@ def program_tokens(spark, d):
     return read(spark, d, "part").select(k.alias("id"), C.code_tokens(text).alias("tokens"))
 
 
+def origins(spark, d):
+    """Which repository had a function first."""
+    first = F.min(F.struct("ver", "repo"))
+    return incidence(spark, d).groupBy(F.col("fid").alias("id")).agg(first.alias("x")).select("id", F.col("x.repo").alias("repo"))
+
+
 @query()
 def embedded_source_query(spark, d):
     """From functions with sources to scores of repositories: tokens, vectors, index and search in one chain."""
@@ -131,8 +137,8 @@ def embedded_source_query(spark, d):
     embedder = E.Embedder(vocabulary, Network(C.rows_of(vocabulary), 64, 64, 12))
     index = embedder.index(functions, "tokens")
     asked = functions.where("id % 7 <> 3").select(F.col("id").alias("query"), "tokens")
-    holds = incidence(spark, d).select(F.col("fid").alias("id"), "repo")
-    return E.source_scores(embedder, index, asked, holds).withColumn("score", F.round("score", 4))
+    holds = origins(spark, d)
+    return E.source_scores(embedder, index, asked, holds).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -147,5 +153,5 @@ def embedded_binary_query(spark, d):
     embedder = E.Embedder(vocabulary, Network(C.rows_of(vocabulary), 16, 16, 12, seed=9))
     index = embedder.index(functions, "instructions", "cosine")
     lines = li.where("l_quantity <= 5").select(F.col("l_partkey").alias("query"))
-    holds = incidence(spark, d).select(F.col("fid").alias("id"), "repo")
-    return E.binary_scores(embedder, index, functions.withColumnRenamed("id", "query"), lines, holds).withColumn("score", F.round("score", 4))
+    holds = origins(spark, d)
+    return E.binary_scores(embedder, index, functions.withColumnRenamed("id", "query"), lines, holds, 3, 0.99).withColumn("score", F.round("score", 9))
