@@ -75,27 +75,32 @@ def hashed(texts: list[bytes]) -> list[np.ndarray]:
 
 
 class Rows:
-    """Texts as sparse rows: the numbers of binned surface features and of hashed words, which share a weight of one."""
+    """Texts as sparse rows: the numbers of binned surface features and of hashed words, which share a weight of one.
+
+    A hashed word is kept in two bytes; numbers and values are made for the rows that are taken.
+    """
 
     def __init__(self, bins: np.ndarray, words: list[np.ndarray], first: int):
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes + bins.shape[1])])
-        self.index, self.value = np.empty(self.starts[-1], np.int64), np.empty(self.starts[-1])
-        head = (self.starts[:-1, None] + np.arange(bins.shape[1])).ravel()
-        tail = np.ones(len(self.index), bool)
-        tail[head] = False
-        self.index[head], self.value[head] = bins.ravel(), 1
-        self.index[tail] = first + np.concatenate([np.empty(0, np.int64), *words]).astype(np.int64)
-        self.value[tail] = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
+        self.bins, self.first = bins.astype(np.int32), first
+        self.starts = np.concatenate([[0], np.cumsum(np.array([len(w) for w in words], np.int64), dtype=np.int64)])
+        self.words = np.concatenate([np.empty(0, np.uint16), *words])
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers, values, and the places in ``rows`` that they belong to."""
-        sizes = self.starts[rows + 1] - self.starts[rows]
-        at = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return self.index[at], self.value[at], np.repeat(np.arange(len(rows)), sizes)
+        sizes, k = self.starts[rows + 1] - self.starts[rows], self.bins.shape[1]
+        begin = np.cumsum(sizes + k) - sizes - k
+        index, value = np.empty(int(sizes.sum()) + k * len(rows), np.int64), np.ones(int(sizes.sum()) + k * len(rows))
+        tail = np.ones(len(index), bool)
+        head = (begin[:, None] + np.arange(k)).ravel()
+        tail[head] = False
+        index[head] = self.bins[rows].ravel()
+        index[tail] = self.words[np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        index[tail] += self.first
+        value[tail] = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
+        return index, value, np.repeat(np.arange(len(rows)), sizes + k)
 
 
 class Model:
@@ -110,10 +115,13 @@ class Model:
         bins = [np.searchsorted(e, surface[:, j], "right") + j * (BINS + 1) for j, e in enumerate(self.edges)]
         return Rows(np.stack(bins, axis=1), words, self.first)
 
-    def logits(self, rows: Rows, which: np.ndarray | None = None) -> np.ndarray:
-        which = np.arange(len(rows)) if which is None else which
-        index, value, at = rows.take(which)
-        return np.bincount(at, self.weights[index] * value, len(which)) + self.bias
+    def logits(self, rows: Rows) -> np.ndarray:
+        out = np.full(len(rows), float(self.bias))
+        for a in range(0, len(rows), BATCH):
+            which = np.arange(a, min(a + BATCH, len(rows)))
+            index, value, at = rows.take(which)
+            out[which] += np.bincount(at, self.weights[index] * value, len(which))
+        return out
 
     def score(self, surface: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         """How likely a text is positive if either class were as frequent: a threshold means the same for any prior."""
@@ -125,10 +133,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(model: Model, p: Rows, u: Rows, gradient, steps: int, seed: int = 0) -> None:
-    """Adam in mini-batches on ``gradient(logits of positives, logits of unlabelled)``, which gives both derivatives."""
+    """Adam in mini-batches on ``gradient(logits of positives, logits of unlabelled)``, which gives both derivatives.
+
+    The model is the mean over the second half of the steps, so that it hardly depends on which rows the last batches held.
+    """
     rng = np.random.default_rng(seed)
     size = len(model.weights) + 1
-    m, v = np.zeros(size), np.zeros(size)
+    m, v, mean = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
         own, other = rng.integers(0, len(p), BATCH), rng.integers(0, len(u), BATCH)
         xp, xu = p.take(own), u.take(other)
@@ -142,6 +153,11 @@ def _descend(model: Model, p: Rows, u: Rows, gradient, steps: int, seed: int = 0
         move = RATE / (1 + 4 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         model.weights -= move[:-1]
         model.bias -= float(move[-1])
+        if 2 * step > steps:
+            mean[:-1] += model.weights
+            mean[-1] += model.bias
+    mean /= steps - steps // 2
+    model.weights, model.bias = mean[:-1], float(mean[-1])
 
 
 def _edges(surface: np.ndarray) -> list[np.ndarray]:
@@ -224,16 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if some:
                 texts = blobs(batch.column(text_col))
                 texts = [texts[i] for i in some]
-                arrays = [pa.array([positive[i] for i in some]), pa.array([drawn[i] for i in some]), pa.array([r.tobytes() for r in features(texts)], pa.binary()), pa.array([w.tobytes() for w in hashed(texts)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["positive", "drawn", "x", "words"])
+                arrays = [pa.array([positive[i] for i in some]), pa.array([drawn[i] for i in some]), pa.array(map(xxh3_128_digest, texts), pa.binary()), pa.array([r.tobytes() for r in features(texts)], pa.binary()), pa.array([w.tobytes() for w in hashed(texts)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["positive", "drawn", "digest", "x", "words"])
 
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = docs.select(id_col, text_col, drawn.alias("_draw")).mapInArrow(run, "positive boolean, drawn boolean, x binary, words binary")
-    # In one order whatever the partitions; sorted here, as a sort in Spark would compute all features twice.
+    sample = docs.select(id_col, text_col, drawn.alias("_draw")).mapInArrow(run, "positive boolean, drawn boolean, digest binary, x binary, words binary")
+    # In one order whatever the partitions and the last digits of features; sorted here, as a sort in Spark would compute
+    # all features twice.
     sample = sample.toArrow()
     x, words = ([v.as_buffer() for v in sample.column(k)] for k in ("x", "words"))  # views: nothing is copied
     flags = [sample.column(k).to_pylist() for k in ("positive", "drawn")]
-    order = sorted(range(len(x)), key=lambda i: (xxh3_128_digest(x[i]), xxh3_128_digest(words[i]), flags[0][i], flags[1][i]))
+    digests = sample.column("digest").to_pylist()
+    order = sorted(range(len(x)), key=lambda i: (digests[i], flags[0][i], flags[1][i]))
     x, words = np.array([np.frombuffer(x[i], float) for i in order]), [np.frombuffer(words[i], np.uint16) for i in order]
     positive, drawn = (np.flatnonzero([f[i] for i in order]) for f in flags)
     rows = lambda at: (x[at], [words[i] for i in at])

@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -185,3 +186,19 @@ def test_prior_and_risk():
         assert abs(model.prior - prior) < 0.06
         truth = np.arange(8000) < n
         assert ((model.score(*rows(unlabelled)) > 0.5) == truth).mean() > 0.95
+
+
+def test_rows_take_two_bytes_a_word():
+    """What the driver holds of a sample: hashed words as they came, numbers and values for the rows that are taken alone."""
+    rng = np.random.default_rng(0)
+    words = [np.unique(rng.integers(0, quality.HASHED, 2000)).astype(np.uint16) for _ in range(200)] + [np.empty(0, np.uint16)]
+    bins, n = rng.integers(0, 9, (len(words), 3)), sum(map(len, words))
+    tracemalloc.start()
+    rows = quality.Rows(bins, words, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n
+    which = np.array([3, len(words) - 1, 3, 7])
+    plain = [(int(b), 1.0, k) if j < 3 else (50 + int(b), 1 / np.sqrt(len(words[i])), k) for k, i in enumerate(which) for j, b in enumerate([*bins[i], *words[i]])]
+    index, value, at = rows.take(which)
+    assert list(zip(index.tolist(), value.tolist(), at.tolist(), strict=True)) == plain
