@@ -9,7 +9,7 @@ from kinfold.operators import linkage as K
 from kinfold.operators import lineage as L
 from kinfold.operators import matching as M
 from kinfold.plans.catalog import SYMBOLS, symbols
-from kinfold.plans.base import EDGE, EVI, INC, TOK, call_edges, evidence, incidence, links, LINK, query, read, tokens
+from kinfold.plans.base import EDGE, EVI, INC, TOK, call_edges, incidence, linked_repos, links, LINK, query, read, tokens
 
 LIFE = """ev AS (SELECT user_id AS repo, event_type AS token, CAST(event_id AS BIGINT) AS ver_idx, CASE WHEN event_id % 11 <> 0 THEN CAST(floor(value) AS BIGINT) % 5 END AS fid FROM events),
 top AS (SELECT repo, max(ver_idx) AS last_idx FROM ev GROUP BY repo),
@@ -117,7 +117,8 @@ def namespace_counts(spark, d):
 
 @query("WITH " + LINK + ", e AS (SELECT evi.src, evi.dst, fid FROM evi JOIN link USING (src, dst) UNION ALL SELECT dst, src, fid FROM evi JOIN link USING (src, dst) WHERE (src + dst) % 3 = 0), o AS (SELECT DISTINCT src, dst FROM e EXCEPT SELECT DISTINCT dst, src FROM e) SELECT e.src AS repo, count(DISTINCT fid) AS with_bi, count(DISTINCT CASE WHEN o.src IS NOT NULL THEN fid END) AS one_way FROM e LEFT JOIN o USING (src, dst) GROUP BY e.src")
 def reused_functions(spark, d):
-    rows = evidence(spark, d).join(links(spark, d).select("src", "dst"), ["src", "dst"])
+    found = links(spark, d)
+    rows = K.evidence_of(found, incidence(spark, d, linked_repos(found)))
     back = rows.where("(src + dst) % 3 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fid")
     return K.reused(rows.select("src", "dst", "fid").unionByName(back).withColumnRenamed("fid", "key"))
 
