@@ -123,8 +123,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # --- Groups of similar texts -------------------------------------------------------------------------------------------
-# Texts at a shingle similarity of 0.8 differ in about ten of 64 fingerprint bits, so a covering family for all of them
-# would need 2^17 tables. Their candidates come from bands of smallest hashes instead; see the README for the figures.
+# Groups of SimHash fingerprints within 2 bits are candidates first. Texts at a shingle similarity of 0.8 differ in about ten
+# of 64 bits, and a covering family for all of them would need 2^17 tables: those beyond 2 bits come from bands of smallest
+# hashes. The exact check follows for both; see the README for the figures.
 
 BANDS, ROWS = 20, 4
 #: Words of a shingle, and the least similarity (Jaccard, as a fraction) of near duplicates.
@@ -181,15 +182,27 @@ def similar(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> n
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        same, keys, sketches = [], [], []
+        same, keys, sketches, fps = [], [], [], []
         for text in blobs(batch.column("text")):
             words = text.lower().split()
             same.append(xxh128_digest(b" ".join(words)))
             key, sketch = bands(shingles(words))
             keys.append(key.view(np.int64))
             sketches.append(sketch)
-        arrays = [batch.column(ROW), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "same", "keys", "sketch"])
+            fps.append(fingerprint(text))
+        arrays = [batch.column(ROW), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "same", "keys", "sketch", "fp"])
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """``node``, ``key``: texts (node, keys, fp) that may be near duplicates share a key.
+
+    A group of SimHash fingerprints that covering tables link at 2 or fewer bits has a key, and so has each band (``keys``) for
+    texts that differ in more bits.
+    """
+    linked = cut(components(links(signed.select("fp").distinct()))).select(F.col("node").alias("fp"), "component")
+    alike = signed.join(linked, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"))
+    return signed.select("node", F.explode("keys").alias("key")).unionByName(alike)
 
 
 def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,16 +280,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """ROW and ``component`` (the smallest ROW reachable) of each row of ``docs`` (``rowed()``, with ``text``).
 
     Texts link at LEAST or more of their WIDTH-word shingles, in any case and with any white space. Null and empty texts
-    are copies of each other, and so are repeated rows; ids play no part. An empty table gives no rows. Candidates share
+    are copies of each other, and so are repeated rows; ids play no part. An empty table gives no rows. Candidates are in one
+    group of SimHash fingerprints at 2 or fewer differing bits (``links``), or else share
     a band: with similarity s two texts do with chance 1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. Texts of a bucket whose
     smallest hashes agree often enough are compared on their shingle sets in the bucket's task, which sends on no more
     links than it has texts. Larger buckets are first linked through their smallest member; then only parts that hold
     different groups meet.
     """
     spark = docs.sparkSession
-    found = staged(docs.select(ROW, "text").mapInArrow(_signed, f"{ROW} long, same binary, keys array<long>, sketch binary"), "signatures")
+    found = staged(docs.select(ROW, "text").mapInArrow(_signed, f"{ROW} long, same binary, keys array<long>, sketch binary, fp long"), "signatures")
     distinct = cut(found.groupBy("same").agg(F.min(ROW).alias("node")))
-    keyed = found.join(distinct.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), F.explode("keys").alias("key"))
+    keyed = candidates(found.join(distinct.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "keys", "fp"))
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = staged(keyed.join(several, "key"), "buckets")
     nodes = staged(placed.select("node").distinct(), "nodes")

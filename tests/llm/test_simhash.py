@@ -52,3 +52,16 @@ def test_chain_and_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)}
+
+
+def test_fingerprints_make_candidates_of_their_own(spark):
+    """Texts whose bands all differ share a key where covering tables link their fingerprints, over a chain as well."""
+    rng = random.Random(4)
+    base, other = rng.getrandbits(62), rng.getrandbits(62)
+    fps = [base, base ^ 0b11, base ^ 0b1111, base, other, other ^ 0b111]
+    signed = spark.createDataFrame([(n, [100 * n + b for b in range(20)], f) for n, f in enumerate(fps)], "node long, keys array<long>, fp long")
+    groups = defaultdict(set)
+    for r in simhash.candidates(signed).collect():
+        groups[r.key].add(r.node)
+    assert [sorted(g) for g in groups.values() if len(g) > 1] == [[0, 1, 2, 3]]
+    assert len(groups) == 20 * len(fps) + 3
