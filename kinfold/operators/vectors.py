@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of query vectors in one block: what one broadcast holds. More queries are searched block after block.
 BLOCK_BYTES = 8 << 20
-#: Bytes of one product of queries and vectors.
-PRODUCT_BYTES = 64 << 20
+#: Bytes of one product of queries and vectors, and vectors in it: some of a block's queries with some vectors. A task holds a few
+#: arrays of that size and its k best, however many queries and vectors there are.
+PRODUCT_BYTES, PRODUCT_ROWS = 8 << 20, 1024
 
 
 def normalised(v: Column) -> Column:
@@ -36,6 +37,25 @@ def nearest_of(score: np.ndarray, label: np.ndarray, k: int) -> list[np.ndarray]
     return [np.take_along_axis(score, order, 1), np.take_along_axis(label, order, 1)]
 
 
+def best_of(batches: Iterator[pa.RecordBatch], names: np.ndarray, q: np.ndarray, k: int, cosine: bool) -> Iterator[pa.RecordBatch]:
+    """``query``, ``id``, ``score`` (ascending) of the k best of a task's vectors for each of a block's queries."""
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if cosine else q
+    parts = np.array_split(np.arange(len(q)), min(len(q), max(1, -(-len(q) * 8 * (PRODUCT_ROWS + k) // PRODUCT_BYTES))))
+    best = [[np.full((len(p), 0), 0.0), np.full((len(p), 0), 0)] for p in parts]
+    for batch in batches:
+        for at in range(0, batch.num_rows, PRODUCT_ROWS):
+            piece = batch.slice(at, PRODUCT_ROWS)
+            ids = np.array(piece.column("id").to_pylist(), np.int64)
+            x = np.array(piece.column("vec").to_pylist(), float).reshape(len(ids), -1)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if cosine else x
+            for j, p in enumerate(parts):
+                own = q[p[0] : p[-1] + 1]
+                score = -(own @ x.T) if cosine else np.maximum((own * own).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * own @ x.T, 0)
+                best[j] = nearest_of(np.hstack([best[j][0], score]), np.hstack([best[j][1], np.broadcast_to(ids, score.shape)]), k)
+    for p, (score, label) in zip(parts, best, strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[p], score.shape[1])), pa.array(label.ravel().astype(np.int64)), pa.array(score.ravel())], names=["query", "id", "score"])
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", threshold: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query``, ``id``, ``score``, ``rank``: the k nearest of ``corpus`` (id, vec) to each of ``queries`` (query, vec).
 
@@ -55,22 +75,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
         shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if cosine else q
-            best: list[np.ndarray] = [np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)]
-            rows = max(k, PRODUCT_BYTES // (8 * len(q)))
-            for batch in batches:
-                for a in range(0, batch.num_rows, rows):
-                    piece = batch.slice(a, rows)
-                    ids = np.array(piece.column("id").to_pylist(), np.int64)
-                    x = np.array(piece.column("vec").to_pylist(), float).reshape(len(ids), -1)
-                    if cosine:
-                        score = -(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T)
-                    else:
-                        score = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-                    best = nearest_of(np.hstack([best[0], score]), np.hstack([best[1], np.broadcast_to(ids, (len(q), len(ids)))]), k)
-            each = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, each)), pa.array(best[1].ravel().astype(np.int64)), pa.array(best[0].ravel())], names=["query", "id", "score"])
+            return best_of(batches, *shared.value, k, cosine)
 
         kind = queries.schema["query"].dataType.simpleString()
         own = corpus.where("vec IS NOT NULL").select(F.col("id").cast("long"), "vec").mapInArrow(run, f"query {kind}, id long, score double")
