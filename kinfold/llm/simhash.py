@@ -265,7 +265,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
+    for batch in slices(batches, "packed"):  # a whole batch of sets, copied, would be several times a part
         columns = [batch.column(k).to_pylist() for k in ("key", "i", "j", "node", "component", "side", "packed")]
         for key, i, j, node, component, side, packed in zip(*columns, strict=True):
             if (key, i, j) != now and held:

@@ -65,3 +65,26 @@ def test_fingerprints_make_candidates_of_their_own(spark):
         groups[r.key].add(r.node)
     assert [sorted(g) for g in groups.values() if len(g) > 1] == [[0, 1, 2, 3]]
     assert len(groups) == 20 * len(fps) + 3
+
+
+def test_sets_are_copied_a_few_at_a_time():
+    """Sets of a batch come as one; what a worker holds beside it follows a part, not the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from kinfold.llm.simhash import _compared
+
+    n, size = 300, 20_000
+    packed = [(np.arange(size, dtype=np.uint64) + np.uint64(size * (k // 2))).tobytes() for k in range(n)]
+    whole, number = sum(map(len, packed)), pa.array([k // 2 for k in range(n)], pa.int64())
+    zero, node = pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_arrays([number, zero, zero, node, node, zero, pa.array(packed, pa.binary())], names=["key", "i", "j", "node", "component", "side", "packed"])
+    packed.clear()
+    tracemalloc.start()
+    found = [tuple(x) for b in _compared(iter([batch])) for x in zip(*b.to_pydict().values(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(k, k + 1) for k in range(0, n, 2)]
+    assert peak < whole / 2
