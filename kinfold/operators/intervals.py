@@ -41,17 +41,19 @@ def innermost(positions: DataFrame, ranges: DataFrame) -> DataFrame:
     the line; of equal ones the one that starts last, then the smallest nid. Positions in no range are left out.
 
     Of the ranges that have a block only the best one counts, so a block is one row and a position meets one row a level,
-    however many ranges a file has and however deep they nest. Files of any size are split by their blocks.
+    however many ranges a file has and however deep they nest. Files of any size are split by their blocks. Sizes that
+    Spark estimates for blocks are those of the table that they were made from, so joins are told to sort: a side that is
+    broadcast would go through the driver whole.
     """
     blocks = range_blocks(ranges.select("path", "nid", "line_start", "line_end"), "line_start", "line_end")
     rank = F.struct((F.col("line_end") - F.col("line_start")).alias("span"), (-F.col("line_start")).alias("start"), "nid")
     best = blocks.groupBy("path", "level", "block").agg(F.min(rank).alias("best"))
     asked = position_blocks(positions.select("path", "line").distinct(), "line", levels_of(blocks))
-    found = asked.join(best, ["path", "level", "block"]).groupBy("path", "line").agg(F.min("best").alias("best"))
-    return positions.join(found, ["path", "line"]).select(*positions.columns, F.col("best.nid").alias("nid"))
+    found = asked.join(best.hint("merge"), ["path", "level", "block"]).groupBy("path", "line").agg(F.min("best").alias("best"))
+    return positions.join(found.hint("merge"), ["path", "line"]).select(*positions.columns, F.col("best.nid").alias("nid"))
 
 
 def holding(positions: DataFrame, ranges: DataFrame) -> DataFrame:
     """``positions`` (path, line, ...) with the ``nid`` of each range that holds the line: as many rows as there are hits."""
     blocks = range_blocks(ranges.select("path", "nid", "line_start", "line_end"), "line_start", "line_end").select("path", "nid", "level", "block")
-    return position_blocks(positions, "line", levels_of(blocks)).join(blocks, ["path", "level", "block"]).select(*positions.columns, "nid")
+    return position_blocks(positions, "line", levels_of(blocks)).join(blocks.hint("merge"), ["path", "level", "block"]).select(*positions.columns, "nid")

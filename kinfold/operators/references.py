@@ -90,6 +90,9 @@ def references(files: DataFrame, functions: DataFrame, mode: str = "direct") ->
 
 
 def reference_edges(files: DataFrame, functions: DataFrame, mode: str = "direct") -> DataFrame:
-    """``src``, ``dst``: functions (path, nid, name, line_start, line_end) and those whose name they refer to, by any file."""
+    """``src``, ``dst``: functions (path, nid, name, line_start, line_end) and those whose name they refer to, by any file.
+
+    Names are joined by sorting: functions may be made from a table that is much smaller than they are.
+    """
     found = references(files, functions, mode).select(F.col("nid").alias("src"), "name").distinct()
-    return found.join(functions.select("name", F.col("nid").alias("dst")), "name").select("src", "dst").distinct()
+    return found.join(functions.select("name", F.col("nid").alias("dst")).hint("merge"), "name").select("src", "dst").distinct()
