@@ -1,6 +1,9 @@
 """Steps that must not grow faster than their input: what is broadcast, and counts against the rows that they stand for."""
 
+import random
+
 from kinfold.operators import intervals as I
+from kinfold.operators import linkage as L
 from kinfold.operators import references as S
 
 
@@ -23,3 +26,20 @@ def test_functions_are_not_broadcast(spark):
     found = S.reference_edges(files, functions)
     assert "Broadcast" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def test_three_are_counted_in_their_task(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(9), rng.randrange(30)) for _ in range(200)] + [(1, None), (2, None), (None, 3), (3, 3), (3, 3)]
+    holds = spark.createDataFrame(rows, "repo long, fid long")
+    found = L.shared_by_three(holds)
+    # One row a repository and function is dealt out, and nothing after it.
+    assert plan(found).count("Exchange") == 1
+    own = {r for r in rows if None not in r}
+    expected = {}
+    for src, fid in own:
+        others = sorted(r for r, f in own if f == fid and r != src)
+        for i, x in enumerate(others):
+            for y in others[i + 1 :]:
+                expected[src, x, y] = expected.get((src, x, y), 0) + 1
+    assert {(r.src, r.o1, r.o2): r.n for r in found.collect()} == expected
