@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from kinfold.operators import intervals as I
 from kinfold.operators import linkage as L
 from kinfold.operators import references as S
@@ -43,3 +45,19 @@ def test_three_are_counted_in_their_task(spark):
             for y in others[i + 1 :]:
                 expected[src, x, y] = expected.get((src, x, y), 0) + 1
     assert {(r.src, r.o1, r.o2): r.n for r in found.collect()} == expected
+
+
+def test_token_links_are_counted_without_their_rows(spark):
+    """Equal to the count of the links' rows: nulls, common names, a repeated row, and bodies that are near or far."""
+    rng = random.Random(3)
+    digest = ["0" * 70, "0" * 69 + "1", "0" * 7 + "f" * 63]
+    nodes = [(n, f"n{rng.randrange(3)}" if n % 8 else None, rng.choice([None, "std", "s::t"])) for n in range(40)]
+    rows = [(rng.randrange(7), *x) for x in nodes for _ in range(3)]
+    tokens = spark.createDataFrame([*rows, rows[1], (None, 1, "n1", "s::t")], "repo long, nid long, name string, scope string")
+    hashes = spark.createDataFrame([(n, rng.choice(digest)) for n, *_ in nodes if n % 5], "nid long, fhash string")
+    common = spark.createDataFrame([("n2",)], "identifier string")
+    for own in (None, hashes):
+        expected = L.token_links(tokens, common, own).groupBy("ra", "rb").agg(F.count("*").alias("n"))
+        found = L.token_link_counts(tokens, common, own)
+        assert plan(found).count("Exchange") == 1
+        assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
