@@ -2,8 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import digest, network
+from kinfold.operators import balls
 from kinfold.operators import intervals as I
 from kinfold.operators import linkage as L
 from kinfold.operators import references as S
@@ -61,3 +66,52 @@ def test_token_links_are_counted_without_their_rows(spark):
         found = L.token_link_counts(tokens, common, own)
         assert plan(found).count("Exchange") == 1
         assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_large_vocabulary_needs_no_table():
+    """Rows follow from their ids: the same wherever they are looked up, normal, and zero for padding."""
+    n = network.TABLE + 5
+    own = network.Network(n, 8, 8, 3)
+    ids = np.array([[0, n - 1, 7], [7, 1, 0]])
+    rows = own.looked_up(ids)
+    assert own.embedding is None and rows.shape == (2, 3, 8)
+    assert not rows[0, 0].any() and (rows[0, 2] == rows[1, 0]).all() and (rows[0, 1] == own.looked_up(np.array([n - 1]))).all()
+    many = own.looked_up(np.arange(1, 20_000))
+    assert abs(many.mean()) < 0.01 and abs(many.std() - 1) < 0.01 and len(np.unique(many)) > 150_000
+    assert own.embed(np.tile(ids, 8)).shape == (2, 8)
+    with pytest.raises(ValueError):
+        own.embed(np.array([[n]]))
+
+
+def test_digests_are_bounded_before_they_are_compared(monkeypatch):
+    """Few pairs near and all pairs near, against the sum of costs; where few are near, no product of weights is made."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 16, (70, 70))
+    close = base[:40].copy()
+    for row in close:
+        row[rng.integers(0, 70, 6)] = rng.integers(0, 16, 6)
+    text = lambda v: ["".join(f"{c:x}" for c in row) for row in v]
+    for ys, threshold in ((close, 50), (close, 1000)):
+        with monkeypatch.context() as m:
+            if threshold == 50:
+                m.delattr(digest._Side, "weights")
+            batch = pa.RecordBatch.from_pydict({"x": ["x"], "y": ["y"], "xs": [text(base)], "ys": [text(ys)]})
+            found = {(r["a"], r["b"]): r["distance"] for b in digest.pairs_below(iter([batch]), threshold) for r in b.to_pylist()}
+        expected = {}
+        for a, u in zip(text(base), base, strict=True):
+            for b, v in zip(text(ys), ys, strict=True):
+                codes = sum(int(digest._CODES[p >> 2][q >> 2] + digest._CODES[p & 3][q & 3]) for p, q in zip(u[6:].tolist(), v[6:].tolist(), strict=True))
+                d = codes + digest.nibble_cost(int(u[4] - v[4])) + digest.nibble_cost(int(u[5] - v[5])) + int(a[:2] != b[:2])
+                if d < threshold:
+                    expected[a, b] = d
+        assert expected and found == expected
+
+
+def test_equal_vectors_are_asked_for_once(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(10)] + [(10, None)], "query long, vec array<double>")
+    index, asked, plain = balls.build(corpus), [], balls._rounds
+    monkeypatch.setattr(balls, "_rounds", lambda i, q, *more: asked.append(q.count()) or plain(i, q, *more))
+    found = sorted(map(tuple, balls.search(index, queries, 3, 0.5).select("query", "rank", "id", "score").collect()))
+    assert asked == [2]
+    assert found == [(q, r + 1, q % 2 + 3 * r, 0.0) for q in range(10) for r in range(3)]
