@@ -173,8 +173,13 @@ def search(index: Balls, queries: DataFrame, k: int = 10, threshold: float | Non
     vec; each name once), squared distances below or cosines not below the threshold, ties by the smaller id."""
     if not len(index.number):
         return index.spark.createDataFrame([], f"query {queries.schema['query'].dataType.simpleString()}, id long, score double, rank int")
-    _, near, rest = _rounds(index, _named(queries), k, threshold)
+    # Equal vectors are asked for once.
+    named = _named(queries)
+    kinds = cut(named.groupBy("vec").agg(F.min("query").alias("query")))
+    _, near, rest = _rounds(index, kinds, k, threshold)
     found = _ranked(near.drop("rank").unionByName(_compared(index, rest, k)), k)
+    members = named.join(kinds.withColumnRenamed("query", "_kind"), "vec").select("query", "_kind")
+    found = members.join(found.withColumnRenamed("query", "_kind"), "_kind").select("query", "id", "score", "rank")
     if index.metric == "cosine":
         found = found.withColumn("score", -F.col("score"))
         return found if threshold is None else found.where(F.col("score") >= threshold)

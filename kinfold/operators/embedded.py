@@ -29,7 +29,7 @@ class Embedder:
         """``key``, ``vec``: a vector of length 1 for each row. Equal beginnings are embedded once, however many rows have
         them; a row with null tokens has no vector, one without tokens that of nothing."""
         own = rows.where(F.col(tokens).isNotNull()).select(key, F.slice(tokens, 1, self.length).alias("_tokens"))
-        kinds = own.groupBy("_tokens").agg(F.min(key).alias("_kind"))
+        kinds = cut(own.groupBy("_tokens").agg(F.min(key).alias("_kind")))
         # A number of partitions that isn't merged by size: a row is small, but costs much to embed.
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ids = encoded(kinds, "_kind", "_tokens", self.vocabulary, self.length).repartition(n, "_kind")
