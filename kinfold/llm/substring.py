@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_128_digest
 
 from kinfold.llm.bpe import _with
-from kinfold.llm.common import ROW, blobs, mix, rowed, slices, spans, table
+from kinfold.llm.common import ROW, blobs, mix, release, rowed, slices, spans, table
 from kinfold.llm.repeats import RANGES_SCHEMA, Block, _Rows, buckets_of, flagged_blocks, partitions, range_rows, repeated_anchors, with_ranges
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
@@ -24,9 +24,9 @@ _U = np.uint64
 #: Odd multipliers of the two window hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Words whose hashes a worker keeps.
-_KEPT = 250_000
+_KEPT = 50_000
 #: Windows that a task gathers before it sends them on.
-BUFFER = 1 << 19
+BUFFER = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -88,8 +88,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 starts = _cover_starts(len(words), window, cover, period)
                 found.append(window_hashes(word_hashes(words)[0], size, starts))
                 at.append(np.full(len(starts), i))
-        if len(_HASH) > _KEPT // 2:
-            _HASH.clear()
+        _HASH.clear()  # a worker goes on to other tasks
         return (np.concatenate(found), np.concatenate(at)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     n = partitions(docs.sparkSession, docs)
@@ -146,7 +145,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 count += len(x)
         if held:
             yield flush()
-        _HASH.clear()  # a worker goes on to other tasks
+        _HASH.clear()
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -174,6 +174,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, c
                 yield ranges()
                 count = 0
         yield ranges()
+        release()
 
     flags = repeated_anchors(docs, anchors, True, text_col)
     dealt = flagged_blocks(docs, flags, id_col, text_col, windows, "bucket long, base long, packed binary")
