@@ -25,11 +25,12 @@ _SLACK = 1e-6
 
 
 class Balls:
-    """A stored partition: ``vectors`` (ball, block, ids, vecs: packed) and ``centres`` with ``radius`` and ``n``, in memory."""
+    """A stored partition: ``vectors`` (ball, block, ids, vecs: packed; equal ones once, by the smallest id), ``members`` (kind, id:
+    whose vector is that of kind) and ``centres`` with ``radius`` and ``n``, in memory."""
 
     def __init__(self, spark: SparkSession, path: str, metric: str):
         self.spark, self.path, self.metric = spark, path, metric
-        self.vectors = spark.read.parquet(f"{path}/vectors")
+        self.vectors, self.members = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/members")
         rows = spark.read.parquet(f"{path}/balls").orderBy("ball").collect()
         self.number = np.array([r.ball for r in rows], np.int64)
         self.centres = np.array([r.centre for r in rows], float) if rows else np.empty((0, 0))
@@ -53,11 +54,13 @@ def build(corpus: DataFrame, path: str | None = None, metric: str = "l2", balls:
 
     There are as many balls as the square root of the number of vectors, BALLS at most; centres are drawn by a hash. For
     ``cosine`` vectors have length 1, on which the distance orders as the cosine does; zero vectors, which have the cosine 0
-    with everything, are stored at the origin as a ball of their own (-1). Null vectors are left out.
+    with everything, are stored at the origin as a ball of their own (-1). Null vectors are left out, equal ones are one.
     """
     spark, cosine = corpus.sparkSession, metric == "cosine"
     path = path or scratch(spark, "balls")
-    rows = corpus.where("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec")
+    every = corpus.where("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec")
+    rows = cut(every.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
+    every.join(rows.withColumnRenamed("id", "kind"), "vec").select("kind", "id").write.mode("overwrite").parquet(f"{path}/members")
     zero = F.forall("vec", lambda x: x == 0) if cosine else F.lit(False)
     n = rows.where(~zero).count()
     drawn = rows.where(~zero).orderBy(F.xxhash64("id"), "id").limit(balls or max(1, min(BALLS, round(n**0.5)))).select("vec").toArrow()
@@ -177,7 +180,11 @@ def search(index: Balls, queries: DataFrame, k: int = 10, threshold: float | Non
     named = _named(queries)
     kinds = cut(named.groupBy("vec").agg(F.min("query").alias("query")))
     _, near, rest = _rounds(index, kinds, k, threshold)
-    found = _ranked(near.drop("rank").unionByName(_compared(index, rest, k)), k)
+    found = _ranked(near.drop("rank").unionByName(_compared(index, rest, k)), k).withColumnRenamed("id", "kind")
+    # Of equal vectors the k smallest ids; no id of the k nearest has a vector that isn't among the k nearest ones.
+    least = Window.partitionBy("kind").orderBy("id")
+    ids = index.members.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k).select("kind", "id")
+    found = _ranked(found.join(ids, "kind").select("query", "id", "score"), k)
     members = named.join(kinds.withColumnRenamed("query", "_kind"), "vec").select("query", "_kind")
     found = members.join(found.withColumnRenamed("query", "_kind"), "_kind").select("query", "id", "score", "rank")
     if index.metric == "cosine":

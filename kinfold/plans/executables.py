@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from kinfold.functions import code as C
 from kinfold.functions.network import Network
 from kinfold.operators import embedded as E
+from kinfold.operators import linkage as L
 from kinfold.operators import selection as S
 from kinfold.operators.executables import Executables
+from kinfold.operators.graph import cut
 from kinfold.plans.base import incidence, query, read
 
 #: Five executables whose nodes are parts, in fours each calls the next. Labels are mangled names, symbols of libraries
@@ -121,8 +123,11 @@ def program_tokens(spark, d):
     loops = F.repeat(F.lit("for (;;) { p->nextItem; break; }\n"), (k % 3).cast("int"))
     text = F.concat(F.lit("int f(int a) {\n"), branches, loops, F.lit("return a + "), s.cast("string"), F.lit(";\n}"))
     rows = read(spark, d, "part").select(k.alias("id"), text.alias("text"))
-    # Each text once: there are far fewer than functions.
-    return rows.join(rows.select("text").distinct().select("text", C.code_tokens("text").alias("tokens")), "text").select("id", "tokens")
+    # Each text once: there are far fewer than functions. Written, as what is asked of the tokens later would else be asked of each function's text.
+    kinds = cut(rows.groupBy("text").agg(F.min("id").alias("first")))
+    kinds = cut(kinds.repartition(spark.sparkContext.defaultParallelism, "text").select("first", "text", C.code_tokens("text").alias("tokens")))
+    functions = rows.repartition(spark.sparkContext.defaultParallelism, "id").join(L.broadcast_if_small(kinds), "text")
+    return functions.select("id", "tokens"), kinds.select(F.col("first").alias("id"), "tokens")
 
 
 def origins(spark, d):
@@ -134,8 +139,9 @@ def origins(spark, d):
 @query()
 def embedded_source_query(spark, d):
     """From functions with sources to scores of repositories: tokens, vectors, index and search in one chain."""
-    functions = program_tokens(spark, d)
-    vocabulary = C.vocabulary(functions, "id", "tokens").persist()
+    functions, kinds = program_tokens(spark, d)
+    # In the order of first appearance: that of a token is in the first function of a kind.
+    vocabulary = C.vocabulary(kinds, "id", "tokens").persist()
     embedder = E.Embedder(vocabulary, Network(C.rows_of(vocabulary), 64, 64, 12))
     index = embedder.index(functions, "tokens")
     asked = functions.where("id % 7 <> 3").select(F.col("id").alias("query"), "tokens")

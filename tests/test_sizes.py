@@ -127,3 +127,13 @@ def test_borrowed_before_needs_no_links(spark):
     found = L.borrowed_before(tokens)
     assert 0 < found.count() < 60 and sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
     assert "src" not in plan(found)
+
+
+def test_equal_vectors_are_stored_once(spark):
+    """One of each is compared; all their ids are found, the smallest first."""
+    corpus = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)] + [(40, None)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(0, [0.1, 1.0])], "query long, vec array<double>")
+    for metric in ("l2", "cosine"):
+        index = balls.build(corpus, metric=metric)
+        assert int(index.n.sum()) == 3 and index.vectors.count() <= 3
+        assert [r.id for r in balls.search(index, queries, 12).orderBy("rank").collect()] == [*range(0, 30, 3), 1, 4]
