@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import code as C
 from kinfold.functions import digest, network
 from kinfold.operators import balls
 from kinfold.operators import intervals as I
@@ -137,3 +138,38 @@ def test_equal_vectors_are_stored_once(spark):
         index = balls.build(corpus, metric=metric)
         assert int(index.n.sum()) == 3 and index.vectors.count() <= 3
         assert [r.id for r in balls.search(index, queries, 12).orderBy("rank").collect()] == [*range(0, 30, 3), 1, 4]
+
+
+def test_padding_is_not_computed(monkeypatch):
+    """Vectors as those of all positions; the positions that convolutions see follow the tokens, not the padding."""
+    seen, plain = [], network.Network.convolve
+    own = network.Network(40, 4, 8, 6)
+    rng = np.random.default_rng(2)
+    for length in (1, 5, 33, 64):
+        for used in {0, 1, min(7, length), length}:
+            ids = rng.integers(1, 40, (3, length))
+            ids[:, used:] = 0
+            x = own.convolve(own.looked_up(ids).transpose(0, 2, 1), own.first)
+            for block in own.blocks[:-1]:
+                x = own.down(x, block)
+            expected = own.residual(x, own.blocks[-1]).mean(axis=2)
+            with monkeypatch.context() as m:
+                m.setattr(network.Network, "convolve", staticmethod(lambda x, w: seen.append(x.shape[2]) or plain(x, w)))
+                found = own.embed(ids)
+            assert np.allclose(found, expected, atol=1e-5)
+            if length == 64 and used == 7:
+                assert max(seen) <= 12
+            seen.clear()
+
+
+def test_instructions_are_read_by_text(spark):
+    """As read one by one, in the order of addresses and texts; the reading is behind a checkpoint of distinct texts."""
+    texts = ["mov rax , [ rbx + 0x10 ]", "add rcx , 0x99999", "bad 0xzz", "ret"]
+    rows = spark.createDataFrame([(i % 3, i % 2, i // 4, texts[i * i % 4]) for i in range(40)], "ea long, block_id long, addr long, text string")
+    one = F.struct("addr", "text")
+    plain = C.instruction_sequences(rows.groupBy("ea", "block_id").agg(F.collect_list(one).alias("instructions")))
+    expected = plain.select("ea", F.transform("instructions", lambda t: C.instruction(t)).alias("i"))
+    tokens = C.with_tokens(rows)
+    assert "regexp" not in plan(tokens).lower()
+    found = C.instruction_sequences(tokens.groupBy("ea", "block_id").agg(F.collect_list(F.struct("addr", "text", "token")).alias("instructions")), "token")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
