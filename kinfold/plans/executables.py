@@ -154,9 +154,9 @@ def embedded_binary_query(spark, d):
     """From instructions of functions that no debug line names to scores of repositories."""
     li = read(spark, d, "lineitem")
     text = F.concat(F.when(F.col("l_returnflag") == "R", "mov rax , [ rbx + 0x").when(F.col("l_returnflag") == "A", "add rcx , [ rax * 8 + 0x").otherwise("lea rdx , [ rsi - 0x"), F.hex((F.col("l_linenumber") * 8).cast("long")), F.lit(" ]"))
-    one = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("addr"), text.alias("text"))
-    blocks = li.groupBy(F.col("l_partkey").alias("ea"), (F.col("l_orderkey") % 4).alias("block_id")).agg(F.collect_list(one).alias("instructions"))
-    functions = C.instruction_sequences(blocks).select(F.col("ea").alias("id"), F.transform("instructions", lambda t: C.instruction(t)).alias("instructions"))
+    rows = li.select(F.col("l_partkey").alias("ea"), (F.col("l_orderkey") % 4).alias("block_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("addr"), text.alias("text"))
+    blocks = C.with_tokens(rows).groupBy("ea", "block_id").agg(F.collect_list(F.struct("addr", "text", "token")).alias("instructions"))
+    functions = cut(C.instruction_sequences(blocks, "token").withColumnRenamed("ea", "id"))
     vocabulary = C.vocabulary(functions, "id", "instructions").persist()
     embedder = E.Embedder(vocabulary, Network(C.rows_of(vocabulary), 16, 16, 12, seed=9))
     index = embedder.index(functions, "instructions", "cosine")
