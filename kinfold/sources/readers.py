@@ -97,6 +97,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def write_json(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Writes JSON, with ``by`` a folder for each of its values. Rows are dealt by it first: a folder gets a file or, if it is
+    large, a few, not one from each task."""
+    if by:
+        df = df.hint("rebalance", *by)
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 

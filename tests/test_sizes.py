@@ -13,6 +13,7 @@ from kinfold.operators import balls
 from kinfold.operators import intervals as I
 from kinfold.operators import linkage as L
 from kinfold.operators import references as S
+from kinfold.sources import readers as R
 
 
 def plan(df):
@@ -173,3 +174,11 @@ def test_instructions_are_read_by_text(spark):
     assert "regexp" not in plan(tokens).lower()
     found = C.instruction_sequences(tokens.groupBy("ea", "block_id").agg(F.collect_list(F.struct("addr", "text", "token")).alias("instructions")), "token")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_folder_gets_few_files(spark, tmp_path):
+    """One file a folder, however many tasks have rows of it."""
+    rows = spark.range(0, 400, numPartitions=8).select((F.col("id") % 20).alias("repo"), F.col("id").alias("k"))
+    R.write_json(rows, str(tmp_path / "j"), by=("repo",))
+    files = list((tmp_path / "j").glob("repo=*/*.json"))
+    assert len(files) == 20 and R.read_json(spark, str(tmp_path / "j"), "k long, repo long").count() == 400
