@@ -12,6 +12,7 @@ from kinfold.functions import digest, network
 from kinfold.operators import balls
 from kinfold.operators import intervals as I
 from kinfold.operators import linkage as L
+from kinfold.operators import matching as M
 from kinfold.operators import references as S
 from kinfold.sources import readers as R
 
@@ -182,3 +183,13 @@ def test_a_folder_gets_few_files(spark, tmp_path):
     R.write_json(rows, str(tmp_path / "j"), by=("repo",))
     files = list((tmp_path / "j").glob("repo=*/*.json"))
     assert len(files) == 20 and R.read_json(spark, str(tmp_path / "j"), "k long, repo long").count() == 400
+
+
+def test_versions_are_not_broadcast(spark):
+    """What is joined grows with both versions; only the block counts, 256 at most, are broadcast."""
+    digest = lambda c: F.concat(F.lit("aabb00"), F.md5(c.cast("string")), F.md5(c.cast("string")))
+    a, b = (spark.range(60).select(F.col("id"), F.concat(F.lit(n), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("ns"), F.lit(n).alias("path"), digest(F.col("id") + k).alias("fhash")) for n, k in (("x", 0), ("y", 20)))
+    found = M.implementation_relations(a, b, M.version_relations(a, b))
+    assert sorted((r.a, r.b) for r in found.collect() if r.exact) == [(i, i - 20) for i in range(20, 60)]
+    final = plan(found).split("== Initial Plan ==")[0]
+    assert final.count("BroadcastHashJoin") <= 2 and "SortMergeJoin" in final
